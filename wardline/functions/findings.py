@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from wardline.functions import severity as sev
+from wardline.functions.constants import strings
 
 # One finding inside a row, before it is exploded into the findings table.
 FINDING_TYPE = (
@@ -20,7 +21,7 @@ FINDING_COLUMNS = [
 def finding(pass_: str, signal: Column | str, severity: Column | str, matched: Column, detail: Column | str, refs):
     """One finding struct; ``refs`` is a list of strings or an array column."""
     as_col = lambda v: v if isinstance(v, Column) else F.lit(v)
-    refs = refs if isinstance(refs, Column) else F.array(*[F.lit(r) for r in refs])
+    refs = refs if isinstance(refs, Column) else strings(refs)
     return F.struct(
         F.lit(pass_).alias("pass"),
         as_col(signal).alias("signal"),

@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from wardline.functions.constants import constant
 from wardline.functions.text import ascii_lower
 
 HIT_TYPE = "array<struct<literal:int,start:int,tokens:int>>"
@@ -66,7 +67,9 @@ def _arrow_hits(literals: list[str]):
 
 
 def _jvm_hits(text: Column, literals: list[str]) -> Column:
-    table = F.array(*[F.struct(F.lit(i).alias("literal"), F.lit(w).alias("word")) for i, w in enumerate(literals)])
+    table = constant(
+        [{"literal": i, "word": w} for i, w in enumerate(literals)], "array<struct<literal:int,word:string>>"
+    )
 
     def entry(lower: Column, e: Column) -> Column:
         token = F.concat(F.lit("(?<![0-9a-z])\\Q"), e["word"], F.lit("\\E(?![0-9a-z])"))

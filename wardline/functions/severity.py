@@ -2,22 +2,16 @@
 
 from __future__ import annotations
 
-from itertools import chain
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardline.functions.constants import lookup
 from wardline.rules import signals as S
 
 
-def lookup(pairs: dict, key: Column) -> Column:
-    """Value of ``key`` in a small constant map, else null."""
-    return F.try_element_at(F.create_map(*[F.lit(x) for x in chain.from_iterable(pairs.items())]), key)
-
-
 def rank(severity: Column) -> Column:
     """info 0 ... critical 4; null for anything else."""
-    return lookup({name: i for i, name in enumerate(S.SEVERITIES)}, severity)
+    return lookup({name: i for i, name in enumerate(S.SEVERITIES)}, severity, "int")
 
 
 def sarif_level(severity: Column) -> Column:
@@ -26,7 +20,9 @@ def sarif_level(severity: Column) -> Column:
 
 def score(scope: Column, confidentiality: Column, integrity: Column) -> Column:
     return (
-        lookup(S.SCOPE_POINTS, scope) + lookup(S.IMPACT_POINTS, confidentiality) + lookup(S.IMPACT_POINTS, integrity)
+        lookup(S.SCOPE_POINTS, scope, "int")
+        + lookup(S.IMPACT_POINTS, confidentiality, "int")
+        + lookup(S.IMPACT_POINTS, integrity, "int")
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.functions import severity as sev
+from wardline.functions.constants import lookup
 from wardline.functions.jsontext import json_string
 from wardline.rules import mutations as M
 
@@ -39,7 +39,7 @@ def _enum(prop: Column) -> Column:
 def _default(prop: Column) -> Column:
     """JSON text of the value a field gets when another one is mutated."""
     by_type = {t: M.to_json_text(v) for t, v in M.TYPE_DEFAULTS.items()}
-    return F.coalesce(F.get(_enum(prop), F.lit(0)), sev.lookup(by_type, _field_type(prop)), F.lit("null"))
+    return F.coalesce(F.get(_enum(prop), F.lit(0)), lookup(by_type, _field_type(prop)), F.lit("null"))
 
 
 def _object(fields: Column) -> Column:

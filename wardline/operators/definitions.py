@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardline.functions.constants import strings
 from wardline.functions.findings import FINDING_TYPE, bind, finding, no_findings
 from wardline.functions.jsontext import schema_texts
 from wardline.functions.text import ascii_lower
@@ -21,7 +22,7 @@ def annotation_findings(annotations: Column, description: Column) -> Column:
     hints = F.try_parse_json(annotations)
 
     def contradiction(lower: Column, hint: str, value: str, words: Sequence[str], severity: str) -> Column:
-        listed = F.array(*[F.lit(w) for w in words])
+        listed = strings(words)
         hit = (F.to_json(F.try_variant_get(hints, f"$.{hint}", "variant")) == value) & F.exists(
             listed, lambda w: F.contains(lower, w)
         )

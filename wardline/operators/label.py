@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.functions import severity as sev
+from wardline.functions.constants import lookup
 from wardline.rules import labels as L
 
 
@@ -17,12 +17,12 @@ def _normal(raw: Column) -> Column:
 
 def paradigm_alias(raw: Column) -> Column:
     """One of three names for a known spelling, else the value as it is."""
-    return F.coalesce(sev.lookup(L.PARADIGM_ALIASES, _normal(raw)), raw)
+    return F.coalesce(lookup(L.PARADIGM_ALIASES, _normal(raw)), raw)
 
 
 def risk_alias(raw: Column) -> Column:
     """One of ten names for a known spelling, else the value as it is."""
-    return F.coalesce(sev.lookup(L.RISK_ALIASES, _normal(raw)), raw)
+    return F.coalesce(lookup(L.RISK_ALIASES, _normal(raw)), raw)
 
 
 def paradigm_heuristic(description: Column) -> Column:
@@ -113,8 +113,8 @@ def normalise_upstream(docs: DataFrame, doc: str = "doc", keep: Sequence[str] =
         item.alias("item"), paradigm.alias("key_paradigm"), risk.alias("key_risk")
     )
     none = F.lit(None).cast("string")
-    alias = lambda k: sev.lookup({**L.PARADIGM_ALIASES, **{p: p for p in L.PARADIGMS}}, _normal(k))
-    risk_of = lambda k: sev.lookup(L.RISK_ALIASES, _normal(k))
+    alias = lambda k: lookup({**L.PARADIGM_ALIASES, **{p: p for p in L.PARADIGMS}}, _normal(k))
+    risk_of = lambda k: lookup(L.RISK_ALIASES, _normal(k))
     flat = lambda v, paradigm, risk: F.transform(items(v), lambda i: row(i, paradigm, risk))
     by_paradigm = lambda v, risk: F.flatten(F.transform(
         entries(v), lambda e: flat(e["value"], alias(e["key"]), risk)

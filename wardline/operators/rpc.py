@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.functions import severity as sev
+from wardline.functions.constants import lookup
 from wardline.functions.findings import bind
 from wardline.functions.jsontext import object_keys
 from wardline.functions.text import head_ellipsis
@@ -41,8 +42,8 @@ def classify_replies(df: DataFrame) -> DataFrame:
 
 def reply_findings(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Findings of classified probes (label, probe, reply_class); acceptable replies give none."""
-    severity = sev.lookup({c: s for c, s, _ in R.REPLY_CLASSES if s}, F.col("reply_class"))
-    wording = sev.lookup({c: w for c, _, w in R.REPLY_CLASSES}, F.col("reply_class"))
+    severity = lookup({c: s for c, s, _ in R.REPLY_CLASSES if s}, F.col("reply_class"))
+    wording = lookup({c: w for c, _, w in R.REPLY_CLASSES}, F.col("reply_class"))
     signal = F.lit("protocol_violation")
     return df.where(severity.isNotNull()).select(
         *keep,

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions import text as T
+from wardline.functions.constants import constant, strings
 from wardline.functions.findings import FINDING_TYPE, bind, finding, finding_columns, no_findings
 from wardline.functions.literals import literal_hits
 from wardline.operators.tfidf import default_model
@@ -173,17 +174,17 @@ def _needle_findings(patterns: Sequence[Pattern], literals: list[str]) -> Column
     rules: dict[str, list[Pattern]] = {}
     for p in patterns:
         rules.setdefault(p.folded, []).append(p)
-    table = F.array(*[
-        F.array(*[
-            F.struct(
-                F.lit(p.signal).alias("signal"), F.lit(p.severity).alias("severity"),
-                F.lit(p.explanation).alias("detail"), F.lit(len(p.folded)).alias("size"),
-                F.array(*[F.lit(r) for r in p.corpus_refs]).cast("array<string>").alias("refs"),
-            )
-            for p in rules[w]
-        ])
-        for w in literals if w in rules  # needles come first in the literal list
-    ])
+    table = constant(
+        [
+            [
+                {"signal": p.signal, "severity": p.severity, "detail": p.explanation, "size": len(p.folded),
+                 "refs": list(p.corpus_refs)}
+                for p in rules[w]
+            ]
+            for w in literals if w in rules  # needles come first in the literal list
+        ],
+        "array<array<struct<signal:string,severity:string,detail:string,size:int,refs:array<string>>>>",
+    )
     hits = F.filter("_hits", lambda h: h["literal"] < len(rules))
     return F.flatten(F.transform(hits, lambda h: F.transform(
         F.element_at(table, h["literal"] + 1),
@@ -208,8 +209,8 @@ def _at_word(pass_: str, found: Column, signal: str, refs: Sequence[str], detail
 def _structural(pass_: str) -> Column:
     verbs, nouns, signal, refs, detail = STRUCTURAL[pass_]
     words = F.col("_words")
-    quantifiers = F.array(*[F.lit(w) for w in W.QUANTIFIERS])
-    nouns = F.array(*[F.lit(w) for w in nouns])
+    quantifiers = strings(W.QUANTIFIERS)
+    nouns = strings(nouns)
 
     def hit(w: Column, i: Column) -> Column:
         window = F.slice(words, i + 1, F.lit(W.STRUCTURAL_WINDOW))
@@ -235,22 +236,19 @@ def _verbs(pass_: str) -> Column:
 
 def _similarity(number: dict[str, int]) -> Column:
     model = default_model()
-    numbered = sorted(model.idf, key=number.__getitem__)
-    idf = F.create_map(*[x for t in numbered for x in (F.lit(number[t]), F.lit(model.idf[t]))])
-    archetypes = F.array(*[
-        F.struct(
-            F.lit(label).alias("label"), F.lit(signal).alias("signal"),
-            F.array(*[F.lit(r) for r in refs.split()]).alias("refs"),
-            F.create_map(*[x for t in w for x in (F.lit(number[t]), F.lit(w[t]))]).alias("weights"),
-        )
-        for (label, _, signal, refs), w in zip(A.ARCHETYPES, model.weights, strict=True)
-    ])
-    ids = [number[t] for t in numbered]
+    ids = [number[t] for t in model.idf]
+    words = list(number)  # in literal order
+    idf = constant([model.idf.get(w) for w in words], "array<double>")
+    archetypes = constant(
+        [
+            {"label": label, "signal": signal, "refs": refs.split(), "weights": [weight.get(w, 0.0) for w in words]}
+            for (label, _, signal, refs), weight in zip(A.ARCHETYPES, model.weights, strict=True)
+        ],
+        "array<struct<label:string,signal:string,refs:array<string>,weights:array<double>>>",
+    )
     shared = F.transform(
         F.filter("_hits", lambda h: (h["tokens"] > 0) & h["literal"].isin(ids)),
-        lambda h: F.struct(
-            h["literal"].alias("id"), (h["tokens"] * F.element_at(idf, h["literal"])).alias("raw")
-        ),
+        lambda h: F.struct(h["literal"].alias("id"), (h["tokens"] * F.get(idf, h["literal"])).alias("raw")),
     )
     zero = F.lit(0.0)
 
@@ -258,8 +256,9 @@ def _similarity(number: dict[str, int]) -> Column:
         norm = F.sqrt(F.aggregate(terms, zero, lambda acc, t: acc + t["raw"] * t["raw"]))
         scored = F.transform(archetypes, lambda a: F.struct(
             a["label"].alias("label"), a["signal"].alias("signal"), a["refs"].alias("refs"),
-            (F.aggregate(terms, zero, lambda acc, t: acc + t["raw"] * F.coalesce(
-                F.try_element_at(a["weights"], t["id"]), zero)) / norm).alias("cosine"),
+            (F.aggregate(terms, zero, lambda acc, t: acc + t["raw"] * F.get(a["weights"], t["id"])) / norm).alias(
+                "cosine"
+            ),
         ))
         return F.filter(scored, lambda s: s["cosine"] >= A.MIN_COSINE)
 

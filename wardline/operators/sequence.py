@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.functions import severity as sev
+from wardline.functions.constants import lookup
 from wardline.functions.findings import bind
 from wardline.functions.jsontext import canonical_json, object_keys, raw_leaves
 from wardline.rules import signals as S
@@ -120,7 +121,7 @@ def contaminated_calls(calls: DataFrame, baseline: DataFrame, by: Sequence[str]
 def sequence_severity(signal: Column) -> Column:
     """Severity of a sequence signal by its scope and impact score."""
     scores = {name: row for name, *row in S.SEQUENCE_SCORES}
-    part = lambda i: sev.lookup({n: r[i] for n, r in scores.items()}, signal)
+    part = lambda i: lookup({n: r[i] for n, r in scores.items()}, signal)
     return sev.score_severity(sev.score(part(0), part(1), part(2)))
 
 
@@ -169,7 +170,7 @@ def analyze(
     return found.select(
         *run, "step", "tool", "signal",
         sequence_severity(F.col("signal")).alias("severity"),
-        F.replace(sev.lookup(EVIDENCE, F.col("signal")), F.lit("%s"), F.col("tool")).alias("evidence"),
+        F.replace(lookup(EVIDENCE, F.col("signal")), F.lit("%s"), F.col("tool")).alias("evidence"),
     )
 
 

@@ -31,7 +31,7 @@ def fit(archetypes: DataFrame, position: str = "position", text: str = "text") -
         F.col(position).alias("position"), F.explode(terms(ascii_lower(F.col(text)))).alias("term")
     )
     tf = tokens.groupBy("position", "term").agg(F.count("*").alias("n"))
-    size = archetypes.agg(F.count("*").alias("n_archetypes"))
+    size = archetypes.agg(F.count_distinct(position).alias("n_archetypes"))
     idf = (
         tf.groupBy("term").agg(F.count("*").alias("df"))
         .join(F.broadcast(size))  # one row
