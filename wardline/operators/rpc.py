@@ -130,7 +130,7 @@ def pair_replies(
     """
     width = bucket_seconds * 1_000_000
     reach = seconds * 1_000_000
-    at = F.unix_micros("ts")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
     bucket = F.floor(at / width)
     request = F.col("direction") == "request"
     placed = log.where(F.col("direction").isin("request", "response")).select(
