@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import sql as Q
-from checks.inputs import cte, source
+from checks.inputs import cte, source, table
 from wardline.functions import jsontext as J
 from wardline.functions import severity as sev
 from wardline.operators import rpc
@@ -217,7 +217,7 @@ def analyze_chains(spark, sf):
   SELECT event_id, tool, tool IN (SELECT name FROM offered) AS kept FROM calls""")
 def keep_available(spark, sf):
     calls = source(spark, sf, "calls")
-    offered = spark.read.parquet(f"{sf}/events.parquet").select(F.concat("event_type", F.lit("_2")).alias("name"))
+    offered = table(spark, sf, "events").select(F.concat("event_type", F.lit("_2")).alias("name"))
     kept, dropped = seq.keep_available(calls, offered)
     mark = lambda df, value: df.select("event_id", "tool", F.lit(value).alias("kept"))
     return mark(kept, True).unionByName(mark(dropped, False))
@@ -296,7 +296,7 @@ _RPC_LOG = f"""log AS (SELECT CAST(user_id % 7 AS STRING) AS session, event_id A
     AND r.ts >= q.ts AND r.ts <= q.ts + INTERVAL {R.REPLY_SECONDS} SECONDS
   WHERE q.direction = 'request' GROUP BY q.session, q.seq, q.id, q.ts""")
 def pair_replies(spark, sf):
-    events = spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    events = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     session = (F.col("user_id") % 7).cast("string").alias("session")
     number = (F.col("event_id") % 5).cast("string")
     requests = events.select(

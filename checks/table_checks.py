@@ -12,6 +12,7 @@ from wardline.rules import mutations as M
 from wardline.rules import records as R
 from wardline.rules import signals as S
 from wardline.sources import readers, sinks
+from wardline.sources.staging import stage
 
 CHECKS: dict = {}
 
@@ -175,7 +176,7 @@ def findings_json(spark, sf):
     ELSE '[' || severity || '] ' || tool_name || ' — ' || signal || ' (' || detail || ')' || chr(10) || '  matched: ' || matched_text ||
       CASE WHEN refs <> '' THEN chr(10) || '  refs:    ' || replace(refs, ',', ', ') ELSE '' END || chr(10) END FROM kept""")
 def findings_report(spark, sf):
-    return sinks.findings_report(marked(spark, sf), surfaces(spark, sf)).drop("signal")
+    return sinks.findings_report(stage(marked(spark, sf)), surfaces(spark, sf)).drop("signal")
 
 
 _SARIF_LEVEL = "CASE severity WHEN 'critical' THEN 'error' WHEN 'high' THEN 'error' WHEN 'medium' THEN 'warning' WHEN 'low' THEN 'note' ELSE 'none' END"
@@ -196,7 +197,7 @@ def sarif_results(spark, sf):
 
 @check()
 def sarif_documents(spark, sf):
-    return sinks.sarif_documents(marked(spark, sf), results_per_document=500)
+    return sinks.sarif_documents(stage(marked(spark, sf)), results_per_document=500)
 
 
 @check(f"""{_FOUND}, {_LABELLED}, {_CONFUSION}, {_REPORT} SELECT unnest([

@@ -17,11 +17,12 @@ from wardline.operators.scan import scan_responses, scan_surface
 from wardline.operators.sequence import analyze_chains
 from wardline.operators.suppress import apply_suppressions, stale_suppressions
 from wardline.sources.readers import read_labelled, read_suppressions, read_tools
+from wardline.sources.staging import stage
 
 
 @dataclass
 class Report:
-    """Findings with what belongs to them; all lazy."""
+    """Findings with what belongs to them."""
 
     findings: DataFrame
     totals: DataFrame
@@ -30,16 +31,13 @@ class Report:
 
 
 def report(findings: DataFrame, tools: DataFrame, suppressions: DataFrame) -> Report:
-    marked = apply_suppressions(findings, suppressions)
-    return Report(marked, scan_totals(marked, tools), stale_suppressions(suppressions, findings), gate(marked))
+    """Parts of a report. The findings are staged first, as every part reads them."""
+    marked = stage(apply_suppressions(findings, suppressions))
+    return Report(marked, scan_totals(marked, tools), stale_suppressions(suppressions, marked), gate(marked))
 
 
 def scan_report(spark: SparkSession, path: str, suppressions: str) -> Report:
-    """Scan of listing documents: findings, totals, stale suppressions, gate.
-
-    Write ``findings`` once and read it back where several of the parts are
-    needed on large inputs; each part is a query of its own.
-    """
+    """Scan of listing documents: findings, totals, stale suppressions, gate."""
     tools = read_tools(spark, path)
     return report(scan_tools(tools), tools, read_suppressions(spark, suppressions))
 
