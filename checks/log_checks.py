@@ -13,6 +13,7 @@ from wardline.operators import sequence as seq
 from wardline.rules import records as R
 from wardline.rules import signals as S
 from wardline.rules import words as W
+from wardline.sources.staging import stage
 
 CHECKS: dict = {}
 FIRST_DAYS = "2024-01-08"
@@ -33,7 +34,7 @@ def observed(spark, sf):
 
 
 def baseline(spark, sf):
-    return seq.call_log(source(spark, sf, "calls").where(F.col("ts") < FIRST_DAYS))
+    return source(spark, sf, "calls").where(F.col("ts") < FIRST_DAYS)
 
 
 _STEP = "row_number() OVER (PARTITION BY run_id ORDER BY ts, event_id) - 1 AS step"
@@ -162,7 +163,7 @@ _TRAILS = f"""{_LABELS}, trails AS (SELECT f.run_id, f.step, string_agg(l.label,
 
 @check(f"WITH {_CALLS}, {_raised(*_ALONE)}, {_TRAILS} SELECT run_id, step, signal, trail FROM raised JOIN trails USING (run_id, step)")
 def reproduction_trail(spark, sf):
-    calls = observed(spark, sf)
+    calls = stage(observed(spark, sf))  # read once for the anomalies and once for the trails
     got = seq.reproduction_trail(seq.analyze(calls), calls)
     return got.select("run_id", "step", "signal", F.array_join("trail", " → ").alias("trail"))
 
@@ -172,7 +173,7 @@ def reproduction_trail(spark, sf):
     '[chain ' || run_id || CASE WHEN CAST(run_id AS INT) % 2 = 0 THEN ' · REC-' || run_id ELSE '' END || '] chain step ' || (step + 1) || ': ' || trail AS detail
   FROM raised JOIN trails USING (run_id, step)""")
 def sequence_findings(spark, sf):
-    calls = observed(spark, sf)
+    calls = stage(observed(spark, sf))
     found = seq.reproduction_trail(seq.analyze(calls, baseline(spark, sf)), calls)
     record = F.when(F.col("run_id").cast("int") % 2 == 0, F.concat(F.lit("REC-"), F.col("run_id")))
     return seq.to_findings(found, prefix=seq.provenance(F.col("run_id"), record)).select(

@@ -35,7 +35,7 @@ def definition_drift(
 
     ``group`` names the columns that separate listings (a server, a session).
     A group without any base row gives nothing. If the base repeats a name, the
-    row with the highest ``order`` counts. Only hashes are shuffled. The join
+    row with the highest ``order`` counts (which should tell them apart). Only hashes are shuffled. The join
     is on group and name, so a group holding most rows still spreads by name,
     and the list of groups that have a base is reduced before it is joined.
     """
@@ -43,12 +43,9 @@ def definition_drift(
     hashed = lambda df, *more: df.select(
         *group, F.col(name).alias("name"), definition_hash(name, description, schema, annotations).alias("h"), *more
     )
-    version = F.col(order) if order else F.lit(0)
-    old = (
-        hashed(base, version.alias("_version"))
-        .groupBy(*keys)
-        .agg(F.max_by("h", F.struct("_version", "h")).alias("old_h"))
-    )
+    latest = F.max_by("h", "_version") if order else F.max("h")
+    versions = [F.col(order).alias("_version")] if order else []
+    old = hashed(base, *versions).groupBy(*keys).agg(latest.alias("old_h"))
     compared = hashed(fresh).join(old, keys, "left")
     changed = compared.where(F.col("old_h").isNull() | (F.col("old_h") != F.col("h")))
     if group:

@@ -115,7 +115,8 @@ def lifecycle_stream(log: DataFrame, quiet: str = "1 hour") -> DataFrame:
 
     State is two flags per session, dropped after ``quiet`` without a row, by
     the watermark on ``ts`` that the caller sets. Rows need seq, direction and
-    method; within a micro-batch they are taken in seq order.
+    method; within a micro-batch they are taken in seq order, so the rate limit
+    of the source (such as maxFilesPerTrigger) bounds what one session can bring.
     """
     hold = int(pd.Timedelta(quiet).total_seconds() * 1000)
 
@@ -146,7 +147,8 @@ def lifecycle_stream(log: DataFrame, quiet: str = "1 hour") -> DataFrame:
         )
         yield pd.DataFrame(out, columns=["session", "seq", "ts", "violation"])
 
-    return log.groupBy("session").applyInPandasWithState(
+    narrow = log.select("session", "seq", "ts", "direction", "method")
+    return narrow.groupBy("session").applyInPandasWithState(
         follow, "session string, seq bigint, ts timestamp, violation string", "opened boolean, closed boolean",
         "append", GroupStateTimeout.EventTimeTimeout,
     )
