@@ -80,14 +80,14 @@ def test_unknown_pass_is_an_error(spark):
         found(spark, "x", passes=["other"])
 
 
-def random_texts(n=120):
+def random_texts(n=250):
     rng = random.Random(7)
     vocabulary = (
         W.RELAY_VERBS + W.INCLUSION_VERBS + W.QUANTIFIERS + W.COMMUNICATION_NOUNS + W.REQUEST_NOUNS + W.RELAY_SYNONYMS
         + W.OVERRIDE_SYNONYMS + W.TRIGGER_VERBS + ["when", "the", "—", "é", "It", "value", "replace", "target", "x1"]
-        + [p.needle for p in scan.DESCRIPTION_PATTERNS[:40]]
+        + [p.needle for p in scan.DESCRIPTION_PATTERNS[:6]]
     )
-    joints = [" ", "  ", "\n", "\t", ", ", ". ", " (", "-", "\x0b"]
+    joints = [" ", " ", " ", " ", " ", "  ", "\n", "\t", ", ", ". ", " (", "-", "\x0b"]
     out = []
     for _ in range(n):
         words = [rng.choice(vocabulary) for _ in range(rng.randint(0, 40))]
