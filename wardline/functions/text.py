@@ -8,6 +8,7 @@ letters such as KELVIN SIGN and move matches.
 from __future__ import annotations
 
 import string
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,7 +17,8 @@ from wardline.rules import archetypes as A
 from wardline.rules import words as W
 
 ELLIPSIS = "…"
-_SPACE = "[ \\t\\n\\f\\r]"
+SPACE = " \\t\\n\\f\\r"
+_SPACE = f"[{SPACE}]"
 _ALNUM = "0-9A-Za-z"
 
 
@@ -53,10 +55,27 @@ def snippet(text: Column, start: Column, length: Column, context: int = W.SNIPPE
     )
 
 
-def word_start(lower: Column, word: Column) -> Column:
+def word_start(text: Column, word: Column) -> Column:
     """First place where ``word`` stands after white space and before a non-alphanumeric, else 1."""
-    pattern = F.concat(F.lit("(?<![^ \\t\\n\\f\\r])"), word, F.lit(f"(?![{_ALNUM}])"))
-    return F.greatest(F.regexp_instr(lower, pattern), F.lit(1))
+    pattern = F.concat(F.lit(f"(?i)(?<![^{SPACE}])"), word, F.lit(f"(?![{_ALNUM}])"))
+    return F.greatest(F.regexp_instr(text, pattern), F.lit(1))
+
+
+def word_pattern(choices: Sequence[str]) -> str:
+    """Regex of one whole word, as ``words`` cuts it, whose trimmed form is one of ``choices``."""
+    trimmings = f"[^{_ALNUM}{SPACE}]*+"
+    return f"{trimmings}(?:{'|'.join(choices)}){trimmings}(?![^{SPACE}])"
+
+
+def windows(text: Column, start: Sequence[Sequence[str]], size: int) -> Column:
+    """Pieces of text that open with words from ``start`` in a row and go on for up to ``size`` more words.
+
+    In text order. The pieces may overlap, as the search itself consumes nothing.
+    """
+    gap = f"[{SPACE}]+"
+    opening = gap.join(word_pattern(choices) for choices in start)
+    pattern = f"(?i)(?<![^{SPACE}])(?=({opening}(?:{gap}[^{SPACE}]+){{0,{size}}}))"
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
 
 
 def head(text: Column, size: int = W.SIMILARITY_EVIDENCE) -> Column:

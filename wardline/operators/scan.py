@@ -1,8 +1,9 @@
 """Text scan: literal needles, structural wording, verb wording and similarity.
 
 All passes run inside the row: one pass over the text finds every literal any
-pass cares about, cheap gates on that result decide which texts need their
-words split, and a single ``explode`` yields the findings. There is no shuffle,
+pass cares about, cheap gates on that result decide which texts are looked at
+word by word (and only in the windows that a rule asks for), and a single
+``explode`` yields the findings. There is no shuffle,
 no cache and no second read, so the scan scales with the number of input
 splits, and one source or name holding most of the rows changes nothing.
 """
@@ -113,20 +114,12 @@ def scan_text(
         (extra if extra is not None else no_findings()).alias("_extra"),
         literal_hits(F.col(text), literals, matcher).alias("_hits"),
     )
-    worded = passes & (set(STRUCTURAL) | set(VERBS))
-    staged = staged.select(
-        "*",
-        (
-            F.when(_token_hit(_gate_words(worded), number), T.words(T.ascii_lower(F.col("_text"))))
-            if worded
-            else F.lit(None).cast("array<string>")
-        ).alias("_words"),
-    )
+    worded = sorted(passes & (set(STRUCTURAL) | set(VERBS)))
+    staged = staged.select("*", *[_windows(p, number).alias(f"_{p}") for p in worded])
     parts = [F.col("_extra")]
     if NEEDLES in passes:
         parts.append(_needle_findings(patterns, literals))
-    parts += [_structural(p) for p in sorted(worded & set(STRUCTURAL))]
-    parts += [_verbs(p) for p in sorted(worded & set(VERBS))]
+    parts += [_structural(p) if p in STRUCTURAL else _verbs(p) for p in worded]
     if SIMILARITY in passes:
         parts.append(_similarity(number))
     parts = [p.cast(f"array<{FINDING_TYPE}>") for p in parts]
@@ -150,8 +143,9 @@ def scan_surface(df: DataFrame, name: str = "name", description: str = "descript
     return scan_text(df, text=description, name=name, **options)
 
 
-def _gate_words(passes: set[str]) -> list[str]:
-    return [w for p in sorted(passes) for w in (STRUCTURAL[p][0] if p in STRUCTURAL else VERBS[p][0])]
+def _gate_words(pass_: str) -> list[str]:
+    """Words without which a wording pass cannot fire."""
+    return STRUCTURAL[pass_][0] if pass_ in STRUCTURAL else VERBS[pass_][0]
 
 
 def _literals(patterns: Sequence[Pattern], passes: set[str]) -> list[str]:
@@ -159,15 +153,25 @@ def _literals(patterns: Sequence[Pattern], passes: set[str]) -> list[str]:
     out: list[str] = []
     if NEEDLES in passes:
         out += [p.folded for p in patterns]
-    out += _gate_words(passes & (set(STRUCTURAL) | set(VERBS)))
+    for p in sorted(passes & (set(STRUCTURAL) | set(VERBS))):
+        out += _gate_words(p)
     if SIMILARITY in passes:
         out += list(default_model().idf)
     return list(dict.fromkeys(out))
 
 
-def _token_hit(words: Sequence[str], number: dict[str, int]) -> Column:
-    ids = [number[w] for w in words]
-    return F.exists("_hits", lambda h: (h["tokens"] > 0) & h["literal"].isin(ids))
+def _windows(pass_: str, number: dict[str, int]) -> Column:
+    """Word lists a wording pass has to look at; null unless one of its gate words is in the text.
+
+    Each list opens with a verb (structural passes) or with the trigger words.
+    """
+    ids = [number[w] for w in _gate_words(pass_)]
+    gate = F.exists("_hits", lambda h: (h["tokens"] > 0) & h["literal"].isin(ids))
+    if pass_ in STRUCTURAL:
+        pieces = T.windows(F.col("_text"), [STRUCTURAL[pass_][0]], W.STRUCTURAL_WINDOW - 1)
+    else:
+        pieces = T.windows(F.col("_text"), [[W.TRIGGER], W.TRIGGER_VERBS], W.VERB_WINDOW - 2)
+    return F.when(gate, F.transform(pieces, lambda piece: T.words(T.ascii_lower(piece))))
 
 
 def _needle_findings(patterns: Sequence[Pattern], literals: list[str]) -> Column:
@@ -198,7 +202,7 @@ def _needle_findings(patterns: Sequence[Pattern], literals: list[str]) -> Column
 def _at_word(pass_: str, found: Column, signal: str, refs: Sequence[str], detail: str) -> Column:
     """At most one finding, anchored at the first of the ``found`` words."""
     def build(word: Column) -> Column:
-        start = T.word_start(T.ascii_lower(F.col("_text")), word)
+        start = T.word_start(F.col("_text"), word)
         return finding(
             pass_, signal, "medium", T.snippet(F.col("_text"), start, F.char_length(word)), detail, refs
         )
@@ -207,29 +211,18 @@ def _at_word(pass_: str, found: Column, signal: str, refs: Sequence[str], detail
 
 
 def _structural(pass_: str) -> Column:
-    verbs, nouns, signal, refs, detail = STRUCTURAL[pass_]
-    words = F.col("_words")
-    quantifiers = strings(W.QUANTIFIERS)
-    nouns = strings(nouns)
-
-    def hit(w: Column, i: Column) -> Column:
-        window = F.slice(words, i + 1, F.lit(W.STRUCTURAL_WINDOW))
-        return w.isin(verbs) & F.arrays_overlap(window, quantifiers) & F.arrays_overlap(window, nouns)
-
-    return _at_word(pass_, F.filter(words, hit), signal, refs, detail)
+    _, nouns, signal, refs, detail = STRUCTURAL[pass_]
+    quantifiers, nouns = strings(W.QUANTIFIERS), strings(nouns)
+    hits = F.filter(
+        f"_{pass_}", lambda words: F.arrays_overlap(words, quantifiers) & F.arrays_overlap(words, nouns)
+    )
+    return _at_word(pass_, F.transform(hits, lambda words: words[0]), signal, refs, detail)
 
 
 def _verbs(pass_: str) -> Column:
     verbs, signal, refs, detail = VERBS[pass_]
-    words = F.col("_words")
-    starts = F.filter(
-        F.transform(words, lambda w, i: F.when(
-            (w == W.TRIGGER) & F.get(words, i + 1).isin(W.TRIGGER_VERBS), i
-        )),
-        lambda i: i.isNotNull(),
-    )
-    found = F.flatten(F.transform(starts, lambda i: F.filter(
-        F.slice(words, i + 3, F.lit(W.VERB_WINDOW - 2)), lambda w: w.isin(verbs)
+    found = F.flatten(F.transform(f"_{pass_}", lambda words: F.filter(
+        F.slice(words, 3, W.VERB_WINDOW - 2), lambda w: w.isin(verbs)
     )))
     return _at_word(pass_, found, signal, refs, detail)
 
