@@ -156,9 +156,8 @@ def scan_totals(spark, sf):
   coalesce(bool_or(NOT suppressed AND severity = 'critical') FILTER (WHERE signal = 'fake_prerequisite'), false) AS blocking_one FROM kept""")
 def gate(spark, sf):
     rows = marked(spark, sf)
-    one = evaluate.gate(rows.where(F.col("signal") == "fake_prerequisite"), "critical").select(
-        F.col("blocking").alias("blocking_one"))
-    return evaluate.gate(rows).join(F.broadcast(one))
+    one = evaluate.gate(rows.where(F.col("signal") == "fake_prerequisite"), "critical")
+    return evaluate.gate(rows).withColumn("blocking_one", one.scalar())
 
 
 # ---- reports ----

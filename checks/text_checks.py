@@ -234,6 +234,7 @@ def walk_schema(spark, sf):
 
 @check(f"WITH {cte('tools')} SELECT p_partkey, path, text FROM ({_WALK})")
 def walk_schema_recursive_sql(spark, sf):
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # the whole table, whatever its size
     return J.walk_schema_sql(source(spark, sf, "tools"), keep=["p_partkey"])
 
 

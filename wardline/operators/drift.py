@@ -52,8 +52,7 @@ def definition_drift(
         listed = base.select(*group).distinct()
         changed = changed.join(listed, list(group), "left_semi")
     else:
-        listed = base.select(F.lit(1).alias("_listed")).limit(1)  # at most one row
-        changed = changed.join(F.broadcast(listed)).drop("_listed")
+        changed = changed.where(base.select(F.lit(1)).limit(1).exists())
     return changed.select(
         *group,
         F.col("name").alias("tool_name"),

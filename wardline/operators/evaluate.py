@@ -75,11 +75,14 @@ def severity_histogram(findings: DataFrame) -> DataFrame:
 
 def scan_totals(findings: DataFrame, tools: DataFrame) -> DataFrame:
     """One row: active, suppressed, tools_scanned."""
-    counts = findings.agg(
-        F.count_if(~F.col("suppressed")).alias("active"), F.count_if("suppressed").alias("suppressed")
+    kinds = findings.select(F.when(F.col("suppressed"), "suppressed").otherwise("active").alias("kind")).unionByName(
+        tools.select(F.lit("tool").alias("kind"))
+    )
+    return kinds.agg(
+        F.count_if(F.col("kind") == "active").alias("active"),
+        F.count_if(F.col("kind") == "suppressed").alias("suppressed"),
+        F.count_if(F.col("kind") == "tool").alias("tools_scanned"),
     )
-    scanned = tools.agg(F.count("*").alias("tools_scanned"))
-    return counts.join(F.broadcast(scanned))  # one row each
 
 
 def false_positive_rate(labelled: DataFrame, findings: DataFrame, name: str = "name", label: str = "is_attack"):

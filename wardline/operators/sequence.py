@@ -56,18 +56,19 @@ def argument_flags(args: Column) -> Column:
 
     ``credential``: some value contains a credential marker. ``outside``: some
     value starts with an http(s) URL whose host does not start like a local
-    one. A cheap look at the whole text decides if the values are taken apart.
+    one. Only texts that hold a marker, a URL or a backslash (an escape may
+    hide either) are parsed at all.
     """
     def flags(text: Column) -> Column:
-        credential = F.when(
-            text.rlike(_MARKER), F.exists(raw_leaves(text), lambda s: s.rlike(_MARKER))
-        ).otherwise(False)
-        outside = F.when(
-            text.rlike('(?i)"https?://'), F.exists(raw_leaves(text), lambda s: s.rlike(_OUTSIDE))
-        ).otherwise(False)
+        credential = F.exists(raw_leaves(text), lambda s: s.rlike(_MARKER))
+        outside = F.exists(raw_leaves(text), lambda s: s.rlike(_OUTSIDE))
         return F.struct(credential.alias("credential"), outside.alias("outside"))
 
-    return bind(F.coalesce(canonical_json(args), F.lit("null")), flags)
+    no = F.lit(False)
+    suspect = F.contains(args, F.lit("\\")) | args.rlike(_MARKER + '|"https?://')
+    return F.when(suspect, bind(F.coalesce(canonical_json(args), F.lit("null")), flags)).otherwise(
+        F.struct(no.alias("credential"), no.alias("outside"))
+    )
 
 
 def flag_calls(calls: DataFrame, args: str = "args") -> DataFrame:
@@ -77,6 +78,11 @@ def flag_calls(calls: DataFrame, args: str = "args") -> DataFrame:
     )
 
 
+def _argument_key() -> Column:
+    """Arguments as compared: canonical JSON, absent as null."""
+    return F.coalesce(canonical_json(F.col("args")), F.lit("null"))
+
+
 def diff_calls(calls: DataFrame, baseline: DataFrame, by: Sequence[str] = RUN) -> DataFrame:
     """Add ``change``: 'injected', 'diverged' or 'same' against the baseline calls with the same ``by`` columns.
 
@@ -85,7 +91,7 @@ def diff_calls(calls: DataFrame, baseline: DataFrame, by: Sequence[str] = RUN) -
     so a repeated baseline call adds nothing to it, and the larger join is on
     the finest key.
     """
-    key = F.coalesce(canonical_json(F.col("args")), F.lit("null"))
+    key = _argument_key()
     base = baseline.select(*by, "tool", key.alias("_args")).distinct()
     tools = baseline.select(*by, "tool").distinct().withColumn("_tool_known", F.lit(True))
     return (
@@ -150,21 +156,25 @@ def analyze(
     """
     by = tuple(run if by is None else by)
     df = flag_calls(calls)
-    changed = F.lit("same")
+    sensitive = F.col("credential") | F.col("outside")
+    raised = {"runtime_credential_access": F.col("credential"), "unexpected_network_call": F.col("outside")}
     if baseline is not None:
-        df = diff_calls(df, baseline, by)
-        changed = F.col("change")
+        # Equal arguments are equally sensitive, so only sensitive calls of either side are compared by arguments.
+        tools = baseline.select(*by, "tool").distinct().withColumn("_tool_known", F.lit(True))
+        same = flag_calls(baseline).where(sensitive).select(*by, "tool", _argument_key().alias("_args")).distinct()
+        df = (
+            df.withColumn("_args", F.when(sensitive, _argument_key()))
+            .join(tools, [*by, "tool"], "left")
+            .join(same.withColumn("_call_known", F.lit(True)), [*by, "tool", "_args"], "left")
+        )
+        compared = F.lit(True)
         if with_baseline is not None:
-            has = with_baseline.select(*by).distinct().withColumn("_has", F.lit(True))
+            has = with_baseline.select(*by).distinct().withColumn("_compared", F.lit(True))
             df = df.join(has, list(by), "left")
-            changed = F.when(F.col("_has"), F.col("change")).otherwise("same")
-    sensitive = F.col("credential") | F.col("outside")
-    raised = {
-        "runtime_credential_access": F.col("credential"),
-        "unexpected_network_call": F.col("outside"),
-        "unexpected_tool_sequence": changed == "injected",
-        "cross_tool_contamination": (changed == "diverged") & sensitive,
-    }
+            compared = F.coalesce("_compared", F.lit(False))
+        known, unseen = F.col("_tool_known").isNotNull(), F.col("_call_known").isNull()
+        raised["unexpected_tool_sequence"] = compared & ~known
+        raised["cross_tool_contamination"] = compared & known & sensitive & unseen
     signals = F.array_compact(F.array(*[F.when(cond, name) for name, cond in raised.items()]))
     found = df.select(*run, "step", "tool", F.explode(signals).alias("signal"))
     return found.select(
@@ -197,8 +207,11 @@ def reproduction_trail(findings: DataFrame, calls: DataFrame, run: Sequence[str]
     where the trail comes together.
     """
     run = list(run)
+    needed = findings.groupBy(*run).agg(F.max("step").alias("_last"))  # runs without findings stay out of the shuffle
     chunks = (
-        calls.select(*run, "step", call_label(F.col("tool"), F.col("args")).alias("label"))
+        calls.join(needed, run)
+        .where(F.col("step") <= F.col("_last"))
+        .select(*run, "step", call_label(F.col("tool"), F.col("args")).alias("label"))
         .groupBy(*run, F.floor(F.col("step") / _TRAIL_CHUNK).alias("chunk"))
         .agg(F.array_sort(F.collect_list(F.struct("step", "label"))).alias("calls"))
     )

@@ -31,11 +31,10 @@ def fit(archetypes: DataFrame, position: str = "position", text: str = "text") -
         F.col(position).alias("position"), F.explode(terms(ascii_lower(F.col(text)))).alias("term")
     )
     tf = tokens.groupBy("position", "term").agg(F.count("*").alias("n"))
-    size = archetypes.agg(F.count_distinct(position).alias("n_archetypes"))
+    size = archetypes.select(F.count_distinct(position)).scalar()
     idf = (
         tf.groupBy("term").agg(F.count("*").alias("df"))
-        .join(F.broadcast(size))  # one row
-        .select("term", (F.log(F.col("n_archetypes") / F.col("df")) + 1).alias("idf"))
+        .select("term", (F.log(size / F.col("df")) + 1).alias("idf"))
     )
     raw = tf.join(idf, "term").select("position", "term", (F.col("n") * F.col("idf")).alias("raw"))
     norms = raw.groupBy("position").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
