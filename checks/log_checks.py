@@ -164,7 +164,7 @@ _TRAILS = f"""{_LABELS}, trails AS (SELECT f.run_id, f.step, string_agg(l.label,
 @check(f"WITH {_CALLS}, {_raised(*_ALONE)}, {_TRAILS} SELECT run_id, step, signal, trail FROM raised JOIN trails USING (run_id, step)")
 def reproduction_trail(spark, sf):
     calls = stage(observed(spark, sf))  # read once for the anomalies and once for the trails
-    got = seq.reproduction_trail(seq.analyze(calls), calls)
+    got = seq.reproduction_trail(stage(seq.analyze(calls)), calls)
     return got.select("run_id", "step", "signal", F.array_join("trail", " → ").alias("trail"))
 
 
@@ -174,7 +174,7 @@ def reproduction_trail(spark, sf):
   FROM raised JOIN trails USING (run_id, step)""")
 def sequence_findings(spark, sf):
     calls = stage(observed(spark, sf))
-    found = seq.reproduction_trail(seq.analyze(calls, baseline(spark, sf)), calls)
+    found = seq.reproduction_trail(stage(seq.analyze(calls, baseline(spark, sf))), calls)
     record = F.when(F.col("run_id").cast("int") % 2 == 0, F.concat(F.lit("REC-"), F.col("run_id")))
     return seq.to_findings(found, prefix=seq.provenance(F.col("run_id"), record)).select(
         "run_id", "tool_name", "signal", "severity", "severity_rank", "matched_text", "detail"

@@ -18,6 +18,7 @@ from wardline.functions.findings import bind
 from wardline.functions.jsontext import canonical_json, object_keys, raw_leaves
 from wardline.rules import signals as S
 from wardline.rules import words as W
+from wardline.sources.staging import stage
 
 RUN = ("run_id",)
 _MARKER = "(?i)" + "|".join(re.escape(m) for m in W.CREDENTIAL_MARKERS)
@@ -215,21 +216,22 @@ def reproduction_trail(findings: DataFrame, calls: DataFrame, run: Sequence[str]
         .groupBy(*run, F.floor(F.col("step") / _TRAIL_CHUNK).alias("chunk"))
         .agg(F.array_sort(F.collect_list(F.struct("step", "label"))).alias("calls"))
     )
-    wanted = findings.select(*run, "step").distinct()
-    asked = wanted.select(
-        *run, F.col("step").alias("until"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("step") / _TRAIL_CHUNK))).alias("chunk"),
+    rest = [c for c in findings.columns if c not in (*run, "step")]
+    asked = (
+        findings.groupBy(*run, "step")
+        .agg(F.collect_list(F.struct(*rest)).alias("_rest"))  # the findings of one call
+        .withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("step") / _TRAIL_CHUNK))))
     )
     pieces = asked.join(chunks, [*run, "chunk"]).select(
-        *run, "until", "chunk",
-        F.transform(F.filter("calls", lambda c: c["step"] <= F.col("until")), lambda c: c["label"]).alias("labels"),
+        *run, "step", "chunk", "_rest",
+        F.transform(F.filter("calls", lambda c: c["step"] <= F.col("step")), lambda c: c["label"]).alias("labels"),
     )
-    trails = pieces.groupBy(*run, F.col("until").alias("step")).agg(
-        F.flatten(F.transform(
-            F.array_sort(F.collect_list(F.struct("chunk", "labels"))), lambda p: p["labels"]
-        )).alias("trail")
-    )
-    return findings.join(trails, [*run, "step"]).select(*findings.columns, "trail")
+    whole = F.array_sort(F.collect_list(F.struct("chunk", "labels")))
+    trails = pieces.groupBy(*run, "step").agg(F.first("_rest").alias("_rest"), whole.alias("_pieces"))
+    return trails.select(
+        *run, "step", F.flatten(F.transform("_pieces", lambda p: p["labels"])).alias("trail"),
+        F.explode("_rest").alias("_f"),
+    ).select(*run, "step", *[F.col(f"_f.{c}").alias(c) for c in rest], "trail").select(*findings.columns, "trail")
 
 
 def provenance(chain_id: Column, record_id: Column) -> Column:
@@ -272,7 +274,8 @@ def analyze_chains(chains: DataFrame, tools: DataFrame | None = None) -> DataFra
 
     Steps with a tool that is not offered leave no trace in the log. A chain
     without baseline steps is not compared; one whose baseline steps were all
-    dropped is compared with an empty log.
+    dropped is compared with an empty log. The anomalies are staged, as the trail
+    reads them twice, so calling this runs a job.
     """
     def log(steps: str) -> DataFrame:
         rows = chains.select(F.col("id").alias("run_id"), F.posexplode(steps).alias("at", "s")).select(
@@ -285,7 +288,7 @@ def analyze_chains(chains: DataFrame, tools: DataFrame | None = None) -> DataFra
 
     calls = log("steps")
     compared = chains.where(F.size("baseline") > 0).select(F.col("id").alias("run_id"))
-    found = analyze(calls, log("baseline"), with_baseline=compared)
+    found = stage(analyze(calls, log("baseline"), with_baseline=compared))
     meta = chains.select(F.col("id").alias("run_id"), "corpus_record_id")
     trails = reproduction_trail(found, calls).join(meta, "run_id")
     return to_findings(trails, prefix=provenance(F.col("run_id"), F.col("corpus_record_id")))
