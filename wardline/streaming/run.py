@@ -9,20 +9,27 @@ from pyspark.sql import DataFrame
 from wardline.sources.staging import shared_folder
 
 
-def run_available(stream: DataFrame, path: str | None = None) -> DataFrame:
+def run_available(stream: DataFrame, path: str | None = None, state_partitions: int | None = None) -> DataFrame:
     """Process all available input of ``stream``, append it to Parquet files at ``path``, and read them.
 
+    A stream keeps the number of state partitions it first starts with:
+    ``state_partitions``, or by default one per core of the cluster.
     Progress is checkpointed next to the output, so a run that lost its
     executors or its driver goes on where it stopped.
     """
     spark = stream.sparkSession
     target = path or f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    query = (
-        stream.writeStream.format("parquet")
-        .option("checkpointLocation", f"{target}.progress")
-        .trigger(availableNow=True)
-        .outputMode("append")
-        .start(target)
-    )
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", state_partitions or spark.sparkContext.defaultParallelism)
+    try:  # a query copies the settings when it starts
+        query = (
+            stream.writeStream.format("parquet")
+            .option("checkpointLocation", f"{target}.progress")
+            .trigger(availableNow=True)
+            .outputMode("append")
+            .start(target)
+        )
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(target)
