@@ -8,14 +8,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import bpe, pfor
-from wardline.llm.common import Scratch
+from wardline.llm import bpe, nbsvm, pfor
+from wardline.llm.common import Scratch, hashed_out
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    labels = _table(spark, sf_dir, "labels").where(hashed_out("doc_id", 5) != 0)
+    model = nbsvm.fit(docs, labels.select("doc_id", F.col("quality").alias("label")))
+    return nbsvm.score(docs, model).select(
+        "doc_id", (hashed_out("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
 def op5_pfor(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = Scratch(spark, "ids").path("files")
     files = pfor.write(_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
@@ -28,6 +37,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_nbsvm": op4_nbsvm,
     "op5_pfor": op5_pfor,
     "op9_bpe": op9_bpe,
 }
