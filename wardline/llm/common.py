@@ -22,16 +22,16 @@ _ALNUM = bytes(
 )
 
 
-def utf8(text: str | None) -> bytes:
-    return (text or "").encode("utf-8", "surrogatepass")
+def utf8(text: str | bytes | None) -> bytes:
+    return text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")
 
 
-def spaced_words(text: str | None) -> list[bytes]:
+def spaced_words(text: str | bytes | None) -> list[bytes]:
     r"""The words `[^\x20\x09-\x0D]+` of a text whose A-Z are lower-cased, as UTF-8."""
     return utf8(text).translate(_SPACED).split()
 
 
-def alnum_words(text: str | None) -> list[bytes]:
+def alnum_words(text: str | bytes | None) -> list[bytes]:
     r"""The words `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` of a text whose A-Z are lower-cased, as UTF-8."""
     return utf8(text).translate(_ALNUM).split()
 
@@ -49,10 +49,28 @@ def shared_dir(spark: SparkSession) -> str:
     return held
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the workers this package, once in each application: their functions import it."""
+    import zipfile
+    from pathlib import Path
+
+    context = spark.sparkContext
+    if getattr(context, "_wardline_shipped", False):
+        return
+    package = Path(__file__).resolve().parent.parent
+    target = os.path.join(tempfile.mkdtemp(prefix="spark-"), "wardline.zip")
+    with zipfile.ZipFile(target, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    context.addPyFile(target)
+    context._wardline_shipped = True
+
+
 class Scratch:
     """A folder of one run below the shared folder, for results that are read more than once."""
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -72,6 +90,7 @@ class Scratch:
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Keep the Arrow batches that hold whole texts short, unless the session asks for shorter ones."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows:
         spark.conf.set(key, str(rows))
@@ -94,6 +113,51 @@ def local_fs(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+class WordHashes(dict):
+    """64-bit hashes of words, forgotten all at once when they are too many."""
+
+    most = 1_000_000
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        if len(self) >= self.most:
+            self.clear()
+        self[word] = out = xxhash.xxh3_64_intdigest(word)
+        return out
+
+    def of(self, words: list[bytes]):
+        import numpy as np
+
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def shingle_hashes(hashes, size: int):
+    """64-bit hashes of all runs of `size` neighbours."""
+    import numpy as np
+
+    n = len(hashes) - size + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    out = hashes[:n].copy()
+    for k in range(1, size):
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+        out += hashes[k:k + n]
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0x94D049BB133111EB)
+    out ^= out >> np.uint64(31)
+    return out
+
+
+def row_numbers(first: int, n: int, partition: int):
+    """Numbers that no other row of the job has: the partition above the place in it."""
+    import numpy as np
+
+    return np.arange(first, first + n, dtype=np.int64) + (partition << 40)
+
+
 def hashed_out(key: str, buckets: int):
     """Remainder of the unsigned CRC-32 of a key as text: 0 .. buckets - 1."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % F.lit(buckets)
