@@ -6,13 +6,14 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch. Batches hold whole texts, so they are kept short.
-BATCH_ROWS = 256
+BATCH_ROWS = 64
 
 #: Upper-case ASCII letters become lower case, ASCII white space becomes a space.
 _SPACED = bytes(0x20 if b == 0x20 or 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -96,6 +97,18 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of so many rows for the jobs run inside, for tables of short rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def map_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """`mapInArrow` with short batches."""
     small_batches(df.sparkSession)

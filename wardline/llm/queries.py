@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import bpe, decontaminate, nbsvm, pfor
+from wardline.llm import bpe, decontaminate, nbsvm, near_dedup, pfor
 from wardline.llm.common import Scratch, hashed_out
 
 
@@ -39,6 +39,11 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.find(_table(spark, sf_dir, "documents"), words=3, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -48,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_nbsvm": op4_nbsvm,
     "op5_pfor": op5_pfor,
     "op7_decontaminate": op7_decontaminate,
+    "op8_superminhash": op8_superminhash,
     "op9_bpe": op9_bpe,
 }
 
