@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import bpe, decontaminate, nbsvm, near_dedup, pfor
+from wardline.llm import bpe, decontaminate, lattice_lm, nbsvm, near_dedup, pfor
 from wardline.llm.common import Scratch, hashed_out
 
 
@@ -16,6 +16,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = lattice_lm.score(docs, hashed_out("doc_id", 10) != 0, public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select("doc_id", (~F.col("trains")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     labels = _table(spark, sf_dir, "labels").where(hashed_out("doc_id", 5) != 0)
@@ -50,6 +56,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_lattice": op2_lattice,
     "op4_nbsvm": op4_nbsvm,
     "op5_pfor": op5_pfor,
     "op7_decontaminate": op7_decontaminate,
