@@ -214,17 +214,34 @@ class IdMemo:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.sign = {c: np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in ",."}
         self.memo: dict[str, bytes] = {}
 
-    def _learn(self, found: set[str]) -> None:
-        new = [c for c in found if c not in self.memo]
-        if len(self.memo) + len(new) > MEMO_CHUNKS:
+    def _learn(self, missing: set[str]) -> None:
+        """Look chunks up with the tokenizer: many at once as one text, as no token crosses their borders. A comma or
+        full stop behind a letter is a token of its own, so such chunks only need their stems looked up."""
+        if len(self.memo) + len(missing) > MEMO_CHUNKS:
             self.memo.clear()
-            new = list(found)
-        as_text = [c if c[:1] in ("\n", "\0") else " " + c for c in new]
-        as_text = [c[1:] if c[:1] == "\0" else c for c in as_text]
-        for chunk, encoded in zip(new, self.tokenizer.encode_batch(as_text, add_special_tokens=False), strict=True):
-            self.memo[chunk] = np.array(encoded.ids, "<u4").tobytes()
+        stems = {c: c[:-1] for c in missing if len(c) > 2 and c[-1] in ",." and c[-2].isalpha()}
+        need = {stem for c in missing if (stem := stems.get(c, c)) not in self.memo}
+        plain = [c for c in need if c[0] != "\0" and not c[-1].isspace() and (c[0] == "\n" or not c[0].isspace())]
+        for at in range(0, len(plain), 10_000):
+            self._look_up_joined(plain[at:at + 10_000])
+        odd = list(need.difference(plain))
+        as_text = [c[1:] if c[0] == "\0" else c if c[0] == "\n" else " " + c for c in odd]
+        for c, encoded in zip(odd, self.tokenizer.encode_batch(as_text, add_special_tokens=False), strict=True):
+            self.memo[c] = np.array(encoded.ids, "<u4").tobytes()
+        for c, stem in stems.items():
+            self.memo[c] = self.memo[stem] + self.sign[c[-1]]
+
+    def _look_up_joined(self, plain: list[str]) -> None:
+        as_text = [c if c[0] == "\n" else " " + c for c in plain]
+        encoded = self.tokenizer.encode("".join(as_text), add_special_tokens=False)
+        ids = np.array(encoded.ids, "<u4").tobytes()
+        begin = np.array([a for a, _ in encoded.offsets], np.int64)
+        cuts = (4 * np.searchsorted(begin, np.cumsum([0, *map(len, as_text)]))).tolist()
+        for c, a, b in zip(plain, cuts[:-1], cuts[1:], strict=True):
+            self.memo[c] = ids[a:b]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -232,8 +249,16 @@ class IdMemo:
         for parts in cut:
             if parts:
                 parts[0] = "\0" + parts[0]  # the first chunk has no space before it
-        self._learn({c for parts in cut for c in parts})
-        return [b"".join(map(self.memo.__getitem__, parts)) for parts in cut]
+        known = [list(map(self.memo.get, parts)) for parts in cut]
+        missing = {c for parts, found in zip(cut, known, strict=True) if None in found for c, f in zip(parts, found, strict=True) if f is None}
+        if missing:
+            self._learn(missing)
+            memo = self.memo
+            known = [
+                [memo[c] if f is None else f for c, f in zip(parts, found, strict=True)] if None in found else found
+                for parts, found in zip(cut, known, strict=True)
+            ]
+        return [b"".join(found) for found in known]
 
 
 _MEMOS: dict[str, IdMemo] = {}
@@ -243,7 +268,7 @@ def encode(docs: DataFrame, path: str, end_id: int = 0, key: str = "doc_id", tex
     """(key, ids binary) per row: the tokenizer's ids of the whole text and the end id, 4 bytes each."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _MEMOS.setdefault(path, IdMemo(path)) if path not in _MEMOS else _MEMOS[path]
+        memo = _MEMOS.get(path) or _MEMOS.setdefault(path, IdMemo(path))
         end = struct.pack("<I", end_id)
         for batch in batches:
             ids = [i + end for i in memo.encode(batch.column(1).to_pylist())]
