@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import bpe, decontaminate, lattice_lm, nbsvm, near_dedup, pfor
+from wardline.llm import bpe, decontaminate, lattice_lm, line_dedup, nbsvm, near_dedup, pfor
 from wardline.llm.common import Scratch, hashed_out
 
 
@@ -37,6 +37,14 @@ def op5_pfor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfor.read(spark, folder, files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, found = line_dedup.find(_table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("key").alias("doc_id"), F.col("n_lines").cast("long").alias("n_lines"), F.size("dropped").cast("long").alias("n_dropped"),
+        "dropped", "copies_of",
+    )
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -59,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_lattice": op2_lattice,
     "op4_nbsvm": op4_nbsvm,
     "op5_pfor": op5_pfor,
+    "op6_line_dedup": op6_line_dedup,
     "op7_decontaminate": op7_decontaminate,
     "op8_superminhash": op8_superminhash,
     "op9_bpe": op9_bpe,
