@@ -178,3 +178,12 @@ def report(docs: DataFrame, items: DataFrame, window: int = 10, key: str = "doc_
             F.coalesce("items", F.array().cast("array<string>")).alias("items"),
         )
     )
+
+
+def apply(docs: DataFrame, items: DataFrame, window: int = 10, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The input's columns, without the rows that hold a window of an item."""
+    scratch = Scratch(docs.sparkSession, "clean-rows")
+    staged = scratch.stage(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    found = report(staged.select("__row", F.col(text).alias("__text")), items, window, "__row", "__text", item, item_text)
+    gone = found.where("n_hit > 0").select("__row")
+    return staged.join(gone, "__row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

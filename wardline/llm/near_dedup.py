@@ -228,3 +228,13 @@ def find(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id"
         F.when(F.col("least").isNull(), F.col("key")).otherwise(F.col("least.key")).alias("component_id"),
         F.when(F.col("least").isNull(), F.lit(True)).otherwise(F.col("least.row") == F.col("row")).alias("chosen"),
     )
+
+
+def apply(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The input's columns, one row of each component: that with the smallest key, the first such row in the input."""
+    scratch = Scratch(docs.sparkSession, "near-rows")
+    staged = scratch.stage(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    ranked = staged.select(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("__row").alias("row")).alias("__rank"), F.col(text).alias("__text"))
+    found = find(ranked, words, percent, key="__rank", text="__text")
+    gone = found.where(~F.col("chosen")).select(F.col("__rank.row").alias("__row"))
+    return staged.join(gone, "__row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
