@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import bpe, decontaminate, lattice_lm, line_dedup, nbsvm, near_dedup, pfor
+from wardline.llm import bpe, decontaminate, html_text, lattice_lm, line_dedup, nbsvm, near_dedup, pfor
 from wardline.llm.common import Scratch, hashed_out
 
 
@@ -63,6 +63,11 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract(_table(spark, sf_dir, "pages"), ["page_id", "url"])
+    return found.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_lattice": op2_lattice,
     "op4_nbsvm": op4_nbsvm,
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_decontaminate": op7_decontaminate,
     "op8_superminhash": op8_superminhash,
     "op9_bpe": op9_bpe,
+    "op10_html_text": op10_html_text,
 }
 
 SQL: dict[str, str] = {}
