@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import bpe, decontaminate, html_text, lattice_lm, line_dedup, nbsvm, near_dedup, pfor
+from wardline.llm import bpe, decontaminate, html_text, lattice_lm, line_dedup, nbsvm, near_dedup, pfor, warc
 from wardline.llm.common import Scratch, hashed_out
 
 
@@ -16,6 +16,21 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "warc")
+    warc.write(_table(spark, sf_dir, "pages"), scratch.path("streams"), scratch)
+    index = warc.normalise(spark, scratch.path("streams"), scratch.path("archives"))
+    found = warc.read(spark, scratch.path("archives"), index)
+    page = lambda c: F.regexp_extract(c, r"^<urn:x-page:(-?\d+)>$", 1)
+    number = lambda c: F.when(page(F.col(c)) != "", page(F.col(c)).cast("long"))
+    return found.select(
+        number("record_id").alias("page_id"),
+        F.coalesce(F.octet_length("payload"), F.col("http_length")).cast("long").alias("payload_bytes"),
+        F.coalesce(F.sha2("payload", 256), F.substring_index("digest", ":", -1)).alias("payload_digest"),
+        F.col("type").alias("record_type"), number("refers_to").alias("refers_to"),
+    )
+
+
 def op2_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = lattice_lm.score(docs, hashed_out("doc_id", 10) != 0, public_tokenizers.path("piece_bpe_32k.model"))
@@ -69,6 +84,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op2_lattice": op2_lattice,
     "op4_nbsvm": op4_nbsvm,
     "op5_pfor": op5_pfor,
@@ -79,4 +95,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_html_text": op10_html_text,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+        d AS (SELECT page_id, strlen(body) AS n, sha256(body) AS digest FROM p),
+        f AS (SELECT digest, min(page_id) AS first FROM d WHERE n >= 100 GROUP BY digest)
+        SELECT page_id, n::BIGINT AS payload_bytes, d.digest AS payload_digest,
+               CASE WHEN first IS NOT NULL AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN first <> page_id THEN first END AS refers_to
+        FROM d LEFT JOIN f ON d.digest = f.digest AND d.n >= 100
+    """,
+}
