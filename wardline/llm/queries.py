@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import bpe, decontaminate, html_text, lattice_lm, line_dedup, nbsvm, near_dedup, pfor, warc
+from wardline.llm import bpe, collision_nn, decontaminate, html_text, lattice_lm, line_dedup, nbsvm, near_dedup, pfor, warc
 from wardline.llm.common import Scratch, hashed_out
 
 
@@ -37,6 +37,11 @@ def op2_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (~F.col("trains")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op3_collision_nn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = collision_nn.search(_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), F.col("distance").alias("score"))
+
+
 def op4_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     labels = _table(spark, sf_dir, "labels").where(hashed_out("doc_id", 5) != 0)
@@ -86,6 +91,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_lattice": op2_lattice,
+    "op3_collision_nn": op3_collision_nn,
     "op4_nbsvm": op4_nbsvm,
     "op5_pfor": op5_pfor,
     "op6_line_dedup": op6_line_dedup,
