@@ -5,10 +5,11 @@ signature's slots: at step j the shingle offers j plus a random fraction to the
 slot keeps the least offer. The ranks of one shingle are correlated, so each slot is met once, which lowers the
 variance; a step can only help while some slot holds more than j, so all shingles stop early.
 
-Documents with equal sets are one node from there on. Nodes that agree in a band of slots are candidates. In each
-band bucket the nodes are compared first with two centres, the one that shares the most buckets with others and the
-one with the smallest key; links are confirmed on the full sets, and components formed. Then all pairs of one bucket
-that are still in different components are compared as well, so every pair of candidates is either confirmed,
+Documents with equal sets are one node from there on. Nodes that agree in a band of slots are candidates. Each band
+bucket has two centres, the node that shares the most buckets with others and the one with the smallest key. A node is
+compared with the centre that it shares most bands with, then with its other centres that are not yet in its component;
+links are confirmed on the full sets. Last, all pairs of one bucket that are still in different components are compared,
+unless the shingles that a node alone has already rule the link out. So every pair of candidates is either confirmed,
 refuted, or joined by other links; no bucket is capped, and copies are never paired within a group.
 
 Results: one row per input row. Texts that are null, empty or white space have no set and link with nothing; those
@@ -172,6 +173,22 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_batches(full.select("a", "b", "x", "y"), work, "a binary, b binary")
 
 
+def _own_shingles(sets: DataFrame) -> DataFrame:
+    """(node, own): how many of a node's shingles no other node of the table has."""
+
+    def spill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, items in zip(batch.column(0), batch.column(1), strict=True):
+                own = np.frombuffer(items.as_buffer(), np.int64)
+                for at in range(0, len(own), 1 << 16):
+                    part = own[at:at + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array([node.as_py()] * len(part), pa.binary()), pa.array(part)], ["node", "item"])
+
+    each = map_batches(sets.select("node", "items"), spill, "node binary, item long")
+    alone = each.groupBy("item").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
+    return alone.groupBy("node").agg(F.count("*").alias("own"))
+
+
 def find(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, row, n_shingles, component_id, chosen) per row: component_id is the smallest key that links reach, and
     `chosen` marks the one row of each component that stays."""
@@ -193,35 +210,54 @@ def find(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id"
     centres = scratch.stage(centres, "centres")
     near = lambda n, m: (F.least(n, m) * 100 >= F.greatest(n, m) * percent)
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    told = inside.join(centres, "band").select("node", "n", F.explode(F.array("top", "first")).alias("c"))
-    stars = scratch.stage(
-        told.where((F.col("node") != F.col("c.node")) & near(F.col("n"), F.col("c.n"))).select(*pair(F.col("node"), F.col("c.node"))).distinct(), "stars1"
-    )
+    told = ranked.join(centres, "band").select("node", "n", "weight", F.explode(F.array("top", "first")).alias("c"))
+    stars = told.where((F.col("node") != F.col("c.node")) & near(F.col("n"), F.col("c.n")))
+    stars = scratch.stage(stars.groupBy("node", F.col("c.node").alias("centre")).agg(F.count("*").alias("shared")), "stars")
     # whatever may be compared is in a shared bucket
     needed = inside.select("node", F.col("low.key").alias("key")).distinct()
     sets = scratch.stage(_sets(docs, needed, words, key, text).dropDuplicates(["node"]).join(needed.select("node"), "node", "left_semi"), "sets")
-    links = scratch.stage(_confirm(stars, sets, percent), "links1")
-    roots = components(links, scratch, "a")
+
+    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
+        return scratch.stage(_confirm(pairs, sets, percent), name)
+
+    # each node with the centre that it shares most bands with, then with the others that are not yet joined to it
+    best = stars.groupBy("node").agg(F.max_by("centre", F.struct("shared", "centre")).alias("centre"))
+    first = scratch.stage(best.select(*pair(F.col("node"), F.col("centre"))).distinct(), "first")
+    links = confirmed(first, "links1")
+    roots = scratch.stage(components(links, scratch, "a"), "roots1")
+    apart = lambda df, x, y: (
+        df.join(roots.select(F.col("node").alias(x), F.col("root").alias("rx")), x, "left")
+        .join(roots.select(F.col("node").alias(y), F.col("root").alias("ry")), y, "left")
+        .where(F.coalesce("rx", x) != F.coalesce("ry", y)).drop("rx", "ry")
+    )
+    second = scratch.stage(apart(stars, "node", "centre").select(*pair(F.col("node"), F.col("centre"))).distinct().join(first, ["a", "b"], "left_anti"), "second")
+    links = links.unionByName(confirmed(second, "links2"))
+    roots = scratch.stage(components(links, scratch, "b"), "roots2")
+    # then all pairs of one bucket in different components
     placed = inside.join(roots, "node", "left").select("band", "node", "n", F.coalesce("root", "node").alias("root"))
     placed = scratch.stage(placed, "placed")
     mixed = placed.groupBy("band").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("band")
     open_ = scratch.stage(placed.join(mixed, "band", "left_semi"), "open")
-    other = open_.select("band", *[F.col(c).alias(f"{c}_") for c in ("node", "n", "root")])
+    open_ = open_.join(_own_shingles(sets.join(open_.select("node").distinct(), "node", "left_semi")), "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    # what a node alone has is in no intersection
+    able = scratch.stage(open_.where((F.col("n") - F.col("own")) * 100 >= F.col("n") * percent), "able")
+    other = able.select("band", *[F.col(c).alias(f"{c}_") for c in ("node", "n", "root", "own")])
+    most = F.least(F.col("n") - F.col("own"), F.col("n_") - F.col("own_"))
     rest = (
-        open_.join(other, "band")
-        .where((F.col("node") < F.col("node_")) & (F.col("root") != F.col("root_")) & near(F.col("n"), F.col("n_")))
+        able.join(other, "band")
+        .where((F.col("node") < F.col("node_")) & (F.col("root") != F.col("root_")) & (most * 100 >= (F.col("n") + F.col("n_") - most) * percent))
         .select(F.col("node").alias("a"), F.col("node_").alias("b")).distinct()
-        .join(stars, ["a", "b"], "left_anti")
+        .join(first.unionByName(second), ["a", "b"], "left_anti")
     )
-    more = scratch.stage(_confirm(rest, sets, percent), "links2")
+    more = confirmed(scratch.stage(rest, "rest"), "links3")
     if not more.isEmpty():
-        roots = components(links.unionByName(more), scratch, "b")
+        roots = scratch.stage(components(links.unionByName(more), scratch, "c"), "roots3")
     # the component of each node that copies or links put into one
     linked = nodes.select("node", "low", "copies").join(roots, "node", "left")
     linked = linked.where("copies > 1 OR root IS NOT NULL").withColumn("root", F.coalesce("root", "node"))
     lows = linked.groupBy("root").agg(F.min("low").alias("least"))
     told = scratch.stage(linked.select("node", "root").join(lows, "root").select("node", "least"), "told")
-    for name in ("sets", "inside", "placed", "open", "centres", "shared", "nodes", "stars1"):
+    for name in ("sets", "inside", "placed", "open", "able", "centres", "shared", "nodes", "stars"):
         scratch.drop(name)
     return rows.select("row", "key", "n", "node").join(told, "node", "left").select(
         F.col("key").alias(key), "row", F.col("n").alias("n_shingles"),
