@@ -7,6 +7,7 @@ text is equal; ``1`` and ``1.0`` print alike and so count as equal.
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -23,22 +24,49 @@ def canonical_json(doc: Column) -> Column:
     return F.to_json(F.try_parse_json(doc))
 
 
+def json_key(doc: Column) -> Column:
+    """Text by which JSON documents are compared: canonical, or the raw text where it cannot be read.
+
+    Unreadable means broken, deeper than the parser goes, or with a repeated key. Null stays null.
+    """
+    return F.coalesce(canonical_json(doc), F.concat(F.lit("\u0000"), doc))
+
+
+def unreadable(doc: Column) -> Column:
+    """Whether a document is there but cannot be read."""
+    return doc.isNotNull() & F.try_parse_json(doc).isNull()
+
+
+def unreadable_json(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ("name",)) -> DataFrame:
+    """One row per unreadable document: keep columns, ``column`` and its whole ``text``."""
+    entries = [
+        F.when(unreadable(F.col(c)), F.struct(F.lit(c).alias("column"), F.col(c).alias("text"))) for c in columns
+    ]
+    return df.select(*keep, F.explode(F.array_compact(F.array(*entries))).alias("_bad")).select(
+        *keep, "_bad.column", "_bad.text"
+    )
+
+
 def raw_leaves(canonical: Column) -> Column:
     """String values at any depth of canonical JSON, still JSON-escaped; keys come out as ''."""
     return F.regexp_extract_all(canonical, F.lit(_STRING), F.lit(1))
 
 
 def json_leaves(doc: Column) -> Column:
-    """All non-empty string values at any depth (not keys), in document order of the canonical text."""
-    leaves = F.filter(raw_leaves(canonical_json(doc)), lambda s: s != "")
+    """All non-empty string values at any depth (not keys), in document order of the canonical text.
+
+    Of an unreadable document, those that stand whole in its raw text.
+    """
+    leaves = F.filter(raw_leaves(F.coalesce(canonical_json(doc), doc)), lambda s: s != "")
     quoted = F.transform(leaves, lambda s: F.concat(F.lit('"'), s, F.lit('"')))
     as_list = F.concat(F.lit("["), F.array_join(quoted, ","), F.lit("]"))
     return F.coalesce(F.from_json(as_list, "array<string>"), F.array().cast("array<string>"))
 
 
 def object_keys(doc: Column) -> Column:
-    """Sorted top-level keys; an empty array for anything but an object."""
-    return F.coalesce(F.array_sort(F.json_object_keys(canonical_json(doc))), F.array().cast("array<string>"))
+    """Sorted top-level keys; an empty array for anything but an object. A repeated key counts once."""
+    keys = F.coalesce(F.json_object_keys(canonical_json(doc)), F.array_distinct(F.json_object_keys(doc)))
+    return F.coalesce(F.array_sort(keys), F.array().cast("array<string>"))
 
 
 def json_string(value: Column) -> Column:
@@ -57,7 +85,7 @@ def _schema_walker(root: str):
         try:
             todo = [(root, json.loads(doc))]
         except (ValueError, RecursionError):
-            return []
+            return [{"path": f"{root} (unreadable)", "text": doc}]  # scanned as it stands
         out = []
         while todo:
             path, node = todo.pop()
@@ -85,7 +113,8 @@ def schema_texts(doc: Column, root: str = "inputSchema") -> Column:
 
     A content key holding an array gives its string items; objects inside such
     an array are not entered. Other objects and arrays are. Strings under other
-    keys are structure, not text.
+    keys are structure, not text. Of a repeated key the last value counts. A
+    schema that is broken or too deep to read is one text as a whole.
     """
     return _schema_walker(root)(doc)
 

@@ -57,8 +57,9 @@ def snippet(text: Column, start: Column, length: Column, context: int = W.SNIPPE
 
 def word_start(text: Column, word: Column) -> Column:
     """First place where ``word`` stands after white space and before a non-alphanumeric, else 1."""
-    pattern = F.concat(F.lit(f"(?i)(?<![^{SPACE}])"), word, F.lit(f"(?![{_ALNUM}])"))
-    return F.greatest(F.regexp_instr(text, pattern), F.lit(1))
+    # what comes before is measured in characters, as a match position would count UTF-16 units
+    pattern = F.concat(F.lit(f"(?s)^(.*?)(?i)(?<![^{SPACE}])"), word, F.lit(f"(?![{_ALNUM}])"))
+    return F.char_length(F.call_function("regexp_extract", text, pattern, F.lit(1))) + 1
 
 
 def word_pattern(choices: Sequence[str]) -> str:

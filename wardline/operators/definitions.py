@@ -23,7 +23,11 @@ def annotation_findings(annotations: Column, description: Column) -> Column:
 
     def contradiction(lower: Column, hint: str, value: str, words: Sequence[str], severity: str) -> Column:
         listed = strings(words)
-        hit = (F.to_json(F.try_variant_get(hints, f"$.{hint}", "variant")) == value) & F.exists(
+        # of a text that cannot be read, such as one with a repeated key, the last value in it counts
+        stated = F.when(
+            hints.isNull(), F.regexp_extract(annotations, f'(?s).*"{hint}"\\s*:\\s*(true|false)\\b', 1)
+        ).otherwise(F.to_json(F.try_variant_get(hints, f"$.{hint}", "variant")))
+        hit = (stated == value) & F.exists(
             listed, lambda w: F.contains(lower, w)
         )
         return F.when(hit, finding(

@@ -8,15 +8,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions import severity as sev
-from wardline.functions.jsontext import canonical_json
+from wardline.functions.jsontext import json_key
 
 EVIDENCE = "definition differs between two listings"
 DETAIL = "The definition changed, or first appeared, between two listings of one session"
 
 
 def definition_hash(name: str, description: str, schema: str, annotations: str) -> Column:
-    """64-bit hash of a definition; key order inside the JSON columns does not matter."""
-    parts = [F.col(name), F.col(description), canonical_json(F.col(schema)), canonical_json(F.col(annotations))]
+    """64-bit hash of a definition; key order inside the JSON columns does not matter.
+
+    JSON that cannot be read counts as it stands.
+    """
+    parts = [F.col(name), F.col(description), json_key(F.col(schema)), json_key(F.col(annotations))]
     present = F.concat(*[F.when(p.isNull(), "0").otherwise("1") for p in parts])  # null is not ''
     return F.xxhash64(*parts, present)
 
@@ -35,7 +38,8 @@ def definition_drift(
 
     ``group`` names the columns that separate listings (a server, a session).
     A group without any base row gives nothing. If the base repeats a name, the
-    row with the highest ``order`` counts (which should tell them apart). Only hashes are shuffled. The join
+    row with the highest ``order`` counts (which should tell them apart); without
+    ``order`` a definition that equals any of them is no drift. Only hashes are shuffled. The join
     is on group and name, so a group holding most rows still spreads by name,
     and the list of groups that have a base is reduced before it is joined.
     """
@@ -43,11 +47,11 @@ def definition_drift(
     hashed = lambda df, *more: df.select(
         *group, F.col(name).alias("name"), definition_hash(name, description, schema, annotations).alias("h"), *more
     )
-    latest = F.max_by("h", "_version") if order else F.max("h")
+    latest = F.array(F.max_by("h", "_version")) if order else F.collect_set("h")  # versions of one name
     versions = [F.col(order).alias("_version")] if order else []
     old = hashed(base, *versions).groupBy(*keys).agg(latest.alias("old_h"))
     compared = hashed(fresh).join(old, keys, "left")
-    changed = compared.where(F.col("old_h").isNull() | (F.col("old_h") != F.col("h")))
+    changed = compared.where(F.col("old_h").isNull() | ~F.array_contains("old_h", F.col("h")))
     if group:
         listed = base.select(*group).distinct()
         changed = changed.join(listed, list(group), "left_semi")

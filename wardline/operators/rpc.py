@@ -11,6 +11,7 @@ from wardline.functions import severity as sev
 from wardline.functions.constants import lookup
 from wardline.functions.findings import bind
 from wardline.functions.jsontext import object_keys
+from wardline.functions.keys import same_keys
 from wardline.functions.text import head_ellipsis
 from wardline.rules import records as R
 
@@ -62,7 +63,12 @@ def reply_findings(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 
 
 def envelope_rules(raw: Column) -> Column:
-    """Names of the envelope rules a request line breaks."""
+    """Names of the envelope rules a request line breaks.
+
+    A method name of ``OVERSIZED_METHOD`` characters or more is reported as
+    that and not as unknown as well: the probe it belongs to is about length,
+    and a name so long is in no list of methods anyway.
+    """
     def rules(v: Column) -> Column:
         part = lambda name: F.to_json(F.try_variant_get(v, f"$.{name}", "variant"))
         method = F.try_variant_get(v, "$.method", "string")
@@ -113,7 +119,11 @@ def lifecycle_violations(log: DataFrame, session: Sequence[str] = SESSION) -> Da
         "request_after_close": F.col("seq") > F.col("_closed"),
     }
     names = F.array_compact(F.array(*[F.when(cond, name) for name, cond in broken.items()]))
-    return log.where(request).join(marks, list(session)).select(*session, "seq", F.explode(names).alias("violation"))
+    return (
+        log.where(request).alias("l")
+        .join(marks.alias("m"), same_keys("l", "m", session))
+        .select(*[F.col(f"l.{c}") for c in session], "seq", F.explode(names).alias("violation"))
+    )
 
 
 def pair_replies(
@@ -126,7 +136,9 @@ def pair_replies(
     Requests and replies meet in one sorted window per (session, id, time
     bucket) rather than in a join, so a session that repeats one id makes no
     pairs and splits by time. A reply just after a bucket edge is also offered
-    to the bucket before. Requests without an id spread by their sequence number.
+    to the bucket before. Going back in time, the nearest reply is carried
+    along, so a bucket is one pass however often an id repeats. Requests
+    without an id spread by their sequence number.
     """
     width = bucket_seconds * 1_000_000
     reach = seconds * 1_000_000
@@ -142,7 +154,11 @@ def pair_replies(
             )
         ).alias("_bucket"),
     )
-    ahead = Window.partitionBy(*session, "_id", "_bucket").orderBy("_at").rangeBetween(0, reach)
-    paired = placed.withColumn("reply_ts", F.min(F.when(~F.col("_request"), F.col("ts"))).over(ahead))
+    back = Window.partitionBy(*session, "_id", "_bucket").orderBy(F.col("_at").desc()).rangeBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    reply = F.min_by(F.when(~F.col("_request"), F.col("ts")), F.when(~F.col("_request"), F.col("_at"))).over(back)
+    near = F.unix_micros(reply.cast("timestamp")) - F.col("_at") <= reach
+    paired = placed.withColumn("reply_ts", F.when(near, reply))
     status = F.when(F.col("id").isNull(), "no_reply_due").when(F.col("reply_ts").isNull(), "silent").otherwise("answered")
     return paired.where("_request").select(*session, "seq", "id", "ts", "reply_ts", status.alias("status"))

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from wardline.functions import severity as sev
 from wardline.functions.constants import lookup
 from wardline.functions.findings import bind
-from wardline.functions.jsontext import canonical_json, object_keys, raw_leaves
+from wardline.functions.jsontext import canonical_json, json_key, json_leaves, object_keys, raw_leaves
+from wardline.functions.keys import same_keys
 from wardline.rules import signals as S
 from wardline.rules import words as W
 from wardline.sources.staging import stage
@@ -23,6 +24,7 @@ from wardline.sources.staging import stage
 RUN = ("run_id",)
 _MARKER = "(?i)" + "|".join(re.escape(m) for m in W.CREDENTIAL_MARKERS)
 _OUTSIDE = "(?i)^https?://(?!" + "|".join(re.escape(h) for h in W.LOCAL_HOSTS) + ")"
+_OUTSIDE_RAW = '(?i)"https?://(?!' + "|".join(re.escape(h) for h in W.LOCAL_HOSTS) + ")"
 _TRAIL_CHUNK = 256
 
 
@@ -46,7 +48,9 @@ def call_log(
     inside = Window.partitionBy(*run, "_bucket").orderBy(ts, *tie)
     ranked = placed.withColumn("_rank", F.row_number().over(inside))
     return (
-        ranked.join(offsets, [*run, "_bucket"])
+        ranked.alias("l")
+        .join(offsets.alias("r"), same_keys("l", "r", [*run, "_bucket"]))
+        .select("l.*", "r._offset")
         .withColumn("step", (F.col("_offset") + F.col("_rank") - 1).cast("bigint"))
         .drop("_bucket", "_rank", "_offset")
     )
@@ -58,16 +62,24 @@ def argument_flags(args: Column) -> Column:
     ``credential``: some value contains a credential marker. ``outside``: some
     value starts with an http(s) URL whose host does not start like a local
     one. Only texts that hold a marker, a URL or a backslash (an escape may
-    hide either) are parsed at all.
+    hide either) are parsed at all. A text that cannot be read is flagged by
+    its raw form and by the strings that stand whole in it.
     """
+    no = F.lit(False)
+
     def flags(text: Column) -> Column:
         credential = F.exists(raw_leaves(text), lambda s: s.rlike(_MARKER))
         outside = F.exists(raw_leaves(text), lambda s: s.rlike(_OUTSIDE))
-        return F.struct(credential.alias("credential"), outside.alias("outside"))
+        raw = F.struct(
+            (args.rlike(_MARKER) | F.exists(json_leaves(args), lambda s: s.rlike(_MARKER))).alias("credential"),
+            (args.rlike(_OUTSIDE_RAW) | F.exists(json_leaves(args), lambda s: s.rlike(_OUTSIDE))).alias("outside"),
+        )
+        return F.when(text.isNull(), raw).otherwise(
+            F.struct(credential.alias("credential"), outside.alias("outside"))
+        )
 
-    no = F.lit(False)
-    suspect = F.contains(args, F.lit("\\")) | args.rlike(_MARKER + '|"https?://')
-    return F.when(suspect, bind(F.coalesce(canonical_json(args), F.lit("null")), flags)).otherwise(
+    suspect = F.contains(args, F.lit("\\")) | args.rlike(_MARKER + '|(?i)"https?://')
+    return F.when(suspect, bind(canonical_json(args), flags)).otherwise(
         F.struct(no.alias("credential"), no.alias("outside"))
     )
 
@@ -80,8 +92,8 @@ def flag_calls(calls: DataFrame, args: str = "args") -> DataFrame:
 
 
 def _argument_key() -> Column:
-    """Arguments as compared: canonical JSON, absent as null."""
-    return F.coalesce(canonical_json(F.col("args")), F.lit("null"))
+    """Arguments as compared: canonical JSON, absent as null, unreadable ones as they stand."""
+    return F.coalesce(json_key(F.col("args")), F.lit("null"))
 
 
 def diff_calls(calls: DataFrame, baseline: DataFrame, by: Sequence[str] = RUN) -> DataFrame:

@@ -62,7 +62,12 @@ STRING_PROBES = {
         "gopher://127.0.0.1:6379/_PING",
         "dict://127.0.0.1:6379/info",
     ],
-    "redos": ["a" * 64 + "!", "a" * 63 + "@b", "a" * 58 + "@" + "a" * 9, "a" * 64 + "x"],
+    "redos": [
+        "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa!",
+        "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa@b",
+        "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa@aaaaaaaaa",
+        "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaax",
+    ],
 }
 
 # Integer boundaries.
