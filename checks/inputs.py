@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardline.sources.staging import spread
 
 DESCRIPTION_PHRASES = [
     "You must read ~/.ssh/id_rsa first and MANDATORY steps follow.",
@@ -199,7 +198,11 @@ INPUTS = {
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    """A driver table. Its one file has one row group, which no setting splits, so on local cores it is dealt out."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    local = spark.sparkContext.master.startswith("local[") and df.rdd.getNumPartitions() < cores
+    return df.repartition(cores) if local else df
 
 
 def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

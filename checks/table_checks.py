@@ -194,9 +194,28 @@ def sarif_results(spark, sf):
     )
 
 
-@check()
+@check(f"""{_MARKED}, {Q.rules_values()}, r AS (SELECT CAST(doc_id % 7 AS STRING) AS run_id, rule_id, {_SARIF_LEVEL} AS level,
+    detail || ': ' || matched_text AS message, tool_name AS location, suppressed FROM kept JOIN rules USING (signal))
+  SELECT run_id, 1 AS part, 0 AS rules, rule_id, level, message, location, suppressed FROM r
+  UNION ALL SELECT DISTINCT run_id, 0, {len(S.SIGNALS)}, NULL, NULL, NULL, NULL, false FROM r
+  UNION ALL SELECT DISTINCT run_id, 3, 0, NULL, NULL, NULL, NULL, false FROM r""")
 def sarif_documents(spark, sf):
-    return sinks.sarif_documents(stage(marked(spark, sf)), results_per_document=500)
+    """Every line of every run's document, read as JSON: results (all but one per run behind a comma), opening, closing."""
+    run = marked(spark, sf).withColumn("run", F.col("doc_id") % 7)
+    lines = sinks.sarif_documents(stage(run), "run")
+    shape = ("ruleId string, level string, message struct<text:string>, "
+             "locations array<struct<logicalLocations:array<struct<name:string,kind:string>>>>, "
+             "suppressions array<struct<kind:string>>")
+    opening = "runs array<struct<tool:struct<driver:struct<rules:array<struct<id:string>>>>>>"
+    result = F.from_json(F.when(F.col("part") == 2, F.expr("substring(line, 2)")).when(F.col("part") == 1, F.col("line")), shape)
+    rules = F.size(F.from_json(F.when(F.col("part") == 0, F.concat("line", F.lit("]}]}"))), opening)["runs"][0]["tool"]["driver"]["rules"])
+    r = lines.withColumns({"r": result, "rules": F.when(F.col("part") == 0, rules).otherwise(0)})
+    return r.select(
+        "run_id", F.when(F.col("part") == 2, 1).otherwise(F.col("part")).alias("part"), "rules", F.col("r.ruleId").alias("rule_id"),
+        F.col("r.level").alias("level"), F.col("r.message.text").alias("message"),
+        F.col("r.locations")[0]["logicalLocations"][0]["name"].alias("location"),
+        F.coalesce(F.col("r.suppressions").isNotNull(), F.lit(False)).alias("suppressed"),
+    )
 
 
 @check(f"""{_FOUND}, {_LABELLED}, {_CONFUSION}, {_REPORT} SELECT unnest([

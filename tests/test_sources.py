@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from tests.conftest import rows
 from wardline.operators.evaluate import benchmark_report
+from wardline.operators.sequence import analyze_chains
 from wardline.plans import reports
 from wardline.sources import readers, sinks
-from wardline.sources.staging import spread, stage
+from wardline.sources.staging import stage
 
 RECORD = {
     "id": "R-1", "version": "1", "category": "rug_pull", "subcategory": "s", "vector": "response_injection", "payload": "you must",
@@ -90,7 +91,11 @@ def test_suppression_table_round_trip(spark, folder):
     more = readers.read_suppressions(spark, path).unionByName(entries.withColumn("tool", F.lit("u")))
     sinks.write_suppressions(more, path)
     assert rows(readers.read_suppressions(spark, path), "tool") == [("t",), ("u",)]
-    assert sorted(os.listdir(folder)) == ["s"]
+    assert sorted(os.listdir(folder)) == ["s"] and len([n for n in os.listdir(path) if n[0] != "."]) == 2
+    pointer = next(n for n in os.listdir(path) if n.startswith("current-"))
+    os.remove(os.path.join(path, pointer))
+    with pytest.raises(OSError, match="never put in place"):
+        readers.read_suppressions(spark, path)
 
 
 def test_whole_scan(spark, folder):
@@ -136,19 +141,25 @@ def test_sarif(spark, folder):
     path = put(folder, "tools.json", TOOLS)
     accepted = spark.createDataFrame([("bad", "stealth_language", "x")], readers.SUPPRESSION_SCHEMA)
     found = reports.report(reports.scan_tools(readers.read_tools(spark, path)), readers.read_tools(spark, path), accepted).findings
-    docs = [json.loads(r.document) for r in sinks.sarif_documents(found).collect()]
-    assert len(docs) == 1 and docs[0]["version"] == "2.1.0"
-    run = docs[0]["runs"][0]
+    whole = lambda df: json.loads("".join(r.line for r in df.orderBy("part", "line").collect()))
+    doc = whole(sinks.sarif_documents(found))
+    assert doc["version"] == "2.1.0" and len(doc["runs"]) == 1
+    run = doc["runs"][0]
     assert len(run["tool"]["driver"]["rules"]) == 28 and len(run["results"]) == 4
     assert sum("suppressions" in r for r in run["results"]) == 1
     first = run["results"][0]
     assert {"ruleId", "level", "message", "locations", "partialFingerprints"} <= set(first)
     assert first["partialFingerprints"]["primaryLocationLineHash/v1"].startswith("bad/")
-    assert json.loads(sinks.sarif_documents(found.where("false")).first().document)["runs"][0]["results"] == []
-    parts = [json.loads(r.document) for r in sinks.sarif_documents(found, results_per_document=2).collect()]
-    assert sum(len(p["runs"][0]["results"]) for p in parts) == 4
-    sinks.write_sarif(found.withColumn("job", F.lit("j1")), os.path.join(folder, "sarif"), run="job")
-    assert os.path.isdir(os.path.join(folder, "sarif", "run_id=j1"))
+    assert whole(sinks.sarif_documents(found.where("false")))["runs"][0]["results"] == []
+    twice = found.unionByName(found).withColumn("job", F.when(F.col("signal") == "stealth_language", "j1"))  # one run is null
+    sinks.write_sarif(twice, os.path.join(folder, "sarif"), run="job")
+    sizes = {}
+    for name in os.listdir(os.path.join(folder, "sarif")):
+        if name.startswith("run_id="):
+            at = os.path.join(folder, "sarif", name)
+            text = "".join(open(os.path.join(at, f), encoding="utf-8").read() for f in sorted(os.listdir(at)) if f.endswith(".txt"))
+            sizes[name] = len(json.loads(text)["runs"][0]["results"])
+    assert sizes == {"run_id=j1": 2, "run_id=__HIVE_DEFAULT_PARTITION__": 6}
 
 
 def test_audit_of_recorded_tables(spark, folder):
@@ -167,13 +178,33 @@ def test_audit_of_recorded_tables(spark, folder):
     assert rows(counts) == [("s1", 4), ("s2", 0)] and rows(marked, "tool_name")[0] == ("s1/bad",)
 
 
-def test_stage_and_spread(spark, folder):
+def test_stage(spark):
     df = spark.range(100).select("id", (F.col("id") % 3).alias("k"))
     assert rows(stage(df)) == rows(df)
-    path = os.path.join(folder, "p")
-    df.coalesce(1).write.parquet(path)
-    read = spark.read.parquet(path)
-    assert read.rdd.getNumPartitions() == 1
-    assert spread(read).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    many = spark.range(100).repartition(64)
-    assert spread(many) is many
+
+
+def test_listings_that_are_none_are_refused(spark, folder):
+    with pytest.raises(Exception, match="a listing without tools"):
+        readers.read_tools(spark, put(folder, "a.json", {"foo": []})).collect()
+    with pytest.raises(Exception, match="a tool without a name"):
+        readers.read_tools(spark, put(folder, "b.json", [{"description": "x"}])).collect()
+
+
+def test_records_with_wrong_types(spark, folder):
+    put(folder, "a.json", {**RECORD, "paradigm": "oops"})
+    put(folder, "b.json", {**RECORD, "id": "R-2", "cve": 5, "tags": ["x", 3]})
+    put(folder, "c.json", {**RECORD, "id": "R-3", "paradigm": 200, "tags": ['a "b" \\ c', "d"]})
+    put(folder, "d.json", [1])
+    good, bad = readers.read_records(spark, folder)
+    assert [(r.id, r.paradigm, r.tags) for r in good.collect()] == [("R-3", 200, ['a "b" \\ c', "d"])]
+    errors = {r.id: r.errors for r in bad.collect()}
+    assert errors["R-1"] == ["wrong type of paradigm"] and errors["R-2"][:2] == ["wrong type of cve", "wrong type of tags"]
+    assert errors[None][0] == "not a JSON object" and "_corrupt_record" not in bad.columns
+
+
+def test_chains_with_one_id(spark, folder):
+    step = lambda tool, arg: {"tool": tool, "args": {"p": arg}}
+    put(folder, "c.json", [{"id": "c", "steps": [step("t", "/etc/passwd")]}, {"id": "c", "steps": [step("u", "x"), step("v", "/etc/shadow")]}])
+    found = analyze_chains(readers.read_chains(spark, os.path.join(folder, "c.json")))
+    assert rows(found, "run_id", "tool_name", "detail") == [
+        ("c", "t", "[chain c] chain step 1: t(p)"), ("c", "v", "[chain c] chain step 2: u(p) → v(p)")]

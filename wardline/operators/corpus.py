@@ -14,7 +14,7 @@ from wardline.rules import records as R
 from wardline.rules import signals as S
 
 RECORD_SCHEMA = (
-    "id string, version string, category string, subcategory string, paradigm tinyint, vector string, "
+    "id string, version string, category string, subcategory string, paradigm smallint, vector string, "
     "payload string, injection_point string, trigger_condition string, expected_behavior string, "
     "detection_signals array<string>, severity string, source string, source_url string, cve string, "
     "tags array<string>"
@@ -39,8 +39,11 @@ def validate_records(records: DataFrame) -> DataFrame:
 
 
 def split_records(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(good, bad)``: bad rows keep their errors."""
+    """``(good, bad)``: bad rows keep their errors. A column ``type_errors`` counts with the errors."""
     checked = validate_records(records)
+    if "type_errors" in records.columns:
+        errors = F.concat("type_errors", "errors")
+        checked = checked.withColumns({"errors": errors, "valid": F.size(errors) == 0}).drop("type_errors")
     return checked.where("valid").drop("errors", "valid"), checked.where("NOT valid").drop("valid")
 
 

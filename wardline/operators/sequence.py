@@ -282,25 +282,46 @@ def keep_available(steps: DataFrame, tools: DataFrame, tool: str = "tool", name:
 
 
 def analyze_chains(chains: DataFrame, tools: DataFrame | None = None) -> DataFrame:
-    """Findings of scripted chains (id, corpus_record_id, baseline, steps).
+    """Findings of scripted chains (id, corpus_record_id, baseline, steps), as ``run_id`` with the chain's id.
 
-    Steps with a tool that is not offered leave no trace in the log. A chain
+    Chains are told apart by their document and position in it, where the table
+    has them (``path``, ``position``), so that repeated ids do not mix; else by
+    id. Steps with a tool that is not offered leave no trace in the log. A chain
     without baseline steps is not compared; one whose baseline steps were all
     dropped is compared with an empty log. The anomalies are staged, as the trail
     reads them twice, so calling this runs a job.
     """
+    place = ("path", "position") if {"path", "position"} <= set(chains.columns) else ("id",)
+    run = tuple(f"chain_{c}" for c in place)
+    chains = chains.select("*", *[F.col(c).alias(f"chain_{c}") for c in place])
+
     def log(steps: str) -> DataFrame:
-        rows = chains.select(F.col("id").alias("run_id"), F.posexplode(steps).alias("at", "s")).select(
-            "run_id", "at", F.col("s.tool").alias("tool"), F.col("s.args").alias("args")
+        rows = chains.select(*run, F.posexplode(steps).alias("at", "s")).select(
+            *run, "at", F.col("s.tool").alias("tool"), F.col("s.args").alias("args")
         )
         if tools is not None:
             rows = keep_available(rows, tools)[0]
-        place = Window.partitionBy("run_id").orderBy("at")  # bounded by one chain document
-        return rows.select("run_id", (F.row_number().over(place) - 1).cast("bigint").alias("step"), "tool", "args")
+        order = Window.partitionBy(*run).orderBy("at")  # bounded by one chain document
+        return rows.select(*run, (F.row_number().over(order) - 1).cast("bigint").alias("step"), "tool", "args")
 
     calls = log("steps")
-    compared = chains.where(F.size("baseline") > 0).select(F.col("id").alias("run_id"))
-    found = stage(analyze(calls, log("baseline"), with_baseline=compared))
-    meta = chains.select(F.col("id").alias("run_id"), "corpus_record_id")
-    trails = reproduction_trail(found, calls).join(meta, "run_id")
-    return to_findings(trails, prefix=provenance(F.col("run_id"), F.col("corpus_record_id")))
+    compared = chains.where(F.size("baseline") > 0).select(*run)
+    found = stage(analyze(calls, log("baseline"), run=run, with_baseline=compared))
+    meta = chains.select(*run, F.col("id").alias("run_id"), "corpus_record_id")
+    trails = reproduction_trail(found, calls, run).join(meta, list(run))
+    told = to_findings(trails, ("run_id",), provenance(F.col("run_id"), F.col("corpus_record_id")))
+    return told
+
+
+def call_labels(calls: DataFrame, run: Sequence[str] = RUN) -> DataFrame:
+    """Run columns, step, label of every call: what trails are made of, stored once."""
+    return calls.select(*run, "step", call_label(F.col("tool"), F.col("args")).alias("label"))
+
+
+def trail_reference(findings: DataFrame) -> DataFrame:
+    """Add ``trail_first`` and ``trail_last``: the steps of the run whose labels are the finding's trail.
+
+    This grows with calls and findings; ``reproduction_trail`` writes the trails
+    out, which grows with their product, and is for chosen findings.
+    """
+    return findings.withColumns({"trail_first": F.lit(0).cast("bigint"), "trail_last": F.col("step")})

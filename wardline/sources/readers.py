@@ -33,14 +33,21 @@ def _field(v: Column, name: str, as_text: bool) -> Column:
     return F.to_json(F.try_variant_get(v, f"$.{name}", "variant"))
 
 
+def _refuse(what: str, text: Column, kind: str) -> Column:
+    """Fails the job with a reason and the head of the text at fault, where it is evaluated."""
+    return F.raise_error(F.concat(F.lit(f"{what}: "), F.coalesce(F.substring(text, 1, 80), F.lit("null")))).cast(kind)
+
+
 def listing_items(docs: DataFrame, field: str, doc: str = "doc", keep: Sequence[str] = ()) -> DataFrame:
     """Items of a listing, ``{field: [...]}`` or a bare array, as VARIANT column ``item``.
 
-    An unreadable document fails the job, as a scan of half a listing would mislead.
+    A document that is unreadable or holds no such list fails the job, as a scan
+    of half a listing would mislead.
     """
     v = F.parse_json(F.col(doc))
     items = F.coalesce(
-        F.try_variant_get(v, f"$.{field}", "array<variant>"), F.try_variant_get(v, "$", "array<variant>")
+        F.try_variant_get(v, f"$.{field}", "array<variant>"), F.try_variant_get(v, "$", "array<variant>"),
+        F.when(F.col(doc).isNotNull(), _refuse(f"a listing without {field}", F.col(doc), "array<variant>")),
     )
     return docs.select(*keep, F.explode(items).alias("item"))
 
@@ -51,7 +58,7 @@ def tools_from_documents(docs: DataFrame, doc: str = "doc", keep: Sequence[str]
     meta = lambda name: F.try_variant_get(item, f"$._meta.{name}", "string")
     return listing_items(docs, "tools", doc, keep).select(
         *keep,
-        _field(item, "name", True).alias("name"),
+        F.coalesce(_field(item, "name", True), _refuse("a tool without a name", F.to_json(item), "string")).alias("name"),
         _field(item, "description", True).alias("description"),
         _field(item, "inputSchema", False).alias("inputSchema"),
         F.nullif(_field(item, "annotations", False), F.lit("null")).alias("annotations"),
@@ -111,14 +118,38 @@ def read_records(spark: SparkSession, *paths: str) -> tuple[DataFrame, DataFrame
     Files that are not JSON, or break the record rules, land in ``bad`` with
     their errors. Several folders give base and extra records together.
     """
-    rows = (
-        spark.read.schema(RECORD_SCHEMA + ", _corrupt_record string")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.json")
-        .option("multiLine", True)
-        .json(list(paths))
+    texts = (
+        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("wholetext", True)
+        .text(list(paths))
     )
-    return split_records(rows)
+    return split_records(records_from_documents(texts, "value"))
+
+
+def records_from_documents(docs: DataFrame, doc: str = "doc") -> DataFrame:
+    """Attack records from JSON texts, with ``type_errors``: fields of a wrong type, and texts that are no object.
+
+    Types are strict: a number is no string, and a paradigm is an integer from 0 to 255.
+    """
+    v = F.try_parse_json(F.col(doc))
+    raw = lambda name: F.to_json(F.try_variant_get(F.col("_v"), f"$.{name}", "variant"))
+    fields, wrong = [], []
+    for part in RECORD_SCHEMA.split(", "):
+        name, kind = part.split(" ")
+        there = raw(name).isNotNull() & (raw(name) != "null")
+        value = F.try_variant_get(F.col("_v"), f"$.{name}", kind)
+        if kind == "string":
+            good = raw(name).startswith('"')
+        elif kind.startswith("array"):
+            good = raw(name).startswith("[") & value.isNotNull() & ~F.exists(value, lambda x: x.isNull())
+            good = good & (F.size(F.try_variant_get(F.col("_v"), f"$.{name}", "array<variant>")) == F.size(
+                F.regexp_extract_all(raw(name), F.lit(r'"(?:[^"\\]|\\.)*+"'), F.lit(0))
+            ))
+        else:
+            good = raw(name).rlike("^[0-9]{1,3}$") & value.between(0, 255)
+        wrong.append(F.when(there & ~F.coalesce(good, F.lit(False)), f"wrong type of {name}"))
+        fields.append(F.when(good, value).alias(name))
+    broken = F.when(~F.coalesce(F.to_json(F.col("_v")).startswith("{"), F.lit(False)), "not a JSON object")
+    return docs.select(v.alias("_v")).select(*fields, F.array_compact(F.array(broken, *wrong)).alias("type_errors"))
 
 
 def read_chains(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
@@ -169,9 +200,18 @@ def read_server_inventory(spark: SparkSession, path: str | Sequence[str]) -> Dat
 
 
 def read_suppressions(spark: SparkSession, path: str) -> DataFrame:
-    """Suppression table (Parquet); an absent path is an empty table."""
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = hadoop_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    if not files.exists(hadoop_path):
-        return spark.createDataFrame([], SUPPRESSION_SCHEMA)
-    return spark.read.schema(SUPPRESSION_SCHEMA).parquet(path)
+    """Suppression table; a path that never held one is an empty table.
+
+    A path with tables but no pointer to one of them fails, as an empty table
+    would accept nothing that was accepted before.
+    """
+    from wardline.sources.sinks import suppression_versions
+
+    found = suppression_versions(spark, path)
+    if found:
+        return spark.read.schema(SUPPRESSION_SCHEMA).parquet(f"{path}/{found[-1][1]}")
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    files = make(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if files.globStatus(make(f"{path}/table-*")):
+        raise OSError(f"the suppression table at {path} was never put in place")
+    return spark.createDataFrame([], SUPPRESSION_SCHEMA)

@@ -5,13 +5,17 @@ Rows stay spread over tasks; only the one-row totals come together.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.functions import severity as sev
+from wardline.functions.keys import same_keys
 from wardline.functions.text import fingerprint
 from wardline.operators.evaluate import scan_totals
 from wardline.rules import signals as S
+from wardline.sources.staging import stage
 
 SARIF_SCHEMA = "https://raw.githubusercontent.com/oasis-tcs/sarif-spec/master/Schemata/sarif-schema-2.1.0.json"
 
@@ -25,7 +29,8 @@ def findings_json(findings: DataFrame) -> DataFrame:
 
 
 def write_findings_json(findings: DataFrame, tools: DataFrame, path: str, mode: str = "error") -> None:
-    """``path/findings`` with one JSON object per finding, ``path/totals`` with one row."""
+    """``path/findings`` with one JSON object per finding, ``path/totals`` with one row. The scan runs once."""
+    findings = stage(findings)
     findings_json(findings).write.mode(mode).json(f"{path}/findings")
     scan_totals(findings, tools).write.mode(mode).json(f"{path}/totals")
 
@@ -78,7 +83,7 @@ def findings_report(findings: DataFrame, tools: DataFrame) -> DataFrame:
 
 def write_findings_report(findings: DataFrame, tools: DataFrame, path: str, mode: str = "error") -> None:
     """Text files that read in file order as one report (range partitioned, not gathered)."""
-    findings_report(findings, tools).select("text").write.mode(mode).text(path)
+    findings_report(stage(findings), tools).select("text").write.mode(mode).text(path)
 
 
 def sarif_results(findings: DataFrame, prefix: str = "WARD") -> DataFrame:
@@ -116,39 +121,47 @@ def sarif_rules(prefix: str = "WARD") -> Column:
     return F.array(*rules)
 
 
-def sarif_documents(
-    findings: DataFrame, run: str | None = None, results_per_document: int = 5000, prefix: str = "WARD"
-) -> DataFrame:
-    """SARIF 2.1.0 documents: run_id, part, document.
+def sarif_documents(findings: DataFrame, run: str | None = None, prefix: str = "WARD") -> DataFrame:
+    """One SARIF 2.1.0 document per run as lines: run_id, part, line.
 
-    A run with up to ``results_per_document`` findings is one document. Larger
-    runs, however large, are split by a hash into as many documents as they
-    need, each complete with its rules, so no row ever holds a whole big run.
+    In the order of part and line they are the document: the opening with the
+    rules, one result per line with the comma before it, the closing. Any number
+    of findings is one document, and no row ever holds a whole run. Equal
+    results are counted first, so the only thing gathered per run is its first
+    result. Without ``run`` all findings are one run, which a clean scan also has.
     """
     run_id = (F.col(run) if run else F.lit("scan")).cast("string").alias("run_id")
-    rows = sarif_results(findings, prefix).select(run_id, "result")
-    parts = rows.groupBy("run_id").agg(F.ceil(F.count("*") / results_per_document).alias("_parts"))
-    spread = rows.join(parts, "run_id").select(
-        "run_id", F.pmod(F.xxhash64("result"), F.col("_parts")).alias("part"), "result"
+    counted = sarif_results(findings, prefix).groupBy(run_id, "result").agg(F.count("*").alias("n"))
+    firsts = counted.groupBy("run_id").agg(F.min("result").alias("first"))
+    if run is None:
+        runs = findings.sparkSession.range(1).select(F.lit("scan").alias("run_id"))
+    else:
+        runs = firsts.select("run_id")
+    opening = F.concat(
+        F.lit('{"$schema":"' + SARIF_SCHEMA + '","version":"2.1.0","runs":[{"tool":{"driver":'),
+        F.to_json(F.struct(F.lit("wardline").alias("name"), F.lit("1.0").alias("version"), sarif_rules(prefix).alias("rules"))),
+        F.lit('},"results":['),
+    )
+    told = (
+        counted.alias("l").join(firsts.alias("r"), same_keys("l", "r", ["run_id"]))
+        .select("l.run_id", "result", "first", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))).alias("k"))
+    )
+    is_first = (F.col("result") == F.col("first")) & (F.col("k") == 1)
+    results = told.select(
+        "run_id", F.when(is_first, 1).otherwise(2).alias("part"), F.concat(F.when(is_first, "").otherwise(","), "result").alias("line")
     )
-    grouped = spread.groupBy("run_id", "part").agg(F.sort_array(F.collect_list("result")).alias("_results"))
-    if run is None:  # a clean scan still has a document
-        one = findings.sparkSession.range(1).select(F.lit("scan").alias("run_id"), F.lit(0).cast("bigint").alias("part"))
-        grouped = grouped.join(one.withColumn("_base", F.lit(True)), ["run_id", "part"], "full")
-    driver = F.to_json(F.struct(
-        F.lit("wardline").alias("name"), F.lit("1.0").alias("version"), sarif_rules(prefix).alias("rules")
-    ))
-    document = F.concat(
-        F.lit('{"$schema":"' + SARIF_SCHEMA + '","version":"2.1.0","runs":[{"tool":{"driver":'), driver,
-        F.lit('},"results":['), F.coalesce(F.array_join("_results", ","), F.lit("")), F.lit("]}]}"),
+    return (
+        runs.select("run_id", F.lit(0).alias("part"), opening.alias("line"))
+        .unionByName(results)
+        .unionByName(runs.select("run_id", F.lit(3).alias("part"), F.lit("]}]}").alias("line")))
     )
-    return grouped.select("run_id", "part", document.alias("document"))
 
 
 def write_sarif(findings: DataFrame, path: str, run: str | None = None, mode: str = "error", **options) -> None:
-    """One document per line, in a folder per run."""
-    docs = sarif_documents(findings, run, **options)
-    docs.select("run_id", "document").write.mode(mode).partitionBy("run_id").text(path)
+    """A folder per run, whose files in name order are its document (range partitioned, not gathered)."""
+    order = ["run_id", "part", "line"]
+    lines = sarif_documents(findings, run, **options).repartitionByRange(*order).sortWithinPartitions(*order)
+    lines.select("run_id", "line").write.mode(mode).partitionBy("run_id").text(path)
 
 
 def benchmark_json(report: DataFrame) -> DataFrame:
@@ -181,17 +194,29 @@ def write_benchmark(report: DataFrame, path: str, as_text: bool = False, mode: s
 def write_suppressions(entries: DataFrame, path: str) -> None:
     """Replace the suppression table at ``path``.
 
-    The new table is written next to the old one and renamed into place, so a
-    failed job leaves the old table as it was.
+    The new table is a folder of its own below ``path``, and only then a pointer
+    file is renamed into place that names it, with a higher number than the one
+    before; readers take the highest. So there is a whole table at any time, and
+    a failed job leaves the old one as it was. Older tables are deleted last.
     """
     spark = entries.sparkSession
-    entries.select("tool", "signal", "reason").write.mode("overwrite").parquet(f"{path}.new")
-    jvm = spark._jvm
-    make = jvm.org.apache.hadoop.fs.Path
+    folder = f"table-{uuid.uuid4().hex}"
+    entries.select("tool", "signal", "reason").write.parquet(f"{path}/{folder}")
+    make = spark._jvm.org.apache.hadoop.fs.Path
     files = make(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    files.delete(make(f"{path}.old"), True)
-    if files.exists(make(path)):
-        files.rename(make(path), make(f"{path}.old"))
-    if not files.rename(make(f"{path}.new"), make(path)):
+    old = suppression_versions(spark, path)
+    number = max((n for n, _ in old), default=0) + 1
+    pointer = make(f"{path}/current-{number:09d}-{folder}")
+    if not files.createNewFile(pointer):
         raise OSError(f"could not put the new suppression table in place at {path}")
-    files.delete(make(f"{path}.old"), True)
+    for n, gone in old:
+        files.delete(make(f"{path}/current-{n:09d}-{gone}"), False)
+        files.delete(make(f"{path}/{gone}"), True)
+
+
+def suppression_versions(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """(number, folder) of the tables that pointer files name, oldest first."""
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    files = make(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    names = [s.getPath().getName() for s in files.globStatus(make(f"{path}/current-*")) or []]
+    return sorted((int(n), folder) for _, n, folder in (name.split("-", 2) for name in names))

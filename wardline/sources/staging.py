@@ -1,4 +1,4 @@
-"""Spreading unsplittable input over the cores, and staging results that several outputs need."""
+"""Staging results that several outputs need."""
 
 from __future__ import annotations
 
@@ -8,16 +8,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A file read with fewer partitions than cores, dealt out over all cores; otherwise the read as it is.
-
-    Meant for DataFrames straight from a reader. Large inputs have more splits
-    than cores and are never shuffled by this.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one on a local master."""
     context = spark.sparkContext
