@@ -32,11 +32,10 @@ from wardline.llm.common import Scratch, batch_rows, map_batches
 from wardline.llm.components import components
 
 TABLE_BITS = 26
-_LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 def normal(line: str) -> str:
-    return " ".join(line.translate(_LOWER).split())
+    return " ".join(line.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass").split())
 
 
 def cuts(length: int, parts: int) -> list[tuple[int, int]]:
@@ -62,23 +61,24 @@ def places(length: int, edits: int) -> list[tuple[int, int, int, int, bool]]:
     return out
 
 
-_PLACES: dict[tuple[int, int], list[tuple[int, int, int, int, bool]]] = {}
+_PLACES: dict[tuple[int, int], tuple[list[tuple[int, int, int]], list[bool]]] = {}
 
 
 def keys(line: str, edits: int) -> tuple[list[int], list[bool]]:
-    """Hashes of a normal line's keys, and which of them index it."""
+    """Unsigned hashes of a normal line's keys, and which of them index it."""
     import xxhash
 
-    where = _PLACES.get((len(line), edits))
-    if where is None:
+    if (known := _PLACES.get((len(line), edits))) is None:
         if len(_PLACES) > 5000:
             _PLACES.clear()
-        where = _PLACES[len(line), edits] = places(len(line), edits)
+        where = places(len(line), edits)
+        known = _PLACES[len(line), edits] = [(a, b, other * 8 + i) for other, i, a, b, _ in where], [own for *_, own in where]
+    spans, own = known
     digest = xxhash.xxh3_64_intdigest
     if line.isascii():
         data = line.encode()
-        return [digest(data[a:b], other * 8 + i) - (1 << 63) for other, i, a, b, _ in where], [own for *_, own in where]
-    return [digest(line[a:b].encode(), other * 8 + i) - (1 << 63) for other, i, a, b, _ in where], [own for *_, own in where]
+        return [digest(data[a:b], seed) for a, b, seed in spans], own
+    return [digest(line[a:b].encode("utf-8", "surrogatepass"), seed) for a, b, seed in spans], own
 
 
 def within(a: str, b: str, edits: int) -> bool:
@@ -141,13 +141,14 @@ def _near(rows: DataFrame, scratch: Scratch, edits: int, near_chars: int) -> Dat
                         k, o = keys(line, edits)
                         found += k
                         own += o
-                        line_of.append(xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass")) - (1 << 63))
+                        line_of.append(xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass")))
                         n.append(len(k))
-            ids = np.repeat(np.array(line_of, np.int64), n)
+            ids = np.repeat(np.array(line_of, np.uint64).view(np.int64), n)
+            hashes = np.array(found, np.uint64).view(np.int64)
             for at in range(0, len(found), 1 << 16):
                 to = at + (1 << 16)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.array(found[at:to], np.int64)), pa.array(ids[at:to]), pa.array(own[at:to], pa.bool_())], ["key", "line", "own"]
+                    [pa.array(hashes[at:to]), pa.array(ids[at:to]), pa.array(own[at:to], pa.bool_())], ["key", "line", "own"]
                 )
 
     shared = (
@@ -155,12 +156,11 @@ def _near(rows: DataFrame, scratch: Scratch, edits: int, near_chars: int) -> Dat
         .groupBy("key").agg(F.min("line").alias("l1"), F.max("line").alias("l2"), F.max("own").alias("own"))
         .where("own AND l1 != l2")
     )
-    place = F.shiftrightunsigned(F.xxhash64("key"), 64 - TABLE_BITS)
+    place = F.shiftrightunsigned("key", 64 - TABLE_BITS)
     words = (
         shared.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("word"))
         .agg(F.bit_or(F.expr("shiftleft(1L, int(p & 63))")).alias("mask")).toPandas()
     )
-    # spread by the same hash in the workers, as the key itself is one already
     table = np.zeros(1 << (TABLE_BITS - 6), np.uint64)
     table[words["word"].to_numpy(np.int64)] = words["mask"].to_numpy(np.int64).view(np.uint64)
     return _match(rows, scratch, edits, long_enough, table)
@@ -174,26 +174,35 @@ def _match(rows: DataFrame, scratch: Scratch, edits: int, long_enough: int, tabl
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = sent.value, set()
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
+            lines, found, own, n = [], [], [], []
             for text in batch.column(0).to_pylist():
                 for line in (text or "").split("\n"):
-                    if len(line) < long_enough or len(line := normal(line)) < long_enough:
-                        continue
-                    node = xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass"))
-                    if node in seen:
-                        continue
-                    found, own = keys(line, edits)
-                    at = spread(np.array(found, np.int64)) >> np.uint64(64 - TABLE_BITS)
-                    hit = np.flatnonzero((bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1))
-                    if len(hit):
-                        if len(seen) >= 200_000:
-                            seen.clear()
-                        seen.add(node)
-                        out[0].append(node)
-                        out[1].append(line)
-                        out[2].append(len(line))
-                        out[3].append(letter_counts(line))
-                        out[4].append([{"key": found[k], "own": own[k]} for k in hit])
+                    if len(line) >= long_enough and len(line := normal(line)) >= long_enough:
+                        k, o = keys(line, edits)
+                        lines.append(line)
+                        found += k
+                        own += o
+                        n.append(len(k))
+            hashes = np.array(found, np.uint64)
+            at = hashes >> np.uint64(64 - TABLE_BITS)
+            hit = ((bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
+            ends = np.cumsum(n, dtype=np.int64)
+            before = np.concatenate(([0], np.cumsum(hit)))
+            signed = hashes.view(np.int64)
+            out: list[list] = [[], [], [], [], []]
+            for k in np.flatnonzero(before[ends] > before[ends - n]) if lines else ():
+                line = lines[k]
+                node = xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass"))
+                if node in seen:
+                    continue
+                if len(seen) >= 200_000:
+                    seen.clear()
+                seen.add(node)
+                out[0].append(node)
+                out[1].append(line)
+                out[2].append(len(line))
+                out[3].append(letter_counts(line))
+                out[4].append([{"key": int(signed[j]), "own": own[j]} for j in range(ends[k] - n[k], ends[k]) if hit[j]])
             kinds = [pa.binary(), pa.string(), pa.int32(), pa.int64(), pa.list_(pa.struct([("key", pa.int64()), ("own", pa.bool_())]))]
             yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds, strict=True)], ["node", "line", "size", "counts", "keys"])
 
@@ -237,30 +246,17 @@ def _match(rows: DataFrame, scratch: Scratch, edits: int, long_enough: int, tabl
     return roots
 
 
-def spread(keys_: np.ndarray) -> np.ndarray:
-    """Spark's xxhash64 (seed 42) of 64-bit numbers."""
-    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-    turn = lambda x, n: (x << np.uint64(n)) | (x >> np.uint64(64 - n))
-    h = np.full(len(keys_), 42 + 0x27D4EB2F165667C5 + 8, np.uint64)
-    h ^= turn(keys_.view(np.uint64) * p2, 31) * p1
-    h = turn(h, 27) * p1 + p4
-    h = (h ^ (h >> np.uint64(33))) * p2
-    h = (h ^ (h >> np.uint64(29))) * p3
-    return h ^ (h >> np.uint64(32))
-
-
 def find(
     docs: DataFrame, edits: int = 2, min_chars: int = 20, near_chars: int = 40, key: str = "doc_id", text: str = "text", scratch: Scratch | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Two tables: the input's rows with a `row` number, staged, and (row, key, n_lines, dropped, copies_of) per row:
+    """Two tables: the input's rows with a number `__row`, staged, and (row, key, n_lines, dropped, copies_of) per row:
     the places of lines to drop, counted from 0, and the sorted keys of the rows that hold the lines they repeat."""
     import xxhash
 
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "lines")
-    named = docs.withColumns({"__row": F.monotonically_increasing_id(), "__key": F.col(key), "__text": F.col(text)})
-    staged = scratch.stage(named, "rows")
-    rows = staged.select(F.col("__row").alias("row"), F.col("__key").alias("key"), F.col("__text").alias("text"))
+    staged = scratch.stage(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    rows = staged.select(F.col("__row").alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
