@@ -157,6 +157,11 @@ def read_chains(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
 
     A document holds one chain or an array of chains. Arguments are JSON text.
     """
+    return chains_from_documents(read_documents(spark, path)).orderBy("path", "position")
+
+
+def chains_from_documents(docs: DataFrame) -> DataFrame:
+    """The chains of documents (path, doc)."""
     v = F.parse_json(F.col("doc"))
     one_or_many = F.when(F.to_json(v).startswith("["), F.try_variant_get(v, "$", "array<variant>")).otherwise(
         F.array(v)
@@ -170,14 +175,12 @@ def read_chains(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     )
     text = lambda name: F.try_variant_get(F.col("item"), f"$.{name}", "string")
     return (
-        read_documents(spark, path)
-        .select("path", F.posexplode(one_or_many).alias("position", "item"))
+        docs.select("path", F.posexplode(one_or_many).alias("position", "item"))
         .select(
             "path", "position", text("id").alias("id"), F.coalesce(text("description"), F.lit("")).alias("description"),
             text("corpus_record_id").alias("corpus_record_id"), steps("baseline").alias("baseline"),
             steps("steps").alias("steps"),
         )
-        .orderBy("path", "position")
     )
 
 
