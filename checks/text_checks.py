@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks import sql as Q
-from checks.inputs import cte, source
+from checks.inputs import cte, source, table
 from wardline.functions import jsontext as J
 from wardline.functions import severity as sev
 from wardline.functions import text as T
-from wardline.operators import corpus, definitions, drift, scan, tfidf
+from wardline.operators import corpus, definitions, drift, patterns, scan, tfidf
 from wardline.rules import words as W
 from wardline.sources import readers
 
@@ -137,6 +137,24 @@ def scan_needles_own_patterns(spark, sf):
     return flat(scan.scan_needles(surfaces(spark, sf), patterns=_OWN, keep=["doc_id"]), "doc_id")
 
 
+_PATTERN_TABLE = """patterns AS (SELECT DISTINCT substr(p_name, 1, 3) AS needle, 'stealth_language' AS signal, 'low' AS severity,
+    'stealth_language: ' || chr(39) || substr(p_name, 1, 3) || chr(39) AS detail, '' AS refs FROM part WHERE length(p_name) >= 3
+  UNION SELECT DISTINCT 'xq' || CAST(p_partkey AS STRING), 'session_persistence', 'high',
+    'session_persistence: ' || chr(39) || 'xq' || CAST(p_partkey AS STRING) || chr(39), '' FROM part)"""
+
+
+@check(f"""WITH {cte('surfaces')}, p AS ({_PATTERN_TABLE.removeprefix('patterns AS (').removesuffix(')')}),
+  patterns AS (SELECT {Q.lower('needle')} AS needle, signal, severity, detail, refs FROM p) {Q.needle_rows('surfaces', 't.doc_id', 't.name')}""")
+def scan_pattern_table(spark, sf):
+    """Thousands of patterns from a table, in several shards."""
+    part = table(spark, sf, "part")
+    refs = F.array().cast("array<string>").alias("corpus_refs")
+    short = part.where("length(p_name) >= 3").select(F.substring("p_name", 1, 3).alias("needle"), F.lit("stealth_language").alias("signal"), F.lit("low").alias("severity"), refs)
+    keyed = part.select(F.concat(F.lit("xq"), F.col("p_partkey").cast("string")).alias("needle"), F.lit("session_persistence").alias("signal"), F.lit("high").alias("severity"), refs)
+    found = patterns.scan_pattern_table(surfaces(spark, sf), short.unionByName(keyed).distinct(), "doc_id", shard=1500)
+    return flat(found, "doc_id")
+
+
 def _wording(pass_):
     rows = Q.structural_rows if pass_ in scan.STRUCTURAL else Q.verb_rows
     sql = f"WITH {cte('surfaces')}, {Q.word_relations('surfaces', 'doc_id')} {rows(pass_, 'doc_id', 'name')}"

@@ -2,61 +2,34 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.functions.findings import finding, finding_columns
-from wardline.functions.text import ascii_lower, snippet
-from wardline.operators.scan import NEEDLES, Pattern, scan_needles
+from wardline.operators.scan import Pattern, scan_needles
 
-MAX_LITERALS = 20_000
-_GRAM = 4
+SHARD = 20_000
 
 
 def scan_pattern_table(
-    df: DataFrame, patterns: DataFrame, key: str, text: str = "text", name: str = "name", max_literals: int = MAX_LITERALS
+    df: DataFrame, patterns: DataFrame, key: str, text: str = "text", name: str = "name", shard: int = SHARD
 ) -> DataFrame:
-    """Needle findings for a pattern table of any size; ``key`` must be unique per text.
+    """Needle findings for a pattern table of any size; ``key`` is kept and need not be unique.
 
-    Up to ``max_literals`` patterns (the size is checked) become the literals of
-    one in-row scan. A larger table stays a table: patterns and texts meet in
-    an equi-join on the first four characters of the needle, and the texts are
-    joined back only to verify what met.
+    The table is dealt by hash into shards of about ``shard`` patterns, which are
+    the literals of one in-row scan each, so the same scan runs at every size and
+    its work grows with texts times shards. Only one shard at a time is gathered.
     """
     rules = patterns.select("needle", "signal", "severity", "corpus_refs").where(F.col("needle") != "")
-    head = rules.limit(max_literals + 1).collect()
-    if len(head) <= max_literals:
+    shards = max(1, -(-rules.count() // shard))
+    place = F.pmod(F.xxhash64("needle", "signal"), F.lit(shards))
+
+    def scan(k: int) -> DataFrame:
         listed = [
-            Pattern(r.needle, r.signal, r.severity, tuple(r.corpus_refs or ()), f"{r.signal}: '{r.needle}'") for r in head
+            Pattern(r.needle, r.signal, r.severity, tuple(r.corpus_refs or ()), f"{r.signal}: '{r.needle}'")
+            for r in rules.where(place == k).collect()
         ]
         return scan_needles(df, patterns=listed, text=text, name=name, keep=[key])
-    return _scan_by_grams(df, rules, key, text, name)
-
-
-def _scan_by_grams(df: DataFrame, rules: DataFrame, key: str, text: str, name: str) -> DataFrame:
-    folded = rules.withColumn("_needle", ascii_lower(F.col("needle"))).withColumn(
-        "_gram", F.substring("_needle", 1, _GRAM)
-    )
-    texts = df.where(F.col(text).isNotNull()).select(
-        F.col(key), F.col(name).alias("tool_name"), F.col(text).alias("_text"), ascii_lower(F.col(text)).alias("_lower")
-    )
-    # Substrings of the gram lengths that the patterns have: four, and less only for shorter needles.
-    sizes = sorted(r[0] for r in folded.select(F.char_length("_gram")).distinct().collect())  # at most four rows
-    starts = F.sequence(F.lit(1), F.greatest(F.char_length("_lower"), F.lit(1)))
-    cut = lambda size: F.transform(starts, lambda i: F.substring(F.col("_lower"), i, F.lit(size)))
-    grams = F.array_distinct(F.concat(*[cut(size) for size in sizes]))
-    met = (
-        texts.select(key, F.explode(grams).alias("_gram"))
-        .join(folded, "_gram")
-        .select(key, "needle", "_needle", "signal", "severity", "corpus_refs")
-    )
-    verified = met.join(texts, key).where(F.contains("_lower", F.col("_needle")))
-    detail = F.concat(F.col("signal"), F.lit(": '"), F.col("needle"), F.lit("'"))
-    found = finding(
-        NEEDLES, F.col("signal"), F.col("severity"),
-        snippet(F.col("_text"), F.instr(F.col("_lower"), F.col("_needle")), F.char_length("_needle")),
-        detail, F.coalesce("corpus_refs", F.array().cast("array<string>")),
-    )
-    return verified.select(key, "tool_name", F.lit(None).cast("string").alias("path"), found.alias("f")).select(
-        key, "tool_name", *finding_columns("f")
-    )
+
+    return reduce(DataFrame.unionByName, [scan(k) for k in range(shards)])
