@@ -88,14 +88,14 @@ _FINGERPRINT = """list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(ran
   lambda a, b: (a * 31 + b) & 4294967295)"""
 
 
-@check(f"""WITH {cte('surfaces')}, s AS (SELECT doc_id, name, source, CASE WHEN doc_id % 50 = 0 THEN '' ELSE substr(text, 1, 60) END AS m FROM surfaces)
+@check(f"""WITH {cte('surfaces')}, s AS (SELECT doc_id, name, source, CASE WHEN doc_id % 50 = 0 THEN '' ELSE lang || ' é😀 ' || name END AS m FROM surfaces)
 SELECT doc_id, name || '/' || 'stealth_language' AS finding_id,
   CASE WHEN m = '' THEN name || '/stealth_language'
     ELSE name || '/stealth_language/' || printf('%08x', {_FINGERPRINT}) END AS fingerprint,
   source || '/' || name AS tagged FROM s""")
 def finding_id_and_fingerprint(spark, sf):
     name, signal = F.col("name"), F.lit("stealth_language")
-    m = F.when(F.col("doc_id") % 50 == 0, "").otherwise(F.substring("text", 1, 60))
+    m = F.when(F.col("doc_id") % 50 == 0, "").otherwise(F.concat("lang", F.lit(" é😀 "), "name"))
     return surfaces(spark, sf).withColumn("m", m).select(
         "doc_id", T.finding_id(name, signal).alias("finding_id"), T.fingerprint(name, signal, F.col("m")).alias("fingerprint"),
         T.tag_server(F.col("source"), name).alias("tagged"),
