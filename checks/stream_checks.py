@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks import log_checks, text_checks
 from checks import sql as Q
-from checks.inputs import INPUTS
+from checks.inputs import INPUTS, source
 from wardline.streaming import jobs
 from wardline.streaming.run import run_available
 
@@ -62,11 +62,10 @@ def stream_call_anomalies(spark, sf):
 
 @check(text_checks.CHECKS["definition_drift"][1])
 def stream_definition_drift(spark, sf):
-    """Drift over a stream that carries the first listing and a later one."""
-    first = stream(spark, sf, "listing_before").withColumn("listing", F.lit(0))
-    later = stream(spark, sf, "listing_after").withColumn("listing", F.lit(1))
-    both = first.unionByName(later).withColumn("ts", F.lit("2024-01-01").cast("timestamp")).withWatermark("ts", "1 hour")
-    return run_available(jobs.drift_stream(both)).select("server", "tool_name", "signal", "severity")
+    """Drift over a stream of later listings against the table of first ones."""
+    later = stream(spark, sf, "listing_after")
+    found = jobs.drift_stream(source(spark, sf, "listing_before"), later)
+    return run_available(found.select("server", "tool_name", "signal", "severity"))
 
 
 @check(log_checks.CHECKS["lifecycle_violations"][1])

@@ -43,13 +43,16 @@ def test_replies_and_silence(spark, feed):
     assert {(1, "answered"), (2, "silent")} <= got and not any(s == 3 for s, _ in got)
 
 
-def test_drift_keeps_the_first_listing_between_runs(spark, feed):
-    f = feed("server string, name string, description string, inputSchema string, annotations string, listing int, ts string")
-    row = lambda name, text, listing: ("s", name, text, '{"a":1}', None, listing, "2026-01-01 00:00:00")
-    job = lambda s: jobs.drift_stream(s.withWatermark("ts", "1 hour"))
-    out = f.run(job, [row("a", "x", 0), row("b", "y", 0)], [row("a", "x", 1), row("b", "y!", 1), row("new", "", 1)],
-                [row("a", "x!", 2), row("b", "y", 2)])
-    assert rows(out, "tool_name") == [("a",), ("b",), ("new",)]
+def test_drift_against_the_stored_listing(spark, feed):
+    schema = "server string, name string, description string, inputSchema string, annotations string"
+    f = feed(f"{schema}, ts string")
+    row = lambda name, text, server="s": (server, name, text, '{"a":1}', None, "2026-01-01 00:00:00")
+    base = spark.createDataFrame([("s", "a", "x", '{"a":1}', None), ("s", "b", "y", '{"a":1}', None)], schema)
+    job = lambda s: jobs.drift_stream(base, s)
+    first = [row("a", "x"), row("b", "y!"), row("new", "")]
+    later = [row("a", "x!"), row("b", "y"), row("a", "x", "without a base")]
+    out = f.run(job, first, later)
+    assert rows(out, "server", "tool_name") == [("s", "a"), ("s", "b"), ("s", "new")]
 
 
 def test_lifecycle_state_lives_between_runs(spark, feed):

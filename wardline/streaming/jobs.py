@@ -14,9 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from wardline.functions import severity as sev
 from wardline.operators.definitions import scan_tools
-from wardline.operators.drift import DETAIL, EVIDENCE, definition_hash
+from wardline.operators.drift import definition_drift
 from wardline.operators.scan import scan_responses, scan_surface
 from wardline.operators.sequence import analyze
 from wardline.rules import records as R
@@ -43,48 +42,15 @@ def analyze_call_stream(calls: DataFrame, baseline: DataFrame | None = None, by:
     return analyze(calls, baseline, by=by)
 
 
-def drift_stream(snapshots: DataFrame, server: str = "server", quiet: str = "7 days") -> DataFrame:
-    """Definitions that differ from the first listing of their server, or are not in it.
+def drift_stream(base: DataFrame, listings: DataFrame, server: str = "server") -> DataFrame:
+    """Definitions of a stream of listings that differ from a stored first listing, or are not in it.
 
-    Rows carry ``listing``: 0 for the first listing of a server, then 1, 2, ...
-    State is one hash per (server, name); it is dropped after ``quiet`` without
-    a row for that name, by the watermark on ``ts`` that the caller sets.
+    ``base`` is a table of first listings, such as an earlier run has written.
+    The stream is joined with it, so there is no state that could be forgotten,
+    late or early rows give what the batch gives, and a server without a stored
+    listing gives nothing.
     """
-    days = pd.Timedelta(quiet)
-    hold = int(days.total_seconds() * 1000)
-
-    def compare(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        base = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["listing", "ts"])
-        out = []
-        for listing, ts, h in zip(rows["listing"], rows["ts"], rows["h"], strict=True):
-            if listing == 0:
-                base = int(h)
-            elif base is None or base != int(h):
-                out.append((ts, key[0], key[1]))
-        if base is not None:
-            state.update((base,))
-            watermark = state.getCurrentWatermarkMs()
-            state.setTimeoutTimestamp(max(watermark, int(rows["ts"].max().timestamp() * 1000)) + hold)
-        yield pd.DataFrame(out, columns=["ts", "server", "tool_name"])
-
-    hashed = snapshots.select(
-        "ts", F.col(server).alias("server"), "name", "listing",
-        definition_hash("name", "description", "inputSchema", "annotations").alias("h"),
-    )
-    changed = hashed.groupBy("server", "name").applyInPandasWithState(
-        compare, "ts timestamp, server string, tool_name string", "base bigint", "append",
-        GroupStateTimeout.EventTimeTimeout,
-    )
-    signal = F.lit("conditional_activation")
-    return changed.select(
-        "ts", "server", "tool_name", signal.alias("signal"), sev.rule_id(signal).alias("rule_id"),
-        F.lit("critical").alias("severity"), F.lit(4).alias("severity_rank"), F.lit(EVIDENCE).alias("matched_text"),
-        F.lit(DETAIL).alias("detail"),
-    )
+    return definition_drift(base, listings, group=(server,))
 
 
 def pair_reply_stream(log: DataFrame, late: str = "10 seconds", seconds: int = R.REPLY_SECONDS) -> DataFrame:
