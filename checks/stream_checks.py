@@ -51,13 +51,13 @@ def stream_definition_findings(spark, sf):
     return run_available(text_checks.flat(found, "p_partkey"))
 
 
-@check(f"""WITH {log_checks._CALLS}, {log_checks._raised(*log_checks._COMPARED)} SELECT run_id, tool, signal, severity, evidence FROM raised""")
+@check(f"""WITH {log_checks._CALLS}, {log_checks._raised(*log_checks._COMPARED).replace('run_id, step, tool', 'run_id, event_id AS step, tool')} SELECT * FROM raised""")
 def stream_call_anomalies(spark, sf):
     """Anomalies over a stream of calls against a static baseline."""
     calls = stream(spark, sf, "calls").where(F.col("ts") >= log_checks.FIRST_DAYS)
     numbered = calls.withColumn("step", F.col("event_id"))  # arrival order; the batch job ranks per run
     found = jobs.analyze_call_stream(numbered, log_checks.baseline(spark, sf), by=["run_id"])
-    return run_available(found.drop("step"))
+    return run_available(found)
 
 
 @check(text_checks.CHECKS["definition_drift"][1])

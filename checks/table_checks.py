@@ -169,13 +169,13 @@ def findings_json(spark, sf):
 
 
 @check(f"""{_MARKED}, totals AS (SELECT count(*) FILTER (WHERE NOT suppressed) AS a, count(*) FILTER (WHERE suppressed) AS s, (SELECT count(*) FROM surfaces) AS n FROM kept)
-  SELECT CAST(0 AS INT) AS section, '' AS tool_name, a || ' finding(s) in ' || n || ' tool(s):' || chr(10) AS text FROM totals
-  UNION ALL SELECT 2, '', s || ' suppressed finding(s):' FROM totals WHERE s > 0
-  UNION ALL SELECT CASE WHEN suppressed THEN 3 ELSE 1 END, tool_name, CASE WHEN suppressed THEN '  [suppressed] ' || tool_name || ' — ' || signal
+  SELECT CAST(0 AS INT) AS section, '' AS tool_name, '' AS signal, a || ' finding(s) in ' || n || ' tool(s):' || chr(10) AS text FROM totals
+  UNION ALL SELECT 2, '', '', s || ' suppressed finding(s):' FROM totals WHERE s > 0
+  UNION ALL SELECT CASE WHEN suppressed THEN 3 ELSE 1 END, tool_name, signal, CASE WHEN suppressed THEN '  [suppressed] ' || tool_name || ' — ' || signal
     ELSE '[' || severity || '] ' || tool_name || ' — ' || signal || ' (' || detail || ')' || chr(10) || '  matched: ' || matched_text ||
       CASE WHEN refs <> '' THEN chr(10) || '  refs:    ' || replace(refs, ',', ', ') ELSE '' END || chr(10) END FROM kept""")
 def findings_report(spark, sf):
-    return sinks.findings_report(stage(marked(spark, sf)), surfaces(spark, sf)).drop("signal")
+    return sinks.findings_report(stage(marked(spark, sf)), surfaces(spark, sf))
 
 
 _SARIF_LEVEL = "CASE severity WHEN 'critical' THEN 'error' WHEN 'high' THEN 'error' WHEN 'medium' THEN 'warning' WHEN 'low' THEN 'note' ELSE 'none' END"
@@ -226,10 +226,13 @@ def benchmark_lines(spark, sf):
     return sinks.benchmark_lines(evaluate.benchmark_report(labelled(spark, sf), found(spark, sf))).select("text")
 
 
-@check(f"""{_FOUND}, {_LABELLED}, {_CONFUSION} SELECT tools_total, tp, fp, fn, tn FROM counts""")
+@check(f"""{_FOUND}, {_LABELLED}, {_CONFUSION}, {_REPORT} SELECT tools_total, tp, fp, fn, tn, round(precision, 6) AS precision,
+  round(recall, 6) AS recall, round(f1, 6) AS f1 FROM report""")
 def benchmark_json(spark, sf):
     doc = sinks.benchmark_json(evaluate.benchmark_report(labelled(spark, sf), found(spark, sf)))
-    return doc.select(F.from_json("report", "tools_total long, tp long, fp long, fn long, tn long").alias("r")).select("r.*")
+    shape = "tools_total long, tp long, fp long, fn long, tn long, precision double, recall double, f1 double"
+    r = doc.select(F.from_json("report", shape).alias("r")).select("r.*")
+    return r.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
 
 
 # ---- records ----

@@ -66,44 +66,72 @@ def mutation_catalog(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(M.catalog(), "type_group string, label string, value string")
 
 
+def _type_group(type_: Column) -> Column:
+    return F.when(type_.isin("string", "boolean", "array", "object"), type_).when(
+        type_.isin("integer", "number"), "number"
+    ).otherwise("other")
+
+
+def _catalog_entries(group: Column) -> Column:
+    """The fixed mutations of a type group as a constant array of (label, value)."""
+    groups: dict[str, list[Column]] = {}
+    for name, label, value in M.catalog():
+        groups.setdefault(name, []).append(F.struct(F.lit(label).alias("label"), F.lit(value).alias("value")))
+    entries = F.array().cast("array<struct<label:string,value:string>>")
+    for name, listed in groups.items():
+        entries = F.when(group == name, F.array(*listed)).otherwise(entries)
+    return entries
+
+
 def boundary_cases(
     df: DataFrame, tool: str = "name", schema: str = "inputSchema", catalog: DataFrame | None = None
 ) -> DataFrame:
     """tool, field, label, args: every field takes every mutation of its type, the others keep their default.
 
-    The catalog is a fixed table of about 120 rows and is broadcast; a table
-    passed in is joined by type without a hint. Values declared by an enum come
-    from the field itself. Nothing is shuffled: the arguments of one tool are
-    assembled in its own row.
+    Each schema is read once, into its sorted fields with type, enum and
+    default. What stands before and after a field in the arguments is the same
+    for all of its mutations, so a case only puts three texts together. The
+    fixed catalog is a constant of the plan; a table passed in is joined by
+    type. Nothing else is shuffled.
     """
-    parsed = _parsed(df, schema).select(
-        F.col(tool).alias("tool"), "_properties",
-        F.transform_values("_properties", lambda _, p: _default(p)).alias("_defaults"),
-    )
-    fields = parsed.select("tool", "_defaults", F.explode("_properties").alias("field", "_prop")).select(
-        "tool", "_defaults", "field", _field_type(F.col("_prop")).alias("_type"), _enum(F.col("_prop")).alias("_enum")
-    )
-    group = F.when(F.col("_type").isin("string", "boolean", "array", "object"), F.col("_type")).when(
-        F.col("_type").isin("integer", "number"), "number"
-    ).otherwise("other")
-    fields = fields.withColumn("type_group", group)
-    known = F.broadcast(mutation_catalog(df.sparkSession)) if catalog is None else catalog
-    fixed = fields.join(known, "type_group").select("tool", "_defaults", "field", "label", "value")
     entry = lambda label, value: F.struct(label.alias("label"), value.alias("value"))
-    declared = F.concat(
+
+    def read(prop: Column) -> Column:
+        """(type, enum, default) of the JSON text of a property."""
+        return F.struct(_field_type(prop).alias("type"), _enum(prop).alias("enum"), _default(prop).alias("default"))
+
+    ordered = F.transform(F.array_sort(F.map_entries("_properties")), lambda e: F.struct(
+        e["key"].alias("field"), read(e["value"]).alias("own")
+    ))
+    # each explode of one element keeps what is below it from being worked out again above it
+    parsed = _parsed(df, schema).select(F.col(tool).alias("tool"), F.explode(F.array(ordered)).alias("_fields"))
+    pairs = F.transform("_fields", lambda f: F.concat(json_string(f["field"]), F.lit(":"), f["own"]["default"]))
+    parsed = parsed.where(F.col("_fields").isNotNull()).select("tool", "_fields", F.explode(F.array(pairs)).alias("_pairs"))
+    fields = parsed.select("tool", "_pairs", F.posexplode("_fields").alias("_i", "_f")).select(
+        "tool", F.col("_f.field").alias("field"), F.col("_f.own.enum").alias("_enum"),
+        _type_group(F.col("_f.own.type")).alias("type_group"),
+        F.concat(
+            F.lit("{"), F.array_join(F.slice("_pairs", F.lit(1), F.col("_i")), ","), F.when(F.col("_i") > 0, ",").otherwise(""),
+            json_string(F.col("_f.field")), F.lit(":"),
+        ).alias("_before"),
+        F.concat(
+            F.when(F.col("_i") + 1 < F.size("_pairs"), ",").otherwise(""),
+            F.array_join(F.slice("_pairs", F.col("_i") + 2, F.size("_pairs")), ","), F.lit("}"),
+        ).alias("_after"),
+    )
+    declared = F.when((F.col("type_group") == "string") & F.col("_enum").isNotNull(), F.concat(
         F.transform("_enum", lambda v, i: entry(F.concat(F.lit("enum_valid:"), i.cast("string")), v)),
         F.array(entry(F.lit("enum_invalid"), F.lit(M.to_json_text(M.INVALID_ENUM)))),
-    )
-    enums = (
-        fields.where((F.col("type_group") == "string") & F.col("_enum").isNotNull())
-        .select("tool", "_defaults", "field", F.explode(declared).alias("m"))
-        .select("tool", "_defaults", "field", "m.label", "m.value")
-    )
-    mutated = F.map_concat(
-        F.map_filter("_defaults", lambda k, _: k != F.col("field")), F.create_map("field", "value")
-    )
-    return fixed.unionByName(enums).select(
-        "tool", "field", F.concat_ws(":", "field", "label").alias("label"), _object(mutated).alias("args")
+    )).otherwise(F.array().cast("array<struct<label:string,value:string>>"))
+    kept = ("tool", "field", "_before", "_after")
+    if catalog is None:
+        entries = F.concat(_catalog_entries(F.col("type_group")), declared)
+        cases = fields.select(*kept, F.explode(entries).alias("m")).select(*kept, "m.label", "m.value")
+    else:
+        own = fields.select(*kept, F.explode(declared).alias("m")).select(*kept, "m.label", "m.value")
+        cases = fields.join(catalog, "type_group").select(*kept, "label", "value").unionByName(own)
+    return cases.select(
+        "tool", "field", F.concat_ws(":", "field", "label").alias("label"), F.concat("_before", "value", "_after").alias("args")
     )
 
 
