@@ -42,11 +42,12 @@ def test_stages_on_planted_cases(spark, sf_dir, tmp_path):
         assert r.decoded_sha256 == hashlib.sha256(left[r.doc_id].encode()).hexdigest() and len(r.ids) == 4 * r.n_tokens
 
 
-@pytest.mark.parametrize("name", ["op1_warc"])
+@pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_agrees_with_sql(spark, sf_dir, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{sf_dir}/pages.parquet'")
+    for name_ in ("documents", "benchmark", "pages"):
+        con.execute(f"CREATE VIEW {name_} AS SELECT * FROM '{sf_dir}/{name_}.parquet'")
     df = entry_point.queries()[name](spark, sf_dir)
     want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({queries.SQL[name]})").fetchall()
     assert sorted(map(tuple, df.collect()), key=repr) == sorted(want, key=repr)

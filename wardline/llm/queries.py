@@ -101,6 +101,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_html_text": op10_html_text,
 }
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_SPACED = rf"regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+')"
+
 SQL: dict[str, str] = {
     "op1_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
@@ -111,4 +115,31 @@ SQL: dict[str, str] = {
                CASE WHEN first <> page_id THEN first END AS refers_to
         FROM d LEFT JOIN f ON d.digest = f.digest AND d.n >= 100
     """,
+    "op7_decontaminate": f"""
+        WITH low AS (SELECT doc_id, {_ALNUM} AS w FROM documents),
+        iw AS (SELECT item_id, w, least(10, len(w)) AS k FROM (SELECT item_id, {_ALNUM} AS w FROM benchmark) WHERE len(w) > 0),
+        win AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM iw)),
+        dw AS (SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS s FROM (
+            SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM low, (SELECT DISTINCT k FROM win) WHERE len(w) >= k)),
+        hit AS (SELECT doc_id, i, k, item_id FROM dw JOIN win USING (k, s)),
+        pos AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM hit) GROUP BY doc_id),
+        its AS (SELECT doc_id, count(*) AS n, array_to_string(list_sort(list(x)), ',') AS l FROM (
+            SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM hit WHERE item_id IS NOT NULL) GROUP BY doc_id)
+        SELECT low.doc_id, len(w)::BIGINT AS n_words, coalesce(pos.n, 0)::BIGINT AS n_hit, coalesce(its.n, 0)::BIGINT AS n_items,
+               sha256(coalesce(l, '')) AS items_sha256, coalesce(pos.n, 0) > 0 AS contaminated
+        FROM low LEFT JOIN pos ON pos.doc_id = low.doc_id LEFT JOIN its ON its.doc_id = low.doc_id
+    """,
+    "op8_superminhash": f"""
+        WITH RECURSIVE low AS (SELECT doc_id, {_SPACED} AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS x FROM (
+            SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM low WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+        link AS (SELECT a, b FROM shared JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= 85 * (na.n + nb.n - k)),
+        edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+        reach(doc_id, r) AS (SELECT doc_id, doc_id FROM low UNION SELECT reach.doc_id, edge.b FROM reach JOIN edge ON edge.a = reach.r),
+        c AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id)
+        SELECT c.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, c.doc_id = component_id AS kept
+        FROM c LEFT JOIN n ON n.doc_id = c.doc_id
+    """,
 }
