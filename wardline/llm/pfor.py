@@ -38,7 +38,7 @@ from wardline.llm.common import local_fs, map_batches, small_batches
 MAGIC = b"PFB1"
 BLOCK = 128
 CHUNK_BLOCKS = 4096
-MEMO_CHUNKS = 1_000_000
+MEMO_CHUNKS = 2_000_000
 
 
 def pack(values: np.ndarray, width: int) -> np.ndarray:
@@ -205,6 +205,16 @@ def read_file(source, size: int) -> Iterator[tuple[int | None, int, np.ndarray]]
         before += n
 
 
+class _Known(dict):
+    """Ids of chunks; takes note of those that are asked for and not there."""
+
+    def __init__(self):
+        self.missing: set[str] = set()
+
+    def __missing__(self, chunk: str) -> None:
+        self.missing.add(chunk)
+
+
 class IdMemo:
     """Ids of whole texts from a tokenizer of the tokenizers library, which sees each chunk of text once."""
 
@@ -215,13 +225,11 @@ class IdMemo:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.sign = {c: np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in ",."}
-        self.memo: dict[str, bytes] = {}
+        self.memo = _Known()
 
     def _learn(self, missing: set[str]) -> None:
         """Look chunks up with the tokenizer: many at once as one text, as no token crosses their borders. A comma or
         full stop behind a letter is a token of its own, so such chunks only need their stems looked up."""
-        if len(self.memo) + len(missing) > MEMO_CHUNKS:
-            self.memo.clear()
         stems = {c: c[:-1] for c in missing if len(c) > 2 and c[-1] in ",." and c[-2].isalpha()}
         need = {stem for c in missing if (stem := stems.get(c, c)) not in self.memo}
         plain = [c for c in need if c[0] != "\0" and not c[-1].isspace() and (c[0] == "\n" or not c[0].isspace())]
@@ -249,26 +257,34 @@ class IdMemo:
         for parts in cut:
             if parts:
                 parts[0] = "\0" + parts[0]  # the first chunk has no space before it
-        known = [list(map(self.memo.get, parts)) for parts in cut]
-        missing = {c for parts, found in zip(cut, known, strict=True) if None in found for c, f in zip(parts, found, strict=True) if f is None}
-        if missing:
+        memo = self.memo
+        if len(memo) > MEMO_CHUNKS:
+            memo.clear()
+        out: list[bytes | None] = []
+        for parts in cut:
+            found = list(map(memo.__getitem__, parts))
+            out.append(None if None in found else b"".join(found))
+        if memo.missing:
+            missing, memo.missing = memo.missing, set()
             self._learn(missing)
-            memo = self.memo
-            known = [
-                [memo[c] if f is None else f for c, f in zip(parts, found, strict=True)] if None in found else found
-                for parts, found in zip(cut, known, strict=True)
-            ]
-        return [b"".join(found) for found in known]
+            out = [b"".join(map(memo.__getitem__, parts)) if ids is None else ids for parts, ids in zip(cut, out, strict=True)]
+        return out
 
 
 _MEMOS: dict[str, IdMemo] = {}
 
 
+def id_memo(path: str) -> IdMemo:
+    if path not in _MEMOS:
+        _MEMOS[path] = IdMemo(path)
+    return _MEMOS[path]
+
+
 def encode(docs: DataFrame, path: str, end_id: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ids binary) per row: the tokenizer's ids of the whole text and the end id, 4 bytes each."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _MEMOS.get(path) or _MEMOS.setdefault(path, IdMemo(path))
+        memo = id_memo(path)
         end = struct.pack("<I", end_id)
         for batch in batches:
             ids = [i + end for i in memo.encode(batch.column(1).to_pylist())]
@@ -289,15 +305,15 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = 0, percentile:
     )
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
+        part, memo, end = TaskContext.get().partitionId(), id_memo(path), struct.pack("<I", end_id)
         store, at = local_fs(folder)
         store.create_dir(at, recursive=True)
         name, kept = f"part-{part:06d}.pfb", f"{at}/.{part:06d}-{uuid.uuid4().hex}"
         with store.open_output_stream(kept) as stream:
             out = FileWriter(stream, percentile)
             for batch in batches:
-                for k, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    out.add(k, np.frombuffer(ids, "<u4"))
+                for k, ids in zip(batch.column(0).to_pylist(), memo.encode(batch.column(1).to_pylist()), strict=True):
+                    out.add(k, np.frombuffer(ids + end, "<u4"))
             total = out.close()
         if not out.keys:
             store.delete_file(kept)
@@ -307,7 +323,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = 0, percentile:
             {"part": pa.array([part], pa.int32()), "file": [name], "n_docs": [len(out.keys)], "n_ids": [total]}
         )
 
-    written = encode(ordered, path, end_id, key, text).mapInArrow(save, "part int, file string, n_docs long, n_ids long")
+    written = ordered.mapInArrow(save, "part int, file string, n_docs long, n_ids long")
     files = sorted(written.collect(), key=lambda r: r.part)  # a row per file
     rows, start = [], 0
     for r in files:
