@@ -8,8 +8,9 @@ variance; a step can only help while some slot holds more than j, so all shingle
 Documents with equal sets are one node from there on. Nodes that agree in a band of slots are candidates. Each band
 bucket has two centres, the node that shares the most buckets with others and the one with the smallest key. A node is
 compared with the centre that it shares most bands with, then with its other centres that are not yet in its component;
-links are confirmed on the full sets. Last, all pairs of one bucket that are still in different components are compared,
-unless the shingles that a node alone has already rule the link out. So every pair of candidates is either confirmed,
+links are confirmed on the full sets. Last come the pairs of one bucket that are still in different components: those
+with a rare shingle in common (one that at most 8 nodes have) meet on it; all others are compared unless the numbers
+of their rare shingles, which are then outside the intersection, rule the link out. So every pair of candidates is either confirmed,
 refuted, or joined by other links; no bucket is capped, and copies are never paired within a group.
 
 Results: one row per input row. Texts that are null, empty or white space have no set and link with nothing; those
@@ -31,6 +32,8 @@ from wardline.llm.common import Scratch, WordHashes, map_batches, row_numbers, s
 from wardline.llm.components import components
 
 SLOTS = 120
+#: A shingle that at most so many nodes have is rare; nodes meet on each of their rare shingles.
+RARE = 8
 _HASHES = WordHashes()
 _STEP = 0x9E3779B97F4A7C15
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -173,8 +176,8 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_batches(full.select("a", "b", "x", "y"), work, "a binary, b binary")
 
 
-def _own_shingles(sets: DataFrame) -> DataFrame:
-    """(node, own): how many of a node's shingles no other node of the table has."""
+def _shingles(sets: DataFrame) -> DataFrame:
+    """(node, item) for each shingle of each node."""
 
     def spill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,9 +187,7 @@ def _own_shingles(sets: DataFrame) -> DataFrame:
                     part = own[at:at + (1 << 16)]
                     yield pa.RecordBatch.from_arrays([pa.array([node.as_py()] * len(part), pa.binary()), pa.array(part)], ["node", "item"])
 
-    each = map_batches(sets.select("node", "items"), spill, "node binary, item long")
-    alone = each.groupBy("item").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
-    return alone.groupBy("node").agg(F.count("*").alias("own"))
+    return map_batches(sets.select("node", "items"), spill, "node binary, item long")
 
 
 def find(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -238,15 +239,29 @@ def find(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id"
     placed = scratch.stage(placed, "placed")
     mixed = placed.groupBy("band").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("band")
     open_ = scratch.stage(placed.join(mixed, "band", "left_semi"), "open")
-    open_ = open_.join(_own_shingles(sets.join(open_.select("node").distinct(), "node", "left_semi")), "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
-    # what a node alone has is in no intersection
-    able = scratch.stage(open_.where((F.col("n") - F.col("own")) * 100 >= F.col("n") * percent), "able")
-    other = able.select("band", *[F.col(c).alias(f"{c}_") for c in ("node", "n", "root", "own")])
-    most = F.least(F.col("n") - F.col("own"), F.col("n_") - F.col("own_"))
-    rest = (
-        able.join(other, "band")
+    info = scratch.stage(open_.select("node", "n", "root").distinct(), "info")
+    each = scratch.stage(_shingles(sets.join(info.select("node"), "node", "left_semi")), "each")
+    few = each.groupBy("item").agg(F.count("*").alias("holders")).where(F.col("holders") <= RARE)
+    rare = scratch.stage(each.join(few, "item").select("node", "item"), "rare")
+    held = info.join(rare.groupBy("node").agg(F.count("*").alias("rare")), "node", "left").withColumn("rare", F.coalesce("rare", F.lit(0)))
+    # two nodes without a rare shingle in common have their rare ones outside the intersection
+    able = scratch.stage(held.where((F.col("n") - F.col("rare")) * 100 >= F.col("n") * percent), "able")
+    twice = lambda df: df.select(*[F.col(c).alias(c if c == "band" else f"{c}_") for c in df.columns])
+    placed_able = open_.select("band", "node").join(able, "node")
+    most = F.least(F.col("n") - F.col("rare"), F.col("n_") - F.col("rare_"))
+    bounded = (
+        placed_able.join(twice(placed_able), "band")
         .where((F.col("node") < F.col("node_")) & (F.col("root") != F.col("root_")) & (most * 100 >= (F.col("n") + F.col("n_") - most) * percent))
-        .select(F.col("node").alias("a"), F.col("node_").alias("b")).distinct()
+        .select("node", "node_")
+    )
+    holders = rare.join(info, "node")
+    sharing = (
+        holders.alias("l").join(holders.alias("r"), F.col("l.item") == F.col("r.item"))
+        .where((F.col("l.node") < F.col("r.node")) & (F.col("l.root") != F.col("r.root")) & near(F.col("l.n"), F.col("r.n")))
+        .select("l.node", F.col("r.node").alias("node_"))
+    )
+    rest = (
+        bounded.unionByName(sharing).select(F.col("node").alias("a"), F.col("node_").alias("b")).distinct()
         .join(first.unionByName(second), ["a", "b"], "left_anti")
     )
     more = confirmed(scratch.stage(rest, "rest"), "links3")
@@ -257,7 +272,7 @@ def find(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id"
     linked = linked.where("copies > 1 OR root IS NOT NULL").withColumn("root", F.coalesce("root", "node"))
     lows = linked.groupBy("root").agg(F.min("low").alias("least"))
     told = scratch.stage(linked.select("node", "root").join(lows, "root").select("node", "least"), "told")
-    for name in ("sets", "inside", "placed", "open", "able", "centres", "shared", "nodes", "stars"):
+    for name in ("sets", "inside", "placed", "open", "info", "each", "rare", "able", "centres", "shared", "nodes", "stars"):
         scratch.drop(name)
     return rows.select("row", "key", "n", "node").join(told, "node", "left").select(
         F.col("key").alias(key), "row", F.col("n").alias("n_shingles"),
