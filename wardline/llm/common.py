@@ -39,9 +39,10 @@ def alnum_words(text: str | bytes | None) -> list[bytes]:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: `spark.checkpoint.dir`. Only a local master may go without the setting."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if found:  # with its scheme, as workers open files below it as well
+        path = spark._jvm.org.apache.hadoop.fs.Path(found)
+        return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
     if not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not (held := spark.conf.get("wardline.llm.dir", "")):
