@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from wardline.llm.common import map_batches
+from wardline.llm.common import alone, map_batches
 
 #: Chunks that a worker remembers; beyond that it forgets all and starts anew, which changes no result.
 MEMO_CHUNKS = 1_000_000
@@ -184,6 +184,10 @@ class Encoder:
         first, *rest = chunks(text)
         return self._packed(first) + b"".join(map(self.chunk_memo.__getitem__, rest))
 
+    def forget(self) -> None:
+        self.chunk_memo.clear()
+        self.fits_memo.clear()
+
     def decode(self, packed: bytes) -> bytes:
         """The bytes that ids stand for."""
         ids = array("I")
@@ -214,6 +218,7 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern)
+        alone(f"bpe {path}", own.forget)
         for batch in batches:
             ids = [own.encode(t) for t in batch.column(1).to_pylist()]
             decoded = pa.array(map(own.decode, ids), pa.binary())
@@ -228,6 +233,7 @@ def digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern)
+        alone(f"bpe {path}", own.forget)
         for batch in batches:
             ids = [own.encode(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(

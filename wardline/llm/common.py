@@ -127,6 +127,17 @@ def local_fs(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+_CLEAR: dict[str, Callable[[], None]] = {}
+
+
+def alone(owner: str, clear: Callable[[], None]) -> None:
+    """Make a worker forget what the other operators remember in it: workers are used again by later stages."""
+    for name, other in _CLEAR.items():
+        if name != owner:
+            other()
+    _CLEAR[owner] = clear
+
+
 class WordHashes(dict):
     """64-bit hashes of words, forgotten all at once when they are too many."""
 

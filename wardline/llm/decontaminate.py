@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardline.llm.common import Scratch, WordHashes, alnum_words, map_batches, row_numbers, shingle_hashes
+from wardline.llm.common import Scratch, WordHashes, alnum_words, alone, map_batches, row_numbers, shingle_hashes
 
 TABLE_BITS = 26
 _HASHES = WordHashes()
@@ -73,6 +73,7 @@ def _runs(docs: DataFrame, table: np.ndarray, sizes: list[int], least: int, key:
     sent = docs.sparkSession.sparkContext.broadcast(table)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("decontaminate", _HASHES.clear)
         bits, first, part = sent.value, 0, TaskContext.get().partitionId()
         for batch in batches:
             counts, runs = [], []

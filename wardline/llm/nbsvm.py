@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.common import Scratch, map_batches, utf8
+from wardline.llm.common import Scratch, alone, map_batches, utf8
 
 BUCKETS = 1 << 18
 SHARD_ROWS = 4096
@@ -167,6 +167,7 @@ def fit(
     scratch = Scratch(spark, "nbsvm")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("nbsvm", _MEMO.clear)
         for batch in batches:
             found = [features(t, buckets).astype(np.int32) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32())), batch.column(2)], ["y", "found", "part"])
@@ -244,6 +245,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     at = len(columns)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("nbsvm", _MEMO.clear)
         for batch in batches:
             found = pa.array([told.value.score(t) for t in batch.column(at).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], found], [*columns, "score"])

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.common import Scratch, WordHashes, map_batches, row_numbers, shingle_hashes, spaced_words
+from wardline.llm.common import Scratch, WordHashes, alone, map_batches, row_numbers, shingle_hashes, spaced_words
 from wardline.llm.components import components
 
 SLOTS = 120
@@ -98,6 +98,7 @@ def sketch(docs: DataFrame, words: int, threshold: float, key: str, text: str) -
     n_bands, width = bands_for(threshold)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("near", _HASHES.clear)
         first, part = 0, TaskContext.get().partitionId()
         for batch in batches:
             sizes, nodes, bands = [], [], []
@@ -137,6 +138,7 @@ def _sets(docs: DataFrame, needed: DataFrame, words: int, key: str, text: str) -
     sent = docs.sparkSession.sparkContext.broadcast(_bits(needed.select(F.xxhash64("key").alias("h"))))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("near", _HASHES.clear)
         bits = sent.value
         for batch in batches:
             at = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(38)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.llm.bpe import chunks
-from wardline.llm.common import local_fs, map_batches, small_batches
+from wardline.llm.common import alone, local_fs, map_batches, small_batches
 
 MAGIC = b"PFB1"
 BLOCK = 128
@@ -285,6 +285,7 @@ def encode(docs: DataFrame, path: str, end_id: int = 0, key: str = "doc_id", tex
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = id_memo(path)
+        alone(f"ids {path}", memo.memo.clear)
         end = struct.pack("<I", end_id)
         for batch in batches:
             ids = [i + end for i in memo.encode(batch.column(1).to_pylist())]
@@ -306,6 +307,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = 0, percentile:
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, memo, end = TaskContext.get().partitionId(), id_memo(path), struct.pack("<I", end_id)
+        alone(f"ids {path}", memo.memo.clear)
         store, at = local_fs(folder)
         store.create_dir(at, recursive=True)
         name, kept = f"part-{part:06d}.pfb", f"{at}/.{part:06d}-{uuid.uuid4().hex}"
