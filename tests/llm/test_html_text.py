@@ -24,6 +24,19 @@ def test_pages(page, blocks):
     assert html_text.main_blocks(page) == blocks
 
 
+@pytest.mark.parametrize(
+    "wrapper", ["content has-sidebar", "no-sidebar", "no-comments", "post legal", "related-work", "page_with_widgets", "layout sidebar-right"]
+)
+def test_a_wrapper_of_the_article_is_not_boilerplate(wrapper):
+    page = f"<nav><a>Home</a></nav><div class='{wrapper}'><div id=text><h1>T</h1>{P}<p>A<span class=share>Share</span>B</p>{P}</div></div><div class=sidebar>{P}</div>"
+    assert html_text.main_blocks(page)[-3:] == [TEXT, "AB", TEXT]
+
+
+def test_a_page_of_named_elements_only_has_text():
+    assert html_text.main_blocks(f"<div class=notice>{P}</div><div class=alert>{P}</div>") == [TEXT, TEXT]
+    assert html_text.main_blocks(f"<main>{P}<section class=related-work>{P}</section>{P}</main>") == [TEXT] * 3
+
+
 def test_short_paragraphs_count_like_their_neighbours():
     page = "<nav>" + "<a>link</a>" * 30 + "</nav><article>" + P * 3 + "<p>Er.</p>" * 5 + "</article>"
     assert html_text.main_blocks(page) == [TEXT] * 3 + ["Er."] * 5

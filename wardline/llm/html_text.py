@@ -4,7 +4,10 @@ A page becomes a list of text blocks, each with the path of tags from the root t
 are summed over all blocks of the page with one path and divided by their number, so that a short paragraph counts as
 much as the long ones beside it. Both ratios are smoothed over neighbouring blocks and fused by multiplication; blocks
 at or above a share of the ratios' standard deviation are the core. Elements that are never content (scripts, styles,
-forms, navigation, and those whose class, id or role names a menu, advert, notice, sidebar or comments) take no part.
+forms, navigation, hidden ones, and those whose role is one of these) take no part. Those whose class or id names a menu,
+advert, notice, sidebar or comments are left out of the core, unless they hold most of the page's text or there is no
+other text; names such as has-sidebar or no-comments say nothing. A thread of comments that is longer than all else on
+its page is therefore read as content.
 The smallest element that holds nearly all of the core is the article; its blocks are the text, headings and short
 ones included. Where that element is the body itself, only the core and the headings before it are.
 
@@ -47,56 +50,58 @@ _CLOSES_P = _BLOCK - frozenset("body caption dd dt head html legend li optgroup
 _NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|banner|sponsor(?:ed)?|promo(?:tion)?s?|menu|nav(?:bar|igation)?|breadcrumbs?|side-?bar|"
     r"widgets?|footer|site-?header|page-?header|masthead|cookies?|consent|gdpr|notices?|alert|pop-?up|modal|overlay|newsletter|subscribe|"
-    r"subscription|sign-?up|login|share|sharing|social|related|recommended|comments?|comment-?list|discuss(?:ion)?|disqus|responses?|replies|"
+    r"subscription|sign-?up|login|share|sharing|social|related(?![_-]works?(?:$|[_-]))|recommended|comments?|comment-?list|discuss(?:ion)?|disqus|responses?|replies|"
     r"respond|skip|toolbar|pagination|pager|copyright|legal|disclaimer)(?:$|[\s_-])"
 )
+#: Class names that say what a wrapper has or lacks, such as has-sidebar or no-comments.
+_SAYS = re.compile(r"(?:^|[_-])(?:has|no|with|without)[_-]")
 _ROLES = frozenset("navigation banner contentinfo complementary search alert dialog form menu menubar toolbar alertdialog".split())
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _MARK = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _SIGNS = re.compile(r"[,.;:!?…、。，！？¿¡]")
 
 
-def _boilerplate(name: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element and all inside it is never content."""
+def _boilerplate(name: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether an element and all inside it is never content, and whether its class or id names it as such."""
     if name in _NEVER or (name == "header" and not in_article):
-        return True
-    if not attributes:
-        return False
-    for key, value in _MARK.findall(attributes):
+        return True, False
+    named = False
+    for key, value in _MARK.findall(attributes) if attributes else ():
         key, value = key.lower(), value.strip("\"'").lower()
         if key in ("class", "id"):
-            if name not in ("body", "html", "main", "article") and _NAMES.search(value):
-                return True
+            if name not in ("body", "html", "main", "article") and any(_NAMES.search(v) and not _SAYS.search(v) for v in value.split()):
+                named = True
         elif key == "role":
             if value in _ROLES:
-                return True
+                return True, False
         elif value != "false" and name not in ("body", "html") and (key == "hidden" or value == "true"):
-            return True
-    return False
+            return True, False
+    return False, named
+
+
+def _text(words: list[tuple[int, str]]) -> str:
+    return " ".join(html.unescape("".join(w for _, w in words)).split())
 
 
 class _Page:
-    """The text blocks of a page: element, path and text of each."""
+    """The text blocks of a page: the words of each, with the elements that they are in."""
 
     def __init__(self, source: str):
         self.parent, self.names, self.barred, self.paths = [-1], [""], [False], [""]
-        self.blocks: list[tuple[int, str]] = []
+        self.named = [0]  # the innermost element with a boilerplate name that an element is or is in
+        self.blocks: list[list[tuple[int, str]]] = []
         self.open = [0]
-        self.words: list[str] = []
-        self.at = 0  # the element that the waiting words are in
+        self.words: list[tuple[int, str]] = []
         self._read(source)
 
     def _say(self, text: str) -> None:
         if not self.barred[self.open[-1]]:
-            if not self.words:
-                self.at = self.open[-1]
-            self.words.append(text)
+            self.words.append((self.open[-1], text))
 
     def _break(self) -> None:
         if self.words:
-            text = " ".join(html.unescape("".join(self.words)).split())
-            if text:
-                self.blocks.append((self.at, text))
+            if _text(self.words):
+                self.blocks.append(self.words)
             self.words = []
 
     def _close(self, k: int) -> None:
@@ -130,10 +135,11 @@ class _Page:
                 self._say(" " if name == "br" else "")
             return
         above = open_[-1]
-        barred = self.barred[above] or _boilerplate(name, attributes, any(names[e] in ("article", "main") for e in open_))
+        barred, named = _boilerplate(name, attributes, any(names[e] in ("article", "main") for e in open_))
         self.parent.append(above)
         self.names.append(name)
-        self.barred.append(barred)
+        self.barred.append(self.barred[above] or barred)
+        self.named.append(len(self.named) if named else self.named[above])
         self.paths.append(f"{self.paths[above]}/{name}")
         open_.append(len(self.parent) - 1)
 
@@ -176,26 +182,57 @@ def _smooth(values: np.ndarray) -> np.ndarray:
     return 0.25 * edges[:-2] + 0.5 * edges[1:-1] + 0.25 * edges[2:]
 
 
+def _kept(page: _Page) -> list[list[tuple[int, str]]]:
+    """The words of each block that are in no element with a boilerplate name. An element counts as named only if it
+    holds no more than half of the page's text, and no more than half of its signs or less than a third of its text;
+    where nothing else is left, none does."""
+    mass = {0: [0, 0]}
+    for words in page.blocks:
+        for element, word in words:
+            chars, signs, e = len("".join(word.split())), len(_SIGNS.findall(word)), element
+            while True:
+                e = page.named[e]
+                own = mass.setdefault(e, [0, 0])
+                own[0] += chars
+                own[1] += signs
+                if not e:
+                    break
+                e = page.parent[e]
+    chars, signs = mass[0]
+    gone = {0: False}
+    for e in sorted(mass)[1:]:
+        own = mass[e]
+        most = 2 * own[0] > chars or (2 * own[1] > signs and 3 * own[0] >= chars)
+        gone[e] = not most or gone.get(page.named[page.parent[e]], False)
+    kept = [[(e, w) for e, w in words if not gone[page.named[e]]] for words in page.blocks]
+    return kept if any(map(_text, kept)) else page.blocks
+
+
 def main_blocks(source: str | None, share: float = 0.5, held: float = 0.75) -> list[str]:
     """The texts of a page's content blocks. `share` of the standard deviation is the threshold of the fused ratios;
     the article holds `held` of the core's text."""
     if not source:
         return []
     page = _Page(source)
-    blocks = page.blocks
-    if not blocks:
+    if not page.blocks:
         return []
+    every = [(words[0][0], _text(words)) for words in page.blocks]
     sums: dict[str, list[int]] = {}
-    for element, text in blocks:
+    for element, text in every:
         own = sums.setdefault(page.paths[element], [0, 0, 0])
         own[0] += len(text)
         own[1] += len(_SIGNS.findall(text))
         own[2] += 1
     ratio = {path: (chars / n, signs / n) for path, (chars, signs, n) in sums.items()}
-    length = _smooth(np.array([ratio[page.paths[e]][0] for e, _ in blocks]))
-    signs = _smooth(np.array([ratio[page.paths[e]][1] for e, _ in blocks]))
+    length = _smooth(np.array([ratio[page.paths[e]][0] for e, _ in every]))
+    signs = _smooth(np.array([ratio[page.paths[e]][1] for e, _ in every]))
     fused = length * (1 + signs)
-    core = fused >= share * fused.std()
+    least = share * fused.std()
+    # names are evidence besides the ratios, which all blocks have a part in
+    left = [(own, words[0][0], text) for own, words in zip(fused, _kept(page), strict=True) if (text := _text(words))]
+    blocks = [(element, text) for _, element, text in left]
+    fused = np.array([own for own, _, _ in left])
+    core = fused >= least
     if not core.any():
         core = fused >= fused.max()
     # text of the core inside each element
