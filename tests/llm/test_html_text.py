@@ -37,6 +37,20 @@ def test_a_page_of_named_elements_only_has_text():
     assert html_text.main_blocks(f"<main>{P}<section class=related-work>{P}</section>{P}</main>") == [TEXT] * 3
 
 
+@pytest.mark.parametrize(
+    ("page", "blocks"),
+    [
+        (f"<body><main><section>{P * 8}</section><section><h2>S</h2>{P * 2}<p>x</p></section></main></body>", [TEXT] * 8 + ["S", TEXT, TEXT, "x"]),
+        (f"<body><section>{P * 8}</section><section><h2>S</h2>{P * 2}<ul><li>x</ul></section><p>y</body>", [TEXT] * 8 + ["S", TEXT, TEXT, "x"]),
+        (f"<article><h1>T</h1><div>By N</div><div class=body>{P * 4}</div><div>End</div></article>", ["T", "By N", *[TEXT] * 4, "End"]),
+        (f"<div><a>Site</a></div><div><h1><b>T</b></h1><div>By N</div><div class=body>{P * 4}</div></div>", ["T", "By N", *[TEXT] * 4]),
+        (f"<body><h1>Site</h1><div>Links</div><h1>T</h1><p>Lead.</p><div>{P * 4}</div></body>", ["T", "Lead.", *[TEXT] * 4]),
+    ],
+)
+def test_nothing_of_the_article_is_dropped(page, blocks):
+    assert html_text.main_blocks(page) == blocks
+
+
 def test_short_paragraphs_count_like_their_neighbours():
     page = "<nav>" + "<a>link</a>" * 30 + "</nav><article>" + P * 3 + "<p>Er.</p>" * 5 + "</article>"
     assert html_text.main_blocks(page) == [TEXT] * 3 + ["Er."] * 5

@@ -8,8 +8,10 @@ forms, navigation, hidden ones, and those whose role is one of these) take no pa
 advert, notice, sidebar or comments are left out of the core, unless they hold most of the page's text or there is no
 other text; names such as has-sidebar or no-comments say nothing. A thread of comments that is longer than all else on
 its page is therefore read as content.
-The smallest element that holds nearly all of the core is the article; its blocks are the text, headings and short
-ones included. Where that element is the body itself, only the core and the headings before it are.
+The smallest element that holds all of the core, or the article element around it, is the article; its blocks are the
+text, headings and short ones included. Where that element is the body itself, each of the body's elements with some of
+the core has its own. Headings before the kept come along, as do the blocks between: paragraphs, or all from a heading
+on that stands beside the kept element.
 
 Results: one row per input row. A null or empty page, and one without any text, gives an empty text. Broken markup is
 read as browsers do for the common cases: open paragraphs, items and cells end where the next one begins, and an end
@@ -35,6 +37,8 @@ _BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table "
     "tbody td tfoot th thead tr ul".split()
 )
+_ROOTS = frozenset(("", "html", "body"))
+_PARTS = frozenset("p li td th tr tbody ul ol dd dt blockquote pre".split())
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 _NEVER = frozenset(
     "nav aside footer form button select option input label fieldset menu dialog head object canvas audio video map datalist".split()
@@ -175,6 +179,45 @@ class _Page:
         self._break()
 
 
+    def block(self, element: int) -> int:
+        """The innermost block element that an element is or is in."""
+        while element and self.names[element] not in _BLOCK:
+            element = self.parent[element]
+        return element
+
+    def holder(self, element: int, containers: set[int]) -> int:
+        """The container that an element is or is in, or -1."""
+        while element >= 0 and element not in containers:
+            element = self.parent[element]
+        return element
+
+    def containers(self, places: list[int]) -> list[int]:
+        """The smallest elements that hold all of the given block elements; below the body, one for each of its own
+        elements that holds some."""
+        common = places[0]
+        for e in places[1:]:
+            while common != e:
+                if common > e:
+                    common = self.parent[common]
+                else:
+                    e = self.parent[e]
+        if self.names[common] in _ROOTS:
+            groups: dict[int, list[int]] = {}
+            for e in places:
+                top = e
+                while top != common and self.parent[top] != common:
+                    top = self.parent[top]
+                if top != common:
+                    groups.setdefault(top, []).append(e)
+            return [c for own in groups.values() for c in self.containers(own)]
+        while (self.names[common] in _PARTS or self.names[common] in _HEADINGS) and self.names[self.parent[common]] not in _ROOTS:
+            common = self.parent[common]  # one long block is not the whole article
+        article = common
+        while article and self.names[article] != "article":
+            article = self.parent[article]
+        return [article or common]
+
+
 def _smooth(values: np.ndarray) -> np.ndarray:
     if len(values) < 3:
         return values
@@ -208,9 +251,8 @@ def _kept(page: _Page) -> list[list[tuple[int, str]]]:
     return kept if any(map(_text, kept)) else page.blocks
 
 
-def main_blocks(source: str | None, share: float = 0.5, held: float = 0.75) -> list[str]:
-    """The texts of a page's content blocks. `share` of the standard deviation is the threshold of the fused ratios;
-    the article holds `held` of the core's text."""
+def main_blocks(source: str | None, share: float = 0.5) -> list[str]:
+    """The texts of a page's content blocks. `share` of the standard deviation is the threshold of the fused ratios."""
     if not source:
         return []
     page = _Page(source)
@@ -235,29 +277,29 @@ def main_blocks(source: str | None, share: float = 0.5, held: float = 0.75) -> l
     core = fused >= least
     if not core.any():
         core = fused >= fused.max()
-    # text of the core inside each element
-    inside: dict[int, int] = {}
-    for (element, text), own in zip(blocks, core, strict=True):
-        while own and element >= 0:
-            inside[element] = inside.get(element, 0) + len(text)
-            element = page.parent[element]
-    total = inside.get(0, 0)
-    article = max((e for e, n in inside.items() if n >= held * total and page.names[e] in _BLOCK | {""}), key=lambda e: (len(page.paths[e].split("/")), e))
-    while page.names[article] in ("p", "li", "td", "th", "tr", "tbody", "ul", "ol", "dd", "dt", "blockquote", "pre") or page.names[article] in _HEADINGS:
-        article = page.parent[article]  # one long block is not the whole article
-    if page.names[article] in ("", "html", "body"):
-        keep = core.copy()
-        for k in range(len(blocks) - 1, 0, -1):
-            if keep[k] and page.names[blocks[k - 1][0]] in _HEADINGS:
-                keep[k - 1] = True
-        return [text for (_, text), own in zip(blocks, keep, strict=True) if own]
-
-    def within(element: int) -> bool:
-        while element > article:
-            element = page.parent[element]
-        return element == article
-
-    return [text for element, text in blocks if within(element)]
+    places = [page.block(element) for element, _ in blocks]
+    containers = set(page.containers([place for place, own in zip(places, core, strict=True) if own]))
+    holders = [page.holder(place, containers) for place in places]
+    keep = core | (np.array(holders) >= 0)
+    heading = [page.names[place] in _HEADINGS for place in places]
+    beside: dict[int, int] = {}  # the first heading among the elements of each
+    for k, place in enumerate(places):
+        if heading[k]:
+            beside.setdefault(page.parent[place], k)
+    for k in range(1, len(blocks)):
+        if not keep[k] or keep[k - 1]:
+            continue
+        # headings and leads before the kept: those in a row, and all from a heading beside the container on
+        first = k
+        at = k - 1
+        while at >= 0 and not keep[at] and (heading[at] or page.names[places[at]] == "p"):
+            if heading[at]:
+                first = at
+            at -= 1
+        if holders[k] >= 0 and page.names[above := page.parent[holders[k]]] not in _ROOTS:
+            first = min(first, beside.get(above, first))
+        keep[first:k] = True
+    return [text for (_, text), own in zip(blocks, keep, strict=True) if own]
 
 
 def extract(pages: DataFrame, columns: list[str], source: str = "html") -> DataFrame:
