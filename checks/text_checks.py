@@ -102,6 +102,13 @@ def finding_id_and_fingerprint(spark, sf):
     )
 
 
+@check()
+def fingerprint_whole_text(spark, sf):
+    """The fingerprint of each whole document; held against brute force in the tests, as SQL is too slow on whole texts."""
+    name, signal = F.col("name"), F.lit("stealth_language")
+    return surfaces(spark, sf).select("doc_id", T.fingerprint(name, signal, F.col("text")).alias("fingerprint"))
+
+
 # ---- needles and wording ----
 
 _PATTERNS = Q.pattern_values(scan.DESCRIPTION_PATTERNS)

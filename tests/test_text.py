@@ -1,5 +1,7 @@
 from pyspark.sql import functions as F
 
+from checks.inputs import INPUTS
+from checks.registry import CHECKS
 from wardline.functions import severity as sev
 from wardline.functions import text as T
 
@@ -66,3 +68,20 @@ def test_scores_of_the_sequence_signals(spark):
     assert severity("session", "high", "none") == "medium"
     assert severity("session", "none", "none") == "low"
     assert severity("local", "none", "none") == "info"
+
+
+def test_whole_documents_are_fingerprinted(spark, tmp_path):
+    texts = ["", "a", "née 😀 " * 5000, "x" * 60 + "a", "x" * 60 + "b", None]
+    docs = spark.createDataFrame([(k, t, "en", "s") for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    held = spark.read.parquet(f"{tmp_path}/documents.parquet").selectExpr(*INPUTS["surfaces"][1]).collect()
+
+    def brute(name, text):
+        h = 0
+        for b in text.encode():
+            h = (h * 31 + b) % 2**32
+        return f"{name}/stealth_language/{h:08x}"
+
+    expected = {r.doc_id: brute(r.name, r.text) if r.text is not None else None for r in held}
+    got = {r.doc_id: r.fingerprint for r in CHECKS["fingerprint_whole_text"][0](spark, str(tmp_path)).collect()}
+    assert got == expected and got[3] != got[4] and len(got) == 6

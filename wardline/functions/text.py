@@ -95,13 +95,11 @@ def finding_id(tool: Column, signal: Column) -> Column:
 
 def fingerprint(tool: Column, signal: Column, matched: Column) -> Column:
     """Finding id plus a polynomial-31 checksum of the matched UTF-8 bytes; the id alone if nothing matched."""
-    raw = F.hex(matched)
     size = F.octet_length(matched)
     checksum = F.aggregate(
-        F.sequence(F.lit(1), size),
+        F.regexp_extract_all(F.hex(matched), F.lit(".."), F.lit(0)),  # one pass; substring() would count from the start each time
         F.lit(0).cast("bigint"),
-        lambda acc, i: (acc * 31 + F.conv(F.substring(raw, i * 2 - 1, F.lit(2)), 16, 10).cast("bigint"))
-        .bitwiseAND(F.lit(4294967295)),
+        lambda acc, pair: (acc * 31 + F.conv(pair, 16, 10).cast("bigint")).bitwiseAND(F.lit(4294967295)),
     )
     ident = finding_id(tool, signal)
     return F.when(size == 0, ident).otherwise(F.concat(ident, F.lit("/"), F.lpad(F.lower(F.hex(checksum)), 8, "0")))
