@@ -65,6 +65,28 @@ def test_lifecycle_state_lives_between_runs(spark, feed):
         (1, "tools_list_before_initialize"), (4, "second_initialize"), (6, "request_after_close")]
 
 
+def test_a_pause_does_not_end_a_session(spark, feed):
+    f = feed("session string, seq bigint, direction string, method string, ts string")
+    row = lambda session, seq, method, hour: (session, seq, "request", method, f"2026-01-01 {hour:02d}:00:00")
+    job = lambda s: jobs.lifecycle_stream(s.withWatermark("ts", "1 hour"))
+    out = f.run(job, [row("s", 1, "initialize", 0)], [row("t", 1, "initialize", 10)], [row("t", 2, "ping", 11)],
+                [row("s", 2, "tools/call", 12), row("s", 3, "initialize", 12)])
+    assert rows(out, "session", "seq", "violation") == [("s", 3, "second_initialize")]
+
+
+def test_a_session_is_walked_in_parts(spark, feed):
+    f = feed("session string, seq bigint, direction string, method string, ts string")
+    method = lambda seq: {20: "initialize", 40: "initialize"}.get(seq, "tools/call")
+    log = [("s", seq, "request", method(seq), "2026-01-01 00:00:00") for seq in range(50)] + [("s", 45, "closed", None, "2026-01-01 00:00:00")]
+    job = lambda s: jobs.lifecycle_stream(s.withWatermark("ts", "1 hour"))
+    expected = [(k, "tools_call_before_initialize") for k in range(20)] + [(40, "second_initialize")] + [(k, "request_after_close") for k in range(46, 50)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        assert sorted(rows(f.run(job, log[::-1]), "seq", "violation")) == expected
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_findings_come_once(spark, feed):
     f = feed("name string, description string, ts string")
     row = lambda name, second: (name, "you must, you must", f"2026-01-01 00:00:{second:02d}")
