@@ -47,6 +47,28 @@ def test_expected_counts_are_the_derivative():
         assert abs(slope @ times - got[i]) < 1e-3
 
 
+def test_expected_counts_of_long_words():
+    voc = lattice_lm.vocabulary(PATH)
+    logs = np.log(voc.weights / voc.weights.sum())
+    for word in ("thesea" * 300).encode(), ("日本語のテキスト" * 40).encode(), b"a" * 700, b"the", b"\xff":
+        true = lattice_lm.expected([word], np.ones(1), voc, logs)
+        for step in (1, 7, 300, 1 << 14):
+            got = np.zeros(len(true))
+            for piece, n in lattice_lm.expected_long(word, voc, logs.tolist(), step).items():
+                got[piece] += n
+            assert np.allclose(got, true)
+
+
+def test_long_words_are_fitted_over_their_lattices(spark):
+    some = [(("thesea" * 30).encode(), 2), (b"other", 1)]
+    counted = spark.createDataFrame([(bytearray(w), c, c) for w, c in some], "word binary, c long, n long")
+    logs, end = lattice_lm.fit(counted, 1, PATH, rounds=1)
+    voc = lattice_lm.vocabulary(PATH)
+    first = np.log(voc.weights / (voc.weights.sum() + max(1.0, 0.01 * voc.weights.sum())))
+    weights = 0.1 + lattice_lm.expected([w for w, _ in some], np.ones(2), voc, first)
+    assert np.allclose(logs, np.log(weights / (weights.sum() + 0.1))) and abs(end - math.log(0.1 / (weights.sum() + 0.1))) < 1e-9
+
+
 def base_scores(rows, train):
     own = {k: [*WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")), None] for k, t in rows}
     counts = Counter(w for k in train for w in own[k])

@@ -155,6 +155,57 @@ def expected(words: list[bytes], counts: np.ndarray, voc: Vocabulary, logs: np.n
     return np.bincount(p, share, len(voc.pieces))
 
 
+def _log_sum(terms: list[float]) -> float:
+    best = max(terms)
+    return best + math.log(sum(math.exp(t - best) for t in terms))
+
+
+def expected_long(word: bytes, voc: Vocabulary, logs: list[float], step: int = 1 << 14) -> dict[int, float]:
+    """Expected counts of the pieces in one word of any length. The forward recursion leaves its last values at every
+    `step` bytes; from the end on, each segment is run again from there, so one segment's arcs are held at a time."""
+    marked = (MARK + word).decode("latin-1")
+    reach = 255  # a piece has no more bytes
+
+    def arcs(low: int, high: int) -> Iterator[tuple[int, int]]:
+        """(end, code) of the arcs that end after `low`, and at `high` at the latest."""
+        begin = max(0, low - reach)
+        for last, code in voc.automaton.iter(marked[begin:high]):
+            if begin + last + 1 > low:
+                yield begin + last + 1, code
+
+    def ahead(tail: list[float], low: int, found) -> list[float]:
+        """Forward values of the places from `low - reach` on."""
+        table, base, place, terms = tail[:], low - reach, low + 1, []
+        for end, code in found:
+            if end != place:
+                table.append(_log_sum(terms))
+                place, terms = end, []
+            terms.append(table[end - (code >> 20) - base] + logs[code & 0xFFFFF])
+        table.append(_log_sum(terms))
+        return table
+
+    lows = range(0, len(marked), step)
+    tails = [[-math.inf] * reach + [0.0]]
+    for low in lows:
+        tails.append(ahead(tails[-1], low, arcs(low, min(low + step, len(marked))))[-reach - 1:])
+    whole = tails.pop()[-1]
+    out: dict[int, float] = {}
+    carry = [-math.inf] * reach + [0.0]  # backward values of the last places of the segment
+    for low in reversed(lows):
+        found = list(arcs(low, min(low + step, len(marked))))
+        table = ahead(tails.pop(), low, found)
+        back = [-math.inf] * (len(table) - len(carry)) + carry
+        base = low - reach
+        for end, code in reversed(found):
+            piece, start = code & 0xFFFFF, end - (code >> 20) - base
+            term = logs[piece] + back[end - base]
+            held = back[start]
+            back[start] = term if held == -math.inf else max(held, term) + math.log1p(math.exp(-abs(held - term)))
+            out[piece] = out.get(piece, 0.0) + math.exp(table[start] + term - whole)
+        carry = back[:reach + 1]
+    return out
+
+
 def _chunks(batches: Iterator[pa.RecordBatch], rows: int = 4096) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
@@ -198,16 +249,17 @@ def fit(words: DataFrame, n_ends: int, path: str, rounds: int = 2, floor: float
 
         def count(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             own, logs = vocabulary(path), sent.value
-            sums = np.zeros(len(own.pieces))
+            sums, listed = np.zeros(len(own.pieces)), None
             for batch in _chunks(batches):
                 found = batch.column(0).to_pylist()
                 counts = np.ones(len(found))  # new words are like the distinct words, not like the frequent ones
                 short = np.array([len(w) + len(MARK) <= LONG for w in found])
                 if short.any():
                     sums += expected([w for w in found if len(w) + len(MARK) <= LONG], counts[short], own, logs)
-                for k in np.flatnonzero(~short):  # a long word counts as its bytes between its longest pieces
-                    for piece in _longest(found[k], own):
-                        sums[piece] += counts[k]
+                for k in np.flatnonzero(~short):
+                    listed = listed or logs.tolist()
+                    for piece, share in expected_long(found[k], own, listed).items():
+                        sums[piece] += share * counts[k]
             at = np.flatnonzero(sums)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(sums[at])], ["piece", "n"])
 
@@ -227,20 +279,6 @@ def spelled(lp: np.ndarray, logs: np.ndarray, voc: Vocabulary, end: float) -> np
     return lp + math.log((mark + math.exp(end)) / mark)
 
 
-def _longest(word: bytes, voc: Vocabulary) -> list[int]:
-    """A cut of a long word into the longest pieces from the left."""
-    marked = (MARK + word).decode("latin-1")
-    best: dict[int, int] = {}
-    for last, code in voc.automaton.iter(marked):
-        start = last + 1 - (code >> 20)
-        best[start] = max(best.get(start, 0), code)
-    out, at = [], 0
-    while at < len(marked):
-        out.append(best[at] & 0xFFFFF)
-        at += best[at] >> 20
-    return out
-
-
 def score_words(words: DataFrame, logs: np.ndarray, end: float, path: str, total: int, kinds: int) -> DataFrame:
     """(word, c, n, lp): the natural log of each word's marginal probability, from `kinds` distinct training words
     among `total` training tokens."""
