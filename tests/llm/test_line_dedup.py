@@ -86,3 +86,22 @@ def test_odd_tables(table, odd_rows):
     kept = line_dedup.apply(table(odd_rows))
     assert kept.columns == table(odd_rows).columns
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [-9, 0, 1, 2, 3, 4, 4, 5, 7, 8]
+
+
+def test_the_queries_find_edited_short_lines(spark, tmp_path):
+    from wardline.llm import queries
+
+    docs = [(1, "a line of 27 characters xyz\nb"), (2, "c\na line of 27 charicters xyz"), (3, "a line of 2 characters xy"), (4, "twenty characters yz"), (5, "twenty charactes yz!")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op6_line_dedup(spark, str(tmp_path))
+    rows = sorted((r.doc_id, r.n_lines, list(r.dropped), list(r.copies_of)) for r in got.collect())
+    assert rows == brute(docs, near_chars=20) and rows != brute(docs)
+
+
+def test_agrees_with_brute_force_from_the_least_length(table):
+    draw = random.Random(5)
+    base = ["".join(draw.choice("abcdefgh ") for _ in range(draw.choice([15, 22, 30, 60]))) for _ in range(10)]
+    docs = [(k, "\n".join(edited(draw, draw.choice(base), draw.randrange(4)) for _ in range(draw.randrange(6)))) for k in range(30)]
+    _, got = line_dedup.find(table(docs).coalesce(1), near_chars=20)
+    rows = sorted(((r.key, r.n_lines, list(r.dropped), list(r.copies_of)) for r in got.collect()), key=repr)
+    assert rows == brute(docs, near_chars=20) and rows != brute(docs)

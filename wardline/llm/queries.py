@@ -58,7 +58,7 @@ def op5_pfor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, found = line_dedup.find(_table(spark, sf_dir, "documents"))
+    _, found = line_dedup.find(_table(spark, sf_dir, "documents"), near_chars=20)
     return found.select(
         F.col("key").alias("doc_id"), F.col("n_lines").cast("long").alias("n_lines"), F.size("dropped").cast("long").alias("n_dropped"),
         "dropped", "copies_of",
