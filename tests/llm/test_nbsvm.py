@@ -48,3 +48,17 @@ def test_odd_tables(spark, table, odd_rows, labels):
     scores = [r[-1] for r in got.collect()]
     assert len(scores) == len(odd_rows) and all(0 <= s <= 1 for s in scores)
     assert nbsvm.score(table([]), model).collect() == []
+
+
+def test_rows_of_one_key_keep_to_the_bound(spark, table, monkeypatch):
+    seen = []
+    curve = nbsvm.logistic
+    monkeypatch.setattr(nbsvm, "logistic", lambda margins, labels: seen.append(len(margins)) or curve(margins, labels))
+    rows, labels = corpus(100)
+    own = spark.createDataFrame(labels, "doc_id long, label int")
+    copies = table(rows + [rows[0]] * 600)
+    plain, hot = nbsvm.fit(table(rows), own, max_rows=100), nbsvm.fit(copies, own, max_rows=100)
+    assert np.array_equal(plain.ratios, hot.ratios) and seen[0] == seen[1]
+    several = table(rows + [(0, f"{rows[0][1]} {k}") for k in range(2000)])
+    nbsvm.fit(several, own, max_rows=100)
+    assert 0 < seen[2] <= 45

@@ -6,7 +6,8 @@ of the bucket's share in the two classes, rows are scaled to length 1, and a lin
 dual coordinate descent. Shards of the training rows are fitted apart and their weights averaged; margins become
 scores by a logistic curve fitted on labelled rows that the model has not seen.
 
-Training uses at most about `max_rows` labelled rows, chosen by the hash of their key (default 20 000), which bounds
+Training uses at most about `max_rows` labelled rows (default 20 000), chosen by the hash of their key and, where keys
+have many rows, by that of key and text; equal texts of a key are one row. Shards are dealt by key and text. This bounds
 all that reaches the driver or is sent to the workers: one row per bucket, one per calibration row, and the keys
 of the sample. Scoring covers every row.
 
@@ -172,9 +173,16 @@ def fit(
             found = [features(t, buckets).astype(np.int32) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32())), batch.column(2)], ["y", "found", "part"])
 
-    # the sample's keys and labels: max_rows rows at most
+    # the sample's keys and labels: max_rows of these at most
     picked = docs.select(key, text).join(F.broadcast(own), key)
-    part = F.pmod(F.xxhash64(F.lit("part"), F.col(key)), F.lit(5 * 1009)).cast("int")
+    n_rows = docs.select(key).join(F.broadcast(own), key).count()
+    if n_rows > max_rows * 5 // 4:  # keys with many rows: as many of their distinct texts as fit the bound
+        kinds = picked.select(F.xxhash64(key, text).alias("h")).distinct().count()
+        if kinds > max_rows:
+            least = F.lit(int(max_rows / kinds * (1 << 32)))
+            picked = picked.where(F.pmod(F.xxhash64(F.lit("row"), F.col(key), F.col(text)), F.lit(1 << 32)) < least)
+    picked = picked.distinct()  # equal texts of a key are one row
+    part = F.pmod(F.xxhash64(F.lit("part"), F.col(key), F.col(text)), F.lit(5 * 1009)).cast("int")
     rows = scratch.stage(map_batches(picked.select(F.col("__y").cast("int").alias("y"), text, part.alias("part")), cut, "y int, found array<int>, part int"), "rows")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
