@@ -96,6 +96,30 @@ def stream_pair_replies(spark, sf):
     return pairs.select("session", "seq", "id", F.unix_micros("reply_ts").alias("reply_micros"))
 
 
+@check(f"""WITH {log_checks._RPC_LOG} SELECT q.session, q.seq, q.id, coalesce(epoch_us(r.ts), -1) AS reply_micros,
+    CASE WHEN r.ts IS NULL THEN 'silent' ELSE 'answered' END AS status
+  FROM log q LEFT JOIN log r ON r.direction = 'response' AND r.session = q.session AND r.id = q.id
+    AND r.ts >= q.ts AND r.ts <= q.ts + INTERVAL 5 SECONDS WHERE q.direction = 'request' AND q.id IS NOT NULL""")
+def stream_pair_replies_and_silence(spark, sf):
+    """Answered and silent requests over a stream. Rows of a later time close it, so that the watermark passes all others."""
+    events = stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    delay = F.floor(F.col("value") * 100).cast("bigint") * 1000
+    number = (F.col("event_id") % 5).cast("string")
+    own, end = (F.col("user_id") % 7).cast("string"), F.lit("closing")
+    entry = lambda session, kind, id_, ts: F.struct(
+        session.alias("session"), F.lit(kind).alias("direction"), id_.alias("id"), ts.alias("ts"))
+    answered = (F.col("event_type") != "error") & F.col("value").isNotNull()
+    request = entry(own, "request", F.when(F.col("event_id") % 10 != 0, number), F.col("ts"))
+    reply = entry(own, "response", number, F.timestamp_micros(F.unix_micros("ts") + delay))
+    later = F.col("ts") + F.expr("INTERVAL 3650 DAYS")
+    closing = [entry(end, kind, F.concat(F.lit(kind), F.col("event_id").cast("string")), later) for kind in ("request", "response")]
+    log = events.select(
+        F.col("event_id").alias("seq"), F.explode(F.when(answered, F.array(request, reply, *closing)).otherwise(F.array(request, *closing))).alias("e"),
+    ).select("seq", "e.*")
+    pairs = run_available(jobs.pair_reply_stream(log)).where("session != 'closing'")
+    return pairs.select("session", "seq", "id", F.coalesce(F.unix_micros("reply_ts"), F.lit(-1)).alias("reply_micros"), "status")
+
+
 @check(f"WITH {Q.surfaces_findings()} SELECT DISTINCT tool_name, signal FROM findings")
 def stream_once_per_finding(spark, sf):
     """Each finding once per name and signal over a stream of surfaces."""

@@ -103,3 +103,14 @@ def test_call_stream_against_a_static_baseline(spark, feed):
                 [row(0, "t", '{"a":1}')], [row(1, "t", '{"a":"/etc/passwd"}'), row(2, "u", "{}")])
     assert rows(out, "step", "signal") == [
         (1, "cross_tool_contamination"), (1, "runtime_credential_access"), (2, "unexpected_tool_sequence")]
+
+
+def test_the_stream_of_pairs_is_compared_with_its_silent_rows(spark):
+    from checks.registry import CHECKS
+
+    sf = "/root/testdata/sf0.001"
+    got = CHECKS["stream_pair_replies_and_silence"][0](spark, sf)
+    batch = CHECKS["pair_replies"][0](spark, sf).where("status != 'no_reply_due'")
+    keys = ("session", "seq", "status")
+    assert set(rows(got, *keys)) == set(rows(batch, *keys))
+    assert got.where("status = 'silent'").count() == batch.where("status = 'silent'").count() > 0
