@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import bpe, collision_nn, decontaminate, html_text, lattice_lm, line_dedup, nbsvm, near_dedup, pfor, warc
+from wardline.llm import (
+    bpe, collision_nn, decontaminate, html_text, lattice_lm, line_dedup, nbsvm, near_dedup, pfor, token_counts, warc,
+)
 from wardline.llm.common import Scratch, hashed_out
 
 
@@ -88,6 +90,10 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_lattice": op2_lattice,
@@ -99,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_superminhash": op8_superminhash,
     "op9_bpe": op9_bpe,
     "op10_html_text": op10_html_text,
+    "op13_token_counts": op13_token_counts,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
