@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 import public_tokenizers
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.llm import (
-    bpe, collision_nn, decontaminate, html_text, lattice_lm, line_dedup, nbsvm, near_dedup, pfor, token_counts, warc,
+    bpe, collision_nn, decontaminate, html_text, lattice_lm, line_dedup, merkle, nbsvm, near_dedup, pfor, token_counts, warc,
 )
 from wardline.llm.common import Scratch, hashed_out
 
@@ -90,6 +91,25 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    leaf = lambda text: merkle.leaf_digest(*[F.col(c) for c in fields[:-1]], text)
+    lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    rows = docs.select(
+        F.col("doc_id").alias("key"), F.col("source").alias("group"), leaf(F.col("text")).alias("leaf"),
+        F.when(hashed_out("doc_id", 5) == 0, leaf(lowered)).alias("tampered"),
+    )
+    manifest = merkle.build(rows, claim="tampered")
+    root = F.lit(manifest.root and manifest.root.hex()).cast("string")
+    folded = merkle.prove(manifest).select(
+        F.col("key").alias("doc_id"), merkle.hexed(F.col("leaf")).alias("leaf"), merkle.hexed(F.col("subroot")).alias("subroot"),
+        root.alias("root"), merkle.siblings_digest(F.col("path")).alias("proof_sha256"),
+        merkle.fold(F.coalesce("claim", "leaf"), F.col("path")).alias("folded_root"),
+    )
+    return folded.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -105,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_superminhash": op8_superminhash,
     "op9_bpe": op9_bpe,
     "op10_html_text": op10_html_text,
+    "op12_merkle": op12_merkle,
     "op13_token_counts": op13_token_counts,
 }
 
@@ -149,4 +170,48 @@ SQL: dict[str, str] = {
         SELECT c.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, c.doc_id = component_id AS kept
         FROM c LEFT JOIN n ON n.doc_id = c.doc_id
     """,
+    "op12_merkle": r"""
+        WITH RECURSIVE f AS (
+            SELECT doc_id, source, text,
+                coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+                    || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head,
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+                list_reduce(list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: ascii(substr(CAST(doc_id AS VARCHAR), i, 1))::BIGINT),
+                    lambda c, b: list_reduce(range(8), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)), xor(c, b)), 4294967295::BIGINT) AS crc
+            FROM documents),
+        d AS (
+            SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+                CASE WHEN xor(crc, 4294967295) % 5 = 0 THEN sha256(head || coalesce(strlen(low) || ':' || low, '-')) END AS tampered
+            FROM f),
+        r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS m FROM d),
+        lv(source, k, i, m, h) AS (
+            SELECT source, 0, i, m, leaf FROM r
+            UNION ALL
+            SELECT source, k + 1, i // 16, (m + 15) // 16, sha256(string_agg(h, '' ORDER BY i)) FROM lv WHERE m > 1 GROUP BY source, k, i // 16, m),
+        s AS (SELECT source, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS m FROM lv WHERE m = 1),
+        up(k, i, m, h) AS (
+            SELECT 0, i, m, subroot FROM s
+            UNION ALL
+            SELECT k + 1, i // 16, (m + 15) // 16, sha256(string_agg(h, '' ORDER BY i)) FROM up WHERE m > 1 GROUP BY k, i // 16, m),
+        lside AS (SELECT source, k, i,
+            coalesce(string_agg(h, '') OVER (PARTITION BY source, k, i // 16 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+            coalesce(string_agg(h, '') OVER (PARTITION BY source, k, i // 16 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+            FROM lv WHERE m > 1),
+        uside AS (SELECT k, i,
+            coalesce(string_agg(h, '') OVER (PARTITION BY k, i // 16 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+            coalesce(string_agg(h, '') OVER (PARTITION BY k, i // 16 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+            FROM up WHERE m > 1),
+        steps AS (
+            SELECT r.source, r.i, z.k, z.l, z.r FROM r JOIN lside z ON z.source IS NOT DISTINCT FROM r.source AND z.i = r.i >> (4 * z.k)
+            UNION ALL
+            SELECT r.source, r.i, 100 + z.k, z.l, z.r FROM r JOIN s ON s.source IS NOT DISTINCT FROM r.source JOIN uside z ON z.i = s.i >> (4 * z.k)),
+        p AS (SELECT source, i, list(l ORDER BY k) AS l, list(r ORDER BY k) AS r FROM steps GROUP BY source, i),
+        q AS (
+            SELECT doc_id, leaf, subroot, (SELECT h FROM up WHERE m = 1) AS root,
+                sha256(coalesce(array_to_string(list_transform(range(1, len(p.l) + 1), lambda x: p.l[x] || p.r[x]), ''), '')) AS proof_sha256,
+                coalesce(list_reduce(list_prepend(coalesce(tampered, leaf), list_transform(range(1, len(p.l) + 1), lambda x: p.l[x] || '/' || p.r[x])),
+                    lambda h, x: sha256(split_part(x, '/', 1) || h || split_part(x, '/', 2))), coalesce(tampered, leaf)) AS folded_root
+            FROM r JOIN s ON s.source IS NOT DISTINCT FROM r.source LEFT JOIN p ON p.source IS NOT DISTINCT FROM r.source AND p.i = r.i)
+        SELECT *, folded_root = root AS verified FROM q
+    """,
 }
