@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.llm import (
-    bpe, collision_nn, decontaminate, html_text, lattice_lm, line_dedup, merkle, nbsvm, near_dedup, pfor, token_counts, warc,
+    bpe, collision_nn, decontaminate, html_text, lattice_lm, line_dedup, merkle, nbsvm, near_dedup, pfor, token_align, token_counts, warc,
 )
 from wardline.llm.common import Scratch, hashed_out
 
@@ -91,6 +91,11 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+def op11_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return token_align.report(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     fields = ["doc_id", "source", "lang", "n_chars", "text"]
@@ -125,6 +130,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_superminhash": op8_superminhash,
     "op9_bpe": op9_bpe,
     "op10_html_text": op10_html_text,
+    "op11_token_align": op11_token_align,
     "op12_merkle": op12_merkle,
     "op13_token_counts": op13_token_counts,
 }
