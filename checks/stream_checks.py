@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from checks import log_checks, text_checks
 from checks import sql as Q
 from checks.inputs import INPUTS, source
-from wardline.streaming import jobs
+from wardline.streaming import jobs, keyed
 from wardline.streaming.run import run_available
 
 CHECKS: dict = {}
@@ -72,7 +72,7 @@ def stream_definition_drift(spark, sf):
 def stream_lifecycle_violations(spark, sf):
     """Order violations over a stream of requests."""
     log = stream(spark, sf, "rpc_requests").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour")
-    return run_available(jobs.lifecycle_stream(log)).select("session", "seq", "violation")
+    return run_available(keyed.lifecycle_stream(log)).select("session", "seq", "violation")
 
 
 @check(f"""WITH {log_checks._RPC_LOG} SELECT q.session, q.seq, q.id, epoch_us(r.ts) AS reply_micros
@@ -92,7 +92,7 @@ def stream_pair_replies(spark, sf):
         (F.col("user_id") % 7).cast("string").alias("session"), F.col("event_id").alias("seq"),
         F.explode(F.when(answered, F.array(request, reply)).otherwise(F.array(request))).alias("e"),
     ).select("session", "seq", "e.*")
-    pairs = run_available(jobs.pair_reply_stream(log)).where("status = 'answered'")
+    pairs = run_available(jobs.reply_matches_stream(log)).where("status = 'answered'")
     return pairs.select("session", "seq", "id", F.unix_micros("reply_ts").alias("reply_micros"))
 
 
@@ -116,7 +116,7 @@ def stream_pair_replies_and_silence(spark, sf):
     log = events.select(
         F.col("event_id").alias("seq"), F.explode(F.when(answered, F.array(request, reply, *closing)).otherwise(F.array(request, *closing))).alias("e"),
     ).select("seq", "e.*")
-    pairs = run_available(jobs.pair_reply_stream(log)).where("session != 'closing'")
+    pairs = run_available(jobs.reply_matches_stream(log)).where("session != 'closing'")
     return pairs.select("session", "seq", "id", F.coalesce(F.unix_micros("reply_ts"), F.lit(-1)).alias("reply_micros"), "status")
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import rows
-from wardline.streaming import jobs
+from wardline.streaming import jobs, keyed
 from wardline.streaming.run import run_available
 
 
@@ -38,7 +38,7 @@ def test_replies_and_silence(spark, feed):
     one = [("s", 1, "request", "a", at(0)), ("s", 2, "request", "b", at(1)), ("s", 3, "request", None, at(2))]
     two = [("s", 4, "response", "a", at(4)), ("s", 5, "response", "b", at(9))]
     late = [("s", 6, "request", "z", at(600)), ("s", 7, "response", "y", at(600))]
-    out = f.run(jobs.pair_reply_stream, one, two, late, [("s", 8, "request", "w", at(700)), ("s", 9, "response", "v", at(700))])
+    out = f.run(jobs.reply_matches_stream, one, two, late, [("s", 8, "request", "w", at(700)), ("s", 9, "response", "v", at(700))])
     got = {(r.seq, r.status) for r in out.collect()}
     assert {(1, "answered"), (2, "silent")} <= got and not any(s == 3 for s, _ in got)
 
@@ -58,7 +58,7 @@ def test_drift_against_the_stored_listing(spark, feed):
 def test_lifecycle_state_lives_between_runs(spark, feed):
     f = feed("session string, seq bigint, direction string, method string, ts string")
     row = lambda seq, method, direction="request": ("s", seq, direction, method, "2026-01-01 00:00:00")
-    job = lambda s: jobs.lifecycle_stream(s.withWatermark("ts", "1 hour"))
+    job = lambda s: keyed.lifecycle_stream(s.withWatermark("ts", "1 hour"))
     out = f.run(job, [row(1, "tools/list"), row(2, "initialize")], [row(3, "tools/call"), row(4, "initialize")],
                 [row(5, None, "closed"), row(6, "ping")])
     assert rows(out, "seq", "violation") == [
@@ -68,7 +68,7 @@ def test_lifecycle_state_lives_between_runs(spark, feed):
 def test_a_pause_does_not_end_a_session(spark, feed):
     f = feed("session string, seq bigint, direction string, method string, ts string")
     row = lambda session, seq, method, hour: (session, seq, "request", method, f"2026-01-01 {hour:02d}:00:00")
-    job = lambda s: jobs.lifecycle_stream(s.withWatermark("ts", "1 hour"))
+    job = lambda s: keyed.lifecycle_stream(s.withWatermark("ts", "1 hour"))
     out = f.run(job, [row("s", 1, "initialize", 0)], [row("t", 1, "initialize", 10)], [row("t", 2, "ping", 11)],
                 [row("s", 2, "tools/call", 12), row("s", 3, "initialize", 12)])
     assert rows(out, "session", "seq", "violation") == [("s", 3, "second_initialize")]
@@ -78,7 +78,7 @@ def test_a_session_is_walked_in_parts(spark, feed):
     f = feed("session string, seq bigint, direction string, method string, ts string")
     method = lambda seq: {20: "initialize", 40: "initialize"}.get(seq, "tools/call")
     log = [("s", seq, "request", method(seq), "2026-01-01 00:00:00") for seq in range(50)] + [("s", 45, "closed", None, "2026-01-01 00:00:00")]
-    job = lambda s: jobs.lifecycle_stream(s.withWatermark("ts", "1 hour"))
+    job = lambda s: keyed.lifecycle_stream(s.withWatermark("ts", "1 hour"))
     expected = [(k, "tools_call_before_initialize") for k in range(20)] + [(40, "second_initialize")] + [(k, "request_after_close") for k in range(46, 50)]
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
     try:

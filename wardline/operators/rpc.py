@@ -160,5 +160,9 @@ def pair_replies(
     reply = F.min_by(F.when(~F.col("_request"), F.col("ts")), F.when(~F.col("_request"), F.col("_at"))).over(back)
     near = F.unix_micros(reply.cast("timestamp")) - F.col("_at") <= reach
     paired = placed.withColumn("reply_ts", F.when(near, reply))
-    status = F.when(F.col("id").isNull(), "no_reply_due").when(F.col("reply_ts").isNull(), "silent").otherwise("answered")
-    return paired.where("_request").select(*session, "seq", "id", "ts", "reply_ts", status.alias("status"))
+    return paired.where("_request").select(*session, "seq", "id", "ts", "reply_ts").withColumn("status", reply_status())
+
+
+def reply_status() -> Column:
+    """'answered', 'silent' or 'no_reply_due', from columns id and reply_ts."""
+    return F.when(F.col("id").isNull(), "no_reply_due").when(F.col("reply_ts").isNull(), "silent").otherwise("answered")

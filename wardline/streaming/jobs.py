@@ -1,21 +1,16 @@
 """The same computations over streams.
 
-Stateless jobs are the batch functions on a streaming DataFrame. Where state is
-needed, the key is the finest that the rule allows, so no key holds a whole
-server or log, and watermarks or timeouts let go of old state.
+These jobs are the batch functions on a streaming DataFrame, or joins and
+duplicates under a watermark; ``keyed`` has those that keep state by key. Keys
+are the finest that the rule allows, so no key holds a whole server or log.
 """
 
 from __future__ import annotations
 
-import pickle
-import tempfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from wardline.operators.definitions import scan_tools
 from wardline.operators.drift import definition_drift
@@ -56,10 +51,12 @@ def drift_stream(base: DataFrame, listings: DataFrame, server: str = "server") -
     return definition_drift(base, listings, group=(server,))
 
 
-def pair_reply_stream(log: DataFrame, late: str = "10 seconds", seconds: int = R.REPLY_SECONDS) -> DataFrame:
-    """Requests with their replies, or with none once the watermark has passed (append).
+def reply_matches_stream(log: DataFrame, late: str = "10 seconds", seconds: int = R.REPLY_SECONDS) -> DataFrame:
+    """Requests with every reply in time, or with none once the watermark has passed (append).
 
-    A stream-stream left join whose state both watermarks and the reply bound
+    All matches, for the study of repeated replies; ``keyed.pair_reply_stream``
+    gives each request its nearest reply, as the batch does. A stream-stream
+    left join whose state both watermarks and the reply bound
     keep small. Requests without an id need no reply and are left out here.
     """
     requests = log.where((F.col("direction") == "request") & F.col("id").isNotNull()).select(
@@ -79,77 +76,6 @@ def pair_reply_stream(log: DataFrame, late: str = "10 seconds", seconds: int = R
     return joined.select("session", "seq", "id", "ts", "reply_ts", status.alias("status"))
 
 
-def lifecycle_stream(log: DataFrame, quiet: str | None = None) -> DataFrame:
-    """Calls out of order per session (append): session, seq, ts, violation.
-
-    State is two flags per session, kept for good. With ``quiet`` (such as "1
-    hour") they are dropped after so long without a row, by the watermark on
-    ``ts`` that the caller sets; a session that goes on later then counts as a
-    new one. Rows need seq, direction and method; within a micro-batch they
-    count in seq order. Only the places of the first initialize and the first
-    close matter for that, so a session's batches are walked one at a time: once
-    for these, and once more, from a temporary file, for the violations.
-    """
-    hold = None if quiet is None else int(pd.Timedelta(quiet).total_seconds() * 1000)
-
-    def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        opened, closed = state.get if state.exists else (False, False)
-        first, end, last = (-np.inf if opened else np.inf), (-np.inf if closed else np.inf), None
-        kept, spill = None, None
-        try:
-            for rows in batches:
-                seq = rows["seq"].fillna(np.inf)
-                starts = (rows["direction"] == "request") & (rows["method"] == "initialize")
-                ends = rows["direction"].isin(("closed", "crashed"))
-                opened, closed = opened or bool(starts.any()), closed or bool(ends.any())
-                first = min(first, seq[starts].min()) if starts.any() else first
-                end = min(end, seq[ends].min()) if ends.any() else end
-                latest = rows["ts"].max()
-                last = latest if last is None or latest > last else last
-                requests = rows.loc[rows["direction"] == "request", ["seq", "ts", "method"]]
-                if kept is not None:
-                    spill = spill or tempfile.TemporaryFile()
-                    pickle.dump(kept, spill, pickle.HIGHEST_PROTOCOL)
-                kept = requests
-
-            def again() -> Iterator[pd.DataFrame]:
-                if spill:
-                    spill.seek(0)
-                    try:
-                        while True:
-                            yield pickle.load(spill)
-                    except EOFError:
-                        pass
-                yield kept
-
-            for rows in again():
-                seq = rows["seq"].fillna(np.inf)
-                second = (rows["method"] == "initialize") & (seq > first)
-                early = rows["method"].isin(("tools/call", "tools/list")) & (seq < first)
-                named = "tools_" + rows["method"].str.slice(6) + "_before_initialize"
-                for mask, violation in ((seq > end, "request_after_close"), (second, "second_initialize"), (early, named)):
-                    if mask.any():
-                        found = rows.loc[mask, ["seq", "ts"]]
-                        found.insert(0, "session", key[0])
-                        found["violation"] = violation if isinstance(violation, str) else violation[mask]
-                        yield found
-        finally:
-            if spill:
-                spill.close()
-        state.update((opened, closed))
-        if hold is not None:
-            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(last.timestamp() * 1000)) + hold)
-
-    narrow = log.select("session", "seq", "ts", "direction", "method")
-    return narrow.groupBy("session").applyInPandasWithState(
-        follow, "session string, seq bigint, ts timestamp, violation string", "opened boolean, closed boolean",
-        "append", GroupStateTimeout.NoTimeout if hold is None else GroupStateTimeout.EventTimeTimeout,
-    )
-
-
 def once_per_finding(findings: DataFrame, late: str = "10 minutes", ts: str = "ts") -> DataFrame:
     """The first finding per (tool_name, signal) within the watermark."""
     return findings.withWatermark(ts, late).dropDuplicatesWithinWatermark(["tool_name", "signal"])

@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame
 
 from wardline.sources.staging import shared_folder
 
+#: State by key of any size: on disk, in the checkpoint, read in parts.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def run_available(stream: DataFrame, path: str | None = None, state_partitions: int | None = None) -> DataFrame:
     """Process all available input of ``stream``, append it to Parquet files at ``path``, and read them.
@@ -19,8 +22,13 @@ def run_available(stream: DataFrame, path: str | None = None, state_partitions:
     """
     spark = stream.sparkSession
     target = path or f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", state_partitions or spark.sparkContext.defaultParallelism)
+    settings = {
+        "spark.sql.shuffle.partitions": str(state_partitions or spark.sparkContext.defaultParallelism),
+        "spark.sql.streaming.stateStore.providerClass": ROCKS,
+    }
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
     try:  # a query copies the settings when it starts
         query = (
             stream.writeStream.format("parquet")
@@ -30,6 +38,7 @@ def run_available(stream: DataFrame, path: str | None = None, state_partitions:
             .start(target)
         )
     finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(target)
