@@ -23,8 +23,7 @@ stay. A table without rows gives none. Columns beside the key and the text play
 from __future__ import annotations
 
 import hashlib
-import os
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.llm.common import Scratch, alone, map_batches, most_frequent, row_numbers, utf8
+from wardline.llm.pfor import id_memo
 
 #: Pairs of ids that every worker gets.
 HEAD = 1 << 17
@@ -61,30 +61,30 @@ class Side:
         self.bytes_of[:] = tokens
         self.size_of = np.fromiter(map(len, tokens), np.int64, len(tokens))
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[Sequence[int]]:
         """Ids of a space and each text."""
         raise NotImplementedError
 
+    def forget(self) -> None:
+        """Drop what is remembered of earlier texts."""
+
 
 class ByteLevel(Side):
-    """A byte-level file of the tokenizers library."""
+    """A byte-level file of the tokenizers library, which sees each chunk of text once."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        names, signs = self.tokenizer.get_vocab(with_added_tokens=True), byte_level_signs()
+        self.memo = id_memo(path)
+        names, signs = self.memo.tokenizer.get_vocab(with_added_tokens=True), byte_level_signs()
         tokens = [b""] * (max(names.values()) + 1)
         for name, i in names.items():
             tokens[i] = bytes(signs[c] for c in name) if all(c in signs for c in name) else name.encode()
         self._keep(tokens)
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+    def encode(self, texts: list[str]) -> list[Sequence[int]]:
+        return [np.frombuffer(ids, "<u4") for ids in self.memo.encode([" " + t for t in texts])]
+
+    def forget(self) -> None:
+        self.memo.memo.clear()
 
 
 class Pieces(Side):
@@ -99,7 +99,7 @@ class Pieces(Side):
             for i in range(own.get_piece_size())
         ])
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[Sequence[int]]:
         return self.model.encode(texts, num_threads=1)
 
 
@@ -222,7 +222,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part, first = Aligner(a_path, b_path), TaskContext.get().partitionId(), 0
-        alone("align", dict)
+        alone(f"align {a_path} {b_path}", lambda: (own.a.forget(), own.b.forget()))
         held: list[pa.RecordBatch] = []
         size = 0
         for batch in batches:
