@@ -62,3 +62,12 @@ def test_tables(spark, table, odd_rows):
     empty = Scratch(spark, "test-ids").path("files")
     none = pfor.write(table([]), empty, PATH)
     assert none.count() == 0 and pfor.read(spark, empty, none).collect() == []
+
+
+def test_chunks_that_begin_with_a_zero_byte():
+    tokenizers = pytest.importorskip("tokenizers")
+    reference = tokenizers.Tokenizer.from_file(PATH)
+    reference.encode_special_tokens = True
+    texts = ["\x00", "a \x00 b", "\x00a \x00a", "a \x00, b", " \x00 a", "\n \x00", "a\n\x00 a", "  a", "\na a"] * 2
+    got = pfor.IdMemo(PATH).encode(texts)
+    assert got == [np.array(reference.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]

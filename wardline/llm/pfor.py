@@ -232,11 +232,11 @@ class IdMemo:
         full stop behind a letter is a token of its own, so such chunks only need their stems looked up."""
         stems = {c: c[:-1] for c in missing if len(c) > 2 and c[-1] in ",." and c[-2].isalpha()}
         need = {stem for c in missing if (stem := stems.get(c, c)) not in self.memo}
-        plain = [c for c in need if c[0] != "\0" and not c[-1].isspace() and (c[0] == "\n" or not c[0].isspace())]
+        plain = [c for c in need if not c[-1].isspace() and (c[0] == "\n" or not c[0].isspace())]
         for at in range(0, len(plain), 10_000):
             self._look_up_joined(plain[at:at + 10_000])
         odd = list(need.difference(plain))
-        as_text = [c[1:] if c[0] == "\0" else c if c[0] == "\n" else " " + c for c in odd]
+        as_text = [c[1:] if c[0] == " " else c if c[0] == "\n" else " " + c for c in odd]
         for c, encoded in zip(odd, self.tokenizer.encode_batch(as_text, add_special_tokens=False), strict=True):
             self.memo[c] = np.array(encoded.ids, "<u4").tobytes()
         for c, stem in stems.items():
@@ -256,7 +256,7 @@ class IdMemo:
         cut = [chunks(t) if t else [] for t in texts]
         for parts in cut:
             if parts:
-                parts[0] = "\0" + parts[0]  # the first chunk has no space before it
+                parts[0] = " " + parts[0]  # the first chunk has no space before it; no other begins with one
         memo = self.memo
         if len(memo) > MEMO_CHUNKS:
             memo.clear()
