@@ -38,6 +38,8 @@ from wardline.llm.pfor import id_memo
 HEAD = 1 << 17
 #: Tokens of A in a lane, about.
 LANE = 512
+#: Chunks of text that a worker remembers the ids of; beyond that it forgets all, which changes no result.
+KNOWN = 500_000
 #: Bytes of text that are merged in one go.
 BATCH_BYTES = 4 << 20
 
@@ -81,6 +83,8 @@ class ByteLevel(Side):
         self._keep(tokens)
 
     def encode(self, texts: list[str]) -> list[Sequence[int]]:
+        if len(self.memo.memo) > KNOWN:
+            self.forget()
         return [np.frombuffer(ids, "<u4") for ids in self.memo.encode([" " + t for t in texts])]
 
     def forget(self) -> None:
