@@ -142,6 +142,12 @@ INPUTS = {
         " ELSE '{ \"b\": [1, 2], \"a\": ' || CAST(p_size AS STRING) || '}' END AS inputSchema",
         "CASE WHEN p_partkey % 5 = 0 AND p_partkey % 3 <> 0 THEN '{\"readOnlyHint\":true}' END AS annotations",
     ]),
+    "listing_versions": ("events", [
+        "'srv' || CAST(user_id % 11 AS STRING) AS server", "'tool_' || CAST(event_id % 13 AS STRING) AS name",
+        "CASE WHEN event_id % 3 = 0 THEN event_type ELSE 'as ever' END AS description",
+        "CASE WHEN event_id % 5 = 0 THEN props ELSE '{\"k\":-1}' END AS inputSchema",
+        "CAST(NULL AS STRING) AS annotations", "ts",
+    ]),
     "calls": ("events", [
         "CAST(user_id AS STRING) AS run_id", "event_id", "ts",
         "event_type || '_' || CAST(event_id % 4 AS STRING) AS tool", f"{_CALL_ARGS} AS args",

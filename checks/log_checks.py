@@ -291,12 +291,7 @@ _RPC_LOG = f"""log AS (SELECT CAST(user_id % 7 AS STRING) AS session, event_id A
     ts + to_microseconds(CAST(floor(value * 100) AS BIGINT) * 1000) FROM events WHERE event_type <> 'error' AND value IS NOT NULL)"""
 
 
-@check(f"""WITH {_RPC_LOG} SELECT q.session, q.seq, q.id, coalesce(epoch_us(min(r.ts)), -1) AS reply_micros,
-    CASE WHEN q.id IS NULL THEN 'no_reply_due' WHEN min(r.ts) IS NULL THEN 'silent' ELSE 'answered' END AS status
-  FROM log q LEFT JOIN log r ON r.direction = 'response' AND r.session = q.session AND r.id = q.id
-    AND r.ts >= q.ts AND r.ts <= q.ts + INTERVAL {R.REPLY_SECONDS} SECONDS
-  WHERE q.direction = 'request' GROUP BY q.session, q.seq, q.id, q.ts""")
-def pair_replies(spark, sf):
+def rpc_log(spark, sf):
     events = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     session = (F.col("user_id") % 7).cast("string").alias("session")
     number = (F.col("event_id") % 5).cast("string")
@@ -309,6 +304,15 @@ def pair_replies(spark, sf):
         session, F.col("event_id").alias("seq"), F.lit("response").alias("direction"), number.alias("id"),
         F.timestamp_micros(F.unix_micros("ts") + delay).alias("ts"),
     )
-    got = rpc.pair_replies(requests.unionByName(replies))
+    return requests.unionByName(replies)
+
+
+@check(f"""WITH {_RPC_LOG} SELECT q.session, q.seq, q.id, coalesce(epoch_us(min(r.ts)), -1) AS reply_micros,
+    CASE WHEN q.id IS NULL THEN 'no_reply_due' WHEN min(r.ts) IS NULL THEN 'silent' ELSE 'answered' END AS status
+  FROM log q LEFT JOIN log r ON r.direction = 'response' AND r.session = q.session AND r.id = q.id
+    AND r.ts >= q.ts AND r.ts <= q.ts + INTERVAL {R.REPLY_SECONDS} SECONDS
+  WHERE q.direction = 'request' GROUP BY q.session, q.seq, q.id, q.ts""")
+def pair_replies(spark, sf):
+    got = rpc.pair_replies(rpc_log(spark, sf))
     micros = F.coalesce(F.unix_micros("reply_ts"), F.lit(-1))
     return got.select("session", "seq", "id", micros.alias("reply_micros"), "status")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks import log_checks, text_checks
 from checks import sql as Q
 from checks.inputs import INPUTS, source
 from wardline.streaming import jobs, keyed
+from wardline.sources.staging import shared_folder
 from wardline.streaming.run import run_available
 
 CHECKS: dict = {}
@@ -29,6 +32,20 @@ def stream(spark, sf, name):
     return files.selectExpr(*exprs)
 
 
+def rounds(spark, log, job, cuts=None, order="ts"):
+    """What a stream job gives over a log that arrives in parts, each run going on from the checkpoint of the last. Parts are
+    thirds by time, or end at the given microseconds."""
+    cuts = cuts or log.agg(F.percentile_approx(F.unix_micros(order), [1 / 3, 2 / 3])).first()[0]
+    bounds, folder = [None, *cuts, None], f"{shared_folder(spark)}/rounds-{uuid.uuid4().hex}"
+    for k, (low, high) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+        micros = F.unix_micros(order)
+        inside = (F.lit(True) if low is None else micros > low) & (F.lit(True) if high is None else micros <= high)
+        log.where(inside).write.parquet(f"{folder}/in/part={k}")
+        files = spark.readStream.schema(log.schema).parquet(f"{folder}/in/*")
+        out = run_available(job(files), f"{folder}/out")
+    return out
+
+
 @check(text_checks.CHECKS["scan_response_blocks"][1])
 def stream_response_findings(spark, sf):
     """Response findings over a stream of conversations."""
@@ -128,3 +145,37 @@ def stream_once_per_finding(spark, sf):
     return run_available(jobs.once_per_finding(found)).select("tool_name", "signal")
 
 
+@check(log_checks.CHECKS["pair_replies"][1])
+def stream_nearest_replies(spark, sf):
+    """Every request with its nearest reply, silent and undue ones too, over a log that arrives in parts; the SQL is that of
+    the batch. A request and a reply of a later time close the log, so that the watermark passes all others."""
+    log = log_checks.rpc_log(spark, sf)
+    last = log.agg(F.max("ts")).first()[0]
+    closing = spark.range(2).select(
+        F.lit("closing").alias("session"), F.col("id").alias("seq"),
+        F.when(F.col("id") == 0, "request").otherwise("response").alias("direction"), F.lit("x").alias("id"),
+        (F.lit(last) + F.expr("INTERVAL 1 DAY")).alias("ts"))
+    found = rounds(spark, log.unionByName(closing), keyed.pair_reply_stream).where("session != 'closing'")
+    return found.select("session", "seq", "id", F.coalesce(F.unix_micros("reply_ts"), F.lit(-1)).alias("reply_micros"), "status")
+
+
+@check(text_checks.CHECKS["definition_changes"][1])
+def stream_definition_changes(spark, sf):
+    """Changes along a stream of listings that arrives in parts, its state seeded from the table of first listings."""
+    first, later = text_checks.listing_versions(spark, sf)
+    found = rounds(spark, later, lambda listings: keyed.change_stream(listings, first))
+    return found.select("server", "tool_name", F.unix_micros("ts").alias("micros"))
+
+
+@check(f"""WITH {Q.surfaces_findings()}, w AS (SELECT DISTINCT tool_name, signal FROM findings)
+  SELECT tool_name, signal, n::BIGINT AS n FROM w, (SELECT 2 AS n)""")
+def stream_findings_once_in_a_while(spark, sf):
+    """A repeated finding is left out within the watermark and comes again after it: texts come at once, a minute later and a
+    day later, and half a day later another text moves the watermark on. Each finding comes twice."""
+    texts = source(spark, sf, "surfaces").select("name", "text")
+    hours = F.explode(F.array(F.lit(0.0), F.lit(1 / 60), F.lit(24.0)))
+    other = spark.range(1).select(F.lit("another").alias("name"), F.lit("you must").alias("text"), F.lit(12.0).alias("hour"))
+    log = texts.withColumn("hour", hours).unionByName(other).withColumn("ts", F.timestamp_seconds(F.col("hour") * 3600))
+    job = lambda arrived: jobs.once_per_finding(jobs.scan_surface_stream(arrived, description="text"))
+    found = rounds(spark, log, job, cuts=[0, 3_600_000_000, 13 * 3_600_000_000]).where("tool_name != 'another'")
+    return found.groupBy("tool_name", "signal").count().withColumnRenamed("count", "n")

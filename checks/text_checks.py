@@ -324,6 +324,25 @@ def definition_drift(spark, sf):
     return got.select("server", "tool_name", "signal", "severity")
 
 
+FIRST_LISTINGS = "2024-01-08"
+
+
+def listing_versions(spark, sf):
+    """First listings, and later ones of the same definitions, which often change."""
+    versions = source(spark, sf, "listing_versions").withColumn("ts", F.col("ts").cast("timestamp"))
+    return versions.where(F.col("ts") < FIRST_LISTINGS), versions.where(F.col("ts") >= FIRST_LISTINGS)
+
+
+@check(f"""WITH {cte('listing_versions')}, v AS (SELECT *, description || '|' || inputSchema AS d FROM listing_versions),
+  b AS (SELECT server, name, arg_max(d, ts) AS d FROM v WHERE ts < TIMESTAMP '{FIRST_LISTINGS}' GROUP BY ALL),
+  u AS (SELECT server, name, ts, d FROM v WHERE ts >= TIMESTAMP '{FIRST_LISTINGS}' UNION ALL SELECT server, name, NULL, d FROM b),
+  w AS (SELECT *, lag(d) OVER (PARTITION BY server, name ORDER BY ts NULLS FIRST) AS o FROM u)
+  SELECT server, name AS tool_name, epoch_us(ts) AS micros FROM w WHERE ts IS NOT NULL AND (d <> o OR (o IS NULL AND server IN (SELECT server FROM b)))""")
+def definition_changes(spark, sf):
+    first, later = listing_versions(spark, sf)
+    return drift.definition_changes(later, first).select("server", "tool_name", F.unix_micros("ts").alias("micros"))
+
+
 @check(f"""WITH {cte('surfaces')}, {_PATTERNS}, {Q.rules_values()}, f AS ({Q.needle_rows('surfaces', 't.doc_id', 't.name')})
   SELECT doc_id, signal, rule_id, severity, {Q.rank('severity')} AS severity_rank, description, tags,
   CASE severity WHEN 'critical' THEN 'error' WHEN 'high' THEN 'error' WHEN 'medium' THEN 'warning' WHEN 'low' THEN 'note' ELSE 'none' END AS level

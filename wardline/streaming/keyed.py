@@ -105,13 +105,12 @@ def pair_reply_stream(
             kept = replies[replies >= min([passed, *[r[0] for r in left[:1]]])]
             self.open.put(left) if left else self.open.clear()
             self.replies.put([(int(a),) for a in kept]) if len(kept) else self.replies.clear()
-            due = min([r[0] + reach for r in left[:1]] + [int(kept[-1])] * bool(len(kept)), default=None)
+            due = min([*[r[0] + reach for r in left[:1]], *[int(a) for a in kept[-1:]]], default=None)
             self._wake(None if due is None else max(due, passed) // 1000 + 1)
             if n:
                 yield _keyed(pd.DataFrame({
                     "seq": pd.array([r[1] for r in requests[:n]], "Int64"), "at": asked[:n],
-                    "reply_at": pd.array(np.where(met, near, 0), "Int64").copy() if met.all() else pd.array(
-                        [int(r) if m else None for r, m in zip(near, met, strict=True)], "Int64"),
+                    "reply_at": pd.array([int(r) if m else None for r, m in zip(near, met, strict=True)], "Int64"),
                 }), [*session, "open_id"], key)
 
         def close(self) -> None:
@@ -180,28 +179,38 @@ def change_stream(
     return change_findings(found.withColumn(at, F.timestamp_micros("micros")), [*group, at])
 
 
-def lifecycle_stream(log: DataFrame, session: Sequence[str] = SESSION, quiet_ms: int | None = None) -> DataFrame:
+def lifecycle_stream(
+    log: DataFrame, session: Sequence[str] = SESSION, quiet: str | None = None, late: str = "10 seconds"
+) -> DataFrame:
     """Calls out of order per session (append): session columns, seq, ts, violation.
 
-    State is two flags per session, kept for good, or with ``quiet_ms`` until
-    the cluster's clock says that no row has come for so long; a session that
-    goes on later then counts as a new one. Rows need seq, direction and
-    method; those of a micro-batch count in the order of seq. A session's part
+    State is two flags per session, kept for good. With ``quiet`` (such as "1
+    hour") a timer drops them once the watermark is so long past a session's
+    last row; a session that goes on later then counts as a new one, and rows
+    more than ``late`` behind are left out. Rows need seq, direction and method;
+    those of a micro-batch count in the order of seq. A session's part
     of a micro-batch is walked once; should it be larger than one Arrow batch,
     the rows before the last batch wait in the state's own list, not in memory.
     """
-    narrow = log.select(*session, "seq", "direction", "method", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"))
+    ts = F.col("ts").cast("timestamp")
+    narrow = log.select(*session, "seq", "direction", "method", ts.alias("ts"), F.unix_micros(ts).alias("micros"))
+    hold = None if quiet is None else int(pd.Timedelta(quiet).total_seconds() * 1000)
+    if hold is not None:
+        narrow = narrow.withWatermark("ts", late)
 
     class Order(StatefulProcessor):
         def init(self, handle) -> None:
-            self.flags = handle.getValueState("flags", "opened boolean, closed boolean", quiet_ms)
+            self.handle = handle
+            self.flags = handle.getValueState("flags", "opened boolean, closed boolean")
+            self.until = handle.getValueState("until", "at bigint")
             self.held = handle.getListState("held", "seq bigint, micros bigint, method string")
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
             opened, closed = self.flags.get() if self.flags.exists() else (False, False)
             first, end, last = (-np.inf if opened else np.inf), (-np.inf if closed else np.inf), None
-            spilled = False
+            spilled, latest = False, None
             for part in rows:
+                latest = max([*([] if latest is None else [latest]), *part["micros"].dropna().astype("int64")], default=None)
                 seq = part["seq"].astype("float64").fillna(np.inf)
                 request = part["direction"] == "request"
                 starts, ends = request & (part["method"] == "initialize"), part["direction"].isin(("closed", "crashed"))
@@ -212,6 +221,14 @@ def lifecycle_stream(log: DataFrame, session: Sequence[str] = SESSION, quiet_ms:
                     spilled = True
                 last = part.loc[request, ["seq", "micros", "method"]]
             self.flags.update((opened, closed))
+            if hold is not None and latest is not None:
+                latest = int(latest)
+                held = self.until.get()[0] if self.until.exists() else None
+                if held is None or held < latest // 1000 + hold:
+                    if held is not None:
+                        self.handle.deleteTimer(held)
+                    self.handle.registerTimer(latest // 1000 + hold)
+                    self.until.update((latest // 1000 + hold,))
             yield from self._broken(key, last, first, end)
             if spilled:
                 some: list[tuple] = []
@@ -224,6 +241,11 @@ def lifecycle_stream(log: DataFrame, session: Sequence[str] = SESSION, quiet_ms:
                     yield from self._broken(key, pd.DataFrame(some, columns=["seq", "micros", "method"]), first, end)
                 self.held.clear()
 
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            self.flags.clear()
+            self.until.clear()
+            return iter(())
+
         def _broken(self, key, rows, first, end) -> Iterator[pd.DataFrame]:
             seq = rows["seq"].astype("float64").fillna(np.inf)
             second = (rows["method"] == "initialize") & (seq > first)
@@ -240,5 +262,5 @@ def lifecycle_stream(log: DataFrame, session: Sequence[str] = SESSION, quiet_ms:
 
     found = narrow.groupBy(*session).transformWithStateInPandas(
         Order(), _schema(narrow, session, "seq bigint, micros bigint, violation string"), "append",
-        "none" if quiet_ms is None else "processingTime")
+        "none" if hold is None else "eventTime")
     return found.select(*session, "seq", F.timestamp_micros("micros").alias("ts"), "violation")
