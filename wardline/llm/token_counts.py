@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.common import Scratch, alone, map_batches, row_numbers
+from wardline.llm.common import Scratch, alone, map_batches, most_frequent, row_numbers
 
 #: Entries of the vocabulary that every worker gets.
 HEAD = 1 << 18
@@ -215,7 +215,7 @@ def count(docs: DataFrame, path: str, limit: int = 1024, key: str = "doc_id", te
     """
     scratch = Scratch(docs.sparkSession, "token-counts")
     known = scratch.stage(vocabulary(docs, path, text), "vocabulary")
-    top = known.orderBy(F.desc("n"), "pre_token").limit(HEAD).select("pre_token", "pieces").toArrow()
+    top = most_frequent(known, "n", HEAD).select("pre_token", "pieces").toArrow()
     head = dict(zip(top.column(0).to_pylist(), top.column(1).to_pylist(), strict=True))
     counted = scratch.stage(frequencies(docs, path, head, key, text), "frequencies")
     rest = counted.select("row", F.inline("rest")).join(known.select("pre_token", "pieces"), "pre_token")
