@@ -153,15 +153,31 @@ _PATTERN_TABLE = """patterns AS (SELECT DISTINCT substr(p_name, 1, 3) AS needle,
 @check(f"""WITH {cte('surfaces')}, p AS ({_PATTERN_TABLE.removeprefix('patterns AS (').removesuffix(')')}),
   patterns AS (SELECT {Q.lower('needle')} AS needle, signal, severity, detail, refs FROM p) {Q.needle_rows('surfaces', 't.doc_id', 't.name')}""")
 def scan_pattern_table(spark, sf):
-    """Thousands of patterns from a table, in several shards."""
+    """A pattern or two for each part, looked up by their grams."""
     part = table(spark, sf, "part")
     refs = F.array().cast("array<string>").alias("corpus_refs")
     short = part.where("length(p_name) >= 3").select(F.substring("p_name", 1, 3).alias("needle"), F.lit("stealth_language").alias("signal"), F.lit("low").alias("severity"), refs)
     keyed = part.select(F.concat(F.lit("xq"), F.col("p_partkey").cast("string")).alias("needle"), F.lit("session_persistence").alias("signal"), F.lit("high").alias("severity"), refs)
-    found = patterns.scan_pattern_table(surfaces(spark, sf), short.unionByName(keyed).distinct(), "doc_id", shard=1500)
+    found = patterns.scan_pattern_table(surfaces(spark, sf), short.unionByName(keyed).distinct(), "doc_id")
     return flat(found, "doc_id")
 
 
+@check(f"""WITH l AS (SELECT doc_id, source, text, {Q.lower('text')} AS l FROM documents WHERE text IS NOT NULL),
+  needles AS (SELECT DISTINCT substr(l, i, 24) AS needle FROM (SELECT l, unnest(range(1, length(l) - 22, 97)) AS i FROM l)),
+  hits AS (SELECT doc_id, needle, min(i) AS i FROM (SELECT doc_id, i, substr(l, i, 24) AS needle FROM (SELECT doc_id, l, unnest(range(1, length(l) - 22)) AS i FROM l))
+    JOIN needles USING (needle) GROUP BY ALL)
+  SELECT doc_id, source AS tool_name, 'fragment: ' || chr(39) || needle || chr(39) AS detail, {Q.snippet('text', 'i', '24')} AS matched_text FROM hits JOIN l USING (doc_id)""")
+def scan_pattern_table_of_fragments(spark, sf):
+    """A pattern from every 97 characters of every document, searched in all documents."""
+    docs = table(spark, sf, "documents").where("text IS NOT NULL")
+    low = T.ascii_lower(F.col("text"))
+    at = F.when(F.char_length("text") >= 24, F.sequence(F.lit(1), F.char_length("text") - 23, F.lit(97)))
+    cut = docs.select(F.explode(F.transform(at, lambda i: F.substring(low, i, F.lit(24)))).alias("needle")).distinct()
+    rules = cut.select("needle", F.lit("fragment").alias("signal"), F.lit("low").alias("severity"), F.array().cast("array<string>").alias("corpus_refs"))
+    found = patterns.scan_pattern_table(docs, rules, "doc_id", name="source")
+    return found.select("doc_id", "tool_name", "detail", "matched_text")
+
+
 def _wording(pass_):
     rows = Q.structural_rows if pass_ in scan.STRUCTURAL else Q.verb_rows
     sql = f"WITH {cte('surfaces')}, {Q.word_relations('surfaces', 'doc_id')} {rows(pass_, 'doc_id', 'name')}"

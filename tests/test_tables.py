@@ -139,8 +139,7 @@ def test_a_table_of_own_patterns(spark):
     texts = spark.createDataFrame([(1, "a", "A NEEDLE worked"), (2, "b", "nothing"), (3, "c", None), (4, "d", "x")],
                                   "id int, name string, text string")
     small = rows(scan_pattern_table(texts, patterns, key="id"), "id", "signal", "matched_text", "detail")
-    large = rows(scan_pattern_table(texts, patterns, key="id", shard=2), "id", "signal", "matched_text", "detail")
-    assert small == large and [s[:2] for s in small] == [
+    assert [s[:2] for s in small] == [
         (1, "identity_impersonation"), (1, "session_persistence"), (1, "stealth_language"), (4, "value_substitution")]
 
 

@@ -1,35 +1,192 @@
-"""Scan with a user's own table of patterns (needle, signal, severity, corpus_refs)."""
+"""Scan with a user's own table of patterns (needle, signal, severity, corpus_refs), of any size.
+
+The table is never gathered. It is turned into two bit tables of fixed size:
+one holds the hashes of the needles' first ``GRAM`` bytes, the other those of
+whole needles. Each text is read once: where one of its grams is in the first
+table, the stretches from there that have the length of a needle are looked up
+in the second, and those that are found there are handed on as they stand,
+with the place of the first of each and its snippet. A join of the stretches
+with the needles themselves then says which are true, so full bit tables cost
+time and no result. Only found stretches are shuffled, never texts.
+
+Hashes of stretches come from prefix sums, so each costs the same at any
+length. Needles shorter than ``GRAM`` are looked up at every place.
+"""
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.operators.scan import Pattern, scan_needles
+from wardline.functions import text as T
+from wardline.functions.findings import finding, finding_columns
+from wardline.functions.text import ascii_lower
+from wardline.operators.scan import NEEDLES
+
+#: Bytes at the start of a needle that are looked up first.
+GRAM = 6
+#: Bits of each table, as a power of two (8 MB).
+BITS = 26
+#: Bytes of text that are hashed in one go.
+BLOCK = 1 << 20
+
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Multipliers that make bit numbers of a hash.
+_PROBES = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)
+
+
+def _hashing():
+    """Functions (powers, bit) that patterns and texts are hashed with; they travel to the workers by value."""
+    size, probes = BITS, _PROBES
+
+    def powers(base: int, n: int) -> np.ndarray:
+        """base ** 0 .. base ** (n - 1), modulo 2**64."""
+        out = np.full(n, base, np.uint64)
+        out[:1] = 1
+        return np.cumprod(out, dtype=np.uint64)
+
+    def bit(hashes: np.ndarray, probe: int) -> np.ndarray:
+        mixed = hashes ^ (hashes >> np.uint64(29))
+        return (mixed * np.uint64(probes[probe])) >> np.uint64(64 - size)
+
+    return powers, bit
+
+
+def _needle_bits(needle: Column) -> Column:
+    """Bit numbers of folded needles: that of the gram, or -1 for a short needle, then those of the whole."""
+
+    powers, bit = _hashing()
+    base, size, probes = _BASE, GRAM, range(len(_PROBES))
+
+    def number(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            out = []
+            for text in batch:
+                raw = np.frombuffer(text.encode(), np.uint8).astype(np.uint64) + np.uint64(1)
+                terms = raw * powers(base, len(raw))
+                whole = terms.sum(dtype=np.uint64, keepdims=True)
+                gram = int(bit(terms[:size].sum(dtype=np.uint64, keepdims=True), 0)[0]) if len(raw) >= size else -1
+                out.append([gram, *(int(bit(whole, k)[0]) for k in probes)])
+            yield pd.Series(out, dtype=object)
+
+    return F.pandas_udf(number, "array<long>")(needle)
+
+
+def _bit_table(bits: DataFrame) -> np.ndarray:
+    """The table (bytes) with these bits set. It comes to the driver in words of 64 bits, a million at most."""
+    word, value = F.shiftright("bit", 6), F.expr("shiftleft(1L, CAST(bit & 63 AS INT))")
+    words = bits.groupBy(word.alias("word")).agg(F.bit_or(value).alias("bits")).toArrow()
+    table = np.zeros(1 << (BITS - 6), np.int64)
+    table[words.column(0).to_numpy()] = words.column(1).to_numpy()
+    return table.view(np.uint8)
+
+
+def _stretches(grams: np.ndarray, wholes: np.ndarray, lengths: list[int]):
+    """A function of a text's folded bytes that gives the first place of each stretch that may be a needle."""
+    powers, bit = _hashing()
+    gram, probes, base, inverse = GRAM, range(len(_PROBES)), _BASE, _INVERSE
+    short, long = [n for n in lengths if n < gram], [n for n in lengths if n >= gram]
+    longest = lengths[-1] if lengths else 0
+    block = max(BLOCK, 2 * longest)
+    held: dict[str, np.ndarray] = {}
+
+    def inside(table: np.ndarray, bits: np.ndarray) -> np.ndarray:
+        return (table[bits >> np.uint64(3)] >> (bits & np.uint64(7)).astype(np.uint8)) & 1 != 0
+
+    def look(raw: np.ndarray, starts: int):
+        """(place, length) of stretches that begin at one of the first ``starts`` bytes."""
+        n = len(raw)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * held["powers"][:n], dtype=np.uint64, out=sums[1:])
+
+        def hashes(at: np.ndarray, size: int) -> np.ndarray:
+            return (sums[at + size] - sums[at]) * held["inverses"][at]
+
+        every = np.arange(starts)
+        near = every[:max(0, n - gram + 1)]
+        near = near[inside(grams, bit(hashes(near, gram), 0))] if long else near[:0]
+        for size in (*short, *long):
+            at = every if size < gram else near
+            at = at[at + size <= n]
+            h = hashes(at, size)
+            for k in probes:
+                met = inside(wholes, bit(h, k))
+                at, h = at[met], h[met]
+            for place in at:
+                yield int(place), size
+
+    def search(folded: bytes) -> dict[bytes, int]:
+        if "powers" not in held:
+            size = block + longest
+            held["powers"], held["inverses"] = powers(base, size), powers(inverse, size)
+        raw, found = np.frombuffer(folded, np.uint8), {}
+        for first in range(0, len(raw), block):
+            part = raw[first:first + block + longest]
+            for place, size in look(part, min(block, len(part))):
+                stretch = folded[first + place:first + place + size]
+                if found.get(stretch, len(folded)) > first + place:
+                    found[stretch] = first + place
+        return found
+
+    return search
+
+
+def _found(grams: np.ndarray, wholes: np.ndarray, lengths: list[int]):
+    """Column function: (needle, start) of the stretches of a text that may be needles; start counts characters, from 1."""
+
+    look = _stretches(grams, wholes, lengths)
+
+    def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def hits(text):
+            if not text:
+                return []
+            folded = text.encode().lower()  # bytes.lower folds A-Z only
+            found = look(folded)
+            if not found:
+                return []
+            characters = None if text.isascii() else np.cumsum(np.frombuffer(folded, np.uint8) & 0xC0 != 0x80)
+            out = []
+            for stretch, at in found.items():
+                try:
+                    out.append({"needle": stretch.decode(), "start": at + 1 if characters is None else int(characters[at])})
+                except UnicodeDecodeError:  # cut within a character: no needle
+                    continue
+            return out
+
+        for batch in batches:
+            yield batch.map(hits)
 
-SHARD = 20_000
+    return F.pandas_udf(search, "array<struct<needle:string,start:int>>")
 
 
-def scan_pattern_table(
-    df: DataFrame, patterns: DataFrame, key: str, text: str = "text", name: str = "name", shard: int = SHARD
-) -> DataFrame:
+def scan_pattern_table(df: DataFrame, patterns: DataFrame, key: str, text: str = "text", name: str = "name") -> DataFrame:
     """Needle findings for a pattern table of any size; ``key`` is kept and need not be unique.
 
-    The table is dealt by hash into shards of about ``shard`` patterns, which are
-    the literals of one in-row scan each, so the same scan runs at every size and
-    its work grows with texts times shards. Only one shard at a time is gathered.
+    Patterns with a null or empty needle find nothing, nor do null texts.
+    Equal patterns give equal findings. The join is by needle and, as Spark
+    splits the side of the texts, a needle that most texts have is no one task.
     """
-    rules = patterns.select("needle", "signal", "severity", "corpus_refs").where(F.col("needle") != "")
-    shards = max(1, -(-rules.count() // shard))
-    place = F.pmod(F.xxhash64("needle", "signal"), F.lit(shards))
-
-    def scan(k: int) -> DataFrame:
-        listed = [
-            Pattern(r.needle, r.signal, r.severity, tuple(r.corpus_refs or ()), f"{r.signal}: '{r.needle}'")
-            for r in rules.where(place == k).collect()
-        ]
-        return scan_needles(df, patterns=listed, text=text, name=name, keep=[key])
-
-    return reduce(DataFrame.unionByName, [scan(k) for k in range(shards)])
+    rules = patterns.where(F.col("needle") != "").select(
+        ascii_lower(F.col("needle")).alias("_needle"), F.col("signal").alias("_signal"), F.col("severity").alias("_severity"),
+        F.coalesce("corpus_refs", F.array().cast("array<string>")).alias("_refs"),
+        F.concat("signal", F.lit(": '"), "needle", F.lit("'")).alias("_detail"),
+    )
+    needles = rules.select("_needle").distinct()
+    lengths = sorted(r[0] for r in needles.select(F.octet_length("_needle")).distinct().collect())
+    bits = needles.select(_needle_bits(F.col("_needle")).alias("b"))
+    grams = _bit_table(bits.select(F.col("b")[0].alias("bit")).where("bit >= 0"))
+    wholes = _bit_table(bits.select(F.explode(F.slice("b", 2, len(_PROBES))).alias("bit")))
+    hits = df.select(key, F.col(name).alias("tool_name"), F.col(text).alias("_text"), _found(grams, wholes, lengths)(F.col(text)).alias("_hits"))
+    places = hits.select(key, "tool_name", F.explode(F.transform("_hits", lambda h: F.struct(
+        h["needle"].alias("needle"),
+        T.snippet(F.col("_text"), h["start"], F.char_length(h["needle"])).alias("matched"),
+    ))).alias("h"))
+    met = places.select(key, "tool_name", "h.*").join(rules, F.col("needle") == F.col("_needle"))
+    found = finding(NEEDLES, F.col("_signal"), F.col("_severity"), F.col("matched"), F.col("_detail"), F.col("_refs"))
+    flat = met.select(key, "tool_name", F.lit(None).cast("string").alias("path"), found.alias("f"))
+    return flat.select(key, "tool_name", *finding_columns())
