@@ -181,6 +181,26 @@ def sequence_findings(spark, sf):
     )
 
 
+@check(f"""WITH {_CALLS}, {_raised(*_COMPARED)}, {_TRAILS}, e AS (SELECT trail, count(*) AS n FROM raised JOIN trails USING (run_id, step) GROUP BY trail)
+  SELECT run_id, step, signal, step + 1 AS trail_calls, n AS n_equal FROM raised JOIN trails USING (run_id, step) JOIN e USING (trail)""")
+def equal_trails(spark, sf):
+    """Findings with the number of findings that have the same trail, told by ropes without writing a trail."""
+    calls = stage(observed(spark, sf))
+    found = seq.rope_reference(stage(seq.analyze(calls, baseline(spark, sf))), seq.trail_rope(calls))
+    same = found.groupBy("trail_hash", "trail_calls").agg(F.count("*").alias("n_equal"))
+    return found.join(same, ["trail_hash", "trail_calls"]).select("run_id", "step", "signal", "trail_calls", "n_equal")
+
+
+@check(f"""WITH {_CALLS}, {_raised(*_COMPARED)}, {_LABELS}, last AS (SELECT run_id, max(step) AS last FROM raised GROUP BY run_id)
+  SELECT run_id, 0 AS step, 0 AS place, 'run ' || run_id AS line FROM last
+  UNION ALL SELECT run_id, step, 1, (step + 1) || '. ' || label FROM labels_ JOIN last USING (run_id) WHERE step <= last
+  UNION ALL SELECT run_id, step, 2, '  ' || severity || ' ' || signal || ': ' || evidence || ', after calls 1-' || (step + 1) FROM raised""")
+def trail_report(spark, sf):
+    """The report that tells each call once, as lines."""
+    calls = stage(observed(spark, sf))
+    return seq.trail_lines(stage(seq.analyze(calls, baseline(spark, sf))), calls)
+
+
 # A chain document per user: steps are the events of one kind of day, the baseline those of another.
 _CHAIN_LOG = f"""{cte('calls')}, all_steps AS (SELECT run_id, event_id, ts, tool, args, CASE WHEN ts >= TIMESTAMP '{FIRST_DAYS}' THEN 'steps' ELSE 'baseline' END AS part FROM calls),
   has AS (SELECT DISTINCT run_id FROM all_steps WHERE part = 'baseline' AND CAST(run_id AS INT) % 3 <> 0),

@@ -17,6 +17,7 @@ from wardline.functions.constants import lookup
 from wardline.functions.findings import bind
 from wardline.functions.jsontext import canonical_json, json_key, json_leaves, object_keys, raw_leaves
 from wardline.functions.keys import same_keys
+from wardline.functions.positions import with_positions
 from wardline.rules import signals as S
 from wardline.rules import words as W
 from wardline.sources.staging import stage
@@ -26,34 +27,17 @@ _MARKER = "(?i)" + "|".join(re.escape(m) for m in W.CREDENTIAL_MARKERS)
 _OUTSIDE = "(?i)^https?://(?!" + "|".join(re.escape(h) for h in W.LOCAL_HOSTS) + ")"
 _OUTSIDE_RAW = '(?i)"https?://(?!' + "|".join(re.escape(h) for h in W.LOCAL_HOSTS) + ")"
 _TRAIL_CHUNK = 256
+#: Calls of a chunk of a rope, and chunks of a stretch.
+_ROPE = 4096
 
 
-def call_log(
-    df: DataFrame, run: Sequence[str] = RUN, ts: str = "ts", tie: Sequence[str] = ("event_id",), bucket: str = "hour"
-) -> DataFrame:
-    """Add ``step``: the 0-based position of a call in its run, by time and then ``tie``.
+def call_log(df: DataFrame, run: Sequence[str] = RUN, ts: str = "ts", tie: Sequence[str] = ("event_id",)) -> DataFrame:
+    """Add ``step``: the 0-based position of a call in its run, by time and then ``tie``; calls without a time come first.
 
-    A run may hold a large share of all calls, so it is not ranked in one
-    window. Calls are ranked inside (run, time bucket), and each bucket starts
-    where the counts of the earlier buckets of its run end.
+    A run, an hour of it or the calls without a time may hold most of all calls;
+    none of them is one task. Calling this runs a job, which sorts the calls.
     """
-    spot = F.coalesce(F.date_trunc(bucket, F.col(ts)), F.lit("1970-01-01").cast("timestamp"))
-    placed = df.withColumn("_bucket", spot)
-    before = Window.partitionBy(*run).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        placed.groupBy(*run, "_bucket")
-        .agg(F.count("*").alias("_n"))
-        .select(*run, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    )
-    inside = Window.partitionBy(*run, "_bucket").orderBy(ts, *tie)
-    ranked = placed.withColumn("_rank", F.row_number().over(inside))
-    return (
-        ranked.alias("l")
-        .join(offsets.alias("r"), same_keys("l", "r", [*run, "_bucket"]))
-        .select("l.*", "r._offset")
-        .withColumn("step", (F.col("_offset") + F.col("_rank") - 1).cast("bigint"))
-        .drop("_bucket", "_rank", "_offset")
-    )
+    return with_positions(df, run, [ts, *tie], "step")
 
 
 def argument_flags(args: Column) -> Column:
@@ -254,10 +238,13 @@ def provenance(chain_id: Column, record_id: Column) -> Column:
 
 
 def to_findings(anomalies: DataFrame, run: Sequence[str] = RUN, prefix: Column | None = None) -> DataFrame:
-    """Anomalies with a trail in the shape of the findings table."""
+    """Anomalies with a trail, or with a rope's ``trail_calls`` and ``trail_hash``, in the shape of the findings table."""
+    if "trail" in anomalies.columns:
+        told = F.array_join("trail", " → ")
+    else:
+        told = F.concat(F.lit("calls 1-"), F.col("trail_calls").cast("string"), F.lit(" of the run, trail "), F.col("trail_hash"))
     detail = F.concat(
-        prefix if prefix is not None else F.lit(""),
-        F.lit("chain step "), (F.col("step") + 1).cast("string"), F.lit(": "), F.array_join("trail", " → "),
+        prefix if prefix is not None else F.lit(""), F.lit("chain step "), (F.col("step") + 1).cast("string"), F.lit(": "), told,
     )
     return anomalies.select(
         *run,
@@ -318,6 +305,69 @@ def call_labels(calls: DataFrame, run: Sequence[str] = RUN) -> DataFrame:
     return calls.select(*run, "step", call_label(F.col("tool"), F.col("args")).alias("label"))
 
 
+def trail_rope(calls: DataFrame, run: Sequence[str] = RUN) -> DataFrame:
+    """Run columns, step, label, trail_calls, trail_hash: every call as the end of a trail, told by length and hash.
+
+    A trail's hash adds up hashes of its calls, each with its step, so two trails
+    have equal hashes if they are the same calls in the same order, and a trail
+    is known without being written out. The sums are made along chunks of steps,
+    then along stretches of chunks, then along the run, so no window holds more
+    than a few thousand rows per run of millions of calls.
+    """
+    run = list(run)
+    mark = F.xxhash64(F.col("step").cast("bigint"), "label")
+    rows = call_labels(calls, run).withColumns({
+        "_low": mark.bitwiseAND(F.lit((1 << 32) - 1)), "_high": F.shiftrightunsigned(mark, 32),
+        "_chunk": F.floor(F.col("step") / _ROPE), "_stretch": F.floor(F.col("step") / (_ROPE * _ROPE)),
+    })
+    sums = ("_low", "_high")
+    added = lambda df, keys: df.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums])
+
+    def before(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+        earlier = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumns({f"{c}_before": F.coalesce(F.sum(c).over(earlier), F.lit(0)) for c in sums})
+
+    chunks = added(rows, [*run, "_stretch", "_chunk"])
+    stretches = before(added(chunks, [*run, "_stretch"]), run, "_stretch")
+    offsets = before(chunks, [*run, "_stretch"], "_chunk").alias("l").join(
+        stretches.alias("r"), same_keys("l", "r", [*run, "_stretch"])
+    ).select(*[F.col(f"l.{c}") for c in (*run, "_chunk")], *[(F.col(f"l.{c}_before") + F.col(f"r.{c}_before")).alias(f"{c}_from") for c in sums])
+    inside = Window.partitionBy(*run, "_chunk").orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    along = rows.withColumns({f"{c}_to": F.sum(c).over(inside) for c in sums})
+    joined = along.alias("l").join(offsets.alias("r"), same_keys("l", "r", [*run, "_chunk"]))
+    half = lambda c: F.lpad(F.lower(F.hex((F.col(f"{c}_to") + F.col(f"{c}_from")).bitwiseAND(F.lit((1 << 32) - 1)))), 8, "0")
+    return joined.select(
+        *[F.col(f"l.{c}") for c in (*run, "step", "label")], (F.col("step") + 1).alias("trail_calls"),
+        F.concat(half("_high"), half("_low")).alias("trail_hash"),
+    )
+
+
+def rope_reference(findings: DataFrame, rope: DataFrame, run: Sequence[str] = RUN) -> DataFrame:
+    """Add ``trail_calls`` and ``trail_hash`` to findings; grows with findings, whatever the length of their trails."""
+    run = list(run)
+    ends = rope.select(*run, "step", "trail_calls", "trail_hash")
+    return findings.alias("l").join(ends.alias("r"), same_keys("l", "r", [*run, "step"])).select("l.*", "r.trail_calls", "r.trail_hash")
+
+
+def trail_lines(findings: DataFrame, calls: DataFrame, run: Sequence[str] = RUN) -> DataFrame:
+    """Run columns, step, place, line: a report in which each call stands once and its findings below it.
+
+    A finding's trail is the calls above it in its run, so the report grows with
+    calls and findings, and not with their product as written-out trails do.
+    Calls behind a run's last finding, and runs without findings, are left out.
+    """
+    run = list(run)
+    last = findings.groupBy(*run).agg(F.max("step").alias("_last"))
+    number = (F.col("step") + 1).cast("string")
+    heads = last.select(*run, F.lit(0).cast("bigint").alias("step"), F.lit(0).alias("place"), F.concat_ws(" ", F.lit("run"), *run).alias("line"))
+    steps = call_labels(calls, run).alias("l").join(last.alias("r"), same_keys("l", "r", run)).where("step <= _last").select(
+        *[F.col(f"l.{c}") for c in run], "step", F.lit(1).alias("place"), F.concat(number, F.lit(". "), "label").alias("line"))
+    told = findings.select(
+        *run, "step", F.lit(2).alias("place"),
+        F.concat(F.lit("  "), "severity", F.lit(" "), "signal", F.lit(": "), "evidence", F.lit(", after calls 1-"), number).alias("line"))
+    return heads.unionByName(steps).unionByName(told)
+
+
 def trail_reference(findings: DataFrame) -> DataFrame:
     """Add ``trail_first`` and ``trail_last``: the steps of the run whose labels are the finding's trail.
 

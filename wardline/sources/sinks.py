@@ -6,6 +6,7 @@ Rows stay spread over tasks; only the one-row totals come together.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from wardline.functions import severity as sev
 from wardline.functions.keys import same_keys
 from wardline.functions.text import fingerprint
 from wardline.operators.evaluate import scan_totals
+from wardline.operators.sequence import trail_lines
 from wardline.rules import signals as S
 from wardline.sources.staging import stage
 
@@ -86,6 +88,16 @@ def write_findings_report(findings: DataFrame, tools: DataFrame, path: str, mode
     findings_report(stage(findings), tools).select("text").write.mode(mode).text(path)
 
 
+def write_trail_report(findings: DataFrame, calls: DataFrame, path: str, run: Sequence[str] = ("run_id",), mode: str = "error") -> None:
+    """Text files that read in file order: each run's calls, each call's findings below it.
+
+    Lines are dealt by ranges of run and step, so a long run is many files and no task holds it.
+    """
+    order = [*run, "step", "place", "line"]
+    lines = trail_lines(findings, calls, run).repartitionByRange(*order).sortWithinPartitions(*order)
+    lines.select("line").write.mode(mode).text(path)
+
+
 def sarif_results(findings: DataFrame, prefix: str = "WARD") -> DataFrame:
     """Add ``result``: the SARIF result object of a finding as JSON text."""
     empty = "array<struct<kind:string,justification:string>>"
