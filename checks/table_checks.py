@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks import sql as Q
@@ -12,7 +14,7 @@ from wardline.rules import mutations as M
 from wardline.rules import records as R
 from wardline.rules import signals as S
 from wardline.sources import readers, sinks
-from wardline.sources.staging import stage
+from wardline.sources.staging import shared_folder, stage
 
 CHECKS: dict = {}
 
@@ -146,6 +148,16 @@ def add_suppressions(spark, sf):
     return entries.withColumn("rejected", F.lit(False)).unionByName(rejected.withColumn("rejected", F.lit(True)))
 
 
+@check(f"""WITH {cte('entries', 'new_entries')} SELECT *, 2 AS version FROM entries
+  UNION ALL SELECT *, 2 FROM new_entries n WHERE NOT EXISTS (SELECT 1 FROM entries e WHERE e.tool = n.tool AND e.signal = n.signal)""")
+def suppressions_round_trip(spark, sf):
+    """A suppression table written, read, added to and read again."""
+    path = f"{shared_folder(spark)}/suppressions-{uuid.uuid4().hex}"
+    sinks.write_suppressions(source(spark, sf, "entries"), path)
+    sinks.update_suppressions(spark, path, source(spark, sf, "new_entries"))
+    return readers.read_suppressions(spark, path).withColumn("version", F.lit(sinks.suppression_version(spark, path)))
+
+
 @check(f"""{_MARKED} SELECT count(*) FILTER (WHERE NOT suppressed) AS active, count(*) FILTER (WHERE suppressed) AS suppressed,
   (SELECT count(*) FROM surfaces) AS tools_scanned FROM kept""")
 def scan_totals(spark, sf):

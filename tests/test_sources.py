@@ -98,6 +98,45 @@ def test_suppression_table_round_trip(spark, folder):
         readers.read_suppressions(spark, path)
 
 
+def test_of_two_writers_one_is_refused(spark, folder):
+    path = os.path.join(folder, "s")
+    entry = lambda tool: spark.createDataFrame([(tool, "s", "r")], readers.SUPPRESSION_SCHEMA)
+    assert sinks.write_suppressions(entry("a"), path) == 1
+    seen = sinks.suppression_version(spark, path)
+    first = readers.read_suppressions(spark, path).unionByName(entry("b"))
+    assert sinks.write_suppressions(first, path, seen) == 2
+    with pytest.raises(sinks.SuppressionConflict):
+        sinks.write_suppressions(entry("c"), path, seen)
+    assert rows(readers.read_suppressions(spark, path), "tool") == [("a",), ("b",)]
+    assert len([n for n in os.listdir(path) if n[0] != "."]) == 2
+
+
+def test_a_number_is_claimed_by_one_writer(spark, folder):
+    """A writer that stands between its claim and its pointer keeps others out; a dead one does not."""
+    path = os.path.join(folder, "s")
+    entry = lambda tool: spark.createDataFrame([(tool, "s", "r")], readers.SUPPRESSION_SCHEMA)
+    sinks.write_suppressions(entry("a"), path)
+    claim = os.path.join(path, ".claim-000000002")
+    open(claim, "w").close()
+    with pytest.raises(sinks.SuppressionConflict):
+        sinks.write_suppressions(entry("b"), path)
+    assert rows(readers.read_suppressions(spark, path), "tool") == [("a",)] and len([n for n in os.listdir(path) if n[0] != "."]) == 2
+    os.utime(claim, (0, 0))
+    assert sinks.write_suppressions(entry("b"), path) == 2 and not os.path.exists(claim)
+
+
+def test_writers_at_once_lose_no_entry(spark, folder):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = os.path.join(folder, "s")
+    entry = lambda tool: spark.createDataFrame([(tool, "s", "r")], readers.SUPPRESSION_SCHEMA)
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda k: sinks.update_suppressions(spark, path, entry(f"t{k}"), attempts=20), range(4)))
+    assert rows(readers.read_suppressions(spark, path), "tool") == [(f"t{k}",) for k in range(4)]
+    taken = sinks.update_suppressions(spark, path, entry("t1").unionByName(entry("t9")))
+    assert rows(taken, "tool") == [("t1",)] and readers.read_suppressions(spark, path).count() == 5
+
+
 def test_whole_scan(spark, folder):
     path = put(folder, "tools.json", TOOLS)
     sinks.write_suppressions(

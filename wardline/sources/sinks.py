@@ -5,6 +5,7 @@ Rows stay spread over tasks; only the one-row totals come together.
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Sequence
 
@@ -16,11 +17,16 @@ from wardline.functions.keys import same_keys
 from wardline.functions.text import fingerprint
 from wardline.operators.evaluate import scan_totals
 from wardline.operators.sequence import trail_lines
+from wardline.operators.suppress import add_suppressions
 from wardline.rules import signals as S
+from wardline.sources.readers import read_suppressions
 from wardline.sources.staging import stage
 
 SARIF_SCHEMA = "https://raw.githubusercontent.com/oasis-tcs/sarif-spec/master/Schemata/sarif-schema-2.1.0.json"
 
+#: After so long, a claim on a version of the suppression table counts as left behind.
+CLAIM_SECONDS = 600
+
 
 def findings_json(findings: DataFrame) -> DataFrame:
     """The report columns of a finding under their report names."""
@@ -203,27 +209,88 @@ def write_benchmark(report: DataFrame, path: str, as_text: bool = False, mode: s
         benchmark_json(report).write.mode(mode).text(path)
 
 
-def write_suppressions(entries: DataFrame, path: str) -> None:
-    """Replace the suppression table at ``path``.
+class SuppressionConflict(RuntimeError):
+    """Another writer has replaced, or is replacing, the suppression table that an update started from."""
+
+
+def write_suppressions(entries: DataFrame, path: str, expected: int | None = None) -> int:
+    """Replace the suppression table at ``path``; returns the number of the new version.
 
-    The new table is a folder of its own below ``path``, and only then a pointer
-    file is renamed into place that names it, with a higher number than the one
-    before; readers take the highest. So there is a whole table at any time, and
-    a failed job leaves the old one as it was. Older tables are deleted last.
+    The new table is a folder of its own below ``path``. It is put in place by a
+    pointer file that names it, with the next number; readers take the highest.
+    So there is a whole table at any time, and a failed job leaves the old one
+    as it was. Before that the number is claimed, by creating a file that only
+    one writer can create, and the table in place must still be the one with the
+    number ``expected`` (by default, the one there at the start): of two writers
+    who start from one version the second is refused and nothing of it stays. A
+    claim that its writer has not used for ten minutes no longer counts. Older
+    tables are deleted last.
     """
     spark = entries.sparkSession
-    folder = f"table-{uuid.uuid4().hex}"
-    entries.select("tool", "signal", "reason").write.parquet(f"{path}/{folder}")
     make = spark._jvm.org.apache.hadoop.fs.Path
     files = make(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    old = suppression_versions(spark, path)
-    number = max((n for n, _ in old), default=0) + 1
-    pointer = make(f"{path}/current-{number:09d}-{folder}")
-    if not files.createNewFile(pointer):
-        raise OSError(f"could not put the new suppression table in place at {path}")
+    latest = suppression_version(spark, path)
+    base = latest if expected is None else expected
+    folder = f"table-{uuid.uuid4().hex}"
+    claim, pointer = make(f"{path}/.claim-{base + 1:09d}"), make(f"{path}/current-{base + 1:09d}-{folder}")
+    claimed = False
+    try:
+        if latest != base:
+            raise SuppressionConflict(f"the suppression table at {path} has version {latest}, not {base}")
+        entries.select("tool", "signal", "reason").write.parquet(f"{path}/{folder}")
+        claimed = _claim(files, claim)
+        if not claimed or suppression_version(spark, path) != base:
+            raise SuppressionConflict(f"version {base} of the suppression table at {path} has been replaced meanwhile")
+        old = suppression_versions(spark, path)
+        if not files.createNewFile(pointer):
+            raise OSError(f"could not put the new suppression table in place at {path}")
+    except Exception:
+        files.delete(make(f"{path}/{folder}"), True)
+        raise
+    finally:
+        if claimed:
+            files.delete(claim, False)
     for n, gone in old:
         files.delete(make(f"{path}/current-{n:09d}-{gone}"), False)
         files.delete(make(f"{path}/{gone}"), True)
+    return base + 1
+
+
+def _claim(files, claim) -> bool:
+    """Create a file that marks a number as taken; a mark left behind by a writer that died is taken over."""
+    if files.createNewFile(claim):
+        return True
+    try:
+        left = files.getFileStatus(claim).getModificationTime()
+    except Exception:  # its owner has just finished
+        return False
+    return left < (time.time() - CLAIM_SECONDS) * 1000 and files.delete(claim, False) and files.createNewFile(claim)
+
+
+def update_suppressions(spark: SparkSession, path: str, new: DataFrame, attempts: int = 3) -> DataFrame:
+    """Add entries to the suppression table at ``path``; those whose (tool, signal) is taken come back.
+
+    The table read and the number written belong together, so no other writer's
+    entries are lost; after a conflict the update starts again from what is
+    there then.
+    """
+    for left in reversed(range(attempts)):
+        version = suppression_version(spark, path)
+        try:
+            entries, rejected = add_suppressions(read_suppressions(spark, path), new)
+            rejected = stage(rejected)  # it reads the table that is about to go
+            write_suppressions(entries, path, version)
+            return rejected
+        except Exception as error:  # also a table that another writer has deleted under the reader
+            conflict = isinstance(error, SuppressionConflict) or suppression_version(spark, path) != version
+            if not left or not conflict:
+                raise
+    raise ValueError("attempts must be at least 1")
+
+
+def suppression_version(spark: SparkSession, path: str) -> int:
+    """Number of the suppression table in place, 0 for none."""
+    return max((n for n, _ in suppression_versions(spark, path)), default=0)
 
 
 def suppression_versions(spark: SparkSession, path: str) -> list[tuple[int, str]]:
