@@ -143,6 +143,23 @@ def test_similarity_in_the_row_equals_the_table_form(spark):
     assert row_form == {(r.name, r.signal) for r in table.collect()} and row_form
 
 
+def test_ten_thousand_archetypes(spark):
+    """The matrix form and the join give the same rows, and the first moves no row of the texts."""
+    import random
+
+    draw = random.Random(9)
+    word = lambda: f"w{int(draw.paretovariate(0.6)) % 5000}"
+    kinds = [(k, f"label {k}", " ".join(word() for _ in range(8)), f"signal {k % 50}", [f"R-{k}"]) for k in range(10_000)]
+    archetypes = spark.createDataFrame(kinds, "position int, label string, text string, signal string, corpus_refs array<string>")
+    texts = [(k // 2, " ".join([*kinds[draw.randrange(10_000)][2].upper().split(), *(word() for _ in range(5))])) for k in range(60)]
+    df = spark.createDataFrame([*texts, (90, None), (91, ""), (92, "w1")], "doc_id int, text string").repartition(4)
+    found = lambda d: sorted((r.doc_id, r.label, r.signal, round(r.cosine, 9), tuple(r.corpus_refs)) for r in d.collect())
+    held = tfidf.score(df, archetypes)
+    plan = held._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1  # the test's own repartition
+    assert found(held) == found(tfidf.score(df, archetypes, most=100)) and held.count() > 60
+
+
 def test_fitted_tables_equal_the_constants(spark):
     idf, weights = tfidf.fit(tfidf.archetype_table(spark))
     model = tfidf.default_model()

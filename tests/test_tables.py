@@ -149,3 +149,25 @@ def test_findings_schema_is_the_same_everywhere(spark):
     tools = spark.createDataFrame([("t", "you must", None, None)], "name string, description string, inputSchema string, annotations string")
     assert scan_tools(tools).columns == FINDING_COLUMNS
     assert scan_needles(tools, text="description").columns == FINDING_COLUMNS
+
+
+def test_label_patterns_run_only_on_texts_that_hold_their_literals(spark):
+    import random
+    import re
+
+    from wardline.operators.label import literal_parts
+
+    assert literal_parts(r"api[_\s]?key") == (["api", "key"], False) and literal_parts(r"eval\(") == (["eval("], True)
+    assert literal_parts(r"\.ssh") == ([".ssh"], True) and literal_parts("a|b") == literal_parts("(a)") == ([], False)
+    words = [w for _, ps in L.RISK_PATTERNS for p in ps for w in literal_parts(p)[0]]
+    assert all(literal_parts(p)[0] for _, ps in L.RISK_PATTERNS for p in ps)
+    draw = random.Random(3)
+    texts = ["".join(draw.choice([*words, " ", "\n", "X", ".", "_"]) for _ in range(draw.randrange(7))) for _ in range(1500)]
+
+    def by_hand(text):
+        low = text.lower()
+        return next((c for c, ps in L.RISK_PATTERNS if any(re.search(p, low) for p in ps)), None)
+
+    df = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, None, ""])], "k int, text string")
+    got = {r.k: r.risk for r in df.select("k", label.risk_heuristic(F.col("text")).alias("risk")).collect()}
+    assert got == {k: None if t is None else by_hand(t) for k, t in enumerate([*texts, None, ""])}

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions.constants import lookup
+from wardline.functions.findings import bind
 from wardline.rules import labels as L
 
 
@@ -35,13 +39,42 @@ def paradigm_heuristic(description: Column) -> Column:
     )
 
 
+#: What may stand between the literal parts of a label pattern: a class that may be absent, or any signs of a line.
+_BETWEEN = re.compile(r"\[[^\]]*\]\??|\.[*?]?")
+_ESCAPED = re.compile(r"\\(\W)")
+
+
+def literal_parts(pattern: str) -> tuple[list[str], bool]:
+    """Strings that every match of a pattern holds, and whether holding it is all there is to a match.
+
+    A pattern with other signs of regular expressions than those between literal parts has no such strings.
+    """
+    held: list[str] = []
+    plain = _ESCAPED.sub(lambda m: held.append(m[1]) or f"\0{len(held) - 1}\1", pattern)
+    pieces = _BETWEEN.split(plain)
+    if any(c in piece for piece in pieces for c in "\\|()[]{}^$*+?."):
+        return [], False
+    whole = [re.sub("\0(\\d+)\1", lambda m: held[int(m[1])], piece) for piece in pieces]
+    return [w for w in whole if w], len(pieces) == 1
+
+
 def risk_heuristic(description: Column) -> Column:
-    """Risk category by wording; the first group that hits wins, else null."""
-    lower = F.lower(description)
-    out = F
-    for category, patterns in L.RISK_PATTERNS:
-        out = out.when(lower.rlike("(?Ud)" + "|".join(patterns)), category)
-    return out
+    """Risk category by wording; the first group that hits wins, else null.
+
+    A pattern is only run on texts that hold all its literal parts; one that is nothing else is not run at all.
+    """
+    def category(lower: Column) -> Column:
+        out = F
+        for name, patterns in L.RISK_PATTERNS:
+            hits = []
+            for pattern in patterns:
+                parts, whole = literal_parts(pattern)
+                held = [F.contains(lower, F.lit(p)) for p in parts]
+                hits.append(reduce(and_, held if whole else [*held, lower.rlike("(?Ud)" + pattern)]))
+            out = out.when(reduce(or_, hits), name)
+        return out
+
+    return bind(F.lower(description), category)
 
 
 def _text(value: Column) -> Column:
