@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from checks import sql as Q
 from checks.inputs import cte, source, table
 from wardline.operators import cases, corpus, evaluate, label, scan, suppress
+from wardline.plans import reports
 from wardline.rules import labels as L
 from wardline.rules import mutations as M
 from wardline.rules import records as R
@@ -164,6 +165,13 @@ def scan_totals(spark, sf):
     return evaluate.scan_totals(marked(spark, sf), surfaces(spark, sf))
 
 
+@check(f"""{_MARKED} SELECT count(*) FILTER (WHERE NOT suppressed) AS active, count(*) FILTER (WHERE suppressed) AS suppressed,
+  (SELECT count(*) FROM surfaces) AS tools_scanned FROM kept""")
+def scan_totals_in_one_pass(spark, sf):
+    """The totals of a scan, its rows counted while they are scanned."""
+    return reports.scan_with_totals(surfaces(spark, sf), lambda rows: scan.scan_surface(rows, description="text"), source(spark, sf, "entries"))[1]
+
+
 @check(f"""{_MARKED} SELECT bool_or(NOT suppressed AND severity IN ('high', 'critical')) AS blocking,
   coalesce(bool_or(NOT suppressed AND severity = 'critical') FILTER (WHERE signal = 'fake_prerequisite'), false) AS blocking_one FROM kept""")
 def gate(spark, sf):

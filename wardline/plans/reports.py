@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.functions.findings import FINDING_COLUMNS
@@ -36,10 +38,26 @@ def report(findings: DataFrame, tools: DataFrame, suppressions: DataFrame) -> Re
     return Report(marked, scan_totals(marked, tools), stale_suppressions(suppressions, marked), gate(marked))
 
 
+def scan_with_totals(tools: DataFrame, scan: Callable[[DataFrame], DataFrame], suppressions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(findings, totals)`` of a scan whose input is read once: the scanned rows are counted as they pass.
+
+    The scan writes its findings without a shuffle, so the count is of tasks that
+    each count once, also when executors are lost; active and suppressed ones
+    are counted afterwards, from what was written. Calling this runs the scan.
+    """
+    seen = Observation(f"scan-{uuid.uuid4().hex}")
+    found = stage(scan(tools.observe(seen, F.count(F.lit(1)).alias("tools_scanned"))))
+    marked = apply_suppressions(found, suppressions)
+    totals = marked.agg(F.count_if(~F.col("suppressed")).alias("active"), F.count_if("suppressed").alias("suppressed"))
+    return marked, totals.withColumn("tools_scanned", F.lit(seen.get["tools_scanned"]))
+
+
 def scan_report(spark: SparkSession, path: str, suppressions: str) -> Report:
-    """Scan of listing documents: findings, totals, stale suppressions, gate."""
-    tools = read_tools(spark, path)
-    return report(scan_tools(tools), tools, read_suppressions(spark, suppressions))
+    """Scan of listing documents, which are read once: findings, totals, stale suppressions, gate."""
+    accepted = read_suppressions(spark, suppressions)
+    marked, totals = scan_with_totals(read_tools(spark, path), scan_tools, accepted)
+    marked = stage(marked)
+    return Report(marked, totals, stale_suppressions(accepted, marked), gate(marked))
 
 
 def benchmark(spark: SparkSession, path: str) -> DataFrame:
