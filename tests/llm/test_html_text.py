@@ -62,3 +62,35 @@ def test_tables(table):
     assert got.columns == ["page_id", "value", "text"]
     assert sorted(len(r.text) for r in got.collect()) == [0, 0, len(TEXT), len(TEXT), 200_001]
     assert html_text.extract(table([], "page_id long, html string"), ["page_id"]).collect() == []
+
+
+@pytest.mark.parametrize(
+    ("page", "blocks"),
+    [
+        (f"<nav>Home</nav><div style='overflow:hidden'><h1>T</h1>{P}{P}</div><p>x", ["T", TEXT, TEXT]),
+        (f"<article>{P}<p>One <a title='a hidden gem'>link</a> more.</p>{P}</article>", [TEXT, "One link more.", TEXT]),
+        (f"<article>{P}<section data-id='menu' data-class=\"sidebar\" data-hidden>{P}</section></article>", [TEXT, TEXT]),
+        (f"<body><form action=x><input name=q><article><h1>T</h1>{P}{P}</article><button>Go</button></form></body>", ["T", TEXT, TEXT]),
+        (f"<article>{P}{P}<form><p>Search, here.</p></form></article>", [TEXT, TEXT]),
+        (f"<article><h1>T</h1>{P}</article><section id=comments>{P * 9}</section>", ["T", TEXT]),
+        (f"<article><h1>T</h1>{P}<div class='x comment-list'>{P * 9}</div></article>", ["T", TEXT]),
+        (f"<div class=comments>{P}</div>", [TEXT]),
+        (f"<article class='a' class='menu' hidden=false>{P}</article>", [TEXT]),
+        (f'<article>{P}<p class="a>b" id=\'c>d\'>In.</p></article>', [TEXT, "In."]),
+        (f'<article>{P}<p>It is <b class="x>5 and</b> more.</p></article>', [TEXT, "It is 5 and more."]),
+    ],
+)
+def test_attributes_forms_and_comments(page, blocks):
+    assert html_text.main_blocks(page) == blocks
+
+
+@pytest.mark.parametrize(
+    "page", ["<a " * 350_000, "<a \"" * 250_000, "<a '" * 250_000 + ">", "<div>" * 10_000 + "x" + "</div>" * 10_000, "<p><b>" * 150_000, "</x>" * 250_000,
+             "<div>" * 10_000 + "</span><td><li>" * 20_000, "<!--" * 250_000, "<script" * 150_000, "<ul><li>" * 20_000, "<style>" * 150_000,
+             "<div>x" * 20_000, "<div class=menu>x" * 20_000, "<body>" + "<div>" * 9_000 + "<p>x</p>" * 20_000])
+def test_hostile_pages_take_linear_time(page):
+    import time
+
+    start = time.process_time()
+    html_text.main_blocks(page)
+    assert time.process_time() - start < 4
