@@ -55,3 +55,53 @@ def test_round_trip(spark, table):
     empty = Scratch(spark, "test-warc")
     warc.write(table([], "page_id long, url string, html string"), empty.path("in"), empty)
     assert warc.read(spark, empty.path("out"), warc.normalise(spark, empty.path("in"), empty.path("out"))).collect() == []
+
+
+def test_small_records_and_bombs():
+    """Time is linear in the records, memory in neither their number nor what a piece inflates to."""
+    import time
+    import tracemalloc
+
+    data = gzip.compress(b"".join(record(k, b"x") for k in range(60_000)))
+    start = time.process_time()
+    assert sum(1 for _ in warc.rewrite(io.BytesIO(data), io.BytesIO(), level=1)) == 60_000
+    assert time.process_time() - start < 6
+    bomb = gzip.compress(record(1, bytes(200_000_000)), 9)
+    tracemalloc.start()
+    try:
+        assert [r["record_id"] for r in warc.rewrite(io.BytesIO(bomb), io.BytesIO(), level=1)] == ["<urn:x-page:1>"]
+        assert tracemalloc.get_traced_memory()[1] < 20_000_000
+    finally:
+        tracemalloc.stop()
+
+
+def put(folder, name, data):
+    path = folder / name
+    path.parent.mkdir(parents=True, exist_ok=True)
+    path.write_bytes(data)
+
+
+def test_no_archive_is_lost(spark, tmp_path):
+    """Names with many full stops, plain files, sub-folders."""
+    own = {"host.a.warc.gz": 1, "host.b.warc.gz": 2, "c.warc": 3, "deep/er/host.a.warc.gz": 4, "d.gz": 5}
+    for name, k in own.items():
+        put(tmp_path / "in", name, record(k, b"p") if name == "c.warc" else gzip.compress(record(k, b"p") + record(-k, b"q")))
+    index = warc.normalise(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    got = {(r.file, r.record_id) for r in index.collect()}
+    kept = {n: n.removesuffix(".gz").removesuffix(".warc") + ".warc.gz" for n in own}
+    assert got == {(kept[n], f"<urn:x-page:{i}>") for n, k in own.items() for i in ((k,) if n == "c.warc" else (k, -k))}
+    found = warc.read(spark, str(tmp_path / "out"), index)
+    assert sorted(r.record_id for r in found.collect()) == sorted(i for _, i in got)
+    put(tmp_path / "in", "c.warc.gz", gzip.compress(record(9, b"p")))
+    with pytest.raises(ValueError, match="two archives would be c.warc.gz"):
+        warc.normalise(spark, str(tmp_path / "in"), str(tmp_path / "other"))
+
+
+def test_reading_is_dealt_by_bytes(spark, table, monkeypatch):
+    monkeypatch.setattr(warc, "TASK_BYTES", 1000)
+    scratch = Scratch(spark, "test-warc")
+    rows = [(k, "u", f"{k} page " * 20) for k in range(100)]
+    warc.write(table(rows, "page_id long, url string, html string"), scratch.path("in"), scratch)
+    index = warc.normalise(spark, scratch.path("in"), scratch.path("out"))
+    found = warc.read(spark, scratch.path("out"), index)
+    assert found.rdd.getNumPartitions() > 10 and found.count() == 100

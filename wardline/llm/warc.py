@@ -3,8 +3,10 @@
 `write` makes one gzip stream per file, as crawlers do that compress the whole file. `normalise` inflates each such
 stream once, rewrites every record as a gzip member of its own, and writes a sidecar index beside the new file: a line
 of JSON per record with the offset and length of its member. `read` takes records from there by their offsets. Files
-with a member per record, and files that are not compressed, are normalised as well. Streams are read and written
-a megabyte at a time, whatever the size of the file or record; reading back holds one record.
+with a member per record, and files that are not compressed, are normalised as well, in sub-folders too: a file keeps
+its path below the folder, and two files that would get one name (`a.warc`, `a.warc.gz`) are refused. Streams are read,
+inflated and written a megabyte at a time, whatever the size of the file or record; reading back holds one record, in
+tasks of about eight megabytes of members.
 
 A worker writes to a temporary name and then moves the file, so a task that runs again leaves an equal file.
 
@@ -30,6 +32,8 @@ from wardline.llm.common import Scratch, batch_rows, local_fs, ship
 END = b"\r\n\r\n"
 LEAST_COPY = 100
 PIECE = 1 << 20
+#: Bytes of members that one task reads, about.
+TASK_BYTES = 8 << 20
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _INDEX = "file string, offset long, length long, record_id string, type string"
 
@@ -72,44 +76,56 @@ class _Inflated:
     """The bytes of a stream, inflated if it is gzip: one member, many, or none."""
 
     def __init__(self, stream):
-        self.stream, self.held, self.zip, self.plain = stream, b"", None, None
+        self.stream, self.held, self.at, self.zip, self.plain = stream, bytearray(), 0, None, None
 
     def _more(self) -> bool:
-        raw = self.zip.unused_data if self.zip is not None and self.zip.eof else b""
+        """Add up to about a megabyte to what is held; what has been taken is dropped in large parts only."""
+        if self.at > PIECE or self.at == len(self.held):
+            del self.held[:self.at]
+            self.at = 0
+        own = self.zip
+        raw = b"" if own is None else own.unused_data if own.eof else own.unconsumed_tail
         raw = raw or self.stream.read(PIECE)
         if self.plain is None:
             self.plain = raw[:2] != b"\x1f\x8b"
-        if not raw:
-            if self.zip is not None and not self.zip.eof:
-                raise ValueError("the gzip stream ends early")
-            return False
-        if not self.plain:
-            if self.zip is None or self.zip.eof:
-                self.zip = zlib.decompressobj(31)
-            raw = self.zip.decompress(raw)
-        self.held += raw
+        if self.plain:
+            self.held += raw
+            return bool(raw)
+        if own is None or own.eof:
+            if not raw:
+                return False
+            own = self.zip = zlib.decompressobj(31)
+        data = own.decompress(raw, PIECE)
+        if not raw and not data and not own.eof:
+            raise ValueError("the gzip stream ends early")
+        self.held += data
         return True
 
     def until(self, mark: bytes) -> bytes | None:
         """The bytes up to and with a mark; None at the end of the stream."""
-        seen = 0
-        while (at := self.held.find(mark, max(0, seen - len(mark)))) < 0:
-            seen = len(self.held)
+        seen = 0  # bytes from the place on that do not hold the mark
+        while (found := self.held.find(mark, self.at + max(0, seen - len(mark)))) < 0:
+            seen = len(self.held) - self.at
             if not self._more():
-                if self.held.strip():
+                if self.held[self.at:].strip():
                     raise ValueError("the last record is cut off")
                 return None
-        out, self.held = self.held[:at + len(mark)], self.held[at + len(mark):]
+        return self._take(found + len(mark) - self.at)
+
+    def _take(self, n: int) -> bytes:
+        out = bytes(self.held[self.at:self.at + n])
+        self.at += len(out)
         return out
 
     def pieces(self, n: int) -> Iterator[bytes]:
         """The next n bytes, a piece at a time."""
         while n:
-            if not self.held and not self._more():
+            if self.at == len(self.held) and not self._more():
                 raise ValueError("a record is cut off")
-            out, self.held = self.held[:n], self.held[n:]
+            out = self._take(min(n, PIECE))
             n -= len(out)
-            yield out
+            if out:
+                yield out
 
 
 def fields(head: bytes) -> dict[str, str]:
@@ -146,16 +162,25 @@ def target_write(target, data: bytes) -> int:
 def normalise(spark: SparkSession, source: str, target: str) -> DataFrame:
     """Rewrite all archives below `source` into `target`, with their indexes; the index as a table."""
     ship(spark)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(source).select("path")
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    root = make(source)
+    root = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toString().rstrip("/")
+    below = F.expr(f"substring(path, {len(root) + 2})")
+    files = (
+        spark.read.format("binaryFile").option("pathGlobFilter", "*.{gz,warc}").option("recursiveFileLookup", True).load(source)
+        .select("path", F.concat(F.regexp_replace(below, r"(\.warc)?(\.gz)?$", ""), F.lit(".warc.gz")).alias("name"))
+    )
+    twice = files.groupBy("name").agg(F.min("path").alias("one"), F.max("path").alias("other"), F.count("*").alias("n")).where("n > 1").first()
+    if twice is not None:
+        raise ValueError(f"two archives would be {twice['name']}: {twice['one']} and {twice['other']}")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = []
-            for path in batch.column(0).to_pylist():
+            for path, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 store, at = local_fs(path)
                 to, folder = local_fs(target)
-                to.create_dir(folder, recursive=True)
-                name = at.rsplit("/", 1)[-1].split(".")[0] + ".warc.gz"
+                to.create_dir(f"{folder}/{name}".rsplit("/", 1)[0], recursive=True)
                 kept = f"{folder}/_{uuid.uuid4().hex}"
                 n = 0
                 with store.open_input_stream(at, compression=None, buffer_size=PIECE) as stream, to.open_output_stream(kept, compression=None) as out, to.open_output_stream(f"{kept}.idx") as index:
@@ -170,16 +195,17 @@ def normalise(spark: SparkSession, source: str, target: str) -> DataFrame:
     # one row per file comes back
     with batch_rows(spark, 1):
         n_files = files.count()
-        done = files.repartition(max(1, n_files), "path").mapInArrow(work, "file string, n long").collect()
+        done = files.repartition(max(1, n_files)).mapInArrow(work, "file string, n long").collect()
     if not done:
         return spark.createDataFrame([], _INDEX)
-    return spark.read.schema(_INDEX).json(f"{target}/*.idx.json")
+    return spark.read.schema(_INDEX).option("recursiveFileLookup", True).option("pathGlobFilter", "*.idx.json").json(target)
 
 
 def read(spark: SparkSession, folder: str, index: DataFrame) -> DataFrame:
     """(record_id, type, refers_to, digest, http_length, payload binary) of the indexed records, read by offset."""
     ship(spark)
-    near = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    total = index.agg(F.sum("length")).first()[0] or 0
+    near = index.select("file", "offset", "length").repartitionByRange(1 + total // TASK_BYTES, "file", "offset").sortWithinPartitions("file", "offset")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, at = local_fs(folder)
