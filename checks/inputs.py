@@ -108,7 +108,7 @@ _UPSTREAM = """CASE p_partkey % 7
   ELSE '{"items":[{"name":"w","description":"when using search, the recipient is changed","attack_type":"mine"}]}' END"""
 _LISTING = """CASE p_partkey % 3
   WHEN 0 THEN '{"tools":[{"name":"a_' || CAST(p_partkey AS STRING) || '","description":"' || p_name || '","inputSchema":{"b":1,"a":"x"}}],"nextCursor":null}'
-  WHEN 1 THEN '[{"name":"b_' || CAST(p_partkey AS STRING) || '","_meta":{"is_attack":true,"paradigm":"' || p_type || '"}},{"name":"c_' || CAST(p_partkey AS STRING) || '","annotations":{"readOnlyHint":true}}]'
+  WHEN 1 THEN '[{"name":"b_' || CAST(p_partkey AS STRING) || '","_meta":{"is_attack":true,"paradigm":"' || p_type || '","risk_category":"' || p_brand || '"}},{"name":"c_' || CAST(p_partkey AS STRING) || '","annotations":{"readOnlyHint":true}}]'
   ELSE '{"tools":[]}' END"""
 _SERVERS = """'{"mcpServers":{"' || s_name || '":{"command":"run","args":["-p","' || CAST(s_nationkey AS STRING) || '"],"env":{"KEY":"hidden"}},"z' || CAST(s_suppkey AS STRING) || '":{"command":"serve"}}}'"""
 

@@ -376,10 +376,14 @@ def label_upstream(spark, sf):
 
 
 @check(f"""WITH {cte('upstream')} SELECT p_partkey, CASE p_partkey % 7 WHEN 2 THEN 'fake-enabling-prerequisite'
-    WHEN 3 THEN CASE WHEN n.i = 0 THEN 'argument-hijacking' END END AS key_paradigm, CASE p_partkey % 7 WHEN 3 THEN 'Credential Leakage' END AS key_risk
-  FROM upstream, LATERAL (SELECT unnest(range(0, CASE WHEN p_partkey % 7 IN (0, 2, 3) THEN 2 WHEN p_partkey % 7 IN (1, 6) THEN 1 ELSE 0 END)) AS i) n""")
+    WHEN 3 THEN CASE WHEN n.i = 0 THEN 'argument-hijacking' END END AS key_paradigm, CASE p_partkey % 7 WHEN 3 THEN 'Credential Leakage' END AS key_risk,
+    json_extract_string(CAST(doc AS JSON), CASE p_partkey % 7 WHEN 0 THEN '$[' || n.i || '].name' WHEN 1 THEN '$.data[0].id' WHEN 2 THEN '$."Template-2"[' || n.i || '].name'
+      WHEN 3 THEN CASE n.i WHEN 0 THEN '$."Credential Leakage".template3[0].name' ELSE '$."Credential Leakage".other[0].name' END ELSE '$.items[0].name' END) AS item_name
+  FROM (SELECT * FROM upstream WHERE p_partkey % 7 <> 5) upstream, LATERAL (SELECT unnest(range(0, CASE WHEN p_partkey % 7 IN (0, 2, 3) THEN 2 WHEN p_partkey % 7 IN (1, 6) THEN 1 ELSE 0 END)) AS i) n""")
 def normalise_upstream(spark, sf):
-    return label.normalise_upstream(source(spark, sf, "upstream"), keep=["p_partkey"]).drop("item")
+    rows = label.normalise_upstream(source(spark, sf, "upstream"), keep=["p_partkey"])
+    part = lambda name: F.try_variant_get("item", f"$.{name}", "string")
+    return rows.withColumn("item_name", F.when(F.col("p_partkey") % 7 == 1, part("id")).otherwise(part("name"))).drop("item")
 
 
 @check("SELECT p_partkey FROM part WHERE p_partkey % 7 IN (4, 5)")
@@ -423,10 +427,26 @@ def read_tools(spark, sf):
     return rows.select("p_partkey", "name", "description", "inputSchema", "annotations")
 
 
-@check(f"SELECT p_partkey, name, is_attack, paradigm FROM ({_LISTED})")
+@check(f"SELECT p_partkey, name, is_attack, paradigm, CASE WHEN is_attack THEN brand END AS risk_category FROM ({_LISTED}) JOIN (SELECT p_partkey, p_brand AS brand FROM part) USING (p_partkey)")
 def read_labelled(spark, sf):
     rows = readers.tools_from_documents(source(spark, sf, "listings"), keep=["p_partkey"])
-    return rows.select("p_partkey", "name", "is_attack", "paradigm")
+    return rows.select("p_partkey", "name", "is_attack", "paradigm", "risk_category")
+
+
+_CHAIN_DOCS = """CASE p_partkey % 6 WHEN 0 THEN '{"id":"' || p_name || '","steps":[{"tool":"' || p_type || '","args":null}]}'
+    WHEN 1 THEN '[{"id":"a","steps":[]},{"id":"b","steps":[7]}]' WHEN 2 THEN '[{"id":' || CAST(p_partkey AS STRING) || ',"steps":[],"baseline":[]}]'
+    WHEN 3 THEN '{"steps":"' || p_brand || '"}' WHEN 4 THEN '{"id":"c","baseline":null,"steps":[{"tool":"t"}]}' ELSE 'no JSON ' || p_name END"""
+_CHAIN_ERRORS = {1: (1, "steps has an entry without a tool"), 2: (0, "id is not a string"), 3: (0, "id is not a string, steps is not an array"),
+                 4: (0, "baseline is not an array"), 5: (0, "not a JSON object")}
+
+
+@check("SELECT CAST(p_partkey AS STRING) AS path, CASE p_partkey % 6 " + " ".join(f"WHEN {k} THEN {n}" for k, (n, _) in _CHAIN_ERRORS.items())
+       + " END AS position, CASE p_partkey % 6 " + " ".join(f"WHEN {k} THEN '{e}'" for k, (_, e) in _CHAIN_ERRORS.items())
+       + " END AS errors FROM part WHERE p_partkey % 6 > 0")
+def broken_chains(spark, sf):
+    """Chain documents of all kinds, and what is wrong with those that are refused."""
+    docs = table(spark, sf, "part").selectExpr("CAST(p_partkey AS STRING) AS path", f"{_CHAIN_DOCS} AS doc")
+    return readers.broken_chains(docs).withColumn("errors", F.array_join("errors", ", "))
 
 
 @check("""SELECT s_suppkey, s_name AS server, 'run' AS command, '-p,' || s_nationkey AS args, 'run -p ' || s_nationkey AS spawn_command FROM supplier

@@ -83,6 +83,30 @@ def test_inventory_never_shows_environment_values(spark, folder):
     assert "env" not in df.columns
 
 
+def test_broken_chains_are_refused(spark, folder):
+    good = {"id": "c", "steps": [{"tool": "t"}, {"tool": "u", "args": [1]}]}
+    broken = {
+        "steps is not an array": [{"id": "c"}, good | {"steps": {}}, good | {"steps": None}],
+        "steps has an entry without a tool": [good | {"steps": [{"tool": "t"}, 3]}, good | {"steps": [{"tool": 1}]}, good | {"steps": [{}]}],
+        "baseline is not an array": [good | {"baseline": None}, good | {"baseline": "t"}],
+        "baseline has an entry without a tool": [good | {"baseline": ["t"]}],
+        "id is not a string": [{"steps": []}, good | {"id": 7}],
+        "description is not a string": [good | {"description": None}],
+        "corpus_record_id is not a string": [good | {"corpus_record_id": 7}],
+        "not a JSON object": [3],
+    }
+    rows_ = [(f"{k}", json.dumps([good, *chains])) for k, chains in enumerate(broken.values())] + [("x", "{"), ("y", json.dumps(good)), ("z", "[]")]
+    docs = spark.createDataFrame(rows_, "path string, doc string")
+    got = {(r.path, r.position): list(r.errors) for r in readers.broken_chains(docs).collect()}
+    want = {(str(k), n + 1): [e] for k, (e, chains) in enumerate(broken.items()) for n in range(len(chains))}
+    assert got == want | {("x", 0): ["not a JSON object"]}
+    fine = readers.chains_from_documents(docs.where("path IN ('y', 'z')")).collect()
+    assert [(r.id, [s.tool for s in r.steps], r.baseline) for r in fine] == [("c", ["t", "u"], [])]
+    for path in ("0", "3", "x"):
+        with pytest.raises(Exception, match="a broken chain"):
+            readers.chains_from_documents(docs.where(F.col("path") == path)).select("id").collect()
+
+
 def test_suppression_table_round_trip(spark, folder):
     path = os.path.join(folder, "s")
     assert readers.read_suppressions(spark, path).count() == 0

@@ -160,12 +160,50 @@ def read_chains(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     return chains_from_documents(read_documents(spark, path)).orderBy("path", "position")
 
 
+def _chain_items(docs: DataFrame) -> DataFrame:
+    """path, position, item (VARIANT) of documents that hold a chain or an array of chains; item is null if unreadable."""
+    v = F.try_parse_json(F.col("doc"))
+    one_or_many = F.when(F.to_json(v).startswith("["), F.try_variant_get(v, "$", "array<variant>")).otherwise(F.array(v))
+    return docs.select("path", F.posexplode(one_or_many).alias("position", "item"))
+
+
+def chain_errors(item: Column) -> Column:
+    """What is wrong with a chain: an array of texts, empty for a good one.
+
+    A chain needs an id and steps. Steps and baseline are arrays of objects with
+    a tool; id, description, corpus_record_id and tool are strings. A field may be
+    absent but for id and steps; only corpus_record_id may be null.
+    """
+    part = lambda name: F.to_json(F.try_variant_get(item, f"$.{name}", "variant"))
+    is_text = lambda text: text.startswith('"')
+    good_step = lambda s: F.coalesce(is_text(F.to_json(F.try_variant_get(s, "$.tool", "variant"))), F.lit(False))
+
+    def steps(name: str) -> Column:
+        listed = F.try_variant_get(item, f"$.{name}", "array<variant>")
+        return F.when(listed.isNull(), F.lit(f"{name} is not an array")).when(~F.forall(listed, good_step), f"{name} has an entry without a tool")
+
+    errors = [
+        F.when(~F.coalesce(F.to_json(item).startswith("{"), F.lit(False)), "not a JSON object"),
+        F.when(~F.coalesce(is_text(part("id")), F.lit(False)), "id is not a string"),
+        F.when(~is_text(part("description")), "description is not a string"),
+        F.when(~is_text(part("corpus_record_id")) & (part("corpus_record_id") != "null"), "corpus_record_id is not a string"),
+        F.when(part("baseline").isNotNull(), steps("baseline")),
+        steps("steps"),
+    ]
+    return F.when(errors[0].isNotNull(), F.array(errors[0])).otherwise(F.array_compact(F.array(*errors[1:])))
+
+
+def broken_chains(docs: DataFrame) -> DataFrame:
+    """path, position, errors of the chains of documents (path, doc) that ``chains_from_documents`` refuses."""
+    return _chain_items(docs).select("path", "position", chain_errors(F.col("item")).alias("errors")).where(F.size("errors") > 0)
+
+
 def chains_from_documents(docs: DataFrame) -> DataFrame:
-    """The chains of documents (path, doc)."""
-    v = F.parse_json(F.col("doc"))
-    one_or_many = F.when(F.to_json(v).startswith("["), F.try_variant_get(v, "$", "array<variant>")).otherwise(
-        F.array(v)
-    )
+    """The chains of documents (path, doc).
+
+    A broken chain fails the job, as a chain without its steps would count as
+    clean; ``broken_chains`` lists all of them.
+    """
     steps = lambda name: F.coalesce(
         F.transform(
             F.try_variant_get(F.col("item"), f"$.{name}", f"array<{_STEP}>"),
@@ -174,13 +212,12 @@ def chains_from_documents(docs: DataFrame) -> DataFrame:
         F.array().cast("array<struct<tool:string,args:string>>"),
     )
     text = lambda name: F.try_variant_get(F.col("item"), f"$.{name}", "string")
-    return (
-        docs.select("path", F.posexplode(one_or_many).alias("position", "item"))
-        .select(
-            "path", "position", text("id").alias("id"), F.coalesce(text("description"), F.lit("")).alias("description"),
-            text("corpus_record_id").alias("corpus_record_id"), steps("baseline").alias("baseline"),
-            steps("steps").alias("steps"),
-        )
+    errors = chain_errors(F.col("item"))
+    checked = F.when(F.size(errors) == 0, text("id")).otherwise(
+        _refuse("a broken chain", F.concat_ws(", ", errors, F.to_json("item")), "string"))
+    return _chain_items(docs).select(
+        "path", "position", checked.alias("id"), F.coalesce(text("description"), F.lit("")).alias("description"),
+        text("corpus_record_id").alias("corpus_record_id"), steps("baseline").alias("baseline"), steps("steps").alias("steps"),
     )
 
 
