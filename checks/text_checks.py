@@ -102,6 +102,15 @@ def finding_id_and_fingerprint(spark, sf):
     )
 
 
+@check(f"""WITH {cte('surfaces')}, {Q.pattern_values(scan.DESCRIPTION_PATTERNS)}, f AS ({Q.needle_rows('surfaces', 't.doc_id', 't.name')}),
+  s AS (SELECT doc_id, tool_name, signal, matched_text AS m FROM f)
+  SELECT doc_id, signal, tool_name || '/' || signal || '/' || printf('%08x', {_FINGERPRINT}) AS fingerprint FROM s""")
+def fingerprint_of_evidence(spark, sf):
+    """The fingerprint of each needle finding's evidence."""
+    found = scan.scan_needles(surfaces(spark, sf), keep=["doc_id"])
+    return found.select("doc_id", "signal", T.fingerprint(F.col("tool_name"), F.col("signal"), F.col("matched_text")).alias("fingerprint"))
+
+
 @check()
 def fingerprint_whole_text(spark, sf):
     """The fingerprint of each whole document; held against brute force in the tests, as SQL is too slow on whole texts."""

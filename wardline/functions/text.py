@@ -8,8 +8,10 @@ letters such as KELVIN SIGN and move matches.
 from __future__ import annotations
 
 import string
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -93,16 +95,32 @@ def finding_id(tool: Column, signal: Column) -> Column:
     return F.concat_ws("/", tool, signal)
 
 
+def checksum(block: int = 1 << 16) -> Callable[[Column], Column]:
+    """Column function: the polynomial-31 checksum of a text's UTF-8 bytes, modulo 2**32, a block of bytes at a time."""
+
+    def add(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        powers = np.full(block, 31, np.uint32)
+        powers[0] = 1
+        powers = np.cumprod(powers, dtype=np.uint32)[::-1].copy()  # the last byte counts once
+
+        def one(text: str | None) -> int:
+            data, total = np.frombuffer((text or "").encode(), np.uint8), 0
+            for at in range(0, len(data), block):
+                part = data[at:at + block]
+                total = total * pow(31, len(part), 1 << 32) + int((part * powers[block - len(part):]).sum(dtype=np.uint32))
+            return total & 0xFFFFFFFF
+
+        for batch in batches:
+            yield pd.Series([one(t) for t in batch], dtype="int64")
+
+    return F.pandas_udf(add, "long")
+
+
 def fingerprint(tool: Column, signal: Column, matched: Column) -> Column:
     """Finding id plus a polynomial-31 checksum of the matched UTF-8 bytes; the id alone if nothing matched."""
-    size = F.octet_length(matched)
-    checksum = F.aggregate(
-        F.regexp_extract_all(F.hex(matched), F.lit(".."), F.lit(0)),  # one pass; substring() would count from the start each time
-        F.lit(0).cast("bigint"),
-        lambda acc, pair: (acc * 31 + F.conv(pair, 16, 10).cast("bigint")).bitwiseAND(F.lit(4294967295)),
-    )
     ident = finding_id(tool, signal)
-    return F.when(size == 0, ident).otherwise(F.concat(ident, F.lit("/"), F.lpad(F.lower(F.hex(checksum)), 8, "0")))
+    marked = F.concat(ident, F.lit("/"), F.lpad(F.lower(F.hex(checksum()(matched))), 8, "0"))
+    return F.when(matched.isNull(), None).when(F.octet_length(matched) == 0, ident).otherwise(marked)
 
 
 def tag_server(server: Column, tool: Column) -> Column:
