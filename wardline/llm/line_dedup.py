@@ -230,18 +230,19 @@ def _match(rows: DataFrame, scratch: Scratch, edits: int, long_enough: int, tabl
     stars = scratch.stage(keyed.join(centre, "key").where((F.col("node") != F.col("node_")) & bound).select(*pair).distinct(), "stars")
     links = confirmed(stars, "links")
     roots = scratch.stage(components(links, scratch, "a"), "roots")
-    # what is left to compare: lines of one bucket that are in different components
-    here, there = roots.select("node", "root"), roots.select(F.col("node").alias("node_"), F.col("root").alias("root_"))
+    # what is left to compare: lines of one bucket that are in different components, in buckets that hold several
+    placed = scratch.stage(keyed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
+    mixed = placed.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("key")
+    open_ = scratch.stage(placed.join(mixed, "key", "left_semi"), "open")
+    there = open_.where("own").select("key", *[F.col(c).alias(f"{c}_") for c in ("node", "size", "counts", "root")])
     rest = (
-        keyed.join(indexed, "key").where((F.col("node") != F.col("node_")) & bound).select("node", "node_").distinct()
-        .join(here, "node", "left").join(there, "node_", "left")
-        .where(F.coalesce("root", "node") != F.coalesce("root_", "node_")).select(*pair).distinct()
+        open_.join(there, "key").where((F.col("root") != F.col("root_")) & bound).select(*pair).distinct()
         .join(stars, ["a", "b"], "left_anti")
     )
     more = confirmed(rest, "more")
     if not more.isEmpty():
         roots = scratch.stage(components(links.unionByName(more), scratch, "b"), "roots2")
-    for name in ("lines", "stars"):
+    for name in ("lines", "stars", "placed", "open"):
         scratch.drop(name)
     return roots
 
