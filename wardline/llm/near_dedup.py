@@ -179,17 +179,17 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _shingles(sets: DataFrame) -> DataFrame:
-    """(node, item) for each shingle of each node."""
+    """(id, item) for each shingle of each node (id, items)."""
 
     def spill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for node, items in zip(batch.column(0), batch.column(1), strict=True):
+            for node, items in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 own = np.frombuffer(items.as_buffer(), np.int64)
                 for at in range(0, len(own), 1 << 16):
                     part = own[at:at + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array([node.as_py()] * len(part), pa.binary()), pa.array(part)], ["node", "item"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), node, np.int64)), pa.array(part)], ["id", "item"])
 
-    return map_batches(sets.select("node", "items"), spill, "node binary, item long")
+    return map_batches(sets.select("id", "items"), spill, "id long, item long")
 
 
 def find(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -239,24 +239,30 @@ def find(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id"
     # then all pairs of one bucket in different components
     placed = inside.join(roots, "node", "left").select("band", "node", "n", F.coalesce("root", "node").alias("root"))
     placed = scratch.stage(placed, "placed")
+    for name in ("inside", "shared", "centres", "stars"):
+        scratch.drop(name)
     mixed = placed.groupBy("band").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("band")
     open_ = scratch.stage(placed.join(mixed, "band", "left_semi"), "open")
-    info = scratch.stage(open_.select("node", "n", "root").distinct(), "info")
-    each = scratch.stage(_shingles(sets.join(info.select("node"), "node", "left_semi")), "each")
+    info = open_.groupBy("node", "n", "root").agg(F.sort_array(F.collect_list("band")).alias("bands"))  # a signature's bands at most
+    info = scratch.stage(info.withColumn("id", F.monotonically_increasing_id()), "info")
+    each = scratch.stage(_shingles(sets.join(info.select("node", "id"), "node")), "each")
     few = each.groupBy("item").agg(F.count("*").alias("holders")).where(F.col("holders") <= RARE)
-    rare = scratch.stage(each.join(few, "item").select("node", "item"), "rare")
-    held = info.join(rare.groupBy("node").agg(F.count("*").alias("rare")), "node", "left").withColumn("rare", F.coalesce("rare", F.lit(0)))
+    rare = scratch.stage(each.join(few, "item").select("id", "item"), "rare")
+    scratch.drop("each")
+    held = info.join(rare.groupBy("id").agg(F.count("*").alias("rare")), "id", "left").withColumn("rare", F.coalesce("rare", F.lit(0)))
     # two nodes without a rare shingle in common have their rare ones outside the intersection
     able = scratch.stage(held.where((F.col("n") - F.col("rare")) * 100 >= F.col("n") * percent), "able")
     twice = lambda df: df.select(*[F.col(c).alias(c if c == "band" else f"{c}_") for c in df.columns])
-    placed_able = open_.select("band", "node").join(able, "node")
+    placed_able = able.select(F.explode("bands").alias("band"), "node", "n", "root", "rare", "bands")
     most = F.least(F.col("n") - F.col("rare"), F.col("n_") - F.col("rare_"))
+    # two nodes meet in the first of the bands that they share
+    once = F.array_min(F.array_intersect("bands", "bands_")) == F.col("band")
     bounded = (
         placed_able.join(twice(placed_able), "band")
-        .where((F.col("node") < F.col("node_")) & (F.col("root") != F.col("root_")) & (most * 100 >= (F.col("n") + F.col("n_") - most) * percent))
+        .where((F.col("node") < F.col("node_")) & (F.col("root") != F.col("root_")) & (most * 100 >= (F.col("n") + F.col("n_") - most) * percent) & once)
         .select("node", "node_")
     )
-    holders = rare.join(info, "node")
+    holders = rare.join(info.drop("bands"), "id")
     sharing = (
         holders.alias("l").join(holders.alias("r"), F.col("l.item") == F.col("r.item"))
         .where((F.col("l.node") < F.col("r.node")) & (F.col("l.root") != F.col("r.root")) & near(F.col("l.n"), F.col("r.n")))
@@ -274,7 +280,7 @@ def find(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id"
     linked = linked.where("copies > 1 OR root IS NOT NULL").withColumn("root", F.coalesce("root", "node"))
     lows = linked.groupBy("root").agg(F.min("low").alias("least"))
     told = scratch.stage(linked.select("node", "root").join(lows, "root").select("node", "least"), "told")
-    for name in ("sets", "inside", "placed", "open", "info", "each", "rare", "able", "centres", "shared", "nodes", "stars"):
+    for name in ("sets", "placed", "open", "info", "rare", "able", "nodes"):
         scratch.drop(name)
     return rows.select("row", "key", "n", "node").join(told, "node", "left").select(
         F.col("key").alias(key), "row", F.col("n").alias("n_shingles"),
