@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from checks import sql as Q
+from checks import text_checks
 from checks.inputs import cte, source, table
 from wardline.operators import cases, corpus, evaluate, label, scan, suppress
 from wardline.plans import reports
@@ -520,3 +521,17 @@ def audit_servers(spark, sf):
     return plan(source(spark, sf, "servers"), tools)[0].select("server", "tool_name", "signal", "severity")
 
 
+_AUDITED = f"""f AS (SELECT t.server, t.server || '/' || s.tool_name AS tool_name, s.signal, s.severity, s.matched_text
+  FROM ({text_checks.CHECKS['scan_tools'][1]}) s JOIN (WITH {cte('tools')} SELECT p_partkey, server FROM tools) t USING (p_partkey))"""
+
+
+@check(f"""WITH {_AUDITED} SELECT server, tool_name, signal, severity, matched_text, 1 AS n FROM f
+  UNION ALL SELECT server, '', '', '', '', count(f.tool_name) FROM (SELECT DISTINCT p_brand AS server FROM part UNION ALL SELECT 'none') LEFT JOIN f USING (server) GROUP BY server""")
+def audit_servers_whole(spark, sf):
+    """Findings of tools with schemas and annotations, their names tagged by server, and the counts per server."""
+    tools = source(spark, sf, "tools")
+    servers = tools.select("server").distinct().unionByName(spark.range(1).select(F.lit("none").alias("server")))
+    found, counts = reports.audit_servers(servers, tools)
+    none = [F.lit("").alias(c) for c in ("tool_name", "signal", "severity", "matched_text")]
+    told = found.select("server", "tool_name", "signal", "severity", "matched_text", F.lit(1).cast("long").alias("n"))
+    return told.unionByName(counts.select("server", *none, F.col("findings").alias("n")))

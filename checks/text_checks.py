@@ -70,6 +70,14 @@ def snippet(spark, sf):
     return surfaces(spark, sf).select("doc_id", T.snippet(F.col("text"), start, F.lit(7)).alias("snippet"))
 
 
+@check(f"""WITH {cte('surfaces')}, t AS (SELECT doc_id, repeat('😀', CAST(doc_id % 40 AS INT)) || ' ' || text AS text FROM surfaces)
+  SELECT doc_id, CAST({Q.word_start(Q.lower('text'), chr(39) + 'when' + chr(39))} AS INT) AS start FROM t""")
+def word_start_behind_other_planes(spark, sf):
+    """Places in whole texts with signs of two UTF-16 units in front are counted in characters."""
+    text = F.concat(F.repeat(F.lit("😀"), (F.col("doc_id") % 40).cast("int")), F.lit(" "), "text")
+    return surfaces(spark, sf).select("doc_id", T.word_start(T.ascii_lower(text), F.lit("when")).alias("start"))
+
+
 @check(f"WITH {cte('surfaces')} SELECT doc_id, CAST({Q.word_start(Q.lower('text'), chr(39) + 'when' + chr(39))} AS INT) "
        "AS start FROM surfaces")
 def word_start(spark, sf):
