@@ -38,6 +38,8 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "stars") -> DataF
         if found == sign:
             break
         sign = found
+    else:
+        raise RuntimeError("the components are not stable after 59 rounds")
     scratch.drop(f"{name}0")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
