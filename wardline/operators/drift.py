@@ -41,18 +41,18 @@ def definition_drift(
     A group without any base row gives nothing. If the base repeats a name, the
     row with the highest ``order`` counts (which should tell them apart); without
     ``order`` a definition that equals any of them is no drift. Only hashes are shuffled. The join
-    is on group and name, so a group holding most rows still spreads by name,
+    is on group, name and hash, so a group holding most rows still spreads,
     and the list of groups that have a base is reduced before it is joined.
     """
     keys = [*group, "name"]
     hashed = lambda df, *more: df.select(
         *group, F.col(name).alias("name"), definition_hash(name, description, schema, annotations).alias("h"), *more
     )
-    latest = F.array(F.max_by("h", "_version")) if order else F.collect_set("h")  # versions of one name
-    versions = [F.col(order).alias("_version")] if order else []
-    old = hashed(base, *versions).groupBy(*keys).agg(latest.alias("old_h"))
-    compared = hashed(fresh).join(old, keys, "left")
-    changed = compared.where(F.col("old_h").isNull() | ~F.array_contains("old_h", F.col("h")))
+    if order:
+        old = hashed(base, F.col(order).alias("_version")).groupBy(*keys).agg(F.max_by("h", "_version").alias("h"))
+    else:
+        old = hashed(base).distinct()
+    changed = hashed(fresh).join(old, [*keys, "h"], "left_anti")
     if group:
         listed = base.select(*group).distinct()
         changed = changed.join(listed, list(group), "left_semi")
