@@ -10,7 +10,7 @@ from wardline.llm import queries
 def test_registered():
     names = entry_point.queries()
     assert [n for n in names if n.startswith("op")] == [n for n in queries.QUERIES] and "pipeline" in names
-    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 14))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "lines", "near", "clean", "tokens"]
 
 
@@ -51,3 +51,15 @@ def test_query_agrees_with_sql(spark, sf_dir, name):
     df = entry_point.queries()[name](spark, sf_dir)
     want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({queries.SQL[name]})").fetchall()
     assert sorted(map(tuple, df.collect()), key=repr) == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("texts", [[], [None, "", " \n"]])
+def test_pipeline_without_words(spark, sf_dir, tmp_path, texts):
+    """No documents, or none with a word: nothing fails, and what is left has no tokens but those of white space."""
+    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+    rows = [(k, t, None if k else "en", None, len(t or "")) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} <= set(range(len(texts))) and all(r.n_tokens <= 2 for r in got)
