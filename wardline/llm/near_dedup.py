@@ -204,6 +204,8 @@ def find(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id"
     member = nodes.select("node", "n", "low", F.explode("bands").alias("band"))
     shared = scratch.stage(member.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"), "shared")
     inside = scratch.stage(member.join(shared, "band"), "inside")  # the members of buckets with company
+    nodes = scratch.stage(nodes.select("node", "low", "copies"), "members")
+    scratch.drop("nodes")  # the bands of nodes without company are not read again
     weight = inside.groupBy("node").agg(F.sum("size").alias("weight"))
     ranked = inside.join(weight, "node")
     centres = ranked.groupBy("band").agg(
@@ -280,7 +282,7 @@ def find(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id"
     linked = linked.where("copies > 1 OR root IS NOT NULL").withColumn("root", F.coalesce("root", "node"))
     lows = linked.groupBy("root").agg(F.min("low").alias("least"))
     told = scratch.stage(linked.select("node", "root").join(lows, "root").select("node", "least"), "told")
-    for name in ("sets", "placed", "open", "info", "rare", "able", "nodes"):
+    for name in ("sets", "placed", "open", "info", "rare", "able", "members"):
         scratch.drop(name)
     return rows.select("row", "key", "n", "node").join(told, "node", "left").select(
         F.col("key").alias(key), "row", F.col("n").alias("n_shingles"),
