@@ -100,3 +100,11 @@ def test_benign_chain_is_clean(spark):
         [("c", None, [], [("get_weather", '{"city":"Paris"}'), ("add_numbers", '{"a":2,"b":3}')])],
         f"id string, corpus_record_id string, baseline {STEPS}, steps {STEPS}")
     assert seq.analyze_chains(chains).count() == 0
+
+
+def test_arguments_are_compared_by_a_digest_of_fixed_size(spark):
+    long = '{"a":' * 1500 + '"x"' + "}" * 1500
+    df = log(spark, ("t", long), ("t", {"a": 1}), ("t", None))
+    assert rows(df.select(F.octet_length(seq._argument_key()).alias("n"))) == [(32,)] * 3
+    base = log(spark, ("t", long.replace('"x"', '"y"')), ("t", '{"a":1.0}'), ("t", "null"))
+    assert rows(seq.diverged_calls(df, base), "step") == [(0,)]

@@ -76,8 +76,11 @@ def flag_calls(calls: DataFrame, args: str = "args") -> DataFrame:
 
 
 def _argument_key() -> Column:
-    """Arguments as compared: canonical JSON, absent as null, unreadable ones as they stand."""
-    return F.coalesce(json_key(F.col("args")), F.lit("null"))
+    """Digest of the arguments as compared: canonical JSON, absent as null, unreadable ones as they stand.
+
+    Whole texts would be shuffled, and a side that looks small by its compressed files broadcast.
+    """
+    return F.unhex(F.sha2(F.coalesce(json_key(F.col("args")), F.lit("null")), 256))
 
 
 def diff_calls(calls: DataFrame, baseline: DataFrame, by: Sequence[str] = RUN) -> DataFrame:
@@ -86,7 +89,7 @@ def diff_calls(calls: DataFrame, baseline: DataFrame, by: Sequence[str] = RUN) -
     Injected: the tool is not in the baseline. Diverged: it is, but never with
     equal arguments. The baseline is reduced to distinct rows before each join,
     so a repeated baseline call adds nothing to it, and the larger join is on
-    the finest key.
+    the finest key, with a digest in place of the arguments.
     """
     key = _argument_key()
     base = baseline.select(*by, "tool", key.alias("_args")).distinct()
