@@ -114,3 +114,17 @@ def test_the_stream_of_pairs_is_compared_with_its_silent_rows(spark):
     keys = ("session", "seq", "status")
     assert set(rows(got, *keys)) == set(rows(batch, *keys))
     assert got.where("status = 'silent'").count() == batch.where("status = 'silent'").count() > 0
+
+
+def test_replies_of_one_repeated_id_meet_within_stretches_of_time(spark, feed):
+    f = feed("session string, seq bigint, direction string, id string, ts string")
+    at = lambda s: f"2026-01-01 {s // 3600:02d}:{s // 60 % 60:02d}:{s % 60:02d}"
+    asked, answered = range(0, 200, 3), range(1, 200, 4)  # every place of a stretch of ten seconds
+    log = [("s", s, "request", "a", at(s)) for s in asked] + [("s", s, "response", "a", at(s)) for s in answered]
+    end = [("s", 900, kind, kind, at(9000)) for kind in ("request", "response")]
+    out = f.run(jobs.reply_matches_stream, log, end)
+    pairs = sorted((q, r) for q in asked for r in answered if 0 <= r - q <= 5)
+    got = out.where("status = 'answered'").select("seq", F.unix_timestamp("reply_ts") - F.unix_timestamp(F.lit(at(0)))).collect()
+    assert sorted(tuple(r) for r in got) == pairs
+    plan = jobs.reply_matches_stream(f.stream())._jdf.queryExecution().analyzed().toString()
+    assert "stretch" in plan[plan.index("Join"):].splitlines()[0]

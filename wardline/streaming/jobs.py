@@ -57,18 +57,25 @@ def reply_matches_stream(log: DataFrame, late: str = "10 seconds", seconds: int
     All matches, for the study of repeated replies; ``keyed.pair_reply_stream``
     gives each request its nearest reply, as the batch does. A stream-stream
     left join whose state both watermarks and the reply bound
-    keep small. Requests without an id need no reply and are left out here.
+    keep small. Requests and replies meet by session, id and a stretch of time
+    of twice the bound; a reply just after its start is also offered to the
+    stretch before, so a session that repeats one id is compared within
+    stretches only. Requests without an id need no reply and are left out here.
     """
+    width, reach = 2 * seconds * 1_000_000, seconds * 1_000_000
+    stretch = lambda at: F.floor(F.unix_micros(F.col(at).cast("timestamp")) / width)
+    near = F.pmod(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(width)) <= reach
     requests = log.where((F.col("direction") == "request") & F.col("id").isNotNull()).select(
-        "session", "seq", "id", "ts"
+        "session", "seq", "id", "ts", stretch("ts").alias("stretch")
     ).withWatermark("ts", late)
     replies = log.where(F.col("direction") == "response").select(
-        F.col("session").alias("r_session"), F.col("id").alias("r_id"), F.col("ts").alias("reply_ts")
+        F.col("session").alias("r_session"), F.col("id").alias("r_id"), F.col("ts").alias("reply_ts"),
+        F.explode(F.when(near, F.array(stretch("ts"), stretch("ts") - 1)).otherwise(F.array(stretch("ts")))).alias("r_stretch"),
     ).withWatermark("reply_ts", late)
     joined = requests.join(
         replies,
         F.expr(
-            f"session = r_session AND id = r_id AND reply_ts >= ts AND reply_ts <= ts + INTERVAL {seconds} SECONDS"
+            f"session = r_session AND id = r_id AND stretch = r_stretch AND reply_ts >= ts AND reply_ts <= ts + INTERVAL {seconds} SECONDS"
         ),
         "leftOuter",
     )
