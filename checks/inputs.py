@@ -204,11 +204,17 @@ INPUTS = {
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table. Its one file has one row group, which no setting splits, so on local cores it is dealt out."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    local = spark.sparkContext.master.startswith("local[") and df.rdd.getNumPartitions() < cores
-    return df.repartition(cores) if local else df
+    """A driver table. Its one file has one row group, which no setting splits, so it is dealt out."""
+    return dealt(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows dealt out over the cores if they come in fewer parts; on a cluster into as many parts as shuffles have."""
+    spark = df.sparkSession
+    cores = parts = spark.sparkContext.defaultParallelism
+    if not spark.sparkContext.master.startswith("local["):
+        parts = max(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(parts) if df.rdd.getNumPartitions() < cores else df
 
 
 def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -38,3 +38,17 @@ def test_query_agrees_with_sql(spark, sf_dir, name):
     place = [c[0] for c in result.description]
     assert sorted(place) == columns
     assert got == sorted(tuple(plain(r[place.index(c)]) for c in columns) for r in result.fetchall())
+
+
+def test_tables_of_one_part_are_dealt_out_on_a_cluster_too():
+    from types import SimpleNamespace as Of
+
+    from checks.inputs import dealt
+
+    def parts(master, n, cores=6):
+        spark = Of(sparkContext=Of(master=master, defaultParallelism=cores), conf={"spark.sql.shuffle.partitions": "200"})
+        kept = Of(sparkSession=spark, rdd=Of(getNumPartitions=lambda: n), repartition=lambda k: k)
+        return n if (out := dealt(kept)) is kept else out
+
+    assert parts("local-cluster[3,2,3000]", 1) == 200 and parts("local-cluster[3,2,3000]", 6) == 6
+    assert parts("local[6]", 1) == 6 and parts("local[6]", 9) == 9
