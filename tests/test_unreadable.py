@@ -1,5 +1,6 @@
 """JSON that is broken, too deep or repeats a key, characters outside the BMP, null keys and hot ids."""
 
+import re
 import time
 
 from pyspark.sql import functions as F
@@ -75,3 +76,12 @@ def test_one_id_many_times(spark):
     start = time.time()
     got = rpc.pair_replies(log).agg(F.count("*"), F.count("reply_ts")).first()
     assert tuple(got) == (n // 2, n // 2) and time.time() - start < 30
+
+
+def test_flags_of_unreadable_texts_look_for_markers_without_patterns(spark):
+    texts = ['{"a":1,"a":"\\/etc\\/passwd"}', '{"a":"x","b":"/ETC/passwd', '{"a":1,"a":"HTTPS://evil.org"}', '{"a":1,"a":"https://localhost"}', '{"a":1,"a":"h\\u0074tp://e.org"}']
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, args string")
+    assert rows(seq.flag_calls(df), "i", "credential", "outside") == [
+        (0, True, False), (1, True, False), (2, False, True), (3, False, False), (4, False, True)]
+    plan = seq.flag_calls(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" in plan and not re.search(r"args#\d+,? RLIKE \(\?i\)/|RLIKE\(args#\d+, \(\?i\)/", plan)

@@ -57,8 +57,12 @@ def json_leaves(doc: Column) -> Column:
 
     Of an unreadable document, those that stand whole in its raw text.
     """
-    leaves = F.filter(raw_leaves(F.coalesce(canonical_json(doc), doc)), lambda s: s != "")
-    quoted = F.transform(leaves, lambda s: F.concat(F.lit('"'), s, F.lit('"')))
+    return unescaped(raw_leaves(F.coalesce(canonical_json(doc), doc)))
+
+
+def unescaped(leaves: Column) -> Column:
+    """Non-empty ones of JSON-escaped strings, without their escapes."""
+    quoted = F.transform(F.filter(leaves, lambda s: s != ""), lambda s: F.concat(F.lit('"'), s, F.lit('"')))
     as_list = F.concat(F.lit("["), F.array_join(quoted, ","), F.lit("]"))
     return F.coalesce(F.from_json(as_list, "array<string>"), F.array().cast("array<string>"))
 
