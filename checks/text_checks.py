@@ -13,6 +13,7 @@ from wardline.functions import text as T
 from wardline.operators import corpus, definitions, drift, patterns, scan, tfidf
 from wardline.rules import words as W
 from wardline.sources import readers
+from wardline.sources.staging import stage
 
 CHECKS: dict = {}
 
@@ -187,10 +188,10 @@ def scan_pattern_table(spark, sf):
 def scan_pattern_table_of_fragments(spark, sf):
     """A pattern from every 97 characters of every document, searched in all documents."""
     docs = table(spark, sf, "documents").where("text IS NOT NULL")
-    low = T.ascii_lower(F.col("text"))
-    at = F.when(F.char_length("text") >= 24, F.sequence(F.lit(1), F.char_length("text") - 23, F.lit(97)))
-    cut = docs.select(F.explode(F.transform(at, lambda i: F.substring(low, i, F.lit(24)))).alias("needle")).distinct()
-    rules = cut.select("needle", F.lit("fragment").alias("signal"), F.lit("low").alias("severity"), F.array().cast("array<string>").alias("corpus_refs"))
+    # one pass over a text: substring would read it from its start for each piece, and fold it again
+    pieces = F.regexp_extract_all(T.ascii_lower(F.col("text")), F.lit("(?s)(.{24}).{0,73}"), F.lit(1))
+    cut = docs.select(F.explode(pieces).alias("needle")).distinct()
+    rules = stage(cut).select("needle", F.lit("fragment").alias("signal"), F.lit("low").alias("severity"), F.array().cast("array<string>").alias("corpus_refs"))
     found = patterns.scan_pattern_table(docs, rules, "doc_id", name="source")
     return found.select("doc_id", "tool_name", "detail", "matched_text")
 

@@ -1,11 +1,14 @@
 """Scans with pattern tables of any size against a search for each pattern in each text."""
 
 import random
+import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import rows
+from wardline.functions import text as T
 from wardline.operators import patterns
 
 SCHEMA = "needle string, signal string, severity string, corpus_refs array<string>"
@@ -48,3 +51,39 @@ def test_equal_needles_and_no_patterns(spark):
     assert rows(patterns.scan_pattern_table(texts, twice, "id"), "signal", "corpus_refs", "matched_text") == [
         ("a", ["R-1"], "A NEEDLE worked"), ("b", [], "A NEEDLE worked"), ("b", [], "A NEEDLE worked")]
     assert patterns.scan_pattern_table(texts, twice.where("false"), "id").collect() == []
+
+
+def test_table_of_wholes_grows_with_the_needles(spark, monkeypatch):
+    """Texts hand on little but true needles, however many there are and however many lengths they have."""
+    monkeypatch.setattr(patterns, "BITS", 10)
+    draw = random.Random(7)
+    text = "".join(draw.choice("abcd ") for _ in range(20_000))
+    needles = {"".join(draw.choice("abcd ") for _ in range(draw.randrange(7, 60))) for _ in range(3_000)} | {text[i:i + 24] for i in range(0, 5_000, 97)}
+    table = spark.createDataFrame([(n,) for n in needles], "_needle string")
+    *tables, lengths = patterns._bit_tables(table)
+    found = {n.decode() for n in patterns._stretches(*tables, lengths)(text.encode())}
+    true = {n for n in needles if n in text}
+    assert true <= found and len(found) < len(text) / 10  # of a million stretches of these lengths
+    assert [len(t) for t in tables] == [1 << 7, 1 << 13]
+
+
+def test_snippets_are_those_of_text(spark):
+    """Snippets that the search cuts out are those of the Column function, also beside characters of several bytes."""
+    texts = [(k, "t", "é漢😀 " * k + "Needle" + "😀x" * m) for k in (0, 3, 10, 11, 40) for m in (0, 19, 20, 21, 60)]
+    df = spark.createDataFrame(texts, "id int, name string, text string")
+    got = patterns.scan_pattern_table(df, spark.createDataFrame([("needle", "s", "low", None)], SCHEMA), "id").select("matched_text")
+    want = df.select(T.snippet(F.col("text"), F.expr("instr(text, 'Needle')"), F.lit(6)))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_fragments_are_cut_in_one_pass(spark, tmp_path):
+    """Pieces of long texts are not cut by reading the text from its start for each."""
+    from checks.text_checks import CHECKS
+
+    text = "".join(random.Random(3).choice("abcdefgé漢😀\n") for _ in range(400_000))
+    spark.createDataFrame([(1, text, "en", "s", len(text))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(
+        str(tmp_path / "documents.parquet"))
+    begun = time.monotonic()
+    found = CHECKS["scan_pattern_table_of_fragments"][0](spark, str(tmp_path)).select("detail").collect()
+    assert {r[0] for r in found} == {f"fragment: '{text[i:i + 24]}'" for i in range(0, len(text) - 23, 97)}
+    assert time.monotonic() - begun < 30

@@ -1,13 +1,15 @@
 """Scan with a user's own table of patterns (needle, signal, severity, corpus_refs), of any size.
 
-The table is never gathered. It is turned into two bit tables of fixed size:
-one holds the hashes of the needles' first ``GRAM`` bytes, the other those of
-whole needles. Each text is read once: where one of its grams is in the first
-table, the stretches from there that have the length of a needle are looked up
-in the second, and those that are found there are handed on as they stand,
-with the place of the first of each and its snippet. A join of the stretches
-with the needles themselves then says which are true, so full bit tables cost
-time and no result. Only found stretches are shuffled, never texts.
+The table is never gathered. It is turned into two bit tables: one of fixed size
+holds the hashes of the needles' first ``GRAM`` bytes, the other, which grows with
+the number of needles up to a bound, those of whole needles. Each text is read once:
+where one of its grams is in the first table, the stretches from there that have the
+length of a needle are looked up in the second, and those that are found there are
+handed on as they stand, with the snippet around the first of each. Lengths up to twice
+the least of them are a class, and are only looked up where the second table has a
+beginning of that least length, so many lengths cost little more than one. A join of the
+stretches with the needles themselves then says which are true, so full bit tables
+cost time and no result. Only found stretches are shuffled, never texts.
 
 Hashes of stretches come from prefix sums, so each costs the same at any
 length. Needles shorter than ``GRAM`` are looked up at every place.
@@ -15,10 +17,13 @@ length. Needles shorter than ``GRAM`` are looked up at every place.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,11 +31,16 @@ from wardline.functions import text as T
 from wardline.functions.findings import finding, finding_columns
 from wardline.functions.text import ascii_lower
 from wardline.operators.scan import NEEDLES
+from wardline.rules import words as W
 
 #: Bytes at the start of a needle that are looked up first.
 GRAM = 6
-#: Bits of each table, as a power of two (8 MB).
+#: Bits of the table of grams, and the least of that of whole needles, as a power of two (8 MB).
 BITS = 26
+#: Bits that the table of whole needles has for each needle, if it need not be larger than MOST_BITS (128 MB).
+BITS_A_NEEDLE, MOST_BITS = 16, 30
+#: Bits of a table that come to the driver as one row, as a power of two (64 KB).
+PIECE = 19
 #: Bytes of text that are hashed in one go.
 BLOCK = 1 << 20
 
@@ -38,11 +48,13 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Multipliers that make bit numbers of a hash.
 _PROBES = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)
+#: How many of them a beginning is looked up by.
+_OPENING = 2
 
 
 def _hashing():
     """Functions (powers, bit) that patterns and texts are hashed with; they travel to the workers by value."""
-    size, probes = BITS, _PROBES
+    probes = _PROBES
 
     def powers(base: int, n: int) -> np.ndarray:
         """base ** 0 .. base ** (n - 1), modulo 2**64."""
@@ -50,47 +62,93 @@ def _hashing():
         out[:1] = 1
         return np.cumprod(out, dtype=np.uint64)
 
-    def bit(hashes: np.ndarray, probe: int) -> np.ndarray:
+    def bit(hashes: np.ndarray, probe: int, size: int) -> np.ndarray:
         mixed = hashes ^ (hashes >> np.uint64(29))
         return (mixed * np.uint64(probes[probe])) >> np.uint64(64 - size)
 
     return powers, bit
 
 
-def _needle_bits(needle: Column) -> Column:
-    """Bit numbers of folded needles: that of the gram, or -1 for a short needle, then those of the whole."""
+def _classes(lengths: Iterable[int]) -> list[list[int]]:
+    """Lengths of needles that have a gram, in classes: each up to twice its first."""
+    out: list[list[int]] = []
+    for n in sorted(n for n in lengths if n >= GRAM):
+        if out and n < 2 * out[-1][0]:
+            out[-1].append(n)
+        else:
+            out.append([n])
+    return out
+
+
+def _needle_bits(needle: Column, whole_bits: int, lengths: Iterable[int]) -> Column:
+    """Bit numbers of folded needles: those of the whole, those of the beginning its class is looked up by, that of the gram.
+    A short needle has -1 for the latter two, and so has one as long as the beginning for that."""
 
     powers, bit = _hashing()
-    base, size, probes = _BASE, GRAM, range(len(_PROBES))
+    base, size, gram_bits, probes, opening = _BASE, GRAM, BITS, range(len(_PROBES)), range(_OPENING)
+    least = np.array([c[0] for c in _classes(lengths)] or [size], np.int64)
 
     def number(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            out = []
-            for text in batch:
-                raw = np.frombuffer(text.encode(), np.uint8).astype(np.uint64) + np.uint64(1)
-                terms = raw * powers(base, len(raw))
-                whole = terms.sum(dtype=np.uint64, keepdims=True)
-                gram = int(bit(terms[:size].sum(dtype=np.uint64, keepdims=True), 0)[0]) if len(raw) >= size else -1
-                out.append([gram, *(int(bit(whole, k)[0]) for k in probes)])
-            yield pd.Series(out, dtype=object)
+            raws = [text.encode() for text in batch]
+            lengths = np.array([len(raw) for raw in raws], np.int64)
+            starts = np.cumsum(lengths) - lengths
+            terms = np.frombuffer(b"".join(raws), np.uint8).astype(np.uint64) + np.uint64(1)
+            terms *= powers(base, int(lengths.max(initial=0)))[np.arange(len(terms)) - np.repeat(starts, lengths)]
+            wholes = np.add.reduceat(terms, starts) if len(starts) else terms
+            numbers = np.full((len(starts), len(probes) + len(opening) + 1), -1, np.int64)
+            for k in probes:
+                numbers[:, k] = bit(wholes, k, whole_bits).astype(np.int64)
+            begin = least[np.searchsorted(least, lengths, "right") - 1]
+            more = np.flatnonzero(lengths > np.maximum(begin, size - 1))
+            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)))
+            openings = sums[starts[more] + begin[more]] - sums[starts[more]]
+            for k in opening:
+                numbers[more, len(probes) + k] = bit(openings, k, whole_bits).astype(np.int64)
+            long = np.flatnonzero(lengths >= size)
+            grams = sum((terms[starts[long] + k] for k in range(1, size)), terms[starts[long]])
+            numbers[long, -1] = bit(grams, 0, gram_bits).astype(np.int64)
+            yield pd.Series(list(numbers), dtype=object)
 
     return F.pandas_udf(number, "array<long>")(needle)
 
 
-def _bit_table(bits: DataFrame) -> np.ndarray:
-    """The table (bytes) with these bits set. It comes to the driver in words of 64 bits, a million at most."""
+def _bit_tables(needles: DataFrame) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """The tables (bytes) of grams and of whole needles, and the lengths of needles. Tables come to the driver in pieces
+    that the workers fill."""
+    sizes = dict(needles.groupBy(F.octet_length("_needle")).count().collect())
+    lengths, wanted = sorted(sizes), (BITS_A_NEEDLE * sum(sizes.values())).bit_length()
+    whole_bits = max(BITS, min(MOST_BITS, wanted))
+    piece_bits, probes = min(PIECE, BITS), len(_PROBES) + _OPENING
+
+    def fill(group: pa.Table) -> pa.Table:
+        piece = np.zeros(max(1, 1 << (piece_bits - 6)), np.int64)
+        piece[group.column("word").to_numpy() & (len(piece) - 1)] = group.column("bits").to_numpy()
+        first = {name: [group.column(name)[0].as_py()] for name in ("whole", "piece")}
+        return pa.table({**first, "bits": pa.array([piece.tobytes()], pa.binary())})
+
+    bits = needles.select(F.posexplode(_needle_bits(F.col("_needle"), whole_bits, lengths)).alias("k", "bit")).where("bit >= 0")
     word, value = F.shiftright("bit", 6), F.expr("shiftleft(1L, CAST(bit & 63 AS INT))")
-    words = bits.groupBy(word.alias("word")).agg(F.bit_or(value).alias("bits")).toArrow()
-    table = np.zeros(1 << (BITS - 6), np.int64)
-    table[words.column(0).to_numpy()] = words.column(1).to_numpy()
-    return table.view(np.uint8)
+    words = bits.groupBy((F.col("k") < probes).alias("whole"), word.alias("word")).agg(F.bit_or(value).alias("bits"))
+    place = words.withColumn("piece", F.shiftright("word", max(0, piece_bits - 6)))
+    pieces = place.groupBy("whole", "piece").applyInArrow(fill, "whole boolean, piece long, bits binary").toArrow()
+    tables = {whole: np.zeros(1 << max(3, size - 3), np.uint8) for whole, size in ((False, BITS), (True, whole_bits))}
+    for whole, piece, part in zip(*(pieces.column(c) for c in ("whole", "piece", "bits")), strict=True):
+        raw = np.frombuffer(part.as_buffer(), np.uint8)
+        tables[whole.as_py()][piece.as_py() * len(raw):][:len(raw)] = raw
+    return tables[False], tables[True], lengths
 
 
 def _stretches(grams: np.ndarray, wholes: np.ndarray, lengths: list[int]):
     """A function of a text's folded bytes that gives the first place of each stretch that may be a needle."""
+    return _search(lambda: (grams, wholes), lengths)
+
+
+def _search(tables: Callable[[], tuple[np.ndarray, np.ndarray]], lengths: list[int]):
+    """The same; the tables of grams and of whole needles are only asked for on the worker."""
     powers, bit = _hashing()
     gram, probes, base, inverse = GRAM, range(len(_PROBES)), _BASE, _INVERSE
-    short, long = [n for n in lengths if n < gram], [n for n in lengths if n >= gram]
+    short, long, opening = [n for n in lengths if n < gram], _classes(lengths), range(_OPENING)
     longest = lengths[-1] if lengths else 0
     block = max(BLOCK, 2 * longest)
     held: dict[str, np.ndarray] = {}
@@ -100,6 +158,8 @@ def _stretches(grams: np.ndarray, wholes: np.ndarray, lengths: list[int]):
 
     def look(raw: np.ndarray, starts: int):
         """(place, length) of stretches that begin at one of the first ``starts`` bytes."""
+        grams, wholes = tables()
+        gram_bits, whole_bits = len(grams).bit_length() + 2, len(wholes).bit_length() + 2
         n = len(raw)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * held["powers"][:n], dtype=np.uint64, out=sums[1:])
@@ -109,16 +169,23 @@ def _stretches(grams: np.ndarray, wholes: np.ndarray, lengths: list[int]):
 
         every = np.arange(starts)
         near = every[:max(0, n - gram + 1)]
-        near = near[inside(grams, bit(hashes(near, gram), 0))] if long else near[:0]
-        for size in (*short, *long):
-            at = every if size < gram else near
+        near = near[inside(grams, bit(hashes(near, gram), 0, gram_bits))] if long else near[:0]
+
+        def met(at: np.ndarray, size: int, probes: range) -> np.ndarray:
             at = at[at + size <= n]
             h = hashes(at, size)
             for k in probes:
-                met = inside(wholes, bit(h, k))
-                at, h = at[met], h[met]
-            for place in at:
-                yield int(place), size
+                if len(at):
+                    keep = inside(wholes, bit(h, k, whole_bits))
+                    at, h = at[keep], h[keep]
+            return at
+
+        for size in short:
+            yield from zip(met(every, size, probes).tolist(), repeat(size))
+        for sizes in long:
+            some = met(near, sizes[0], opening) if len(sizes) > 1 else near
+            for size in sizes if len(some) else ():
+                yield from zip(met(some, size, probes).tolist(), repeat(size))
 
     def search(folded: bytes) -> dict[bytes, int]:
         if "powers" not in held:
@@ -136,10 +203,10 @@ def _stretches(grams: np.ndarray, wholes: np.ndarray, lengths: list[int]):
     return search
 
 
-def _found(grams: np.ndarray, wholes: np.ndarray, lengths: list[int]):
-    """Column function: (needle, start) of the stretches of a text that may be needles; start counts characters, from 1."""
+def _found(sent: Broadcast, lengths: list[int]):
+    """Column function: (needle, matched) of the stretches of a text that may be needles, each with its first snippet."""
 
-    look = _stretches(grams, wholes, lengths)
+    look, context, ellipsis = _search(lambda: sent.value, lengths), W.SNIPPET_CONTEXT, T.ELLIPSIS
 
     def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         def hits(text):
@@ -153,15 +220,19 @@ def _found(grams: np.ndarray, wholes: np.ndarray, lengths: list[int]):
             out = []
             for stretch, at in found.items():
                 try:
-                    out.append({"needle": stretch.decode(), "start": at + 1 if characters is None else int(characters[at])})
+                    needle = stretch.decode()
                 except UnicodeDecodeError:  # cut within a character: no needle
                     continue
+                start = at if characters is None else int(characters[at]) - 1
+                first, stop = max(0, start - context), start + len(needle) + context
+                matched = (ellipsis if first else "") + text[first:stop] + (ellipsis if stop < len(text) else "")
+                out.append({"needle": needle, "matched": matched})
             return out
 
         for batch in batches:
             yield batch.map(hits)
 
-    return F.pandas_udf(search, "array<struct<needle:string,start:int>>")
+    return F.pandas_udf(search, "array<struct<needle:string,matched:string>>")
 
 
 def scan_pattern_table(df: DataFrame, patterns: DataFrame, key: str, text: str = "text", name: str = "name") -> DataFrame:
@@ -177,15 +248,10 @@ def scan_pattern_table(df: DataFrame, patterns: DataFrame, key: str, text: str =
         F.concat("signal", F.lit(": '"), "needle", F.lit("'")).alias("_detail"),
     )
     needles = rules.select("_needle").distinct()
-    lengths = sorted(r[0] for r in needles.select(F.octet_length("_needle")).distinct().collect())
-    bits = needles.select(_needle_bits(F.col("_needle")).alias("b"))
-    grams = _bit_table(bits.select(F.col("b")[0].alias("bit")).where("bit >= 0"))
-    wholes = _bit_table(bits.select(F.explode(F.slice("b", 2, len(_PROBES))).alias("bit")))
-    hits = df.select(key, F.col(name).alias("tool_name"), F.col(text).alias("_text"), _found(grams, wholes, lengths)(F.col(text)).alias("_hits"))
-    places = hits.select(key, "tool_name", F.explode(F.transform("_hits", lambda h: F.struct(
-        h["needle"].alias("needle"),
-        T.snippet(F.col("_text"), h["start"], F.char_length(h["needle"])).alias("matched"),
-    ))).alias("h"))
+    *tables, lengths = _bit_tables(needles)
+    sent = df.sparkSession.sparkContext.broadcast(tables)
+    hits = df.select(key, F.col(name).alias("tool_name"), _found(sent, lengths)(F.col(text)).alias("_hits"))
+    places = hits.select(key, "tool_name", F.explode("_hits").alias("h"))
     met = places.select(key, "tool_name", "h.*").join(rules, F.col("needle") == F.col("_needle"))
     found = finding(NEEDLES, F.col("_signal"), F.col("_severity"), F.col("matched"), F.col("_detail"), F.col("_refs"))
     flat = met.select(key, "tool_name", F.lit(None).cast("string").alias("path"), found.alias("f"))
