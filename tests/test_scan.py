@@ -180,3 +180,17 @@ def test_images_in_responses_are_not_scanned(spark):
 def test_newline_needle_needs_a_newline(spark):
     df = spark.createDataFrame([("a", "system: x"), ("b", "ok\nSystem: x")], "tool string, text string")
     assert rows(scan.scan_responses(df), "tool_name") == [("b",)]
+
+
+def test_batches_of_texts_are_short(spark):
+    """The workers hold few whole texts at once; a session that asks for fewer keeps its own number."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    df = spark.createDataFrame([(1, "t", "you must")], "id int, name string, text string")
+    before = spark.conf.get(key)
+    try:
+        for asked, want in (("10000", "256"), ("0", "256"), ("4", "4")):
+            spark.conf.set(key, asked)
+            scan.scan_text(df)
+            assert spark.conf.get(key) == want
+    finally:
+        spark.conf.set(key, before)

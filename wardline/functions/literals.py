@@ -19,7 +19,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.functions.constants import constant
@@ -27,6 +27,19 @@ from wardline.functions.text import ascii_lower
 
 HIT_TYPE = "array<struct<literal:int,start:int,tokens:int>>"
 
+#: Rows of one Arrow batch of whole texts.
+BATCH_ROWS = 256
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches short, which hold whole texts and all that is found in them, unless the session asks for shorter ones.
+
+    The setting is the session's, as Spark reads it when a query is planned.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
 
 def literal_hits(text: Column, literals: Sequence[str], matcher: str = "arrow") -> Column:
     """Occurrences of ``literals`` in ``text``; ``literal`` in the result is the index into the list."""

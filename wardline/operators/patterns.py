@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions import text as T
 from wardline.functions.findings import finding, finding_columns
+from wardline.functions.literals import short_batches
 from wardline.functions.text import ascii_lower
 from wardline.operators.scan import NEEDLES
 from wardline.rules import words as W
@@ -249,6 +250,7 @@ def scan_pattern_table(df: DataFrame, patterns: DataFrame, key: str, text: str =
     )
     needles = rules.select("_needle").distinct()
     *tables, lengths = _bit_tables(needles)
+    short_batches(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(tables)
     hits = df.select(key, F.col(name).alias("tool_name"), _found(sent, lengths)(F.col(text)).alias("_hits"))
     places = hits.select(key, "tool_name", F.explode("_hits").alias("h"))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from wardline.functions import text as T
 from wardline.functions.constants import constant, strings
 from wardline.functions.findings import FINDING_TYPE, bind, finding, finding_columns, no_findings
-from wardline.functions.literals import literal_hits
+from wardline.functions.literals import literal_hits, short_batches
 from wardline.operators.tfidf import default_model
 from wardline.rules import archetypes as A
 from wardline.rules import words as W
@@ -105,6 +105,8 @@ def scan_text(
         raise ValueError(f"unknown passes: {sorted(unknown)}")
     literals = _literals(patterns, passes)
     number = {w: i for i, w in enumerate(literals)}
+    if matcher != "jvm":
+        short_batches(df.sparkSession)
     kept = [F.col(c) for c in keep]
     staged = df.where(F.col(text).isNotNull()).select(
         *kept,
