@@ -65,6 +65,41 @@ def test_band_automaton_and_keys():
                 assert {k for k, o in zip(keys, own, strict=True) if o} & set(line_dedup.keys(long, edits)[0])
 
 
+def test_bigram_signs_never_part_near_lines():
+    draw = random.Random(6)
+    for _ in range(2000):
+        a = "".join(draw.choice("abc é😀") for _ in range(draw.randrange(300)))
+        for n in (1, 2):
+            pair = zip(line_dedup.bigram_signs(a), line_dedup.bigram_signs(edited(draw, a, n)), strict=True)
+            assert sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in pair) <= 4 * n
+
+
+def test_versions_of_a_template_make_few_pairs(spark):
+    draw = random.Random(7)
+    vocabulary = ["".join(draw.choice("aehinorst") for _ in range(draw.randrange(4, 7))) for _ in range(200)]
+    words = [draw.choice(vocabulary) for _ in range(70)]
+    lines = {" ".join(words)}
+    for _ in range(150):
+        own = list(words)
+        for _ in range(3):
+            own[draw.randrange(70)] = draw.choice(vocabulary)
+        lines.add(" ".join(own))
+    lines |= {edited(draw, x, 2) for x in sorted(lines)[:20]}
+    rows, keyed = [], {}
+    for x in sorted(lines):
+        found, own = line_dedup.keys(x, 2)
+        sketch = [line_dedup.letter_counts(x), *line_dedup.bigram_signs(x)]
+        for k, o in set(zip(found, own, strict=True)):
+            rows.append((k - (1 << 63), o, x.encode(), len(x), sketch, x.encode()))
+            keyed.setdefault(k, []).append((x, o))
+    table = spark.createDataFrame(rows, "key long, own boolean, node binary, size int, sketch array<long>, root binary")
+    got = [(bytes(r.a).decode(), bytes(r.b).decode()) for r in line_dedup._across(table, 2).collect()]
+    near = {tuple(sorted(p)) for p in combinations(lines, 2) if line_dedup.within(*p, 2)}
+    assert len(near) >= 15 and near <= set(got)
+    met = sum(abs(len(x) - len(y)) <= 2 for group in keyed.values() for (x, o), (y, p) in combinations(group, 2) if o or p)
+    assert len(got) < met / 10  # under the letter counts alone more than a third as many are left
+
+
 def test_agrees_with_brute_force(table):
     draw = random.Random(4)
     base = ["".join(draw.choice("abcdefgh ") for _ in range(draw.choice([10, 30, 60, 90]))) for _ in range(12)]

@@ -10,8 +10,9 @@ difference of their lengths bounds; so the segments are the index keys, and the
 lengths allow (the multi-match-aware windows) are the probe keys. Keys that lines with different texts share are
 counted first, in one pass that shuffles hashes only, and go into a bit table of fixed size (8 MB); the second pass
 keeps the lines that have such a key, mostly few. These meet on their keys, first with one centre in each bucket and
-then across the components formed so far, under a bound on their letter counts; each pair is verified by a bit-parallel
-automaton over the band of 2 * edits + 1 diagonals. Equal lines are one line throughout, so they make no pairs.
+then across the components formed so far, each two of a bucket once, under bounds on their letter counts and on the signs of
+their bigrams; each pair left is verified by a bit-parallel automaton over the band of 2 * edits + 1 diagonals. Equal
+lines are one line throughout, so they make no pairs.
 
 Results: one row per input row. Null and empty texts have no lines to drop. A null key comes after all others, and rows
 with equal keys are ordered by their place in the input. No rows give none. Other columns are kept by `apply` and
@@ -117,6 +118,15 @@ def letter_counts(line: str) -> int:
     return int(np.bincount(code, minlength=8).astype(np.uint8).view(np.int64)[0])
 
 
+def bigram_signs(line: str) -> list[int]:
+    """Four signed 64-bit numbers: bit h tells whether an odd number of the line's bigrams have the 8-bit hash h. An edit takes
+    out two bigrams at most and puts in two at most, so it turns at most four bits."""
+    code = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
+    mixed = (code[:-1] * np.uint32(0x9E3779B1) ^ code[1:]) * np.uint32(0x85EBCA77)
+    odd = np.bincount((mixed ^ mixed >> np.uint32(15)) * np.uint32(0x9E3779B1) >> np.uint32(24), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).tolist()
+
+
 def _count_gap(x, y):
     """Sum of the differences of two letter counts, as a Column."""
     parts = [
@@ -126,6 +136,25 @@ def _count_gap(x, y):
     return sum(parts[1:], parts[0])
 
 
+#: Two lines that meet, each pair alike whichever of them has asked.
+_PAIR = ("least(node, node_) AS a", "greatest(node, node_) AS b")
+
+
+def _bound(edits: int):
+    """Whether sizes and sketches (letter counts, then bigram signs) leave two lines within the edits possible, as a Column."""
+    x, y = F.col("sketch"), F.col("sketch_")
+    turned = [F.bit_count(x[k].bitwiseXOR(y[k])) for k in range(1, 5)]
+    return (F.abs(F.col("size") - F.col("size_")) <= edits) & (sum(turned[1:], turned[0]) <= 4 * edits) & (_count_gap(x[0], y[0]) <= 2 * edits)
+
+
+def _across(lines: DataFrame, edits: int) -> DataFrame:
+    """(a, b) of lines (key, own, node, size, sketch, root) that meet on a key, are in different components and may be within
+    the edits, once for each such key."""
+    there = lines.where("own").select("key", *[F.col(c).alias(f"{c}_") for c in ("node", "size", "sketch", "root")])
+    once = ~F.col("own") | (F.col("node") < F.col("node_"))  # two lines that a key indexes would meet twice
+    return lines.join(there, "key").where(once & (F.col("root") != F.col("root_")) & _bound(edits)).selectExpr(*_PAIR)
+
+
 def _near(rows: DataFrame, scratch: Scratch, edits: int, near_chars: int) -> DataFrame:
     """(node, root) of the normal lines that are copies of lines with other texts."""
     import xxhash
@@ -201,17 +230,15 @@ def _match(rows: DataFrame, scratch: Scratch, edits: int, long_enough: int, tabl
                 out[0].append(node)
                 out[1].append(line)
                 out[2].append(len(line))
-                out[3].append(letter_counts(line))
+                out[3].append([letter_counts(line), *bigram_signs(line)])
                 out[4].append([{"key": int(signed[j]), "own": own[j]} for j in range(ends[k] - n[k], ends[k]) if hit[j]])
-            kinds = [pa.binary(), pa.string(), pa.int32(), pa.int64(), pa.list_(pa.struct([("key", pa.int64()), ("own", pa.bool_())]))]
-            yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds, strict=True)], ["node", "line", "size", "counts", "keys"])
+            kinds = [pa.binary(), pa.string(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.struct([("key", pa.int64()), ("own", pa.bool_())]))]
+            yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds, strict=True)], ["node", "line", "size", "sketch", "keys"])
 
-    schema = "node binary, line string, size int, counts long, keys array<struct<key: long, own: boolean>>"
+    schema = "node binary, line string, size int, sketch array<long>, keys array<struct<key: long, own: boolean>>"
     lines = scratch.stage(map_batches(rows.select("text"), probe, schema).dropDuplicates(["node"]), "lines")
-    keyed = lines.select("node", "size", "counts", F.explode("keys").alias("k")).select("k.key", "k.own", "node", "size", "counts")
-    indexed = keyed.where("own").select("key", *[F.col(c).alias(f"{c}_") for c in ("node", "size", "counts")])
-    bound = (F.abs(F.col("size") - F.col("size_")) <= edits) & (_count_gap(F.col("counts"), F.col("counts_")) <= 2 * edits)
-    pair = (F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b"))
+    keyed = lines.select("node", "size", "sketch", F.explode("keys").alias("k")).select("k.key", "k.own", "node", "size", "sketch")
+    indexed = keyed.where("own").select("key", *[F.col(c).alias(f"{c}_") for c in ("node", "size", "sketch")])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,20 +253,15 @@ def _match(rows: DataFrame, scratch: Scratch, edits: int, long_enough: int, tabl
         with batch_rows(rows.sparkSession, 512):
             return scratch.stage(full.select("a", "b", "x", "y").mapInArrow(verify, "a binary, b binary"), name)
 
-    centre = indexed.groupBy("key").agg(F.min(F.struct("node_", "size_", "counts_")).alias("c")).select("key", "c.*")
-    stars = scratch.stage(keyed.join(centre, "key").where((F.col("node") != F.col("node_")) & bound).select(*pair).distinct(), "stars")
+    centre = indexed.groupBy("key").agg(F.min(F.struct("node_", "size_", "sketch_")).alias("c")).select("key", "c.*")
+    stars = scratch.stage(keyed.join(centre, "key").where((F.col("node") != F.col("node_")) & _bound(edits)).selectExpr(*_PAIR).distinct(), "stars")
     links = confirmed(stars, "links")
     roots = scratch.stage(components(links, scratch, "a"), "roots")
     # what is left to compare: lines of one bucket that are in different components, in buckets that hold several
     placed = scratch.stage(keyed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
     mixed = placed.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("key")
     open_ = scratch.stage(placed.join(mixed, "key", "left_semi"), "open")
-    there = open_.where("own").select("key", *[F.col(c).alias(f"{c}_") for c in ("node", "size", "counts", "root")])
-    rest = (
-        open_.join(there, "key").where((F.col("root") != F.col("root_")) & bound).select(*pair).distinct()
-        .join(stars, ["a", "b"], "left_anti")
-    )
-    more = confirmed(rest, "more")
+    more = confirmed(_across(open_, edits).distinct().join(stars, ["a", "b"], "left_anti"), "more")
     if not more.isEmpty():
         roots = scratch.stage(components(links.unionByName(more), scratch, "b"), "roots2")
     for name in ("lines", "stars", "placed", "open"):
