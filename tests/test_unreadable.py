@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tests.conftest import rows
 from wardline.functions import jsontext as J
 from wardline.functions.text import word_start
-from wardline.operators import definitions, drift, rpc
+from wardline.operators import definitions, drift, label, rpc
 from wardline.operators import sequence as seq
 
 DEEP = '{"a":' * 1500 + '"/etc/passwd"' + "}" * 1500
@@ -85,3 +85,21 @@ def test_flags_of_unreadable_texts_look_for_markers_without_patterns(spark):
         (0, True, False), (1, True, False), (2, False, True), (3, False, False), (4, False, True)]
     plan = seq.flag_calls(df)._jdf.queryExecution().optimizedPlan().toString()
     assert "RLIKE" in plan and not re.search(r"args#\d+,? RLIKE \(\?i\)/|RLIKE\(args#\d+, \(\?i\)/", plan)
+
+
+def parses(df):
+    """How often the plan reads JSON text."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("parseJson(")
+
+
+def test_upstream_documents_are_read_once(spark):
+    docs = ["[1]", '{"Template-2":[]}', '{"Credential Leakage":{}}', '{"items":[]}', '{"other":1}', "broken {", None, '{"a":1,"a":2}', "3"]
+    found = label.unrecognised_upstream(spark.createDataFrame([(d,) for d in docs], "doc string"))
+    assert sorted((r.doc for r in found.collect()), key=str) == sorted(docs[4:], key=str)
+    assert parses(found) == 1
+
+
+def test_hints_are_read_once(spark):
+    df = spark.createDataFrame([("t", "deletes the file", None, '{"readOnlyHint":true,"destructiveHint":false}')], "name string, description string, inputSchema string, annotations string")
+    found = definitions.scan_annotations(df)
+    assert found.count() == 2 and parses(found) <= 2  # once in a filter, once in the rows

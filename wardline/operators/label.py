@@ -113,18 +113,27 @@ def pick_fields(rows: DataFrame, item: str = "item", keep: Sequence[str] = ()) -
 
 
 def upstream_shape(doc: Column) -> Column:
-    """'list', 'paradigm', 'risk', 'wrapper' or null, in that order of precedence."""
-    keys = F.json_object_keys(F.to_json(doc))
-    known = lambda names: F.exists(keys, lambda k: _normal(k).isin(list(names)))
-    wrapped = F.coalesce(*[
-        F.when(F.to_json(_present(doc, k)).startswith("["), F.lit(k)) for k in L.WRAPPER_FIELDS
-    ])
-    return (
-        F.when(F.to_json(doc).startswith("["), "list")
-        .when(known([*L.PARADIGM_ALIASES, *L.PARADIGMS]), "paradigm")
-        .when(known(L.RISK_ALIASES), "risk")
-        .when(wrapped.isNotNull(), "wrapper")
-    )
+    """'list', 'paradigm', 'risk', 'wrapper' or null, in that order of precedence. The document is read once."""
+
+    def shape(row: Column) -> Column:
+        known = lambda names: F.exists(row["keys"], lambda k: k.isin(list(names)))
+        wrapped = F.coalesce(*[
+            F.when(F.to_json(_present(row["doc"], k)).startswith("["), F.lit(k)) for k in L.WRAPPER_FIELDS
+        ])
+        return (
+            F.when(row["listed"], "list")
+            .when(known([*L.PARADIGM_ALIASES, *L.PARADIGMS]), "paradigm")
+            .when(known(L.RISK_ALIASES), "risk")
+            .when(wrapped.isNotNull(), "wrapper")
+        )
+
+    def parts(v: Column) -> Column:
+        return bind(F.struct(v.alias("doc"), F.to_json(v).alias("text")), lambda d: F.struct(
+            d["doc"].alias("doc"), d["text"].startswith("[").alias("listed"),
+            F.transform(F.json_object_keys(d["text"]), _normal).alias("keys"),
+        ))
+
+    return bind(bind(doc, parts), shape)
 
 
 def normalise_upstream(docs: DataFrame, doc: str = "doc", keep: Sequence[str] = ()) -> DataFrame:
