@@ -19,9 +19,8 @@ ANNOTATIONS = "annotations"
 
 def annotation_findings(annotations: Column, description: Column) -> Column:
     """Findings where a hint (a real JSON boolean) contradicts the wording of the description."""
-    hints = F.try_parse_json(annotations)
 
-    def contradiction(lower: Column, hint: str, value: str, words: Sequence[str], severity: str) -> Column:
+    def contradiction(lower: Column, hints: Column, hint: str, value: str, words: Sequence[str], severity: str) -> Column:
         listed = strings(words)
         # of a text that cannot be read, such as one with a repeated key, the last value in it counts
         stated = F.when(
@@ -35,8 +34,9 @@ def annotation_findings(annotations: Column, description: Column) -> Column:
             f"Hint {hint}={value} does not fit what the description says the tool does", (),
         ))
 
-    found = bind(ascii_lower(F.coalesce(description, F.lit(""))), lambda lower: F.array_compact(
-        F.array(*[contradiction(lower, *rule) for rule in W.ANNOTATION_RULES])
+    once = F.struct(ascii_lower(F.coalesce(description, F.lit(""))).alias("lower"), F.try_parse_json(annotations).alias("hints"))
+    found = bind(once, lambda row: F.array_compact(
+        F.array(*[contradiction(row["lower"], row["hints"], *rule) for rule in W.ANNOTATION_RULES])
     ))
     return F.when(annotations.isNull(), no_findings()).otherwise(found.cast(f"array<{FINDING_TYPE}>"))
 
