@@ -82,7 +82,8 @@ def test_versions_of_a_template_make_few_pairs(spark):
     for _ in range(150):
         own = list(words)
         for _ in range(3):
-            own[draw.randrange(70)] = draw.choice(vocabulary)
+            at = draw.randrange(70)
+            own[at] = "".join(draw.sample(own[at], len(own[at])))  # letter counts stay
         lines.add(" ".join(own))
     lines |= {edited(draw, x, 2) for x in sorted(lines)[:20]}
     rows, keyed = [], {}
@@ -97,7 +98,7 @@ def test_versions_of_a_template_make_few_pairs(spark):
     near = {tuple(sorted(p)) for p in combinations(lines, 2) if line_dedup.within(*p, 2)}
     assert len(near) >= 15 and near <= set(got)
     met = sum(abs(len(x) - len(y)) <= 2 for group in keyed.values() for (x, o), (y, p) in combinations(group, 2) if o or p)
-    assert len(got) < met / 10  # under the letter counts alone more than a third as many are left
+    assert len(got) < met / 10  # the letter counts alone leave nearly all
 
 
 def test_agrees_with_brute_force(table):
