@@ -103,3 +103,32 @@ def test_hints_are_read_once(spark):
     df = spark.createDataFrame([("t", "deletes the file", None, '{"readOnlyHint":true,"destructiveHint":false}')], "name string, description string, inputSchema string, annotations string")
     found = definitions.scan_annotations(df)
     assert found.count() == 2 and parses(found) <= 2  # once in a filter, once in the rows
+
+
+ODD = [
+    *('{"a":' * n + "1" + "}" * n for n in (999, 1000, 1001)), '{"a":' + "[" * 999 + "]" * 999 + "}", '{"a":' + "[" * 1000 + "]" * 1000 + "}",
+    '{"a":1} x', '{"a":1}{"a":2}', "{}", "[1]", '{"a":{"b":1,"b":2}}', "{'a':1}", '{"a":01}', '{"a":1e999}', '{"a":NaN}', '{"\\u0061":1,"a":2}',
+    '{"a":"\x01"}', '﻿{"a":1}', '{"a":' + "9" * 1001 + "}", '{"' + "k" * 60000 + '":1}', '{"a":1,}', '{"":1,"":2}', '{"":1}', "{a:1}", ' {"a":1', "",
+    '{"a":null,"b":[{},[]]}', '{"a":1,/*c*/"b":2}', '{"a":1.0,"b":1}', '{"a":[1,2}', '{"a":tru}', '{"a":"\\x"}', '{"a":"\\ud800"}', CUT, DEEP, HIDDEN, None,
+]
+
+
+def test_the_look_before_parsing_refuses_only_what_the_parser_does(spark):
+    df = spark.createDataFrame([(x,) for x in ODD], "d string")
+    plain = F.to_json(F.try_parse_json("d"))
+    got = df.select("d", J.canonical_json(F.col("d")).alias("c"), plain.alias("p"), J.unreadable(F.col("d")).alias("u")).collect()
+    assert [r.c for r in got] == [r.p for r in got]
+    assert [r.u for r in got] == [r.d is not None and r.p is None for r in got]
+
+
+def test_unreadable_documents_cost_no_exceptions(spark):
+    df = spark.range(4000).select(F.concat(F.lit('{"a":' * 1500), "id", F.lit("}" * 1500)).alias("d")).repartition(2).cache()
+
+    def seconds(column):
+        start = time.perf_counter()
+        df.select(F.bit_xor(F.xxhash64(column))).collect()
+        return time.perf_counter() - start
+
+    df.count()
+    plain, own = (min(seconds(c) for _ in range(3)) for c in (F.to_json(F.try_parse_json("d")), J.canonical_json(F.col("d"))))
+    assert own < plain / 2

@@ -19,9 +19,21 @@ from wardline.rules import words as W
 _STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+":|"([^"\\]*+(?:\\.[^"\\]*+)*+)"'
 
 
+def _surely_unreadable(doc: Column) -> Column:
+    """Whether a document that begins as an object is broken or too deep, or repeats a key of its own. One pass that fails at no
+    cost, where the parser needs two exceptions with the whole text; all else is left to the parser."""
+    keys = F.json_object_keys(doc)
+    return doc.startswith("{") & (keys.isNull() | (F.size(F.array_distinct(keys)) < F.size(keys)))
+
+
+def _parsed(doc: Column) -> Column:
+    """A document as variant; null for null or unreadable input."""
+    return F.when(~_surely_unreadable(doc), F.try_parse_json(doc))
+
+
 def canonical_json(doc: Column) -> Column:
     """Compact JSON text with sorted keys; null for null or unreadable input."""
-    return F.to_json(F.try_parse_json(doc))
+    return F.to_json(_parsed(doc))
 
 
 def json_key(doc: Column) -> Column:
@@ -34,7 +46,7 @@ def json_key(doc: Column) -> Column:
 
 def unreadable(doc: Column) -> Column:
     """Whether a document is there but cannot be read."""
-    return doc.isNotNull() & F.try_parse_json(doc).isNull()
+    return doc.isNotNull() & _parsed(doc).isNull()
 
 
 def unreadable_json(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ("name",)) -> DataFrame:
