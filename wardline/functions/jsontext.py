@@ -54,9 +54,10 @@ def unreadable_json(df: DataFrame, columns: Sequence[str], keep: Sequence[str] =
     entries = [
         F.when(unreadable(F.col(c)), F.struct(F.lit(c).alias("column"), F.col(c).alias("text"))) for c in columns
     ]
-    return df.select(*keep, F.explode(F.array_compact(F.array(*entries))).alias("_bad")).select(
-        *keep, "_bad.column", "_bad.text"
-    )
+    # told before they are listed: a generator's own expressions are interpreted, and repeated parts are evaluated again
+    told = df.select(*keep, *[entry.alias(f"_bad_{k}") for k, entry in enumerate(entries)])
+    listed = F.array(*[F.col(f"_bad_{k}") for k in range(len(entries))])
+    return told.select(*keep, F.explode(F.array_compact(listed)).alias("_bad")).select(*keep, "_bad.column", "_bad.text")
 
 
 def raw_leaves(canonical: Column) -> Column:
