@@ -94,6 +94,24 @@ def test_rows_that_come_late_count_with_the_state_so_far(feed):
         [(7, "second_initialize"), (8, "request_after_close"), (None, "request_after_close")], key=repr)
 
 
+def test_order_of_numbers_beyond_doubles_and_of_parts_in_several_batches(spark, feed):
+    """Numbers that a double cannot tell apart, and sessions whose rows come in more than one Arrow batch."""
+    n = 1 << 53
+    row = lambda session, seq, method, second=0: (session, seq, "request", method, at(second) if seq != 3 else None)
+    big = [row("s", n, "initialize"), row("s", n + 1, "initialize"), row("s", n, "tools/call")]
+    long = [row(None, k, "initialize" if k % 7 == 6 else "tools/list", k) for k in range(25)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        out = feed("session string, seq bigint, direction string, method string, ts string").run(keyed.lifecycle_stream, big + long)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert rows(out.where("session = 's'"), "seq", "violation") == [(n + 1, "second_initialize")]
+    got = out.where("session IS NULL").selectExpr("seq", "violation", "second(ts) AS at")
+    want = [(k, "tools_list_before_initialize", None if k == 3 else k) for k in range(6)] + [(k, "second_initialize", k) for k in (13, 20)]
+    assert rows(got, "seq", "violation", "at") == sorted(want, key=repr)
+
+
 def test_a_session_may_be_forgotten(feed):
     f = feed("session string, seq bigint, direction string, method string, ts string")
     row = lambda session, seq, method, second: (session, seq, "request", method, at(second))

@@ -24,6 +24,10 @@ from wardline.operators.rpc import SESSION, reply_status
 from wardline.rules import records as R
 
 
+#: Stands for a null number of a row, which comes after all others.
+_LAST = (1 << 63) - 1
+
+
 def _schema(df: DataFrame, keys: Sequence[str], more: str) -> StructType:
     """The key columns as they are in ``df``, and others."""
     return StructType([*[df.schema[k] for k in keys], *StructType.fromDDL(more).fields])
@@ -192,53 +196,64 @@ def lifecycle_stream(
     of a micro-batch is walked once; should it be larger than one Arrow batch,
     the rows before the last batch wait in the state's own list, not in memory.
     """
-    ts = F.col("ts").cast("timestamp")
-    narrow = log.select(*session, "seq", "direction", "method", ts.alias("ts"), F.unix_micros(ts).alias("micros"))
     hold = None if quiet is None else int(pd.Timedelta(quiet).total_seconds() * 1000)
-    if hold is not None:
+    ts, method = F.col("ts").cast("timestamp"), F.col("method")
+    # what a row is, as a number, so that a session's part is few plain arrays
+    kind = F.when(F.col("direction") == "request", F.when(method == "initialize", 1).when(method == "tools/call", 2).when(method == "tools/list", 3).otherwise(0))
+    kind = kind.when(F.col("direction").isin("closed", "crashed"), 4).otherwise(5).cast("long")
+    narrow = log.select(*session, ts.alias("ts"), F.coalesce("seq", F.lit(_LAST)).cast("long").alias("seq"), F.unix_micros(ts).alias("micros"), kind.alias("kind"))
+    if hold is None:
+        narrow = narrow.where("kind < 5").drop("ts")  # other rows change nothing
+    else:
         narrow = narrow.withWatermark("ts", late)
+    last_seq, columns = _LAST, ["seq", "micros", "kind"]
 
     class Order(StatefulProcessor):
         def init(self, handle) -> None:
             self.handle = handle
             self.flags = handle.getValueState("flags", "opened boolean, closed boolean")
             self.until = handle.getValueState("until", "at bigint")
-            self.held = handle.getListState("held", "seq bigint, micros bigint, method string")
+            self.held = handle.getListState("held", "seq bigint, micros bigint, kind bigint")
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-            opened, closed = self.flags.get() if self.flags.exists() else (False, False)
-            first, end, last = (-np.inf if opened else np.inf), (-np.inf if closed else np.inf), None
+            before = self.flags.get() if self.flags.exists() else None
+            opened, closed = before or (False, False)
+            # a null seq counts as the last number there is
+            first, end, waiting = (-1 - last_seq if opened else last_seq), (-1 - last_seq if closed else last_seq), None
             spilled, latest = False, None
             for part in rows:
-                latest = max([*([] if latest is None else [latest]), *part["micros"].dropna().astype("int64")], default=None)
-                seq = part["seq"].astype("float64").fillna(np.inf)
-                request = part["direction"] == "request"
-                starts, ends = request & (part["method"] == "initialize"), part["direction"].isin(("closed", "crashed"))
-                opened, closed = opened or bool(starts.any()), closed or bool(ends.any())
-                first, end = min([first, *seq[starts]]), min([end, *seq[ends]])
-                if last is not None and len(last):
-                    self.held.appendList([tuple(None if pd.isna(v) else v for v in r) for r in last.astype(object).itertuples(index=False)])
+                seq, micros, kind = (part[c].to_numpy() for c in columns)
+                if hold is not None and (known := ~pd.isna(micros)).any():
+                    latest = max(int(micros[known].max()), latest or int(micros[known].max()))
+                starts, ends = seq[kind == 1], seq[kind == 4]
+                if len(starts):
+                    opened, first = True, min(first, int(starts.min()))
+                if len(ends):
+                    closed, end = True, min(end, int(ends.min()))
+                if waiting is not None and len(waiting[0]):
+                    self.held.appendList([(int(q), None if pd.isna(m) else int(m), int(k)) for q, m, k in zip(*waiting, strict=True)])
                     spilled = True
-                last = part.loc[request, ["seq", "micros", "method"]]
-            self.flags.update((opened, closed))
-            if hold is not None and latest is not None:
-                latest = int(latest)
+                asked = kind < 4
+                waiting = seq[asked], micros[asked], kind[asked]
+            if before != (opened, closed):
+                self.flags.update((opened, closed))
+            if latest is not None:
                 held = self.until.get()[0] if self.until.exists() else None
                 if held is None or held < latest // 1000 + hold:
                     if held is not None:
                         self.handle.deleteTimer(held)
                     self.handle.registerTimer(latest // 1000 + hold)
                     self.until.update((latest // 1000 + hold,))
-            yield from self._broken(key, last, first, end)
+            yield from self._broken(key, *waiting, first, end)
             if spilled:
                 some: list[tuple] = []
                 for row in self.held.get():
                     some.append(row)
                     if len(some) == 10_000:
-                        yield from self._broken(key, pd.DataFrame(some, columns=["seq", "micros", "method"]), first, end)
+                        yield from self._again(key, some, first, end)
                         some = []
                 if some:
-                    yield from self._broken(key, pd.DataFrame(some, columns=["seq", "micros", "method"]), first, end)
+                    yield from self._again(key, some, first, end)
                 self.held.clear()
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -246,21 +261,26 @@ def lifecycle_stream(
             self.until.clear()
             return iter(())
 
-        def _broken(self, key, rows, first, end) -> Iterator[pd.DataFrame]:
-            seq = rows["seq"].astype("float64").fillna(np.inf)
-            second = (rows["method"] == "initialize") & (seq > first)
-            early = rows["method"].isin(("tools/call", "tools/list")) & (seq < first)
-            named = "tools_" + rows["method"].astype("string").str.slice(6) + "_before_initialize"
-            for mask, violation in ((seq > end, "request_after_close"), (second, "second_initialize"), (early, named)):
-                if mask.any():
-                    found = rows.loc[mask, ["seq", "micros"]].astype("Int64").reset_index(drop=True)
-                    found["violation"] = violation if isinstance(violation, str) else violation[mask].to_numpy(object)
-                    yield _keyed(found, session, key)
+        def _again(self, key, some, first, end) -> Iterator[pd.DataFrame]:
+            seq, micros, kind = zip(*some, strict=True)
+            yield from self._broken(key, np.array(seq, np.int64), np.array(micros, object), np.array(kind, np.int64), first, end)
+
+        def _broken(self, key, seq, micros, kind, first, end) -> Iterator[pd.DataFrame]:
+            found = np.flatnonzero(np.concatenate((seq > end, (kind == 1) & (seq > first), (kind > 1) & (seq < first))))
+            if len(found):
+                at, rule = found % len(seq), found // len(seq)
+                # 0: after the end, 1: a second start, 2 and 3: too early
+                columns = {"seq": seq[at], "micros": micros[at], "rule": np.where(rule == 2, kind[at], rule)}
+                if micros.dtype != np.int64:
+                    columns["micros"] = pd.array([None if pd.isna(m) else int(m) for m in columns["micros"]], "Int64")
+                yield pd.DataFrame({**{c: np.full(len(at), v, object) for c, v in zip(session, key, strict=False)}, **columns})
 
         def close(self) -> None:
             pass
 
     found = narrow.groupBy(*session).transformWithStateInPandas(
-        Order(), _schema(narrow, session, "seq bigint, micros bigint, violation string"), "append",
+        Order(), _schema(narrow, session, "seq bigint, micros bigint, rule bigint"), "append",
         "none" if hold is None else "eventTime")
-    return found.select(*session, "seq", F.timestamp_micros("micros").alias("ts"), "violation")
+    rules = ("request_after_close", "second_initialize", "tools_call_before_initialize", "tools_list_before_initialize")
+    violation = F.element_at(F.array(*map(F.lit, rules)), (F.col("rule") + 1).cast("int"))
+    return found.select(*session, F.when(F.col("seq") != _LAST, F.col("seq")).alias("seq"), F.timestamp_micros("micros").alias("ts"), violation.alias("violation"))
