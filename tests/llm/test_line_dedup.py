@@ -141,3 +141,12 @@ def test_agrees_with_brute_force_from_the_least_length(table):
     _, got = line_dedup.find(table(docs).coalesce(1), near_chars=20)
     rows = sorted(((r.key, r.n_lines, list(r.dropped), list(r.copies_of)) for r in got.collect()), key=repr)
     assert rows == brute(docs, near_chars=20) and rows != brute(docs)
+
+
+def test_keys_of_many_lines_are_those_of_each(spark):
+    draw = random.Random(8)
+    lines = ["".join(draw.choice("abc é😀") for _ in range(draw.randrange(3, 400))) for _ in range(200)]
+    found, own, n = line_dedup._hasher(2)(lines)
+    assert found.tolist() == [k for x in lines for k in line_dedup.keys(x, 2)[0]]
+    assert own.tolist() == [o for x in lines for o in line_dedup.keys(x, 2)[1]] and n.tolist() == [len(line_dedup.keys(x, 2)[0]) for x in lines]
+    assert len(set(found.tolist())) > 0.9 * len(found)

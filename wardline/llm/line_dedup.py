@@ -62,24 +62,54 @@ def places(length: int, edits: int) -> list[tuple[int, int, int, int, bool]]:
     return out
 
 
-_PLACES: dict[tuple[int, int], tuple[list[tuple[int, int, int]], list[bool]]] = {}
+def _hasher(edits: int):
+    """A function of normal lines that gives the unsigned hashes of all their keys, which of them index a line, and the number of keys
+    of each line. Hashes of substrings come from prefix sums over the code points, for all lines of a call at once."""
+    held: dict = {"places": {}, "powers": np.ones(1, np.uint64), "inverses": np.ones(1, np.uint64)}
+    base, inverse = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+
+    def of_length(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        known = held["places"]
+        if n not in known:
+            if len(known) > 5000:
+                known.clear()
+            where = places(n, edits)
+            start, end, seed = (np.array(x, np.int64) for x in ([p[2] for p in where], [p[3] for p in where], [p[0] * 8 + p[1] for p in where]))
+            known[n] = start, end, seed.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93), np.array([p[4] for p in where], bool)
+        return known[n]
+
+    def hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        sizes = np.array([len(line) for line in lines], np.int64)
+        if not len(lines):
+            return np.zeros(0, np.uint64), np.zeros(0, bool), sizes
+        if len(held["powers"]) <= (longest := int(sizes.max())):
+            for name, by in (("powers", base), ("inverses", inverse)):
+                factors = np.full(2 * longest, by, np.uint64)
+                factors[0] = 1
+                held[name] = np.cumprod(factors, dtype=np.uint64)
+        code = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+        begin = np.cumsum(sizes) - sizes
+        sums = np.zeros(len(code) + 1, np.uint64)
+        np.cumsum((code.astype(np.uint64) + np.uint64(1)) * held["powers"][np.arange(len(code)) - np.repeat(begin, sizes)], dtype=np.uint64, out=sums[1:])
+        found = [of_length(n) for n in sizes.tolist()]
+        n = np.array([len(f[0]) for f in found], np.int64)
+        start, end, seed, own = (np.concatenate([f[k] for f in found]) for k in range(4))
+        at = np.repeat(begin, n)
+        mixed = (sums[at + end] - sums[at + start]) * held["inverses"][start] ^ seed
+        for factor in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+            mixed = (mixed ^ mixed >> np.uint64(31)) * np.uint64(factor)
+        return mixed ^ mixed >> np.uint64(29), own, n
+
+    return hashes
+
+
+_HASHERS: dict = {}
 
 
 def keys(line: str, edits: int) -> tuple[list[int], list[bool]]:
     """Unsigned hashes of a normal line's keys, and which of them index it."""
-    import xxhash
-
-    if (known := _PLACES.get((len(line), edits))) is None:
-        if len(_PLACES) > 5000:
-            _PLACES.clear()
-        where = places(len(line), edits)
-        known = _PLACES[len(line), edits] = [(a, b, other * 8 + i) for other, i, a, b, _ in where], [own for *_, own in where]
-    spans, own = known
-    digest = xxhash.xxh3_64_intdigest
-    if line.isascii():
-        data = line.encode()
-        return [digest(data[a:b], seed) for a, b, seed in spans], own
-    return [digest(line[a:b].encode("utf-8", "surrogatepass"), seed) for a, b, seed in spans], own
+    found, own, _ = _HASHERS.setdefault(edits, _hasher(edits))([line])
+    return found.tolist(), own.tolist()
 
 
 def within(a: str, b: str, edits: int) -> bool:
@@ -155,6 +185,28 @@ def _across(lines: DataFrame, edits: int) -> DataFrame:
     return lines.join(there, "key").where(once & (F.col("root") != F.col("root_")) & _bound(edits)).selectExpr(*_PAIR)
 
 
+def _some_lines(batches: Iterator[pa.RecordBatch], long_enough: int, digest, seen: set) -> Iterator[tuple[list[str], list]]:
+    """Normal lines of texts with their digests, some thousand at a time; most that have come before are left out."""
+    lines, digests, held = [], [], 0
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            for line in (text or "").split("\n"):
+                if len(line) >= long_enough and len(line := normal(line)) >= long_enough:
+                    if (d := digest(line.encode("utf-8", "surrogatepass"))) in seen:
+                        continue
+                    if len(seen) >= 200_000:
+                        seen.clear()
+                    seen.add(d)
+                    lines.append(line)
+                    digests.append(d)
+                    held += len(line)
+                    if held >= 1 << 18:
+                        yield lines, digests
+                        lines, digests, held = [], [], 0
+    if lines:
+        yield lines, digests
+
+
 def _near(rows: DataFrame, scratch: Scratch, edits: int, near_chars: int) -> DataFrame:
     """(node, root) of the normal lines that are copies of lines with other texts."""
     import xxhash
@@ -162,22 +214,15 @@ def _near(rows: DataFrame, scratch: Scratch, edits: int, near_chars: int) -> Dat
     long_enough = max(near_chars, edits + 1)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found, own, line_of, n = [], [], [], []
-            for text in batch.column(0).to_pylist():
-                for line in (text or "").split("\n"):
-                    if len(line) >= long_enough and len(line := normal(line)) >= long_enough:
-                        k, o = keys(line, edits)
-                        found += k
-                        own += o
-                        line_of.append(xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass")))
-                        n.append(len(k))
+        hashes, seen = _hasher(edits), set()
+        for lines, line_of in _some_lines(batches, long_enough, xxhash.xxh3_64_intdigest, seen):
+            found, own, n = hashes(lines)
             ids = np.repeat(np.array(line_of, np.uint64).view(np.int64), n)
-            hashes = np.array(found, np.uint64).view(np.int64)
+            signed = found.view(np.int64)
             for at in range(0, len(found), 1 << 16):
                 to = at + (1 << 16)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(hashes[at:to]), pa.array(ids[at:to]), pa.array(own[at:to], pa.bool_())], ["key", "line", "own"]
+                    [pa.array(signed[at:to]), pa.array(ids[at:to]), pa.array(own[at:to])], ["key", "line", "own"]
                 )
 
     shared = (
@@ -201,18 +246,9 @@ def _match(rows: DataFrame, scratch: Scratch, edits: int, long_enough: int, tabl
     sent = rows.sparkSession.sparkContext.broadcast(table)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = sent.value, set()
-        for batch in batches:
-            lines, found, own, n = [], [], [], []
-            for text in batch.column(0).to_pylist():
-                for line in (text or "").split("\n"):
-                    if len(line) >= long_enough and len(line := normal(line)) >= long_enough:
-                        k, o = keys(line, edits)
-                        lines.append(line)
-                        found += k
-                        own += o
-                        n.append(len(k))
-            hashes = np.array(found, np.uint64)
+        bits, keyed, seen = sent.value, _hasher(edits), set()
+        for lines, nodes in _some_lines(batches, long_enough, xxhash.xxh3_128_digest, seen):
+            hashes, own, n = keyed(lines)
             at = hashes >> np.uint64(64 - TABLE_BITS)
             hit = ((bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
             ends = np.cumsum(n, dtype=np.int64)
@@ -221,17 +257,11 @@ def _match(rows: DataFrame, scratch: Scratch, edits: int, long_enough: int, tabl
             out: list[list] = [[], [], [], [], []]
             for k in np.flatnonzero(before[ends] > before[ends - n]) if lines else ():
                 line = lines[k]
-                node = xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass"))
-                if node in seen:
-                    continue
-                if len(seen) >= 200_000:
-                    seen.clear()
-                seen.add(node)
-                out[0].append(node)
+                out[0].append(nodes[k])
                 out[1].append(line)
                 out[2].append(len(line))
                 out[3].append([letter_counts(line), *bigram_signs(line)])
-                out[4].append([{"key": int(signed[j]), "own": own[j]} for j in range(ends[k] - n[k], ends[k]) if hit[j]])
+                out[4].append([{"key": int(signed[j]), "own": bool(own[j])} for j in range(ends[k] - n[k], ends[k]) if hit[j]])
             kinds = [pa.binary(), pa.string(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.struct([("key", pa.int64()), ("own", pa.bool_())]))]
             yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds, strict=True)], ["node", "line", "size", "sketch", "keys"])
 
