@@ -192,7 +192,7 @@ def scan_pattern_table_of_fragments(spark, sf):
     pieces = F.regexp_extract_all(T.ascii_lower(F.col("text")), F.lit("(?s)(.{24}).{0,73}"), F.lit(1))
     cut = docs.select(F.explode(pieces).alias("needle")).distinct()
     rules = stage(cut).select("needle", F.lit("fragment").alias("signal"), F.lit("low").alias("severity"), F.array().cast("array<string>").alias("corpus_refs"))
-    found = patterns.scan_pattern_table(docs, rules, "doc_id", name="source")
+    found = patterns.scan_pattern_table(docs, rules, "doc_id", name="source", dense=True)
     return found.select("doc_id", "tool_name", "detail", "matched_text")
 
 

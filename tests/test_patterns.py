@@ -87,3 +87,39 @@ def test_fragments_are_cut_in_one_pass(spark, tmp_path):
     found = CHECKS["scan_pattern_table_of_fragments"][0](spark, str(tmp_path)).select("detail").collect()
     assert {r[0] for r in found} == {f"fragment: '{text[i:i + 24]}'" for i in range(0, len(text) - 23, 97)}
     assert time.monotonic() - begun < 30
+
+
+@pytest.mark.parametrize("bits", [8, patterns.BITS])
+def test_dense_tables_settle_finds_in_place(spark, bits, monkeypatch):
+    """Texts that hold many needles get the rows of the join without a join of snippets, even if every stretch looks like a needle."""
+    monkeypatch.setattr(patterns, "BITS", bits)
+    monkeypatch.setattr(patterns, "BLOCK", 64)
+    draw = random.Random(bits)
+    make = lambda n, signs: "".join(draw.choice(signs) for _ in range(n))
+    texts = [(k, "t", make(draw.randrange(300), "abA é漢😀\n")) for k in range(40)] + [(90, "t", None), (91, "t", ""), (92, "t", "ab" * 500)]
+    fold = lambda s: s.encode().lower().decode()
+    needles = {fold(t[i:i + n]) for _, _, t in texts[:20] for n in (3, 24, 31, 90) for i in range(0, len(t) - n, 17)} | {"ab" * 40, "zzz"}
+    df = spark.createDataFrame(texts, "id int, name string, text string").repartition(3)
+    table = spark.createDataFrame([(n, "s", "low", None) for n in needles], SCHEMA)
+    want = patterns.scan_pattern_table(df, table, "id")
+    got = patterns.scan_pattern_table(df, table, "id", dense=True)
+    assert "Join" in plan(want) and "Join" not in plan(got) and got.dtypes == want.dtypes
+    assert rows(got) == rows(want)
+    assert rows(got, "id", "detail") == sorted([(k, d) for k, d, _ in by_hand(texts, needles)], key=repr)
+
+
+def test_dense_tables_that_differ_are_joined(spark, monkeypatch):
+    texts = spark.createDataFrame([(1, "a", "A NEEDLE worked")], "id int, name string, text string")
+    scan = lambda *rules: patterns.scan_pattern_table(texts, spark.createDataFrame(rules, SCHEMA), "id", dense=True)
+    found = lambda df: rows(df, "signal", "detail")
+    one, other = ("needle", "a", "high", ["R-1"]), ("worked", "a", "high", ["R-1"])
+    assert "Join" not in plan(scan(one, other))
+    for rules in ([one, one], [one, ("worked", "b", "high", ["R-1"])], [one, ("Worked", "a", "high", ["R-1"])], [one, ("worked", "a", "high", None)]):
+        assert "Join" in plan(scan(*rules)) and found(scan(*rules)) == sorted((s, f"{s}: '{n}'") for n, s, _, _ in rules)
+    assert patterns.scan_pattern_table(texts, spark.createDataFrame([one], SCHEMA).where("false"), "id", dense=True).collect() == []
+    monkeypatch.setattr(patterns, "MOST_DOUBTFUL", -1)
+    assert "Join" in plan(scan(one, other)) and found(scan(one, other)) == [("a", "a: 'needle'"), ("a", "a: 'worked'")]
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
