@@ -1,7 +1,7 @@
 """Scan with a user's own table of patterns (needle, signal, severity, corpus_refs), of any size.
 
 The table is never gathered. It is turned into two bit tables: one of fixed size
-holds the hashes of the needles' first ``GRAM`` bytes, the other, which grows with
+holds the hashes of the needles' first ``GRAM`` characters, the other, which grows with
 the number of needles up to a bound, those of whole needles. Texts are searched many at
 a time: where a gram is in the first table, the stretches from there that have the
 length of a needle are looked up in the second, and those that are found there are
@@ -16,8 +16,8 @@ the texts are read twice instead: the first time only the distinct stretches of
 are shuffled, to learn which are no needles. A third bit table holds those, and the few
 needles that it holds too are listed, so the second time each find is settled where it is.
 
-Hashes of stretches come from prefix sums, so each costs the same at any
-length. Needles shorter than ``GRAM`` are looked up at every place.
+Hashes of stretches come from prefix sums over their bytes, so each costs the same at any
+length. Places and lengths are those of characters. Needles shorter than ``GRAM`` are looked up at every place.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ from wardline.operators.scan import NEEDLES
 from wardline.rules import words as W
 from wardline.sources.staging import stage
 
-#: Bytes at the start of a needle that are looked up first.
+#: Characters at the start of a needle that are looked up first.
 GRAM = 6
 #: Bits of the table of grams, and the least of that of whole needles, as a power of two (8 MB).
 BITS = 26
@@ -48,7 +48,7 @@ BITS_A_NEEDLE, MOST_BITS = 16, 30
 #: Bits of a table that are filled together and come to the driver as one row, as a power of two (64 KB). All bits of a
 #: needle are in one such piece.
 PIECE = 19
-#: Bytes of texts that are hashed in one go.
+#: Characters of texts that are hashed in one go.
 BLOCK = 1 << 16
 #: Needles that a task numbers before it sorts them by piece.
 RUN = 1 << 16
@@ -109,12 +109,16 @@ def _hashes(lengths: Iterable[int]):
     least = np.array([c[0] for c in _classes(lengths)] or [size], np.int64)
 
     def hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        raws = [text.encode() for text in column.to_pylist()]
-        lengths = np.array([len(raw) for raw in raws], np.int64)
-        starts = np.cumsum(lengths) - lengths
-        terms = np.frombuffer(b"".join(raws), np.uint8).astype(np.uint64) + np.uint64(1)
-        terms *= powers(base, int(lengths.max(initial=0)))[np.arange(len(terms)) - np.repeat(starts, lengths)]
+        needles = column.to_pylist()
+        raws = [needle.encode() for needle in needles]
+        octets = np.array([len(raw) for raw in raws], np.int64)
+        raw = np.frombuffer(b"".join(raws), np.uint8)
+        terms = raw.astype(np.uint64) + np.uint64(1)
+        terms *= powers(base, int(octets.max(initial=0)))[np.arange(len(terms)) - np.repeat(np.cumsum(octets) - octets, octets)]
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)))
+        sums = sums[np.append(np.flatnonzero(raw & 0xC0 != 0x80), len(raw))]  # before each character
+        lengths = np.array([len(needle) for needle in needles], np.int64)
+        starts = np.cumsum(lengths) - lengths
         begin = least[np.searchsorted(least, lengths, "right") - 1]
         more, long = starts[lengths > np.maximum(begin, size - 1)], starts[lengths >= size]
         begin = begin[lengths > np.maximum(begin, size - 1)]
@@ -126,7 +130,7 @@ def _hashes(lengths: Iterable[int]):
 def _bit_tables(needles: DataFrame, sizes: dict[int, int] | None = None, kind: int = 0) -> tuple[np.ndarray, np.ndarray, list[int]]:
     """The tables (bytes) of grams and of whole needles, and the lengths of needles. Tables come to the driver in pieces
     that the workers fill."""
-    sizes = dict(needles.groupBy(F.octet_length("_needle")).count().collect()) if sizes is None else sizes
+    sizes = dict(needles.groupBy(F.char_length("_needle")).count().collect()) if sizes is None else sizes
     lengths, wanted = sorted(sizes), (BITS_A_NEEDLE * sum(sizes.values())).bit_length()
     gram_bits, whole_bits = BITS, max(BITS, min(MOST_BITS, wanted))
     most, run, probes, hashes = PIECE, RUN, range(_PROBES), _hashes(lengths)
@@ -187,9 +191,10 @@ def _stretches(grams: np.ndarray, wholes: np.ndarray, lengths: list[int]):
 
     def stretches(folded: bytes) -> dict[bytes, int]:
         found: dict[bytes, int] = {}
-        for at, _, size, _ in search(folded, np.array([len(folded)])):
+        starts = np.append(np.flatnonzero(np.frombuffer(folded, np.uint8) & 0xC0 != 0x80), len(folded))
+        for at, _, size, _ in search(folded, starts, np.array([len(starts) - 1])):
             for place in at.tolist():
-                found.setdefault(folded[place:place + size], place)
+                found.setdefault(folded[starts[place]:starts[place + size]], place)
         return found
 
     return stretches
@@ -216,26 +221,31 @@ def _inside():
 
 
 def _search(tables: Callable[[], tuple[np.ndarray, np.ndarray]], lengths: list[int], others: Callable[[], np.ndarray] | None = None):
-    """A function of folded texts (their bytes behind one another, and where each ends) that gives stretches that may be needles:
-    (places, texts, length, whether the table of others has them). Places of one length ascend. The tables are only
-    asked for on the worker."""
+    """A function of folded texts (their bytes behind one another, the start of each character and the end, and the character where
+    each text ends) that gives stretches that may be needles: (places, texts, length, whether the table of others has them).
+    Places of one length ascend. The tables are only asked for on the worker."""
     powers, gram_bit, _, _ = _hashing()
     inside, gram, base, inverse = _inside(), GRAM, _BASE, _INVERSE
     short, long = [n for n in lengths if n < gram], _classes(lengths)
     longest = lengths[-1] if lengths else 0
     block = max(BLOCK, 2 * longest)
-    held: dict[str, np.ndarray] = {}
+    held = {"powers": np.zeros(0, np.uint64), "inverses": np.zeros(0, np.uint64)}
 
-    def look(raw: np.ndarray, starts: int):
-        """(places, length, whether others has them) of stretches that begin at one of the first ``starts`` bytes."""
+    def look(raw: np.ndarray, characters: np.ndarray, starts: int):
+        """(places, length, whether others has them) of stretches that begin at one of the first ``starts`` characters."""
         grams, wholes = tables()
-        n = len(raw)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * held["powers"][:n], dtype=np.uint64, out=sums[1:])
+        if len(held["powers"]) < len(raw):
+            held["powers"], held["inverses"] = powers(base, 2 * len(raw)), powers(inverse, 2 * len(raw))
+        n = len(characters) - 1
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * held["powers"][:len(raw)], dtype=np.uint64, out=sums[1:])
+        inverses = held["inverses"][:len(raw)]
+        if n < len(raw):
+            sums, inverses = sums[characters], inverses[characters[:-1]]
 
         def met(at: np.ndarray, size: int):
             at = at[:np.searchsorted(at, n - size, "right")]
-            hashes = (sums[at + size] - sums[at]) * held["inverses"][at]
+            hashes = (sums[at + size] - sums[at]) * inverses[at]
             kept = inside(wholes, hashes, 0)
             return at[kept], hashes[kept]
 
@@ -248,7 +258,7 @@ def _search(tables: Callable[[], tuple[np.ndarray, np.ndarray]], lengths: list[i
         every = np.arange(starts)
         near = every[:max(0, n - gram + 1)]
         if long:
-            bits = gram_bit((sums[gram:][:len(near)] - sums[:len(near)]) * held["inverses"][:len(near)], len(grams).bit_length() + 2)
+            bits = gram_bit((sums[gram:][:len(near)] - sums[:len(near)]) * inverses[:len(near)], len(grams).bit_length() + 2)
             near = near[(grams[(bits >> np.uint64(3)).view(np.int64)] >> (bits & np.uint64(7)).astype(np.uint8)) & 1 != 0]
         for size in short:
             yield told(*met(every, size), size)
@@ -257,13 +267,11 @@ def _search(tables: Callable[[], tuple[np.ndarray, np.ndarray]], lengths: list[i
             for size in sizes if len(some) else ():
                 yield told(*met(some, size), size)
 
-    def search(folded: bytes, ends: np.ndarray):
-        if "powers" not in held:
-            held["powers"], held["inverses"] = powers(base, block + longest), powers(inverse, block + longest)
+    def search(folded: bytes, starts: np.ndarray, ends: np.ndarray):
         raw = np.frombuffer(folded, np.uint8)
-        for first in range(0, len(raw), block):
-            part = raw[first:first + block + longest]
-            for at, size, doubtful in look(part, min(block, len(part))):
+        for first in range(0, len(starts) - 1, block):
+            part = starts[first:first + block + longest + 1]
+            for at, size, doubtful in look(raw[part[0]:part[-1]], part - part[0], min(block, len(part) - 1)):
                 at = at + first
                 text = np.searchsorted(ends, at, "right")
                 fits = at + size <= ends[text]
@@ -273,8 +281,8 @@ def _search(tables: Callable[[], tuple[np.ndarray, np.ndarray]], lengths: list[i
 
 
 def _spans():
-    """A function that cuts a batch's column of texts into (first row, bytes, ends of texts) of whole texts that fill a block, or
-    of one longer text."""
+    """A function that cuts a batch's column of texts into whole texts that fill a block, or one longer text: (first row, bytes, the
+    start of each character and the end, the character where each text ends)."""
     most = BLOCK
 
     def spans(column: pa.Array):
@@ -284,32 +292,25 @@ def _spans():
         while row < len(column):
             last = max(row + 1, int(np.searchsorted(offsets, offsets[row] + most, "right")) - 1)
             if offsets[last] > offsets[row]:
-                yield row, column.buffers()[2][int(offsets[row]):int(offsets[last])].to_pybytes(), offsets[row + 1:last + 1] - offsets[row]
+                data = column.buffers()[2][int(offsets[row]):int(offsets[last])].to_pybytes()
+                starts = np.append(np.flatnonzero(np.frombuffer(data, np.uint8) & 0xC0 != 0x80), len(data))
+                yield row, data, starts, np.searchsorted(starts, offsets[row + 1:last + 1] - offsets[row])
             row = last
 
     return spans
 
 
-def _leads():
-    """A function that tells which bytes begin a character; the end counts as one."""
-
-    def leads(data: bytes) -> np.ndarray:
-        return np.append(np.frombuffer(data, np.uint8) & 0xC0 != 0x80, True)
-
-    return leads
-
-
 def _distinct_stretches(sent: Broadcast, lengths: list[int]):
-    """Arrow function: the stretches of texts that may be needles, those of a block once."""
-    search, spans, leads = _search(lambda: sent.value, lengths), _spans(), _leads()
+    """Arrow function: the stretches of texts that may be needles, those of a batch once."""
+    search, spans = _search(lambda: sent.value, lengths), _spans()
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: set[bytes] = set()
-            for _, data, ends in spans(batch.column(0)):
-                folded, lead = data.lower(), leads(data)  # bytes.lower folds A-Z only
-                for at, _, size, _ in search(folded, ends):
-                    found.update([folded[p:p + size] for p in at[lead[at] & lead[at + size]].tolist()])
+            for _, data, starts, ends in spans(batch.column(0)):
+                folded = data.lower()  # bytes.lower folds A-Z only
+                for at, _, size, _ in search(folded, starts, ends):
+                    found.update([folded[a:b] for a, b in zip(starts[at].tolist(), starts[at + size].tolist())])
             if found:
                 yield pa.record_batch([pa.array(list(found), pa.string())], ["needle"])
 
@@ -320,21 +321,20 @@ def _finds(sent: Broadcast, lengths: list[int], others: Broadcast | None = None)
     """Arrow function of (key, name, text): (key, name, needle, matched) of the stretches of a text that may be needles, each with
     its first snippet. With ``others`` (the table of stretches that are none, and the needles that it has too) they are needles."""
     search = _search(lambda: sent.value, lengths, others and (lambda: others.value[0]))
-    spans, leads, context, ellipsis = _spans(), _leads(), W.SNIPPET_CONTEXT, T.ELLIPSIS.encode()
+    spans, context, ellipsis = _spans(), W.SNIPPET_CONTEXT, T.ELLIPSIS.encode()
 
-    def in_texts(data: bytes, ends: np.ndarray):
+    def in_texts(data: bytes, starts: np.ndarray, ends: np.ndarray):
         """(texts, needles, snippets)."""
-        folded, begins, lead = data.lower(), np.append(0, ends[:-1]), leads(data)  # bytes.lower folds A-Z only
-        if not data.isascii():
-            before, starts = np.append(0, np.cumsum(lead[:-1])), np.flatnonzero(lead)
+        folded, begins = data.lower(), np.append(0, ends[:-1])  # bytes.lower folds A-Z only
         known, seen = others and others.value[1], set()
-        for at, text, size, doubtful in search(folded, ends):
-            good = lead[at] & lead[at + size]
-            for i in np.flatnonzero(doubtful & good).tolist():
-                good[i] = folded[at[i]:at[i] + size] in known
+        for at, text, size, doubtful in search(folded, starts, ends):
+            good = ~doubtful
+            for i in np.flatnonzero(doubtful).tolist():
+                good[i] = folded[starts[at[i]]:starts[at[i] + size]] in known
             at, text = at[good][::-1], text[good][::-1]
+            places = zip(text.tolist(), starts[at].tolist(), starts[at + size].tolist())
             # the last of equal keys counts, which is the first in the text
-            first_of = {(t, folded[p:p + size]): i for i, (t, p) in enumerate(zip(text.tolist(), at.tolist()))}
+            first_of = {(t, folded[a:b]): i for i, (t, a, b) in enumerate(places)}
             if len(ends) == 1:  # this may go on for many blocks
                 first_of = {k: i for k, i in first_of.items() if k not in seen}
                 seen.update(first_of)
@@ -342,20 +342,16 @@ def _finds(sent: Broadcast, lengths: list[int], others: Broadcast | None = None)
                 continue
             kept = list(first_of.values())
             at, text = at[kept], text[kept]
-            if data.isascii():
-                first, stop = np.maximum(begins[text], at - context), np.minimum(ends[text], at + size + context)
-            else:
-                first = starts[np.maximum(before[begins[text]], before[at] - context)]
-                stop = starts[np.minimum(before[ends[text]], before[at + size] + context)]
-            cut = zip(first.tolist(), stop.tolist(), (first > begins[text]).tolist(), (stop < ends[text]).tolist())
+            first, stop = np.maximum(begins[text], at - context), np.minimum(ends[text], at + size + context)
+            cut = zip(starts[first].tolist(), starts[stop].tolist(), (first > begins[text]).tolist(), (stop < ends[text]).tolist())
             matched = [(ellipsis if left else b"") + data[a:b] + (ellipsis if right else b"") for a, b, left, right in cut]
             yield text, [needle for _, needle in first_of], matched
 
     def finds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, data, ends in spans(batch.column(2)):
+            for row, *span in spans(batch.column(2)):
                 texts, needles, matched = [], [], []
-                for part in in_texts(data, ends):
+                for part in in_texts(*span):
                     texts.append(part[0])
                     needles += part[1]
                     matched += part[2]
