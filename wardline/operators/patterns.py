@@ -174,7 +174,8 @@ def _bit_tables(needles: DataFrame, sizes: dict[int, int] | None = None, kind: i
                 out[bit(values, k, size, kind)] = True
         else:
             out[np.frombuffer(values, np.uint32)] = True
-        return pa.table({"whole": [whole], "piece": [group.column("piece")[0].as_py()], "bits": pa.array([np.packbits(out, bitorder="little").tobytes()], pa.binary())})
+        bits = pa.array([np.packbits(out, bitorder="little").tobytes()], pa.binary())
+        return pa.table({"whole": [whole], "piece": [group.column("piece")[0].as_py()], "bits": bits})
 
     packs = needles.select("_needle").mapInArrow(number, "whole boolean, piece long, values binary")
     pieces = packs.groupBy("whole", "piece").applyInArrow(fill, "whole boolean, piece long, bits binary").toArrow()
